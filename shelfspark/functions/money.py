@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfspark.config import MONEY
+from shelfspark.functions.binding import let
 
 #: First number in a text, with its separators. ``\p{Z}`` covers the
 #: non-breaking spaces that ``\s`` leaves out.
@@ -40,6 +41,11 @@ def parse_price(text: Column) -> Column:
     return price_of_token(price_token(text))
 
 
+def parse_price_of(text: Column) -> Column:
+    """``parse_price`` of a longer expression, which is computed once."""
+    return let(price_token(text), price_of_token)
+
+
 def parse_prices(texts: Column) -> Column:
     """Prices of a text array, element by element."""
     return F.transform(F.transform(texts, price_token), price_of_token)
@@ -47,12 +53,14 @@ def parse_prices(texts: Column) -> Column:
 
 def json_price(value: Column) -> Column:
     """Price of a VARIANT: numbers are taken as they are, texts are parsed."""
-    kind = F.schema_of_variant(value)
-    return F.when(
-        kind == "STRING", parse_price(F.try_variant_get(value, "$", "string"))
-    ).when(
-        kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(value, "$", MONEY)
-    )
+    def price(v: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        return F.when(
+            kind == "STRING", let(price_token(F.try_variant_get(v, "$", "string")), price_of_token)
+        ).when(
+            kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(v, "$", MONEY)
+        )
+    return let(value, price)
 
 
 def effective_price(sale: Column, promote: Column) -> Column:

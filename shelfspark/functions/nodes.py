@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shelfspark.functions.binding import let
 from shelfspark.functions.text import clean, strip
 
 Predicate = Callable[[Column], Column]
@@ -141,14 +142,14 @@ def first_text(nodes: Column, texts: Column, selector: str) -> Column:
 
 def meta(nodes: Column, prop: str) -> Column:
     """Stripped content of ``<meta property=…>``, else ``<meta name=…>``."""
+    def content(metas: Column) -> Column:
+        def by(name: str) -> Column:
+            return F.get(F.filter(metas, lambda n: attr(n, name) == prop), F.lit(0))
+        return attr(F.coalesce(by("property"), by("name")), "content")
     metas = F.filter(nodes, lambda n: n["tag"] == "meta")
-
-    def by(name: str) -> Column:
-        return F.get(F.filter(metas, lambda n: attr(n, name) == prop), F.lit(0))
-    tag = F.coalesce(by("property"), by("name"))
-    return F.when(attr(tag, "content") != "", strip(attr(tag, "content")))
+    return let(let(metas, content), lambda c: F.when(c != "", strip(c)))
 
 
 def title(nodes: Column, texts: Column) -> Column:
     """The document title, stripped."""
-    return clean(raw_text_of(texts, first(nodes, "title")))
+    return clean(let(first(nodes, "title"), lambda n: raw_text_of(texts, n)))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shelfspark.functions.binding import let
 from shelfspark.config import CRUMB_SEPARATORS, PATH_SEPARATORS, ROOT_CRUMBS
 
 #: Every character Unicode counts as white space; ``trim`` takes a set.
@@ -52,15 +53,15 @@ def nonblank(items: Column) -> Column:
 
 def split_category_path(c: Column) -> Column:
     """Split by the first separator that occurs anywhere in the text."""
-    pick = reduce(
-        lambda rest, sep: F.when(F.contains(c, F.lit(sep)), F.lit(sep)).otherwise(rest),
-        reversed(PATH_SEPARATORS),
-        F.lit(None).cast("string"),
-    )
-    parts = F.when(pick.isNull(), F.array(c)).otherwise(
-        F.split(c, F.concat(F.lit(r"\Q"), pick, F.lit(r"\E")))
-    )
-    return nonblank(parts)
+    def parts(text: Column) -> Column:
+        return reduce(
+            lambda rest, sep: F.when(
+                F.contains(text, F.lit(sep)), F.split(text, rf"\Q{sep}\E")
+            ).otherwise(rest),
+            reversed(PATH_SEPARATORS),
+            F.array(text),
+        )
+    return nonblank(let(c, parts))
 
 
 def is_separator(c: Column) -> Column:
@@ -76,14 +77,19 @@ def category_pair(crumbs: Column, product_name: Column) -> Column:
     def is_root(c: Column) -> Column:
         return F.trim(F.lower(c), F.lit(" >/|")).isin(*ROOT_CRUMBS)
 
-    tidy = nonblank(crumbs)
-    start = F.array_position(F.transform(tidy, lambda c: ~is_root(c)), F.lit(True))
-    rest = F.when(start > 0, F.slice(tidy, start.cast("int"), F.greatest(F.size(tidy), F.lit(1))))
-    ends_with_name = F.coalesce(
-        same_text(F.get(rest, F.size(rest) - 1), product_name), F.lit(False)
-    ) & (F.coalesce(product_name, F.lit("")) != "")
-    kept = F.size(rest) - F.when(ends_with_name, 1).otherwise(0)
-    return F.struct(
-        F.when(kept > 0, F.get(rest, F.lit(0))).alias("category"),
-        F.when(kept > 1, F.get(rest, F.lit(1))).alias("subcategory"),
+    def without_roots(tidy: Column) -> Column:
+        start = F.array_position(F.transform(tidy, lambda c: ~is_root(c)), F.lit(True))
+        return F.when(start > 0, F.slice(tidy, start.cast("int"), F.greatest(F.size(tidy), F.lit(1))))
+
+    def without_name(rest: Column, name: Column) -> Column:
+        ends = (name != "") & same_text(F.get(rest, F.size(rest) - 1), name)
+        return F.when(F.coalesce(ends, F.lit(False)), F.slice(rest, F.lit(1), F.size(rest) - 1)).otherwise(rest)
+
+    rest = let(nonblank(crumbs), without_roots)
+    kept = let(
+        F.struct(rest.alias("rest"), product_name.alias("name")),
+        lambda s: without_name(s["rest"], s["name"]),
     )
+    return let(kept, lambda k: F.struct(
+        F.get(k, F.lit(0)).alias("category"), F.get(k, F.lit(1)).alias("subcategory")
+    ))

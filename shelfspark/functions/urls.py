@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfspark.config import NON_PRODUCT_SEGMENTS
+from shelfspark.functions.binding import let
 from shelfspark.functions.text import slug
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):"
@@ -17,6 +18,7 @@ _NETLOC = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
 _PATH = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)"
 _TAIL = r"^[^?#]*((?s:.*))$"
 _ORIGIN = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)"
+_BLANKS = "".join(map(chr, range(33)))
 _MUST_ENCODE = "[^\\x21-\\x7e]|[\"<>`{}]"
 
 
@@ -96,38 +98,39 @@ def canonical_url(url: Column) -> Column:
     Lower-case scheme and host, no default port, a path of at least ``/``, no
     dot segments, percent-encoding applied.
     """
-    trimmed = F.trim(url)
-    scheme = scheme_of(trimmed)
-    netloc = F.lower(netloc_of(trimmed))
-    netloc = F.when(scheme == "http", F.regexp_replace(netloc, ":80$", "")).otherwise(
-        F.regexp_replace(netloc, ":443$", "")
-    )
-    path = _without_dots(_encode(path_of(trimmed)))
-    path = F.when(path == "", F.lit("/")).otherwise(path)
-    tail = _encode(F.regexp_extract(trimmed, _TAIL, 1))
-    return F.when(
-        is_http(trimmed) & host_of(trimmed).isNotNull(),
-        F.concat(scheme, F.lit("://"), netloc, path, tail),
-    )
+    def spelled(u: Column) -> Column:
+        netloc = F.regexp_replace(
+            F.concat_ws("://", scheme_of(u), F.lower(netloc_of(u))), "^(http://.*):80$|^(https://.*):443$", "$1$2"
+        )
+        path = F.coalesce(F.nullif(path_of(u), F.lit("")), F.lit("/"))
+        path = let(let(path, _encode), _without_dots)
+        tail = let(F.regexp_extract(u, _TAIL, 1), _encode)
+        return F.when(is_http(u) & host_of(u).isNotNull(), F.concat(netloc, path, tail))
+    return let(F.trim(url), spelled)
 
 
 def resolve_url(base: Column, ref: Column) -> Column:
     """Resolve a reference against the address of its page."""
-    r = F.regexp_replace(F.ltrim(ref, F.lit("".join(map(chr, range(33))))), r"[\t\r\n]", "")
-    ref_path, tail = path_of(r), F.regexp_extract(r, _TAIL, 1)
-    origin = F.regexp_extract(base, _ORIGIN, 1)
-    folder = F.regexp_replace(path_of(base), r"[^/]*$", "")
-    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
-    joined = F.regexp_replace(F.concat(folder, ref_path), "/{2,}", "/")
-    return (
-        F.when(r == "", base)
-        .when(r.rlike(_SCHEME), r)
-        .when(r.startswith("//"), F.concat(scheme_of(base), F.lit(":"), r))
-        .when(r.startswith("/"), F.concat(origin, _without_dots(ref_path), tail))
-        .when(r.startswith("?"), F.concat(bare_url(base), r))
-        .when(r.startswith("#"), F.concat(without_fragment(base), r))
-        .otherwise(F.concat(origin, _without_dots(joined), tail))
-    )
+    def against(b: Column, r: Column) -> Column:
+        origin = F.regexp_extract(b, _ORIGIN, 1)
+        # the base's folder, "/" for a bare host, then the reference
+        joined = F.concat(F.lit("/"), F.regexp_replace(path_of(b), r"[^/]*$", ""), path_of(r))
+        path = F.when(r.startswith("/"), path_of(r)).otherwise(F.regexp_replace(joined, "/{2,}", "/"))
+        return (
+            F.when(r == "", b)
+            .when(r.rlike(_SCHEME), r)
+            .when(r.startswith("//"), F.concat(scheme_of(b), F.lit(":"), r))
+            .when(r.startswith("?"), F.concat(bare_url(b), r))
+            .when(r.startswith("#"), F.concat(without_fragment(b), r))
+            .otherwise(F.concat(origin, let(path, _without_dots), F.regexp_extract(r, _TAIL, 1)))
+        )
+    tidy = F.regexp_replace(F.ltrim(ref, F.lit(_BLANKS)), r"[\t\r\n]", "")
+    return let(F.struct(base.alias("b"), tidy.alias("r")), lambda s: against(s["b"], s["r"]))
+
+
+def absolute_url(base: Column, ref: Column) -> Column:
+    """Resolved and canonical: the address a browser would report for a link."""
+    return canonical_url(resolve_url(base, F.trim(ref)))
 
 
 def domains_of(host: Column) -> Column:
@@ -144,11 +147,10 @@ def domains_of(host: Column) -> Column:
 
 def segments_of(url: Column) -> Column:
     """Path segments; NULL when there are none or one of them is never a product."""
-    segs = F.filter(F.split(path_of(url), "/"), lambda s: s != "")
-    blocked = F.arrays_overlap(
-        F.transform(segs, F.lower), F.array(*[F.lit(s) for s in NON_PRODUCT_SEGMENTS])
-    )
-    return F.when((F.size(segs) > 0) & ~blocked, segs)
+    def allowed(segs: Column) -> Column:
+        blocked = F.exists(segs, lambda s: F.lower(s).isin(*NON_PRODUCT_SEGMENTS))
+        return F.when((F.size(segs) > 0) & ~blocked, segs)
+    return let(F.filter(F.split(path_of(url), "/"), lambda s: s != ""), allowed)
 
 
 def bucket_of(segments: Column) -> Column:
@@ -160,13 +162,12 @@ def bucket_of(segments: Column) -> Column:
 
 def matches_template(url: Column, template: Column) -> Column:
     """Does the path fit a pattern such as ``/catalogue/*/index.html``?"""
-    parts = F.split(F.trim(template, F.lit("/")), "/")
-    segs = segments_of(url)
-    fits = F.forall(
-        F.zip_with(parts, segs, lambda p, s: (p == "*") | (p == s)),
-        lambda ok: F.coalesce(ok, F.lit(False)),
+    # zip_with pads the shorter side with NULL, which never fits
+    pairs = F.zip_with(
+        F.split(F.trim(template, F.lit("/")), "/"), segments_of(url),
+        lambda p, s: F.coalesce((s.isNotNull() & (p == "*")) | (p == s), F.lit(False)),
     )
-    return F.coalesce((F.size(parts) == F.size(segs)) & fits, F.lit(False))
+    return F.coalesce(F.forall(pairs, lambda fits: fits), F.lit(False))
 
 
 def flow_id(url: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shelfspark.functions.binding import let
+
 
 def at(value: Column, path: str, kind: str = "variant") -> Column:
     return F.try_variant_get(value, path, kind)
@@ -20,36 +22,36 @@ def is_object(value: Column) -> Column:
 
 def string_at(value: Column, path: str) -> Column:
     """The value at a path only if it is a JSON string."""
-    return F.when(kind_of(at(value, path)) == "STRING", at(value, path, "string"))
+    return let(at(value, path), lambda v: F.when(kind_of(v) == "STRING", at(v, "$", "string")))
 
 
 def int_at(value: Column, path: str) -> Column:
     """The value at a path only if it is a JSON integer (not "79", not true)."""
-    return F.when(kind_of(at(value, path)) == "BIGINT", at(value, path, "bigint"))
+    return let(at(value, path), lambda v: F.when(kind_of(v) == "BIGINT", at(v, "$", "bigint")))
 
 
 def first_item(value: Column, path: str) -> Column:
     """A value that may be wrapped in a list: the list's first item, else itself."""
-    return F.coalesce(at(value, path + "[0]"), at(value, path))
+    return let(at(value, path), lambda v: F.coalesce(at(v, "$[0]"), v))
 
 
 def is_truthy(value: Column) -> Column:
     """JSON null, false, 0, "", [] and {} count as nothing."""
-    text = at(value, "$", "string")
-    kind = kind_of(value)
-    number = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
-    return F.coalesce(
-        F.when(kind == "STRING", text != "")
-        .when(kind == "BOOLEAN", at(value, "$", "boolean"))
-        .when(number, at(value, "$", "double") != 0)
-        .when(kind == "VOID", F.lit(False))
-        .otherwise(~text.isin("[]", "{}")),
-        F.lit(False),
-    )
+    def counts(v: Column, kind: Column) -> Column:
+        text = at(v, "$", "string")
+        return (
+            F.when(kind == "STRING", text != "")
+            .when(kind == "BOOLEAN", at(v, "$", "boolean"))
+            .when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), at(v, "$", "double") != 0)
+            .when(kind == "VOID", F.lit(False))
+            .otherwise(~text.isin("[]", "{}"))
+        )
+    named = let(value, lambda v: F.struct(v.alias("v"), kind_of(v).alias("kind")))
+    return F.coalesce(let(named, lambda s: counts(s["v"], s["kind"])), F.lit(False))
 
 
 def first_truthy(values: Column) -> Column:
     """First value that counts as something, else the last one."""
-    return F.coalesce(
-        F.get(F.filter(values, is_truthy), F.lit(0)), F.get(values, F.size(values) - 1)
-    )
+    return let(values, lambda vs: F.coalesce(
+        F.get(F.filter(vs, is_truthy), F.lit(0)), F.get(vs, F.size(vs) - 1)
+    ))

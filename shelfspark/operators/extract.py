@@ -17,7 +17,8 @@ from shelfspark.config import (
 )
 from shelfspark.functions import nodes as N
 from shelfspark.functions import variants as V
-from shelfspark.functions.money import effective_price, json_price, parse_price
+from shelfspark.functions.binding import let
+from shelfspark.functions.money import effective_price, json_price, parse_price_of
 from shelfspark.functions.text import (
     category_pair,
     clean,
@@ -69,31 +70,29 @@ def _display_name(element: Column) -> Column:
 
 def category_crumbs(value: Column) -> Column:
     """Crumbs of a category value: a path text, a list or a named object."""
-    items = F.try_variant_get(value, "$", "array<variant>")
-    text = F.when(V.is_object(value), _display_name(value)).otherwise(V.string_at(value, "$"))
-    none = F.array().cast("array<string>")
-    return F.coalesce(
-        nonblank(F.transform(items, lambda i: V.at(i, "$", "string"))),
-        F.when(strip(text) != "", split_category_path(text)),
-        none,
-    )
+    def crumbs(v: Column) -> Column:
+        items = F.try_variant_get(v, "$", "array<variant>")
+        text = F.when(V.is_object(v), _display_name(v)).otherwise(V.string_at(v, "$"))
+        return F.coalesce(
+            nonblank(F.transform(items, lambda i: V.at(i, "$", "string"))),
+            let(clean(text), split_category_path),
+            F.array().cast("array<string>"),
+        )
+    return let(value, crumbs)
 
 
 def _product_block(p: Column) -> Column:
     """The fields one Product object offers, before the blocks are folded."""
-    image = V.first_item(p, "$.image")
-    image = F.coalesce(V.at(image, "$.url"), image)
-    offer = V.first_item(p, "$.offers")
-    spec = V.first_item(offer, "$.priceSpecification")
-    asks = F.array(
-        F.struct(V.is_object(offer).alias("there"), json_price(V.at(offer, "$.price")).alias("v")),
-        F.struct(V.is_object(spec).alias("there"), json_price(V.at(spec, "$.price")).alias("v")),
-    )
+    image = let(V.first_item(p, "$.image"), lambda v: F.coalesce(V.at(v, "$.url"), v))
+    # the offer's price, then that of its price specification, where there is one
+    offers = let(V.first_item(p, "$.offers"), lambda o: F.array(o, V.first_item(o, "$.priceSpecification")))
     lists = V.first_truthy(F.array(V.at(p, "$.mrp"), V.at(p, "$.listPrice"), V.at(p, "$.highPrice")))
     return F.struct(
         clean(V.at(p, "$.name", "string")).alias("name"),
         V.string_at(image, "$").alias("image"),
-        F.transform(F.filter(asks, lambda a: a["there"]), lambda a: a["v"]).alias("asks"),
+        F.transform(
+            F.filter(offers, V.is_object), lambda o: json_price(V.at(o, "$.price"))
+        ).alias("asks"),
         json_price(lists).alias("list_price"),
         category_crumbs(V.at(p, "$.category")).alias("crumbs"),
     )
@@ -101,9 +100,9 @@ def _product_block(p: Column) -> Column:
 
 def _nonzero_first(prices: Column) -> Column:
     """A zero only counts when nothing better follows; otherwise the last word."""
-    return F.coalesce(
-        _first(F.filter(prices, lambda v: v != 0)), F.get(prices, F.size(prices) - 1)
-    )
+    return let(prices, lambda ps: F.coalesce(
+        _first(F.filter(ps, lambda v: v != 0)), F.get(ps, F.size(ps) - 1)
+    ))
 
 
 def with_structured(parsed: DataFrame) -> DataFrame:
@@ -126,7 +125,8 @@ def with_structured(parsed: DataFrame) -> DataFrame:
     pairs = F.transform(used, lambda b, i: category_pair(
         b["crumbs"], F.when((F.col("_name_at") > 0) & (i + 1 >= F.col("_name_at")), name)
     ))
-    pair = _first(F.filter(pairs, lambda p: p["category"].isNotNull()))
+    pair = F.col("_pair")
+    step = step.withColumn("_pair", _first(F.filter(pairs, lambda p: p["category"].isNotNull())))
     return step.withColumn("structured", field_struct(
         name=name,
         image_url=resolve_url(F.col("url"), _first(_present(F.transform(used, lambda b: b["image"])))),
@@ -134,7 +134,7 @@ def with_structured(parsed: DataFrame) -> DataFrame:
         mrp=_nonzero_first(F.transform(used, lambda b: b["list_price"])),
         category=pair["category"],
         subcategory=pair["subcategory"],
-    )).drop("_name_at", "_used")
+    )).drop("_name_at", "_used", "_pair")
 
 
 # --------------------------------------------------------------------------
@@ -206,20 +206,23 @@ def selectors_fields(config: JobConfig) -> Column:
     return field_struct(
         name=clean(N.first_text(NODES, TEXTS, sel.name)),
         image_url=resolve_url(F.col("url"), _first(_present(images))),
-        mrp=parse_price(N.first_text(NODES, TEXTS, sel.mrp)),
-        asp=parse_price(N.first_text(NODES, TEXTS, sel.asp)),
+        mrp=parse_price_of(N.first_text(NODES, TEXTS, sel.mrp)),
+        asp=parse_price_of(N.first_text(NODES, TEXTS, sel.asp)),
     )
 
 
 def heuristic_fields() -> Column:
     """Microdata, then conventions, then position; needs ``own_prices``."""
-    named = N.first(NODES, "[itemprop='name']")
-    name = F.coalesce(
-        clean(F.coalesce(_first_filled(named, "content"), N.text_of(TEXTS, named))),
-        clean(N.first_text(NODES, TEXTS, "h1")),
+    named = let(
+        N.first(NODES, "[itemprop='name']"),
+        lambda n: F.coalesce(_first_filled(n, "content"), N.text_of(TEXTS, n)),
     )
+    name = F.coalesce(clean(named), clean(N.first_text(NODES, TEXTS, "h1")))
+
+    def filled(attribute: str):
+        return lambda n: _first_filled(n, attribute, "src")
     hints = [
-        _first_filled(N.first(NODES, selector), attribute, "src")
+        let(N.first(NODES, selector), filled(attribute))
         for selector, attribute in (
             ("meta[property='og:image']", "content"),
             ("meta[name='twitter:image']", "content"),
@@ -257,10 +260,8 @@ def fallback_fields() -> Column:
     )
 
 
-def detail_columns(detail: Column) -> dict[str, Column]:
-    """What an embedded detail object says (category ids still as numbers)."""
-    d = F.try_parse_json(detail)
-
+def detail_columns(d: Column) -> dict[str, Column]:
+    """What an embedded detail object (VARIANT) says; category ids stay numbers."""
     def text(path: str, of: Column = d) -> Column:
         return F.nullif(V.at(of, path, "string"), F.lit(""))
     photos = F.transform(
@@ -268,11 +269,15 @@ def detail_columns(detail: Column) -> dict[str, Column]:
         lambda i: F.coalesce(text("$.picThumb", i), text("$.picUrl", i)),
     )
     sale, promote = json_price(V.at(d, "$.salesPrice")), json_price(V.at(d, "$.promotePrice"))
+    paid = let(
+        F.struct(sale.alias("sale"), promote.alias("promote")),
+        lambda s: effective_price(s["sale"], s["promote"]),
+    )
     return {
         "name": clean(F.coalesce(text("$.goodsName"), text("$.shortGoodsName"))),
         "image": F.coalesce(_first(_present(photos)), text("$.goodsThumb")),
         "mrp": sale,
-        "asp": effective_price(sale, promote),
+        "asp": paid,
         "level2_id": V.int_at(d, "$.level2CatId"),
         "level3_id": V.int_at(d, "$.level3CatId"),
     }
@@ -303,9 +308,9 @@ def extract_fields(
         step = step.withColumn("heuristics", heuristic_fields())
     step = step.withColumn("fallback", fallback_fields()).drop("nodes", "texts", "ld", "_products")
     if "embedded" in chain:
-        step = step.withColumn("_d", F.struct(*[
-            c.alias(n) for n, c in detail_columns(F.col("detail")).items()
-        ])).withColumn("level2_id", F.col("_d.level2_id")).withColumn("level3_id", F.col("_d.level3_id"))
+        step = step.withColumn("_v", F.try_parse_json("detail")).withColumn("_d", F.struct(*[
+            c.alias(n) for n, c in detail_columns(F.col("_v")).items()
+        ])).drop("_v").withColumn("level2_id", F.col("_d.level2_id")).withColumn("level3_id", F.col("_d.level3_id"))
         if taxonomy is None:
             raise ValueError("the embedded strategy needs a taxonomy")
         step = with_labels(step, taxonomy, "level2_id", "level3_id", "_category", "_subcategory")

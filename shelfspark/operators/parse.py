@@ -263,3 +263,19 @@ def parse_pages(pages: DataFrame, html: str = "html", detail_key: str = DETAIL_K
                 )
 
     return pages.mapInArrow(run, schema)
+
+
+def embedded_details(pages: DataFrame, detail_key: str = DETAIL_KEY) -> DataFrame:
+    """Replace ``html`` by the embedded detail object only: no document is parsed."""
+    kept = [f for f in pages.schema.fields if f.name != "html"]
+    schema = T.StructType([*kept, T.StructField("detail", T.StringType())])
+    names = [f.name for f in schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_embedded_detail(h or "", detail_key) for h in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(n) for n in names[:-1]] + [pa.array(found, pa.string())], names=names
+            )
+
+    return pages.mapInArrow(run, schema)

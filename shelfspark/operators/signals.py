@@ -13,10 +13,12 @@ from shelfspark.config import (
     CARD_MAX_DEPTH,
     CARD_MAX_TEXT,
     CARD_TAGS,
+    MONEY,
     PRICE_SELECTOR,
     STRUCTURED_PRICE_SELECTORS,
 )
 from shelfspark.functions import nodes as N
+from shelfspark.functions.binding import let
 from shelfspark.functions.money import parse_prices
 
 
@@ -48,8 +50,7 @@ def card_href(nodes: Column, price: Column) -> Column:
         ),
     )
     deciding = F.filter(verdicts, lambda v: v["region"] | v["href"].isNotNull())
-    nearest = F.get(deciding, F.lit(0))
-    return F.when(~nearest["region"], nearest["href"])
+    return let(F.get(deciding, F.lit(0)), lambda v: F.when(~v["region"], v["href"]))
 
 
 def has_product_markup(nodes: Column, ld: Column) -> Column:
@@ -92,7 +93,8 @@ def with_signals(parsed: DataFrame) -> DataFrame:
         for selector in STRUCTURED_PRICE_SELECTORS
     ]
     free = _positive(parse_prices(_price_texts(texts, F.col("_free_nodes"))))
-    own = F.coalesce(*[F.when(F.size(s) > 0, s) for s in structured], free)
+    sources = F.filter(F.array(*structured, free), lambda s: F.size(s) > 0)
+    own = F.coalesce(F.get(sources, F.lit(0)), F.array().cast(f"array<{MONEY}>"))
     return (
         step.withColumn("n_prices", F.size("_price_nodes"))
         .withColumn("n_free", F.size("_free_nodes"))

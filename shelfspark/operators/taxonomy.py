@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.config import TAXONOMY_LEVEL2, TAXONOMY_LEVEL3, UNKNOWN_CATEGORY_PREFIX
+from shelfspark.session import local_rows
 
 SCHEMA = "level string, id bigint, name string"
 
@@ -13,7 +14,7 @@ SCHEMA = "level string, id bigint, name string"
 def builtin_taxonomy(spark: SparkSession) -> DataFrame:
     rows = [("level2", i, n) for i, n in TAXONOMY_LEVEL2.items()]
     rows += [("level3", i, n) for i, n in TAXONOMY_LEVEL3.items()]
-    return spark.createDataFrame(rows, SCHEMA)
+    return local_rows(spark, rows, SCHEMA)
 
 
 def override_rows(documents: DataFrame) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def local_session(cores: str = "*", app: str = "shelfspark") -> SparkSession:
@@ -44,3 +46,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives executor loss, unlike a local one."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table the optimizer knows the size of (a local relation).
+
+    Rows handed over as Arrow stay in the plan, so joins against them can be
+    broadcast by the session's own size threshold.
+    """
+    fields = spark.createDataFrame([], schema).schema.fields
+    columns = {f.name: [r[i] for r in rows] for i, f in enumerate(fields)}
+    table = pa.table({
+        f.name: pa.array(columns[f.name], to_arrow_type(f.dataType)) for f in fields
+    })
+    return spark.createDataFrame(table)
