@@ -6,6 +6,8 @@ strategies; merging takes every field from the first strategy that has it.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,36 +107,55 @@ def _nonzero_first(prices: Column) -> Column:
     ))
 
 
-def with_structured(parsed: DataFrame) -> DataFrame:
-    """Adds ``_products`` (one struct per Product block) and ``structured``."""
-    step = parsed.withColumn("_products", F.transform(
+@cache
+def _products() -> Column:
+    return F.transform(
         F.filter("ld", lambda b: b["product"].isNotNull()),
         lambda b: _product_block(F.try_parse_json(b["product"])),
-    ))
-    # Blocks are read until a name and an image are known.
-    name_at = F.array_position(F.transform("_products", lambda b: b["name"].isNotNull()), F.lit(True))
-    image_at = F.array_position(F.transform("_products", lambda b: b["image"].isNotNull()), F.lit(True))
-    step = step.withColumn("_name_at", name_at.cast("int")).withColumn(
-        "_used",
-        F.slice("_products", F.lit(1), F.when(
-            (F.col("_name_at") > 0) & (image_at > 0), F.greatest("_name_at", image_at.cast("int"))
-        ).otherwise(F.size("_products"))),
     )
-    used = F.col("_used")
-    name = _first(_present(F.transform(used, lambda b: b["name"])))
-    pairs = F.transform(used, lambda b, i: category_pair(
-        b["crumbs"], F.when((F.col("_name_at") > 0) & (i + 1 >= F.col("_name_at")), name)
+
+
+@cache
+def _name_and_image_at() -> Column:
+    """Places of the first block with a name and of the first with an image."""
+    def place(part: str) -> Column:
+        known = F.transform("_products", lambda b: b[part].isNotNull())
+        return F.array_position(known, F.lit(True)).cast("int").alias(part)
+    return F.struct(place("name"), place("image"))
+
+
+@cache
+def _used_blocks() -> Column:
+    """Blocks are read until a name and an image are known."""
+    name, image = F.col("_at.name"), F.col("_at.image")
+    upto = F.when((name > 0) & (image > 0), F.greatest(name, image)).otherwise(F.size("_products"))
+    return F.slice("_products", F.lit(1), upto)
+
+
+def _first_of_used(part: str) -> Column:
+    return _first(_present(F.transform("_used", lambda b: b[part])))
+
+
+@cache
+def _structured_pair() -> Column:
+    """Categories of the first block that has one; the name counts once it is known."""
+    name_at = F.col("_at.name")
+    pairs = F.transform("_used", lambda b, i: category_pair(
+        b["crumbs"], F.when((name_at > 0) & (i + 1 >= name_at), _first_of_used("name"))
     ))
-    pair = F.col("_pair")
-    step = step.withColumn("_pair", _first(F.filter(pairs, lambda p: p["category"].isNotNull())))
-    return step.withColumn("structured", field_struct(
-        name=name,
-        image_url=resolve_url(F.col("url"), _first(_present(F.transform(used, lambda b: b["image"])))),
-        asp=_nonzero_first(F.flatten(F.transform(used, lambda b: b["asks"]))),
-        mrp=_nonzero_first(F.transform(used, lambda b: b["list_price"])),
-        category=pair["category"],
-        subcategory=pair["subcategory"],
-    )).drop("_name_at", "_used", "_pair")
+    return _first(F.filter(pairs, lambda p: p["category"].isNotNull()))
+
+
+@cache
+def _structured() -> Column:
+    return field_struct(
+        name=_first_of_used("name"),
+        image_url=resolve_url(F.col("url"), _first_of_used("image")),
+        asp=_nonzero_first(F.flatten(F.transform("_used", lambda b: b["asks"]))),
+        mrp=_nonzero_first(F.transform("_used", lambda b: b["list_price"])),
+        category=F.col("_pair.category"),
+        subcategory=F.col("_pair.subcategory"),
+    )
 
 
 # --------------------------------------------------------------------------
@@ -168,29 +189,28 @@ def _trail_of_container(container: Column) -> Column:
     )
 
 
-def with_breadcrumbs(step: DataFrame) -> DataFrame:
-    """Adds ``crumbs`` (the trail) and ``breadcrumbs``; needs ``_products``."""
+@cache
+def _trail() -> Column:
+    """The page's crumbs: list markup, else a category path, else navigation."""
     lists = F.transform(
         F.filter("ld", lambda b: b["crumbs"].isNotNull()), lambda b: _trail_of_list(b["crumbs"])
     )
     paths = F.transform("_products", lambda b: b["crumbs"])
     containers = F.flatten(F.array(*[N.select(NODES, s) for s in BREADCRUMB_SELECTORS]))
     dom = F.transform(containers, _trail_of_container)
-    heading = clean(N.first_text(NODES, TEXTS, "h1"))
-    return (
-        step.withColumn("crumbs", F.coalesce(
-            _first(F.filter(lists, lambda t: F.size(t) > 0)),
-            _first(F.filter(paths, lambda t: F.size(t) > 0)),
-            _first(F.filter(dom, lambda t: F.size(t) > 1)),
-        ))
-        .withColumn("_pair", category_pair("crumbs", F.coalesce(heading, N.meta(NODES, "og:title"))))
-        .withColumn("breadcrumbs", field_struct(
-            category=F.col("_pair.category"), subcategory=F.col("_pair.subcategory")
-        ))
-        .drop("_pair")
+    return F.coalesce(
+        _first(F.filter(lists, lambda t: F.size(t) > 0)),
+        _first(F.filter(paths, lambda t: F.size(t) > 0)),
+        _first(F.filter(dom, lambda t: F.size(t) > 1)),
     )
 
 
+@cache
+def _trail_pair() -> Column:
+    heading = clean(N.first_text(NODES, TEXTS, "h1"))
+    return category_pair(F.col("crumbs"), F.coalesce(heading, N.meta(NODES, "og:title")))
+
+
 # --------------------------------------------------------------------------
 # Selectors, heuristics, fallback, embedded detail
 # --------------------------------------------------------------------------
@@ -198,6 +218,7 @@ def _first_filled(n: Column, *names: str) -> Column:
     return F.coalesce(*[F.nullif(N.attr(n, a), F.lit("")) for a in names])
 
 
+@cache
 def selectors_fields(config: JobConfig) -> Column:
     sel = config.selectors
     images = F.transform(
@@ -211,6 +232,7 @@ def selectors_fields(config: JobConfig) -> Column:
     )
 
 
+@cache
 def heuristic_fields() -> Column:
     """Microdata, then conventions, then position; needs ``own_prices``."""
     named = let(
@@ -253,6 +275,7 @@ def heuristic_fields() -> Column:
     )
 
 
+@cache
 def fallback_fields() -> Column:
     return field_struct(
         name=F.coalesce(F.nullif(N.meta(NODES, "og:title"), F.lit("")), N.title(NODES, TEXTS)),
@@ -260,8 +283,10 @@ def fallback_fields() -> Column:
     )
 
 
-def detail_columns(d: Column) -> dict[str, Column]:
-    """What an embedded detail object (VARIANT) says; category ids stay numbers."""
+@cache
+def _detail() -> Column:
+    """What an embedded detail object says; category ids stay numbers."""
+    d = F.col("_v")
     def text(path: str, of: Column = d) -> Column:
         return F.nullif(V.at(of, path, "string"), F.lit(""))
     photos = F.transform(
@@ -273,14 +298,14 @@ def detail_columns(d: Column) -> dict[str, Column]:
         F.struct(sale.alias("sale"), promote.alias("promote")),
         lambda s: effective_price(s["sale"], s["promote"]),
     )
-    return {
-        "name": clean(F.coalesce(text("$.goodsName"), text("$.shortGoodsName"))),
-        "image": F.coalesce(_first(_present(photos)), text("$.goodsThumb")),
-        "mrp": sale,
-        "asp": paid,
-        "level2_id": V.int_at(d, "$.level2CatId"),
-        "level3_id": V.int_at(d, "$.level3CatId"),
-    }
+    return F.struct(
+        clean(F.coalesce(text("$.goodsName"), text("$.shortGoodsName"))).alias("name"),
+        F.coalesce(_first(_present(photos)), text("$.goodsThumb")).alias("image"),
+        sale.alias("mrp"),
+        paid.alias("asp"),
+        V.int_at(d, "$.level2CatId").alias("level2_id"),
+        V.int_at(d, "$.level3CatId").alias("level3_id"),
+    )
 
 
 # --------------------------------------------------------------------------
@@ -301,26 +326,39 @@ def extract_fields(
     ``signals`` is the output of ``with_signals``.  Node arrays are dropped as
     soon as the strategies have been read off, before any join.
     """
-    step = with_breadcrumbs(with_structured(signals))
+    step = (
+        signals.withColumn("_products", _products()).withColumn("_at", _name_and_image_at())
+        .withColumn("_used", _used_blocks())
+        .withColumns({"_pair": _structured_pair(), "crumbs": _trail()})
+        .withColumn("_trail_pair", _trail_pair())
+    )
+    strategies = {
+        "structured": _structured(),
+        "breadcrumbs": field_struct(
+            category=F.col("_trail_pair.category"), subcategory=F.col("_trail_pair.subcategory")
+        ),
+        "fallback": fallback_fields(),
+    }
     if "selectors" in chain:
-        step = step.withColumn("selectors", selectors_fields(config))
+        strategies["selectors"] = selectors_fields(config)
     if "heuristics" in chain:
-        step = step.withColumn("heuristics", heuristic_fields())
-    step = step.withColumn("fallback", fallback_fields()).drop("nodes", "texts", "ld", "_products")
+        strategies["heuristics"] = heuristic_fields()
+    kept = [c for c in signals.columns if c not in ("nodes", "texts", "ld", "detail")]
+    step = step.select(*kept, "crumbs", "detail", *[c.alias(n) for n, c in strategies.items()])
     if "embedded" in chain:
-        step = step.withColumn("_v", F.try_parse_json("detail")).withColumn("_d", F.struct(*[
-            c.alias(n) for n, c in detail_columns(F.col("_v")).items()
-        ])).drop("_v").withColumn("level2_id", F.col("_d.level2_id")).withColumn("level3_id", F.col("_d.level3_id"))
         if taxonomy is None:
             raise ValueError("the embedded strategy needs a taxonomy")
+        step = step.withColumn("_v", F.try_parse_json("detail")).withColumn("_d", _detail()).withColumns(
+            {"level2_id": F.col("_d.level2_id"), "level3_id": F.col("_d.level3_id")}
+        )
         step = with_labels(step, taxonomy, "level2_id", "level3_id", "_category", "_subcategory")
         step = step.withColumn("embedded", field_struct(
             name=F.col("_d.name"), image_url=resolve_url(F.col("url"), F.col("_d.image")),
             mrp=F.col("_d.mrp"), asp=F.col("_d.asp"),
             category=F.col("_category"), subcategory=F.col("_subcategory"),
-        )).drop("_d", "_category", "_subcategory")
-    step = step.drop("detail")
-    return step.withColumn("fields", merge(*[F.col(s) for s in chain]))
+        ))
+        kept = [*kept, "level2_id", "level3_id"]
+    return step.select(*kept, "crumbs", *chain, merge(*[F.col(s) for s in chain]).alias("fields"))
 
 
 def is_complete(fields: Column) -> Column:

@@ -6,6 +6,8 @@ page at least one stands free.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,14 +80,28 @@ def _positive(prices: Column) -> Column:
     return F.filter(prices, lambda p: p > 0)
 
 
-def with_signals(parsed: DataFrame) -> DataFrame:
-    """Adds n_prices, n_free, n_carded, product_markup, is_product_page, own_prices."""
-    nodes, texts = F.col("nodes"), F.col("texts")
-    step = parsed.withColumn("_price_nodes", N.select(nodes, PRICE_SELECTOR))
-    step = step.withColumn(
-        "_free_nodes", F.filter("_price_nodes", lambda n: card_href(nodes, n).isNull())
-    )
-    # The structured sources are price nodes themselves, so the short list is enough.
+# Columns are built once per process: they name the columns of a parsed page and
+# hold no data.  Building one costs a call into the JVM per function in it.
+@cache
+def _price_nodes() -> Column:
+    return N.select("nodes", PRICE_SELECTOR)
+
+
+@cache
+def _free_nodes() -> Column:
+    return F.filter("_price_nodes", lambda n: card_href("nodes", n).isNull())
+
+
+@cache
+def _markup() -> Column:
+    return has_product_markup("nodes", "ld")
+
+
+@cache
+def _own_prices() -> Column:
+    """Prices of the first structured source that has any, else the free ones."""
+    nodes, texts = "nodes", "texts"
+    # structured sources are price nodes themselves, so the short list is enough
     structured = [
         _positive(parse_prices(_price_texts(
             texts, F.filter("_price_nodes", N.matcher(nodes, selector))
@@ -94,15 +110,20 @@ def with_signals(parsed: DataFrame) -> DataFrame:
     ]
     free = _positive(parse_prices(_price_texts(texts, F.col("_free_nodes"))))
     sources = F.filter(F.array(*structured, free), lambda s: F.size(s) > 0)
-    own = F.coalesce(F.get(sources, F.lit(0)), F.array().cast(f"array<{MONEY}>"))
-    return (
-        step.withColumn("n_prices", F.size("_price_nodes"))
-        .withColumn("n_free", F.size("_free_nodes"))
-        .withColumn("n_carded", F.col("n_prices") - F.col("n_free"))
-        .withColumn("product_markup", has_product_markup(nodes, F.col("ld")))
-        .withColumn("is_product_page", F.col("product_markup") | (F.col("n_free") > 0))
-        .withColumn("own_prices", own)
-        .drop("_price_nodes", "_free_nodes")
+    return F.coalesce(F.get(sources, F.lit(0)), F.array().cast(f"array<{MONEY}>"))
+
+
+def with_signals(parsed: DataFrame) -> DataFrame:
+    """Adds n_prices, n_free, n_carded, product_markup, is_product_page, own_prices."""
+    found = parsed.withColumn("_price_nodes", _price_nodes()).withColumn("_free_nodes", _free_nodes())
+    counted = found.withColumns({
+        "n_prices": F.size("_price_nodes"), "n_free": F.size("_free_nodes"),
+        "product_markup": _markup(), "own_prices": _own_prices(),
+    })
+    return counted.select(
+        *parsed.columns, "n_prices", "n_free", (F.col("n_prices") - F.col("n_free")).alias("n_carded"),
+        "product_markup", (F.col("product_markup") | (F.col("n_free") > 0)).alias("is_product_page"),
+        "own_prices",
     )
 
 
