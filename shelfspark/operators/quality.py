@@ -40,7 +40,9 @@ def validate(products: DataFrame) -> DataFrame:
         .withColumn("warnings", _notes(
             (asp > mrp, swapped), (F.coalesce(mrp == 0, F.lit(False)) | F.coalesce(asp == 0, F.lit(False)), "a price is zero"),
         ))
-        .withColumn("valid", F.size("errors") == 0)
+        .withColumn("valid", ~(
+            blank("name") | blank("image_url") | blank("product_url") | (mrp.isNull() & asp.isNull())
+        ))
     )
 
 

@@ -61,7 +61,7 @@ def feed_run(
     pages = G.envelopes(listing_pages)
     stops = G.drain_stops(pages)
     goods = G.first_goods(G.drained_goods(pages, stops, config.max_pages_per_listing), listings)
-    products = G.feed_products(goods, config.base_url)
+    products = cut_lineage(G.feed_products(goods, config.base_url))
     extra = [G.failed_listings(stops, listings, config.max_pages_per_listing)]
     if processed is not None:
         products, skipped = split_processed(products, processed)
@@ -69,7 +69,7 @@ def feed_run(
     notes = []
     if config.with_categories and details is not None:
         names = taxonomy if taxonomy is not None else builtin_taxonomy(spark)
-        products = enrich(products, detail_ids(details), names)
+        products = cut_lineage(enrich(products, detail_ids(details), names))
         notes = [enrichment_misses(products)]
         # one row per unnamed id and run that met it
         met = products.select("run_id", F.explode(F.array(
@@ -92,15 +92,17 @@ def extract_links(links: DataFrame, pages: DataFrame, config: JobConfig) -> Data
     """
     parsed = parse_pages(captures_for_keys(links.select("product_key").distinct(), pages))
     rows = build_products(extract_fields(with_signals(parsed), GENERIC_CHAIN, config))
-    rows = rows.drop("product_url")
+    # pages become narrow rows here; settling reads them more than once
+    rows = cut_lineage(rows.drop("product_url"))
     joined = links.join(rows, "product_key", "left")
     return joined.withColumn("usable", F.coalesce("usable", F.lit(False))).withColumnRenamed("url", "product_url")
 
 
 def _first_links(links: DataFrame) -> DataFrame:
-    """Every product key of a run once, in the order it is met."""
+    """Every product key of a run once, in the order it is met (written: it is
+    read for the captures and again for their rows)."""
     keyed = links.withColumn("product_key", product_key(F.col("url")))
-    return first_per_key(keyed, ["run_id", "product_key"], "discovery_ord")
+    return cut_lineage(first_per_key(keyed, ["run_id", "product_key"], "discovery_ord"))
 
 
 def crawl_run(

@@ -9,20 +9,44 @@ the tables.
 from __future__ import annotations
 
 import gzip
+import uuid
 from collections.abc import Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfspark.config import DETAIL_KEY
+from shelfspark.session import ensure_checkpoint_dir
+from shelfspark.sources.captures import spread
 
 PER_PAGE = 20
 SHARD = 100
 
 
+_WRITTEN: dict[tuple, str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def written(render):
+    """Write a rendered input once per application and read it back as a table.
+
+    Captures are tables in real life; a rendering left in the plan would be
+    optimized, pushed into and compiled again with every query over it.
+    """
+    @wraps(render)
+    def read(spark: SparkSession, sf_dir: str, *args: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, render.__name__, sf_dir, *args)
+        if key not in _WRITTEN:
+            folder = f"{ensure_checkpoint_dir(spark)}/rendered-{uuid.uuid4().hex}"
+            render(spark, sf_dir, *args).write.parquet(folder)
+            _WRITTEN[key] = folder
+        return spark.read.parquet(_WRITTEN[key])
+    return read
 
 
 def money_styles(df: DataFrame, cents: str, key: str, out: str) -> DataFrame:
@@ -136,12 +160,14 @@ MARKUP = {
 }
 
 
+@written
 def product_pages(spark: SparkSession, sf_dir: str, markup: str) -> DataFrame:
     """``(page_id, url, html)``: every part as a product page in one markup."""
     head, body = MARKUP[markup]
     return goods(spark, sf_dir).selectExpr("k as page_id", "url", f"{_page(head, body)} as html")
 
 
+@written
 def mixed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields split over markups by key, so that a merge has gaps to fill."""
     head = f"concat(if(k % 5 in (0, 1), {JSON_LD}, ''), if(k % 5 in (1, 2), {OG_HEAD}, ''))"
@@ -151,6 +177,7 @@ def mixed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return goods(spark, sf_dir).selectExpr("k as page_id", "url", f"{_page(head, body)} as html")
 
 
+@written
 def breadcrumb_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trails as list markup, category path or navigation, of varying depth."""
     lists = """concat('<script type="application/ld+json">{"@type":"BreadcrumbList","itemListElement":[',
@@ -171,6 +198,7 @@ def breadcrumb_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return goods(spark, sf_dir).selectExpr("k as page_id", "url", f"{_page(head, body)} as html")
 
 
+@written
 def signal_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product pages, grids of varying size and pages with explicit markup."""
     card = """'<article><h3>a</h3><div><a href="/details/n">n</a><p class="price_color">£5</p></div></article>'"""
@@ -187,6 +215,7 @@ def signal_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------------------
 # A shop per brand: listing pages, product pages, sitemaps
 # --------------------------------------------------------------------------
+@written
 def numbered_goods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Goods with their place in their brand's listing (``i``) and its size (``n``)."""
     base = goods(spark, sf_dir)
@@ -196,6 +225,7 @@ def numbered_goods(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@written
 def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grids of 20 products per brand with pagination, decoys and overlap.
 
@@ -225,6 +255,7 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@written
 def shop_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All captures of the brand shops: grids and JSON-LD product pages.
 
@@ -234,6 +265,7 @@ def shop_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing_pages(spark, sf_dir).unionByName(details)
 
 
+@written
 def shop_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One run per brand shop."""
     hosts = goods(spark, sf_dir).select("brand", "host").distinct()
@@ -255,6 +287,7 @@ def _gzipped(df: DataFrame) -> DataFrame:
     return df.select("url", "status", "text").mapInArrow(run, "url string, status int, body binary")
 
 
+@written
 def shop_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(url, status, body)``: index, product index, gzipped shards of 100 URLs.
 
@@ -295,6 +328,7 @@ def shop_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _gzipped(shard_docs.union(flat).union(index).union(product_index).union(gone).union(other))
 
 
+@written
 def shop_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Robots files of the brand shops; only some name a sitemap."""
     return goods(spark, sf_dir).select("brand", "host").distinct().selectExpr(
@@ -318,6 +352,7 @@ def feed_record(promote: bool = True) -> str:
             if(k % 40 = 15, '[]', concat('[{"goodsThumb":"","skcMainImg":"","colorPic":"https://', host, '/img/', k, '.jpg"}]')) end, '}')"""
 
 
+@written
 def feed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(flow_id, page_index, status, body)``: a listing per brand and per type.
 
@@ -349,6 +384,7 @@ def feed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normal.unionByName(behind)
 
 
+@written
 def feed_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The home page that links every listing, as ``(run_id, seed_url, html)``."""
     brands = table(spark, sf_dir, "part").selectExpr("cast(substring(p_brand, 7) as int) + 100 as flow").distinct()
@@ -362,6 +398,7 @@ def feed_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@written
 def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detail pages of the feed's products; some are missing, broken or errors."""
     g = goods(spark, sf_dir).where("k % 10 <> 3")
@@ -375,6 +412,7 @@ def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------------------
 # Robots by supplier, run requests by order, product rows by line item
 # --------------------------------------------------------------------------
+@written
 def supplier_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Robots files of supplier hosts in six forms, one of them absent."""
     return table(spark, sf_dir, "supplier").where("s_suppkey % 6 <> 0").selectExpr(

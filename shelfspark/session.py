@@ -19,6 +19,7 @@ def local_session(cores: str = "*", app: str = "shelfspark") -> SparkSession:
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 

@@ -13,7 +13,18 @@ from shelfspark.operators.ranking import first_per_key
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Page captures ``(page_id, url, html[, status])``."""
-    return spark.read.parquet(path)
+    return spread(spark.read.parquet(path))
+
+
+def spread(scanned: DataFrame) -> DataFrame:
+    """Give a table of a few unsplittable files to all cores.
+
+    Only where the scan has fewer tasks than there are cores; a large table
+    passes through without a shuffle.
+    """
+    cores = scanned.sparkSession.sparkContext.defaultParallelism
+    tasks = scanned.rdd.getNumPartitions()
+    return scanned.repartition(cores) if tasks < cores else scanned
 
 
 def read_sitemap_files(spark: SparkSession, path: str) -> DataFrame:
