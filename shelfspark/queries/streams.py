@@ -1 +1,45 @@
-"""Queries."""
+"""Queries that run a stream to its end and read what it wrote."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from shelfspark.config import JobConfig
+from shelfspark.queries.registry import money, query
+from shelfspark.rendering import storefront as R
+from shelfspark.session import ensure_checkpoint_dir
+from shelfspark.streaming.jobs import captured_pages, page_products, start_product_stream
+
+
+def _drain(spark, arrivals, again=()):
+    """Land every batch of captures in a folder and drain it through the stream."""
+    root = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    for batch in (*arrivals, *again):
+        batch.select("page_id", "url", "html").write.mode("append").parquet(f"{root}/pages")
+        rows = page_products(captured_pages(spark, f"{root}/pages"), "stream", JobConfig())
+        start_product_stream(rows, f"{root}/products", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/products")
+
+
+@query("stream_products", """
+SELECT p_partkey AS k, p_name AS name, 'exported' AS outcome, CAST(0 AS BIGINT) AS batch_id FROM part WHERE p_partkey % 2 = 0
+UNION ALL SELECT p_partkey, p_name, 'exported', 1 FROM part WHERE p_partkey % 2 = 1
+UNION ALL SELECT p_partkey, p_name, 'duplicate', 1 FROM part WHERE p_partkey % 10 = 0""")
+def stream_products(spark, sf_dir):
+    """ST1, ST2, ST3: two arrivals, the second repeats pages of the first."""
+    pages = R.product_pages(spark, sf_dir, "jsonld")
+    out = _drain(spark, (pages.where("page_id % 2 = 0"), pages.where("page_id % 2 = 1 or page_id % 10 = 0")))
+    return out.select(F.col("discovery_ord").alias("k"), "name", "outcome", F.col("batch_id").cast("bigint").alias("batch_id"))
+
+
+@query("stream_retries", """
+SELECT p_partkey AS k, 'failed' AS outcome, CAST(0 AS BIGINT) AS batch_id, CAST(NULL AS DOUBLE) AS asp FROM part WHERE p_partkey % 3 = 0
+UNION ALL SELECT p_partkey, 'exported', 1, CAST((CAST(round(p_retailprice * 100) AS BIGINT) + 100000 * (p_partkey % 3) - CASE WHEN p_partkey % 2 = 0 THEN 100 * p_size ELSE 0 END) / 100.0 AS DOUBLE) FROM part WHERE p_partkey % 3 = 0""")
+def stream_retries(spark, sf_dir):
+    """ST3: a page that failed is extracted when a better capture arrives."""
+    good = R.product_pages(spark, sf_dir, "jsonld").where("page_id % 3 = 0")
+    bad = good.withColumn("html", F.lit("<html><body>later</body></html>"))
+    out = _drain(spark, (bad, good))
+    return out.select(F.col("discovery_ord").alias("k"), "outcome", F.col("batch_id").cast("bigint").alias("batch_id"), money("asp").alias("asp"))

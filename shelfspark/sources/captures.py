@@ -77,8 +77,8 @@ def run_requests(requests: DataFrame) -> DataFrame:
 
 
 def read_product_csv(spark: SparkSession, path: str) -> DataFrame:
-    """An exported CSV as it was written: all columns text, '' kept."""
+    """An exported CSV as it was written: all columns text, no NULL."""
     return spark.read.csv(
         path, header=True, inferSchema=False, multiLine=True, escape='"', quote='"',
-        emptyValue="", nullValue="\u0000",
-    )
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    ).na.fill("")
