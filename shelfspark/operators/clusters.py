@@ -98,11 +98,14 @@ def product_verdicts(keys: DataFrame, pages: DataFrame, config: JobConfig) -> Da
     )
 
 
-def verify_clusters(samples: DataFrame, pages: DataFrame, config: JobConfig) -> DataFrame:
-    """Clusters with ``hits`` of ``sampled``; a page not captured is a miss."""
-    verdicts = product_verdicts(samples.select("product_key").distinct(), pages, config)
+def verify_clusters(samples: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Clusters with ``hits`` of ``sampled``; a page not captured is a miss.
+
+    ``verdicts`` has ``(product_key, hit)``, from stored facts or, for the
+    samples alone, from ``product_verdicts``.
+    """
     return (
-        samples.join(verdicts, "product_key", "left")
+        samples.join(verdicts.select("product_key", "hit"), "product_key", "left")
         .groupBy(*BUCKET, "rank", "template", "n_urls")
         .agg(F.count("*").alias("sampled"), F.count_if("hit").alias("hits"))
         .withColumn("verified", F.col("hits") * 2 > F.col("sampled"))

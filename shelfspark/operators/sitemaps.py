@@ -12,10 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.config import MAX_SITEMAP_DOCS, MAX_SITEMAP_URLS, SAMPLE_SIZE, JobConfig
+from shelfspark.config import MAX_SITEMAP_DOCS, MAX_SITEMAP_URLS, SAMPLE_SIZE
 from shelfspark.functions.text import strip
 from shelfspark.functions.urls import canonical_url, host_of, origin_of, path_of, product_key
-from shelfspark.operators.clusters import product_verdicts
 from shelfspark.session import cut_lineage
 
 _BARE_AMPERSAND = re.compile(rb"&(?!#?\w+;)")
@@ -176,7 +175,7 @@ def sitemap_sources(urls: DataFrame, visited: DataFrame, parsed: DataFrame) -> D
     )
 
 
-def confirm_sitemaps(urls: DataFrame, pages: DataFrame, config: JobConfig) -> DataFrame:
+def confirm_sitemaps(urls: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Per run: do most of the first URLs look like products?
 
     ``(run_id, n_urls, sampled, hits, confirmed, warning)``; a run without a row
@@ -187,8 +186,7 @@ def confirm_sitemaps(urls: DataFrame, pages: DataFrame, config: JobConfig) -> Da
         urls.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= SAMPLE_SIZE)
         .select("run_id", product_key(canonical_url(F.col("url"))).alias("product_key"))
     )
-    verdicts = product_verdicts(sample.select("product_key").distinct(), pages, config)
-    judged = sample.join(verdicts, "product_key", "left").groupBy("run_id").agg(
+    judged = sample.join(verdicts.select("product_key", "hit"), "product_key", "left").groupBy("run_id").agg(
         F.count("*").alias("sampled"), F.count_if("hit").alias("hits")
     )
     counted = urls.groupBy("run_id").agg(F.count("*").alias("n_urls"))

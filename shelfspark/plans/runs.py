@@ -18,7 +18,7 @@ from shelfspark.operators import feed as G
 from shelfspark.operators import pagination as P
 from shelfspark.operators import sitemaps as M
 from shelfspark.operators.enrich import detail_ids, enrich, enrichment_misses
-from shelfspark.operators.extract import GENERIC_CHAIN, build_products, extract_fields
+from shelfspark.operators.extract import GENERIC_CHAIN, build_products, extract_fields, looks_like_product
 from shelfspark.operators.links import own_links
 from shelfspark.operators.parse import parse_pages
 from shelfspark.operators.quality import settle, split_processed
@@ -27,7 +27,7 @@ from shelfspark.operators.reports import run_counters, run_warnings
 from shelfspark.operators.signals import with_signals
 from shelfspark.operators.taxonomy import builtin_taxonomy, unmapped
 from shelfspark.session import cut_lineage
-from shelfspark.sources.captures import captures_for_keys, readable
+from shelfspark.sources.captures import readable
 
 
 @dataclass
@@ -84,52 +84,73 @@ def feed_run(
     return RunResult(settled, counters, run_warnings(settled, counters, *notes))
 
 
-def extract_links(links: DataFrame, pages: DataFrame, config: JobConfig) -> DataFrame:
+def page_facts(pages: DataFrame, config: JobConfig) -> DataFrame:
+    """Everything later steps ask of a capture, from one parse of it.
+
+    ``product_key, page_key, url, links, next_url``, the verdict ``hit`` of the
+    sampling test, and the product fields.  A map over the captures: documents
+    are never shuffled, and the result is small enough to write once and join.
+    """
+    captured = readable(pages).select("page_id", canonical_url(F.col("url")).alias("url"), "html")
+    parsed = P.with_next_link(parse_pages(captured)).withColumn("links", own_links(F.col("url")))
+    extracted = extract_fields(with_signals(parsed), GENERIC_CHAIN, config).withColumn(
+        "hit", looks_like_product(F.col("fields"), F.col("is_product_page"))
+    ).withColumn("page_key", P.page_key(F.col("url")))
+    rows = build_products(extracted, keep=("page_id", "url", "page_key", "links", "next_url", "hit"))
+    return rows.drop("product_url")
+
+
+def _by_page(facts: DataFrame) -> DataFrame:
+    """Links and next page of the first capture of every listing address."""
+    return first_per_key(facts.select("page_id", "url", "page_key", "links", "next_url"), ["page_key"], "page_id")
+
+
+def _by_product(facts: DataFrame) -> DataFrame:
+    """Product fields and verdict of the first capture of every product key."""
+    return first_per_key(facts.drop("url", "page_key", "links", "next_url"), ["product_key"], "page_id").drop("page_id")
+
+
+def linked_products(links: DataFrame, facts: DataFrame) -> DataFrame:
     """Product rows of ``(run_id, discovery_ord, url, product_key)``.
 
-    A page is parsed once even when several runs want it; a link without a
-    capture becomes a failed row.
+    A link without a capture becomes a failed row.
     """
-    parsed = parse_pages(captures_for_keys(links.select("product_key").distinct(), pages))
-    rows = build_products(extract_fields(with_signals(parsed), GENERIC_CHAIN, config))
-    # pages become narrow rows here; settling reads them more than once
-    rows = cut_lineage(rows.drop("product_url"))
-    joined = links.join(rows, "product_key", "left")
-    return joined.withColumn("usable", F.coalesce("usable", F.lit(False))).withColumnRenamed("url", "product_url")
+    joined = links.join(_by_product(facts), "product_key", "left")
+    return cut_lineage(joined.withColumn("usable", F.coalesce("usable", F.lit(False))).withColumnRenamed("url", "product_url"))
 
 
 def _first_links(links: DataFrame) -> DataFrame:
-    """Every product key of a run once, in the order it is met (written: it is
-    read for the captures and again for their rows)."""
+    """Every product key of a run once, in the order it is met."""
     keyed = links.withColumn("product_key", product_key(F.col("url")))
-    return cut_lineage(first_per_key(keyed, ["run_id", "product_key"], "discovery_ord"))
+    return first_per_key(keyed, ["run_id", "product_key"], "discovery_ord")
 
 
 def crawl_run(
     runs: DataFrame,
-    pages: DataFrame,
+    pages: DataFrame | None,
     config: JobConfig,
     processed: DataFrame | None = None,
     caps: DataFrame | None = None,
+    facts: DataFrame | None = None,
 ) -> RunResult:
     """Generic crawl of ``(run_id, seed_url)``: shapes, samples, pagination, products.
 
     The pattern comes from the seed page's links alone and then filters the
-    links of every listing page the walk reaches.
+    links of every listing page the walk reaches.  ``facts`` takes a stored
+    ``page_facts`` table in place of ``pages``.
     """
+    facts = cut_lineage(page_facts(pages, config)) if facts is None else facts
     runs = runs.select("run_id", canonical_url(F.col("seed_url")).alias("seed_url"))
-    listing = _listing_links(pages)
-    seed_keys = runs.withColumn("page_key", P.page_key(F.col("seed_url")))
-    seed_links = seed_keys.join(listing, "page_key").select(
-        "run_id", "seed_url", F.explode("links").alias("url")
-    ).distinct()
-
+    listing = _by_page(facts)
+    seeds = cut_lineage(
+        runs.withColumn("page_key", P.page_key(F.col("seed_url"))).join(listing, "page_key").select("run_id", "seed_url", "links")
+    )
+    seed_links = seeds.select("run_id", "seed_url", F.explode("links").alias("url")).distinct()
     shaped = C.shaped_links(seed_links)
-    found = C.candidate_clusters(shaped)
-    verified = C.verify_clusters(C.cluster_samples(shaped, found), pages, config)
+    verified = C.verify_clusters(C.cluster_samples(shaped, C.candidate_clusters(shaped)), _by_product(facts))
     patterns = cut_lineage(C.decide_patterns(verified))
 
-    walked = P.walk_pages(runs, P.page_edges(listing), config.max_listing_pages)
+    walked = P.walk_pages(runs, P.page_edges(facts), config.max_listing_pages)
     on_pages = walked.join(listing.select("page_key", "links"), "page_key").select(
         "run_id", "page_pos", F.explode("links").alias("url")
     )
@@ -137,18 +158,16 @@ def crawl_run(
         "run_id", "url", F.struct("page_pos", "url").alias("discovery_ord")
     )
     # a seed without any link is itself the product
-    alone = seed_keys.join(
-        listing.where(F.size("links") > 0).select("page_key"), "page_key", "left_anti"
-    ).join(listing.select("page_key"), "page_key", "left_semi").select(
+    alone = seeds.where(F.size("links") == 0).select(
         "run_id", F.col("seed_url").alias("url"),
         F.struct(F.lit(0).alias("page_pos"), F.col("seed_url").alias("url")).alias("discovery_ord"),
     )
     links = _first_links(linked.unionByName(alone))
     extra = []
     if processed is not None:
-        links, skipped = split_processed(links, processed)
+        links, skipped = split_processed(cut_lineage(links), processed)
         extra.append(skipped)
-    settled = settle(extract_links(links, pages, config), caps)
+    settled = settle(linked_products(links, facts), caps)
     counters = run_counters(settled, *extra)
     notes = [patterns]
     if config.max_listing_pages:
@@ -156,39 +175,25 @@ def crawl_run(
     return RunResult(settled, counters, run_warnings(settled, counters, *notes), patterns)
 
 
-def _listing_links(pages: DataFrame) -> DataFrame:
-    """``(page_key, page_id, url, next_url, links)`` of every capture, kept for reuse.
-
-    Pages shrink to their links and next page before the first capture of every
-    address is chosen; the small result is written once and read by all steps.
-    """
-    parsed = P.with_next_link(parse_pages(
-        readable(pages).select("page_id", canonical_url(F.col("url")).alias("url"), "html")
-    ))
-    slim = parsed.select(
-        "page_id", "url", "next_url", P.page_key(F.col("url")).alias("page_key"),
-        own_links(F.col("url")).alias("links"),
-    )
-    return cut_lineage(first_per_key(slim, ["page_key"], "page_id"))
-
-
 def sitemap_run(
     runs: DataFrame,
     robots: DataFrame,
     sitemaps: DataFrame,
-    pages: DataFrame,
+    pages: DataFrame | None,
     config: JobConfig,
     processed: DataFrame | None = None,
     caps: DataFrame | None = None,
+    facts: DataFrame | None = None,
 ) -> RunResult:
     """Products of the site's own sitemap; shape clustering where that fails.
 
     ``patterns`` tells per run which way it went.
     """
+    facts = cut_lineage(page_facts(pages, config)) if facts is None else facts
     parsed = cut_lineage(M.parse_sitemaps(sitemaps))
     visited = M.walk_sitemaps(M.sitemap_roots(runs, robots), parsed)
     urls = cut_lineage(M.sitemap_product_urls(visited, parsed, runs))
-    checks = cut_lineage(M.confirm_sitemaps(urls, pages, config))
+    checks = cut_lineage(M.confirm_sitemaps(urls, _by_product(facts)))
     good = checks.where("confirmed").select("run_id")
     described = M.sitemap_sources(urls, visited, parsed).join(good, "run_id", "left_semi")
 
@@ -201,11 +206,11 @@ def sitemap_run(
     if processed is not None:
         links, skipped = split_processed(links, processed)
         extra.append(skipped)
-    direct = settle(extract_links(links, pages, config), caps)
+    direct = settle(linked_products(links, facts), caps)
     direct_counters = run_counters(direct, *extra)
 
     others = runs.join(good, "run_id", "left_anti")
-    crawl = crawl_run(others, pages, config, processed, caps)
+    crawl = crawl_run(others, None, config, processed, caps, facts)
     text_ord = F.format_string("%08d-%s", "discovery_ord.page_pos", "discovery_ord.url")
     place_ord = F.format_string("%08d-%08d", "discovery_ord.rank", "discovery_ord.pos")
     settled = direct.withColumn("discovery_ord", place_ord).unionByName(
@@ -215,4 +220,4 @@ def sitemap_run(
         "run_id", F.lit("sitemap").alias("source"), F.col("description").alias("template")
     ).unionByName(crawl.patterns.select("run_id", F.lit("generic").alias("source"), "template"))
     warnings = run_warnings(direct, direct_counters, checks).unionByName(crawl.warnings)
-    return RunResult(settled, direct_counters.unionByName(crawl.counters), warnings.distinct(), patterns)
+    return RunResult(settled, direct_counters.unionByName(crawl.counters), warnings, patterns)

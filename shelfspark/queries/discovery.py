@@ -14,6 +14,7 @@ from shelfspark.operators.robots import robots_gate, robots_rules
 from shelfspark.plans.runs import crawl_run, sitemap_run
 from shelfspark.queries.registry import GOODS, money, query
 from shelfspark.rendering import storefront as R
+from shelfspark.session import cut_lineage
 
 _P = f"""{GOODS}, p AS (
   SELECT DISTINCT brand, host, b, CAST(i // {R.PER_PAGE} AS BIGINT) AS p, CAST((n - 1) // {R.PER_PAGE} AS BIGINT) AS last,
@@ -81,9 +82,10 @@ def verified_clusters(spark, sf_dir):
         runs.select("run_id", F.col("seed_url").alias("url")), "url"
     )
     links = same_host_outlinks(parse_pages(seeds), ("run_id",)).join(runs, "run_id")
-    shaped = C.shaped_links(links).persist()
-    found = C.candidate_clusters(shaped)
-    verified = C.verify_clusters(C.cluster_samples(shaped, found), pages, JobConfig())
+    shaped = cut_lineage(C.shaped_links(links))
+    samples = cut_lineage(C.cluster_samples(shaped, C.candidate_clusters(shaped)))
+    verdicts = C.product_verdicts(samples.select("product_key").distinct(), pages, JobConfig())
+    verified = C.verify_clusters(samples, verdicts)
     return verified.select(
         "run_id", "template", "n_urls", F.col("rank").cast("bigint").alias("rank"), "sampled", "hits", "verified"
     )
