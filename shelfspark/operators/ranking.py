@@ -35,3 +35,24 @@ def first_n(df: DataFrame, keys: list[str], n: int, order: list, rank: str = "ra
         .withColumn(rank, F.row_number().over(outer)).where(F.col(rank) <= n)
         .drop("_slice")
     )
+
+
+def with_place(df: DataFrame, keys: list[str], number: str, width: int, place: str, total: str) -> DataFrame:
+    """Adds the place (from 0) of every row in its group and the group's size.
+
+    ``number`` is a unique whole number that orders the group.  Rows are placed
+    inside slices of ``width`` numbers, and slices by a running total of their
+    counts, so no window holds more than a slice's rows or a group's slices.
+    """
+    sliced = df.withColumn("_slice", F.floor(F.col(number) / width))
+    counts = sliced.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*keys)
+    starts = counts.select(
+        *keys, "_slice", F.sum("_n").over(group).alias(total),
+        (F.sum("_n").over(group.orderBy("_slice")) - F.col("_n")).alias("_start"),
+    )
+    inside = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(number)) - 1
+    return (
+        sliced.withColumn("_inside", inside).join(starts, [*keys, "_slice"])
+        .withColumn(place, F.col("_start") + F.col("_inside")).drop("_slice", "_start", "_inside")
+    )

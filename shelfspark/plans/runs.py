@@ -30,6 +30,14 @@ from shelfspark.session import cut_lineage
 from shelfspark.sources.captures import readable
 
 
+SINGLE_PAGE = "single product page"
+NO_PRODUCT = "Found no product links, and the page itself did not parse as a product."
+NO_PATTERN = (
+    "Found links, but no group of them parsed as product pages. "
+    "This site likely needs a dedicated adapter."
+)
+
+
 @dataclass
 class RunResult:
     """``settled`` has one row per product met, with its outcome."""
@@ -157,24 +165,41 @@ def crawl_run(
     linked = C.product_links(on_pages, patterns).select(
         "run_id", "url", F.struct("page_pos", "url").alias("discovery_ord")
     )
-    # a seed without any link is itself the product
-    alone = seeds.where(F.size("links") == 0).select(
-        "run_id", F.col("seed_url").alias("url"),
-        F.struct(F.lit(0).alias("page_pos"), F.col("seed_url").alias("url")).alias("discovery_ord"),
-    )
-    links = _first_links(linked.unionByName(alone))
+    links = _first_links(linked)
     extra = []
     if processed is not None:
         links, skipped = split_processed(cut_lineage(links), processed)
         extra.append(skipped)
-    settled = settle(linked_products(links, facts), caps)
+    rows = linked_products(links, facts)
+    single, lost = _single_pages(seeds, facts)
+    settled = settle(rows.unionByName(single), caps)
     counters = run_counters(settled, *extra)
-    notes = [patterns]
+    linked_seeds = seeds.where(F.size("links") > 0).select("run_id")
+    unmatched = linked_seeds.join(patterns.where("template is not null"), "run_id", "left_anti")
+    notes = [patterns, lost, unmatched.withColumn("warning", F.lit(NO_PATTERN))]
     if config.max_listing_pages:
         notes.append(P.walk_warnings(walked, config.max_listing_pages))
+    patterns = patterns.unionByName(single.select(
+        "run_id", F.lit(SINGLE_PAGE).alias("template"), F.lit(None).cast("string").alias("warning")
+    ))
     return RunResult(settled, counters, run_warnings(settled, counters, *notes), patterns)
 
 
+def _single_pages(seeds: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Seeds without any link are the product themselves: (rows, warnings).
+
+    They are neither sampled nor skipped on resume, and one that is no product
+    is a warning rather than a failed row.
+    """
+    alone = seeds.where(F.size("links") == 0).select(
+        "run_id", F.col("seed_url").alias("url"), product_key(F.col("seed_url")).alias("product_key"),
+        F.struct(F.lit(0).alias("page_pos"), F.col("seed_url").alias("url")).alias("discovery_ord"),
+    )
+    rows = linked_products(alone, facts)
+    lost = rows.where("not usable").select("run_id", F.lit(NO_PRODUCT).alias("warning"))
+    return rows.where("usable"), lost
+
+
 def sitemap_run(
     runs: DataFrame,
     robots: DataFrame,

@@ -25,18 +25,16 @@ z AS (SELECT *, row_number() OVER (PARTITION BY run_id, l_partkey, good ORDER BY
 o AS (SELECT *, CASE WHEN NOT usable THEN 'failed' WHEN NOT good THEN 'invalid' WHEN nth > 1 THEN 'duplicate' ELSE 'exported' END AS outcome FROM z),
 w AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY {_ORDER}) AS place,
   sum(CASE WHEN outcome = 'exported' THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY {_ORDER} ROWS UNBOUNDED PRECEDING) AS n_exp FROM o),
-cap AS (SELECT run_id, 40 + 10 * (row_number() OVER (ORDER BY run_id)) AS max_products FROM (SELECT DISTINCT run_id FROM o)),
+cap AS (SELECT run_id, 40 + 10 * (ascii(run_id) % 7) + ascii(substr(run_id, 2)) % 5 AS max_products FROM (SELECT DISTINCT run_id FROM o)),
 c AS (SELECT w.*, max_products, CASE WHEN n_exp > max_products OR (n_exp = max_products AND outcome <> 'exported') THEN 'not_reached' ELSE outcome END AS capped
   FROM w JOIN cap USING (run_id))
 """
 
 
 def _caps(lines):
-    from pyspark.sql import Window
-
-    runs = lines.select("run_id").distinct()
-    nth = F.row_number().over(Window.orderBy("run_id"))  # a handful of runs
-    return runs.select("run_id", (40 + 10 * nth).alias("max_products"))
+    return lines.select("run_id").distinct().selectExpr(
+        "run_id", "40 + 10 * (ascii(run_id) % 7) + ascii(substring(run_id, 2)) % 5 as max_products"
+    )
 
 
 @query("validated_products", _LINES + f"""

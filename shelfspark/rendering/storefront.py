@@ -14,10 +14,11 @@ from collections.abc import Iterator
 from functools import wraps
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.config import DETAIL_KEY
+from shelfspark.operators.ranking import with_place
 from shelfspark.session import ensure_checkpoint_dir
 from shelfspark.sources.captures import spread
 
@@ -218,11 +219,7 @@ def signal_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @written
 def numbered_goods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Goods with their place in their brand's listing (``i``) and its size (``n``)."""
-    base = goods(spark, sf_dir)
-    w = Window.partitionBy("brand").orderBy("k")
-    return base.withColumn("i", F.row_number().over(w) - 1).withColumn(
-        "n", F.count("*").over(Window.partitionBy("brand"))
-    )
+    return with_place(goods(spark, sf_dir), ["brand"], "k", 10_000, "i", "n")
 
 
 @written
@@ -365,8 +362,7 @@ def feed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = "case kind when 'ECONOMY' then 1 when 'LARGE' then 2 when 'MEDIUM' then 3 when 'PROMO' then 4 when 'SMALL' then 5 else 6 end"
     by_kind = g.withColumn("flow", F.expr(f"200 + {kinds}"))
     both = by_brand.unionByName(by_kind)
-    w = Window.partitionBy("flow").orderBy("k")
-    both = both.withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy("flow")))
+    both = with_place(both, ["flow"], "k", 10_000, "i", "n")
     pages = both.groupBy("flow", "n", F.expr(f"cast(i div {PER_PAGE} + 1 as int)").alias("page_index")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "record"))), lambda c: c["record"]), ",").alias("records")
     ).withColumn("last", F.expr(f"cast((n - 1) div {PER_PAGE} + 1 as int)"))

@@ -7,6 +7,7 @@ known keys, keeps the first of the rest, and appends.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +61,8 @@ def start_product_stream(
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        # settling reads the batch twice; its pages are parsed once
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         rows = settle(batch)
         before = _earlier_batches(spark, out, batch_id)
         if before is not None:
@@ -73,6 +76,7 @@ def start_product_stream(
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("batch_id").parquet(out)
         )
+        batch.unpersist()
 
     observed = products.observe(
         "progress", F.count(F.lit(1)).alias("pages"), F.count_if("usable").alias("products")
