@@ -26,7 +26,7 @@ from shelfspark.operators.ranking import first_per_key
 from shelfspark.operators.reports import run_counters, run_warnings
 from shelfspark.operators.signals import with_signals
 from shelfspark.operators.taxonomy import builtin_taxonomy, unmapped
-from shelfspark.session import cut_lineage
+from shelfspark.session import cut_lineage, stored
 from shelfspark.sources.captures import readable
 
 
@@ -69,7 +69,7 @@ def feed_run(
     pages = G.envelopes(listing_pages)
     stops = G.drain_stops(pages)
     goods = G.first_goods(G.drained_goods(pages, stops, config.max_pages_per_listing), listings)
-    products = cut_lineage(G.feed_products(goods, config.base_url))
+    products = stored(G.feed_products(goods, config.base_url))
     extra = [G.failed_listings(stops, listings, config.max_pages_per_listing)]
     if processed is not None:
         products, skipped = split_processed(products, processed)
@@ -77,7 +77,7 @@ def feed_run(
     notes = []
     if config.with_categories and details is not None:
         names = taxonomy if taxonomy is not None else builtin_taxonomy(spark)
-        products = cut_lineage(enrich(products, detail_ids(details), names))
+        products = stored(enrich(products, detail_ids(details), names))
         notes = [enrichment_misses(products)]
         # one row per unnamed id and run that met it
         met = products.select("run_id", F.explode(F.array(
@@ -124,7 +124,7 @@ def linked_products(links: DataFrame, facts: DataFrame) -> DataFrame:
     A link without a capture becomes a failed row.
     """
     joined = links.join(_by_product(facts), "product_key", "left")
-    return cut_lineage(joined.withColumn("usable", F.coalesce("usable", F.lit(False))).withColumnRenamed("url", "product_url"))
+    return stored(joined.withColumn("usable", F.coalesce("usable", F.lit(False))).withColumnRenamed("url", "product_url"))
 
 
 def _first_links(links: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def crawl_run(
     links of every listing page the walk reaches.  ``facts`` takes a stored
     ``page_facts`` table in place of ``pages``.
     """
-    facts = cut_lineage(page_facts(pages, config)) if facts is None else facts
+    facts = stored(page_facts(pages, config)) if facts is None else facts
     runs = runs.select("run_id", canonical_url(F.col("seed_url")).alias("seed_url"))
     listing = _by_page(facts)
     seeds = cut_lineage(
@@ -214,7 +214,7 @@ def sitemap_run(
 
     ``patterns`` tells per run which way it went.
     """
-    facts = cut_lineage(page_facts(pages, config)) if facts is None else facts
+    facts = stored(page_facts(pages, config)) if facts is None else facts
     parsed = cut_lineage(M.parse_sitemaps(sitemaps))
     visited = M.walk_sitemaps(M.sitemap_roots(runs, robots), parsed)
     urls = cut_lineage(M.sitemap_product_urls(visited, parsed, runs))

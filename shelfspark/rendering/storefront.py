@@ -9,7 +9,6 @@ the tables.
 from __future__ import annotations
 
 import gzip
-import uuid
 from collections.abc import Iterator
 from functools import wraps
 
@@ -19,14 +18,14 @@ from pyspark.sql import functions as F
 
 from shelfspark.config import DETAIL_KEY
 from shelfspark.operators.ranking import with_place
-from shelfspark.session import ensure_checkpoint_dir
+from shelfspark.session import stored
 from shelfspark.sources.captures import spread
 
 PER_PAGE = 20
 SHARD = 100
 
 
-_WRITTEN: dict[tuple, str] = {}
+_WRITTEN: dict[tuple, DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,10 +42,8 @@ def written(render):
     def read(spark: SparkSession, sf_dir: str, *args: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, render.__name__, sf_dir, *args)
         if key not in _WRITTEN:
-            folder = f"{ensure_checkpoint_dir(spark)}/rendered-{uuid.uuid4().hex}"
-            render(spark, sf_dir, *args).write.parquet(folder)
-            _WRITTEN[key] = folder
-        return spark.read.parquet(_WRITTEN[key])
+            _WRITTEN[key] = stored(render(spark, sf_dir, *args))
+        return _WRITTEN[key]
     return read
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ def local_session(cores: str = "*", app: str = "shelfspark") -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.files.openCostInBytes", "131072")
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
@@ -49,6 +51,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write a wide intermediate result to the shared folder and read it back.
+
+    Cuts lineage like a checkpoint, and later steps read only the columns they
+    need and know the table's size when they choose a join.
+    """
+    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small table the optimizer knows the size of (a local relation).
 
