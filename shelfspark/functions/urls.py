@@ -18,6 +18,9 @@ _NETLOC = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
 _PATH = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)"
 _TAIL = r"^[^?#]*((?s:.*))$"
 _ORIGIN = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)"
+#: Addresses and references that need no rewriting unless they hold a dot segment.
+_CANONICAL = r"^https?://[a-z0-9.-]+/[!#-;=?-_a-z|~]*\z"
+_ROOTED = r"^/([!-.0-~][!-~]*)?\z"
 _BLANKS = "".join(map(chr, range(33)))
 _MUST_ENCODE = "[^\\x21-\\x7e]|[\"<>`{}]"
 
@@ -106,7 +109,8 @@ def canonical_url(url: Column) -> Column:
         path = let(let(path, _encode), _without_dots)
         tail = let(F.regexp_extract(u, _TAIL, 1), _encode)
         return F.when(is_http(u) & host_of(u).isNotNull(), F.concat(netloc, path, tail))
-    return let(F.trim(url), spelled)
+    plain = url.rlike(_CANONICAL) & ~F.contains(url, F.lit("/."))
+    return F.when(plain, url).otherwise(let(F.trim(url), spelled))
 
 
 def resolve_url(base: Column, ref: Column) -> Column:
@@ -125,12 +129,15 @@ def resolve_url(base: Column, ref: Column) -> Column:
             .otherwise(F.concat(origin, let(path, _without_dots), F.regexp_extract(r, _TAIL, 1)))
         )
     tidy = F.regexp_replace(F.ltrim(ref, F.lit(_BLANKS)), r"[\t\r\n]", "")
-    return let(F.struct(base.alias("b"), tidy.alias("r")), lambda s: against(s["b"], s["r"]))
+    plain = ref.rlike(_ROOTED) & ~F.contains(ref, F.lit("/."))
+    return F.when(plain, F.concat(F.regexp_extract(base, _ORIGIN, 1), ref)).otherwise(
+        let(F.struct(base.alias("b"), tidy.alias("r")), lambda s: against(s["b"], s["r"]))
+    )
 
 
 def absolute_url(base: Column, ref: Column) -> Column:
     """Resolved and canonical: the address a browser would report for a link."""
-    return canonical_url(resolve_url(base, F.trim(ref)))
+    return let(let(F.trim(ref), lambda r: resolve_url(base, r)), canonical_url)
 
 
 def domains_of(host: Column) -> Column:

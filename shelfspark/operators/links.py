@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.functions import nodes as N
-from shelfspark.functions.urls import absolute_url, bare_url, canonical_url, host_of, product_key, resolve_url
+from shelfspark.functions.urls import absolute_url, bare_url, canonical_url, host_of, origin_of, product_key, resolve_url
 
 
 def hrefs(nodes: Column | str, selector: str = "a[href]") -> Column:
@@ -22,7 +22,8 @@ def own_links(url: Column, nodes: Column | str = "nodes") -> Column:
     All of it is done inside the row, so only link texts leave it.
     """
     absolute = F.transform(F.array_distinct(hrefs(nodes)), lambda h: absolute_url(url, h))
-    own = F.filter(absolute, lambda u: host_of(u) == host_of(url))
+    site = F.concat(origin_of(url), F.lit("/"))
+    own = F.filter(absolute, lambda u: F.startswith(u, site) | (host_of(u) == host_of(url)))
     return F.array_distinct(F.transform(own, bare_url))
 
 
