@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfspark.llm.common import LOWER, SPACE, UPPER, WORD, read_documents
@@ -10,10 +11,17 @@ from shelfspark.llm.exact_dedup import exact_duplicates
 from shelfspark.llm.line_dedup import dedup_lines
 from shelfspark.llm.mixing import mix
 from shelfspark.llm.registry import query
+from shelfspark.llm.token_files import read_tokens, token_folder, write_tokens
 
 SQL_TEXT = "coalesce(text, '')"
 
 
+@query("op2_token_files")
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    return read_tokens(write_tokens(docs, token_folder(docs), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 @query("op3_exact_dedup", f"""
 WITH n AS (SELECT doc_id, sha256(regexp_replace({SQL_TEXT}, '{SPACE}+', ' ', 'g')) AS h FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
