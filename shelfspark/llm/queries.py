@@ -10,12 +10,28 @@ from shelfspark.llm.decontaminate import decontaminate
 from shelfspark.llm.exact_dedup import exact_duplicates
 from shelfspark.llm.line_dedup import dedup_lines
 from shelfspark.llm.mixing import mix
+from shelfspark.llm.near_dedup import near_duplicates
 from shelfspark.llm.registry import query
 from shelfspark.llm.token_files import read_tokens, token_folder, write_tokens
 
 SQL_TEXT = "coalesce(text, '')"
 
 
+@query("op1_near_dedup", f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate({SQL_TEXT}, '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w
+             ELSE list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b FROM e x JOIN e y ON x.g = y.g AND x.doc_id <> y.doc_id
+      GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM s UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.doc_id)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c.root AS component_id, c.root = s.doc_id AS kept
+FROM s JOIN (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id) c ON s.doc_id = c.doc_id
+""")
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_documents(spark, sf_dir), k=2)
+
+
 @query("op2_token_files")
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir)
