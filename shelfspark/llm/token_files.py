@@ -117,7 +117,8 @@ class _PartWriter:
 
     def _flush(self, last: bool) -> None:
         run = np.frombuffer(b"".join(self.held), self.kind)
-        whole = -(-len(run) // self.length) if last else len(run) // self.length
+        per = self.length * BATCH_SEQUENCES  # all batches but the last are full, so a place tells its batch
+        whole = -(-len(run) // self.length) if last else len(run) // per * BATCH_SEQUENCES
         for at in range(0, whole, BATCH_SEQUENCES):
             rows = min(BATCH_SEQUENCES, whole - at)
             part = run[at * self.length:(at + rows) * self.length]
@@ -162,6 +163,8 @@ class TokenFile:
                 self._batch_at = start // per
                 self._batch_ids = self.reader.get_batch(self._batch_at).column(0).values.to_numpy()
             piece = self._batch_ids[start % per:start % per + n]
+            if not len(piece):
+                raise EOFError(f"the part ends before id {start}")
             yield piece
             start, n = start + len(piece), n - len(piece)
 

@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from shelfspark.llm import token_files
 from shelfspark.llm.token_files import Encoder, TokenFile, read_tokens, token_folder, write_tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -42,6 +43,21 @@ def test_round_trip_with_nulls_ties_and_small_sequences(spark):
             assert not ids.flags.owndata
 
 
+def test_runs_over_many_batches(tmp_path, monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(token_files, "BATCH_SEQUENCES", 2)
+    writer = token_files._PartWriter(str(tmp_path / "p"), np.dtype("<u2"), 4, pa.int64())
+    sizes = [7, 30, 1, 3, 17]
+    ids = np.arange(sum(sizes)).astype("<u2")
+    ends = np.cumsum(sizes)
+    for e, n in zip(ends, sizes, strict=True):
+        writer.add(pa.array([int(e)]), [ids[e - n:e].tobytes()])
+    writer.close()
+    file = TokenFile(str(tmp_path / "p"))
+    for e, n in zip(ends, sizes, strict=True):
+        assert np.concatenate(list(file.run(int(e - n), n))).tolist() == ids[e - n:e].tolist()
+
+
 def test_no_rows_no_files(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert read_tokens(write_tokens(docs, token_folder(docs), PATH)).count() == 0
