@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from shelfspark.llm.common import LOWER, SPACE, UPPER, WORD, read_documents
 from shelfspark.llm.decontaminate import decontaminate
 from shelfspark.llm.exact_dedup import exact_duplicates
+from shelfspark.llm.language import predict_languages
 from shelfspark.llm.line_dedup import dedup_lines
 from shelfspark.llm.mixing import mix
 from shelfspark.llm.near_dedup import near_duplicates
+from shelfspark.llm.quality_model import score_quality
 from shelfspark.llm.registry import query
 from shelfspark.llm.token_files import read_tokens, token_folder, write_tokens
 
@@ -90,6 +92,16 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(read_documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+@query("op8_language")
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(read_documents(spark, sf_dir))
+
+
+@query("op9_quality")
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 @query("op10_decontaminate", f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate({SQL_TEXT}, '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 b AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate({SQL_TEXT}, '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
