@@ -5,15 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfspark.llm.cells import FILTER_BITS, pages, probe
 from shelfspark.llm.common import SPACE, whole_text
 from shelfspark.session import stored
 
-#: Cells of a filter. Its size is fixed (2^26 bits are 8 MB), whatever the corpus; a corpus
-#: that fills it lets more rows through to the shuffle and changes no result.
-FILTER_BITS = 1 << 26
-PAGE_BITS = 1 << 15  # bits of one bitmap that bitmap_construct_agg makes
-
-
 def _cell(start: int, bits: int) -> Column:
     """A cell from 12 hex digits of the hash, so the two passes use independent ones."""
     return F.conv(F.substring("text_sha256", start, 12), 16, 10).cast("long") % bits
@@ -25,18 +20,7 @@ def _repeated_cells(rows: DataFrame, cell: str) -> DataFrame:
     Counts per cell combine before they are sent, so a text that a third of all rows
     share arrives as one count per task.
     """
-    counts = rows.groupBy(cell).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return counts.groupBy((F.col(cell) / PAGE_BITS).cast("long").alias("page")).agg(
-        F.bitmap_construct_agg(F.col(cell) % PAGE_BITS).alias("bitmap"))
-
-
-def _probe(rows: DataFrame, bitmaps: DataFrame, cell: str, mark: str) -> DataFrame:
-    """Set ``mark`` where the row's cell is in the bitmaps (at most FILTER_BITS / 8 bytes, hence the broadcast)."""
-    byte = F.conv(F.hex(F.expr(f"substring(bitmap, cast(({cell} % {PAGE_BITS}) / 8 as int) + 1, 1)")), 16, 10).cast("int")
-    joined = rows.withColumn("page", (F.col(cell) / PAGE_BITS).cast("long")).join(F.broadcast(bitmaps), "page", "left")
-    return joined.withColumn("_byte", byte).withColumn(
-        mark, F.coalesce(F.expr(f"(shiftright(_byte, cast({cell} % 8 as int)) & 1) = 1"), F.lit(False))
-    ).drop("page", "bitmap", "_byte")
+    return pages(F.col(cell), rows.groupBy(cell).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
 
 
 def exact_duplicates(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
@@ -50,9 +34,9 @@ def exact_duplicates(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFra
     rows = stored(docs.select(
         "doc_id", F.sha2(F.regexp_replace(whole_text(), SPACE + "+", " "), 256).alias("text_sha256")))
     first = rows.withColumn("c1", _cell(1, filter_bits))
-    first = _probe(first, _repeated_cells(first, "c1"), "c1", "m1").drop("c1")
+    first = probe(first, _repeated_cells(first, "c1"), "c1", "m1").drop("c1")
     second = first.withColumn("c2", _cell(13, filter_bits))
-    marked = _probe(second, _repeated_cells(second.where("m1"), "c2"), "c2", "m2")
+    marked = probe(second, _repeated_cells(second.where("m1"), "c2"), "c2", "m2")
     alone = marked.where("NOT (m1 AND m2)").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), "text_sha256")

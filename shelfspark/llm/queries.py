@@ -14,6 +14,7 @@ from shelfspark.llm.mixing import mix
 from shelfspark.llm.near_dedup import near_duplicates
 from shelfspark.llm.quality_model import score_quality
 from shelfspark.llm.registry import query
+from shelfspark.llm.substring_dedup import dedup_substrings
 from shelfspark.llm.token_files import read_tokens, token_folder, write_tokens
 
 SQL_TEXT = "coalesce(text, '')"
@@ -92,6 +93,26 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(read_documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+@query("op7_substring_dedup", f"""
+WITH t AS (SELECT doc_id, hex(encode({SQL_TEXT})) AS x FROM documents),
+w AS (SELECT doc_id, x, unnest(generate_series(0, CAST(len(x) / 2 AS BIGINT) - 50)) AS i FROM t WHERE len(x) >= 100),
+s AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS g FROM w),
+f AS (SELECT g, min(doc_id) AS first FROM s GROUP BY g HAVING min(doc_id) < max(doc_id)),
+h AS (SELECT s.doc_id, i FROM s JOIN f ON s.g = f.g AND f.first < s.doc_id),
+r AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, true) AS fresh FROM h),
+n AS (SELECT doc_id, i, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM r),
+p AS (SELECT doc_id, k, min(i) AS a, max(i) + 50 AS b FROM n GROUP BY doc_id, k),
+c AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, list(a ORDER BY a) AS s, list(b ORDER BY a) AS e FROM p GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(x) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN c.doc_id IS NULL THEN x ELSE array_to_string(list_transform(generate_series(0, len(s)), lambda j:
+         substr(x, CASE WHEN j = 0 THEN 1 ELSE 2 * e[j] + 1 END,
+                CASE WHEN j = len(s) THEN len(x) ELSE 2 * (s[j + 1] - CASE WHEN j = 0 THEN 0 ELSE e[j] END) END)), '') END)) AS kept_sha256
+FROM t LEFT JOIN c ON t.doc_id = c.doc_id
+""")
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(read_documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query("op8_language")
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(read_documents(spark, sf_dir))
