@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfspark.llm.cells import FILTER_BITS, pages, probe
 from shelfspark.llm.common import map_batches, texts_of
 from shelfspark.llm.components import components
 from shelfspark.llm.shingles import shingle_set
@@ -263,7 +264,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
         return pa.RecordBatch.from_arrays(
             [batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(union, pa.int64())], ["a", "b", "shared", "n_union"]).filter(ok)
 
-    own = stored(map_batches(docs.join(wanted, "doc_id", "left_semi"), sets, "id long, own binary").where(F.octet_length("own") > 0))
+    # a filter of fixed size keeps the other texts out of the shuffle
+    cell = F.xxhash64("doc_id").bitwiseAND(F.lit(FILTER_BITS - 1))
+    wanted = stored(wanted)
+    near = probe(docs.withColumn("cell", cell), stored(pages(cell, wanted)), "cell", "hit").where("hit").select("doc_id", "text")
+    own = stored(map_batches(near.join(wanted, "doc_id", "left_semi"), sets, "id long, own binary").where(F.octet_length("own") > 0))
     met = pairs.join(own.select(F.col("id").alias("a"), F.col("own").alias("left")), "a").join(
         own.select(F.col("id").alias("b"), F.col("own").alias("right")), "b")
     return map_batches(met, compare, "a long, b long, shared long, n_union long")
