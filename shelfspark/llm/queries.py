@@ -11,6 +11,7 @@ from shelfspark.llm.exact_dedup import exact_duplicates
 from shelfspark.llm.language import predict_languages
 from shelfspark.llm.line_dedup import dedup_lines
 from shelfspark.llm.mixing import mix
+from shelfspark.llm.mixing_lm import held_out_fifth, score_texts
 from shelfspark.llm.near_dedup import near_duplicates
 from shelfspark.llm.quality_model import score_quality
 from shelfspark.llm.registry import query
@@ -93,6 +94,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(read_documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+@query("op6_lm_scoring")
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(read_documents(spark, sf_dir), held_out_fifth())
+
+
 @query("op7_substring_dedup", f"""
 WITH t AS (SELECT doc_id, hex(encode({SQL_TEXT})) AS x FROM documents),
 w AS (SELECT doc_id, x, unnest(generate_series(0, CAST(len(x) / 2 AS BIGINT) - 50)) AS i FROM t WHERE len(x) >= 100),

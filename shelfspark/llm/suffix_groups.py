@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 
 
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """start, start + 1, … of each range, one after another."""
     ends = np.cumsum(sizes)
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
@@ -57,7 +57,7 @@ def sort_suffixes(symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     active = np.flatnonzero(top > base)
     while len(active):
         low = begins[top[active]]
-        group = order[_ranges(low, top[active] - low)]
+        group = order[ranges(low, top[active] - low)]
         done[group] = True
         before = pointer[group]
         while True:
@@ -79,7 +79,7 @@ def sort_suffixes(symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         new_group = np.flatnonzero(np.diff(old, prepend=-1))
         counts = np.diff(np.append(new_group, len(old)))
         last = ends[old[new_group]]
-        target = _ranges(last - counts, counts)  # the top places of each old group, fewest pointers first
+        target = ranges(last - counts, counts)  # the top places of each old group, fewest pointers first
         # who stands there and stays gives way to the places the moved ones leave
         moved_mark[moved] = True
         there = order[target]
