@@ -108,16 +108,8 @@ def _slices(windows: DataFrame, limit: int) -> list:
     return [lambda k=k: load(k) for k in range(n)]
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans, clean_text: one row per row of ``docs``.
-
-    A window is ``window`` consecutive words of an item, or all words of a shorter one. A
-    document's words inside any occurrence of a window are hit; ``spans`` lists the hit
-    runs as (first word, number of words) and ``clean_text`` is the text without them, each
-    run from its first to its last character. Null and empty texts have no words and hit
-    nothing, as do items without words; equal items count by their ids, equal (id, text)
-    rows once. Other columns are ignored.
-    """
+def _scanner(items: DataFrame, window: int, max_windows: int):
+    """A function that gives each text's words and its (start, length, items) hits."""
     loaders = _slices(_item_windows(items, window), max_windows)
     held: dict[int, WindowIndex] = {}
 
@@ -127,14 +119,43 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_w
             held[k] = WindowIndex(*loaders[k]())
         return held[k]
 
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = texts_of(batch)
+    def scan(texts: list[bytes]) -> tuple[list[list[bytes]], list[list]]:
         split = [words_of(t) for t in texts]
         hits: list[list] = [[] for _ in texts]
         for k in range(len(loaders)):
             own = index(k)
             for words, into in zip(split, hits, strict=True):
                 into += own.scan(words)
+        return split, hits
+
+    return scan
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """Rows of ``docs`` that hold no window of an item, with all their columns."""
+    scan = _scanner(items, window, max_windows)
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array([not h for h in scan(texts_of(batch))[1]], pa.bool_()))
+
+    return map_batches(docs, each, docs.schema)
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans, clean_text: one row per row of ``docs``.
+
+    A window is ``window`` consecutive words of an item, or all words of a shorter one. A
+    document's words inside any occurrence of a window are hit; ``spans`` lists the hit
+    runs as (first word, number of words) and ``clean_text`` is the text without them, each
+    run from its first to its last character. Null and empty texts have no words and hit
+    nothing, as do items without words; equal items count by their ids, equal (id, text)
+    rows once. Other columns are ignored.
+    """
+    scan = _scanner(items, window, max_windows)
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = texts_of(batch)
+        split, hits = scan(texts)
         cols: list[list] = [[] for _ in range(7)]
         for text, words, found in zip(texts, split, hits, strict=True):
             names = sorted({i for _, _, ids in found for i in ids})

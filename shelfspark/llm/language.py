@@ -135,7 +135,7 @@ def fit_languages(train: DataFrame, sample: int = SAMPLE, centroids: int = CENTR
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """All columns of ``docs`` plus _lang (nearest), _lang_score and _rejected.
+    """doc_id, lang (the nearest), score, rejected: one row per row of ``docs``.
 
     The score is the softmax of the languages' best cosines. Rejected are texts that are
     null or have no letter (their language is ``und``, with score 0) and texts too far from
@@ -147,10 +147,20 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         made = sent.value.predict(texts_of(batch))
         kinds = (pa.string(), pa.float64(), pa.bool_())
         return pa.RecordBatch.from_arrays(
-            [*batch.columns, *(pa.array(v, t) for v, t in zip(made, kinds, strict=True))], [*batch.schema.names, "_lang", "_lang_score", "_rejected"])
+            [batch.column("doc_id"), *(pa.array(v, t) for v, t in zip(made, kinds, strict=True))], ["doc_id", "lang", "score", "rejected"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_batches(docs, each, f"{schema}, _lang string, _lang_score double, _rejected boolean")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return map_batches(docs.select("doc_id", "text"), each, f"doc_id {kind}, lang string, score double, rejected boolean")
+
+
+def accepted(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """Rows of ``docs`` that are not rejected, with all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array([not x for x in sent.value.predict(texts_of(batch))[2]], pa.bool_()))
+
+    return map_batches(docs, each, docs.schema)
 
 
 def held_out() -> Column:
@@ -164,5 +174,4 @@ def predict_languages(docs: DataFrame) -> DataFrame:
     The prediction sees the text alone. Other columns than doc_id, text and lang are ignored.
     """
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    found = identify(rows.select("doc_id", "text"), fit_languages(rows.where(~held_out())))
-    return found.select("doc_id", held_out().alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_lang_score").alias("score"), F.col("_rejected").alias("rejected"))
+    return identify(rows, fit_languages(rows.where(~held_out()))).select("doc_id", held_out().alias("held_out"), F.col("lang").alias("lang_pred"), "score", "rejected")

@@ -36,21 +36,16 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: int = MAX_REPEATS) ->
     return fitted.select("source", "source_size", F.least("_cap", F.coalesce(F.col("_level") * F.col("weight"), F.col("_cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, cap: int = MAX_REPEATS) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken: one row per row of ``docs``.
-
-    ``copies`` says how often the mix takes the document, up to ``cap`` times. The budgets
-    of the copies are nested: all of a source fits one copy before any of it gets a second,
-    so only one copy of a source is partial, and its documents are those whose hash lies
-    below a threshold. The threshold is found by summing tokens by source and hash bucket
-    and looking again only into the bucket where the budget ends. Nothing is sorted, and
-    reruns agree. Null text has size 0; a null source is a source of its own, the last;
-    documents of equal hash (repeated ids) stay together.
-    """
+def _placed(docs: DataFrame) -> DataFrame:
+    """``docs`` with _source, _size and _place: 48 bits of a hash of the id."""
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    rows = stored(docs.select(
-        "doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(whole_text(), F.lit(WORD)).cast("long").alias("size"),
-        F.conv(F.substring(digest, 1, 12), 16, 10).cast("long").alias("place")))
+    return docs.withColumns({
+        "_source": F.col("source").cast("string"), "_size": F.regexp_count(whole_text(), F.lit(WORD)).cast("long"),
+        "_place": F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")})
+
+
+def _thresholds(rows: DataFrame, weights, cap: int) -> DataFrame:
+    """source, source_size, target, full (copies of every document), _edge (one more below this place)."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, cap)
     full = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(cap))).otherwise(0)
@@ -73,8 +68,37 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = MAX_REPEATS) -> DataFrame:
             "source", "source_size", "target", "full", "budget",
             F.coalesce("f.bucket", F.shiftleft(F.col("_edge") + 1, STEP)).alias("_edge"),
             F.coalesce("f.below", F.lit(0).cast("long")).alias("_below")))
-    e = edge.select(F.col("source").alias("_s"), "source_size", "target", "full", "_edge")
-    copies = F.col("full") + (F.col("place") < F.col("_edge")).cast("int")
-    return rows.join(e, F.col("source").eqNullSafe(F.col("_s"))).select(
-        "doc_id", "source", "size", "source_size", "target", F.least(copies, F.lit(cap)).alias("copies"),
-        "place").withColumn("taken", F.col("size") * F.col("copies"))
+    return edge.select("source", "source_size", "target", "full", "_edge")
+
+
+def _copies(rows: DataFrame, edges: DataFrame, source: str, place: str, cap: int) -> DataFrame:
+    """``rows`` with source_size, target and _copies; the edges are one row per source, which Spark broadcasts if they are small."""
+    e = edges.select(F.col("source").alias("_s"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "full", "_edge")
+    return rows.join(e, F.col(source).eqNullSafe(F.col("_s"))).withColumn(
+        "_copies", F.least(F.col("full") + (F.col(place) < F.col("_edge")).cast("int"), F.lit(cap))).drop("_s", "full", "_edge")
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, cap: int = MAX_REPEATS) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken: one row per row of ``docs``.
+
+    ``copies`` says how often the mix takes the document, up to ``cap`` times. The budgets
+    of the copies are nested: all of a source fits one copy before any of it gets a second,
+    so only one copy of a source is partial, and its documents are those whose hash lies
+    below a threshold. The threshold is found by summing tokens by source and hash bucket
+    and looking again only into the bucket where the budget ends. Nothing is sorted, and
+    reruns agree. Null text has size 0; a null source is a source of its own, the last;
+    documents of equal hash (repeated ids) stay together.
+    """
+    rows = stored(_placed(docs.select("doc_id", "text", "source")).select("doc_id", F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_place").alias("place")))
+    return _copies(rows, _thresholds(rows, weights, cap), "source", "place", cap).select(
+        "doc_id", "source", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_copies").alias("copies"),
+        (F.col("size") * F.col("_copies")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, cap: int = MAX_REPEATS) -> DataFrame:
+    """Rows of ``docs``, each as often as the mix takes it; texts are not shuffled for it."""
+    # the row travels as one column, so that its names can't clash
+    placed = _placed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text", "source")).drop("doc_id", "text", "source")
+    rows = stored(placed.select(F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_place").alias("place")))
+    chosen = _copies(placed.drop("_size"), _thresholds(rows, weights, cap), "_source", "_place", cap).where("_copies > 0")
+    return chosen.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")

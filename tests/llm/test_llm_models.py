@@ -32,7 +32,7 @@ def test_language_hard_cases(spark):
     assert [got[i]["lang_pred"] for i in (100, 101, 102, 103, 104, None)] == ["und", "und", "und", "en", "en", "de"]
     nothing = docs.where("lang = 'xx'")
     assert predict_languages(nothing).count() == 0
-    assert {r["_lang"] for r in identify(docs, fit_languages(nothing)).collect()} == {"und"}
+    assert {r["lang"] for r in identify(docs, fit_languages(nothing)).collect()} == {"und"}
 
 
 def test_quality_held_out(spark):
