@@ -28,7 +28,7 @@ ANCHOR_BITS = 1 << 28  # 32 MB in a worker
 #: Contexts of one anchor that are sorted together; an anchor with more is dealt over several
 #: blocks and the smallest doc_ids of its strings are put together by their hashes.
 BLOCK = 256
-SORT_BYTES = 2_000_000
+SORT_BYTES = 1_000_000
 PIECE = 1 << 21
 MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -42,10 +42,16 @@ def _slide(x: np.ndarray, width: int, least) -> np.ndarray:
     return least(x[:len(x) - rest], x[rest:]) if rest else x
 
 
-def _gram_hashes(text: bytes) -> np.ndarray:
-    words = np.empty(len(text) - 7, np.uint64)
-    for o in range(8):
+def _words(text: bytes) -> np.ndarray:
+    """The eight bytes from each place on."""
+    words = np.empty(max(0, len(text) - 7), np.uint64)
+    for o in range(min(8, len(words))):
         words[o::8] = np.frombuffer(text, "<u8", len(words[o::8]), o)
+    return words
+
+
+def _gram_hashes(text: bytes) -> np.ndarray:
+    words = _words(text)
     n = len(text) - GRAM + 1
     h = words[:n] * MULTIPLIERS[0]
     for j in (1, 2):
@@ -96,9 +102,9 @@ def _sort_blocks(blocks: list[list[tuple[bytes, int]]], length: int) -> list[lis
     for block in blocks:
         body = b"\x00".join(c for c, _ in block)
         # bytes become 2 to 257, a context ends in 1, a block in 0
-        symbols = np.frombuffer(body, np.uint8).astype(np.int64) + 2
+        symbols = np.frombuffer(body, np.uint8).astype(np.int16) + np.int16(2)
         ends = np.cumsum([len(c) + 1 for c, _ in block])
-        symbols = np.append(symbols, 0)
+        symbols = np.append(symbols, np.int16(0))
         symbols[ends[:-1] - 1] = 1
         parts.append(symbols)
         at += len(symbols)
@@ -112,12 +118,14 @@ def _sort_blocks(blocks: list[list[tuple[bytes, int]]], length: int) -> list[lis
     ctx = owner[order]
     whole = order - starts[ctx] <= sizes[ctx] - length  # a string starts there and ends in its context
     order, ctx = order[whole], ctx[whole]
-    block = np.searchsorted(bounds, order, side="right")
-    rows = np.lib.stride_tricks.sliding_window_view(symbols.astype(np.int16), length)
-    same = np.zeros(len(order), bool)
-    for i in range(1, len(order), 100_000):
-        j = min(len(order), i + 100_000)
-        same[i:j] = (block[i:j] == block[i - 1:j - 1]) & (rows[order[i:j]] == rows[order[i - 1:j - 1]]).all(axis=1)
+    block = np.repeat(np.arange(len(blocks)), np.diff(bounds))[order]
+    words = _words(np.maximum(symbols - 2, 0).astype(np.uint8).tobytes())
+    same = block[1:] == block[:-1]
+    for at in (*range(0, length - 8, 8), length - 8):  # eight bytes at a time
+        left = np.flatnonzero(same)
+        own = words[order + at]
+        same[left] = own[1:][left] == own[:-1][left]
+    same = np.concatenate([[False], same])
     first = np.array([d for _, d in contexts], np.int64)[ctx]
     runs = np.flatnonzero(~same)
     least = np.empty(len(symbols), np.int64)
@@ -208,8 +216,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor_bits: int = ANC
     own = map_batches(docs.select("text"), texts, "h long, ctx long, context binary").groupBy("h", "ctx").agg(F.max("context").alias("context"))
     dealt = own.join(several, "h").join(contexts.select("h", "ctx", "first"), ["h", "ctx"]).withColumn(
         "part", F.pmod("ctx", F.ceil(F.col("m") / block)).cast("long"))
-    sorted_blocks = stored(dealt.repartition("h", "part").sortWithinPartitions("h", "part").mapInArrow(sort, "h long, ctx long, least binary, keys binary"))
+    sorted_blocks = stored(dealt.repartition("h", "part").sortWithinPartitions(F.desc("m"), "h", "part").mapInArrow(sort, "h long, ctx long, least binary, keys binary"))
 
+    # (blocks of like size are sorted together, as a batch takes as many steps as its largest)
     # anchors of several blocks: the smallest of what the blocks found for equal strings
     def unpack(batch: pa.RecordBatch) -> pa.RecordBatch:
         least = [np.frombuffer(x, np.int64) for x in batch.column("least").to_pylist()]
@@ -228,19 +237,33 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor_bits: int = ANC
         ["h", "ctx", "mins"]), "h long, ctx long, mins array<long>")
     mins = stored(whole.unionByName(over))
 
-    # a context that no smaller id shares anything with is done with here
+    # a context that no smaller id shares anything with is done with here; one that a
+    # smaller id has whole needs no look at its strings
     known = stored(contexts.join(mins, ["h", "ctx"], "left").where("first < last OR (mins IS NOT NULL AND array_min(mins) < last)").drop("last"))
 
     def stretch(batch: pa.RecordBatch) -> pa.RecordBatch:
         cols: list[list] = [[] for _ in range(4)]
-        for doc_id, key, lo, n, first, least in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "lo", "n", "first", "mins")), strict=True):
-            spans = [(lo, lo + n)] if first < doc_id else _runs(np.array(least) < doc_id, lo, length) if least else []
-            for a, b in spans:
+        for doc_id, key, lo, least in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "lo", "mins")), strict=True):
+            for a, b in _runs(np.array(least) < doc_id, lo, length):
                 for c, v in zip(cols, (doc_id, key, a, b), strict=True):
                     c.append(v)
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "text_key", "a", "b"])
 
-    return map_batches(places.join(known, ["h", "ctx"]).select("doc_id", "text_key", "lo", "n", "first", "mins"), stretch, "doc_id long, text_key long, a long, b long")
+    met = places.join(known, ["h", "ctx"])
+    covered = met.where("first < doc_id").select("doc_id", "text_key", F.col("lo").alias("a"), (F.col("lo") + F.col("n")).alias("b"))
+    partly = met.where("first >= doc_id AND array_min(mins) < doc_id").select("doc_id", "text_key", "lo", "mins")
+    return covered.unionByName(map_batches(partly, stretch, "doc_id long, text_key long, a long, b long"))
+
+
+def _without(keyed: DataFrame, some: DataFrame) -> DataFrame:
+    """Rows of ``keyed`` that are not in ``some`` (by doc_id and text_key).
+
+    A filter of fixed size lets most of them pass without a shuffle.
+    """
+    cell = F.xxhash64("doc_id", "text_key").bitwiseAND(F.lit(FILTER_BITS - 1))
+    marked = probe(keyed.withColumn("cell", cell), stored(pages(cell, some)), "cell", "hit").drop("cell")
+    left = marked.where("hit").join(some.select("doc_id", "text_key"), ["doc_id", "text_key"], "left_anti").select(*marked.columns)
+    return marked.where("NOT hit").unionByName(left).drop("hit")
 
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, anchor_bits: int = ANCHOR_BITS, block: int = BLOCK) -> DataFrame:
@@ -254,9 +277,15 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, anchor_bits: int = A
     Other columns are ignored. ``length`` is 31 at least.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    spans = repeated_spans(rows.where("doc_id IS NOT NULL"), length, anchor_bits, block)
-    by_text = stored(spans.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
+    # whole copies of a smaller doc_id's text: all their strings start there, and what they hold adds nothing
     keyed = rows.withColumn("text_key", F.xxhash64("text"))
+    digests = stored(keyed.where("doc_id IS NOT NULL").select("doc_id", "text_key", F.unhex(F.sha2("text", 256)).alias("sha"), F.octet_length("text").cast("long").alias("n")))
+    firsts = digests.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    copies = stored(digests.join(stored(firsts), "sha").where("doc_id > first").select("doc_id", "text_key", "n").distinct())
+    own = _without(keyed, copies)
+    spans = repeated_spans(own.where("doc_id IS NOT NULL").select("doc_id", "text"), length, anchor_bits, block)
+    by_text = stored(spans.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("a", "b")).alias("spans")).unionByName(
+        copies.where(F.col("n") >= length).select("doc_id", "text_key", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b"))).alias("spans"))))
     cell = F.col("text_key").bitwiseAND(F.lit(FILTER_BITS - 1))
     marked = probe(keyed.withColumn("cell", cell), stored(pages(cell, by_text)), "cell", "hit").drop("cell")
     plain = marked.where("NOT hit").select(

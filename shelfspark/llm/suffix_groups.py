@@ -16,18 +16,22 @@ from __future__ import annotations
 import numpy as np
 
 
+#: Places in a batch of texts, which is far below 2^31 symbols.
+PLACE = np.int32
+
+
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """start, start + 1, … of each range, one after another."""
-    ends = np.cumsum(sizes)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+    ends = np.cumsum(sizes, dtype=starts.dtype)
+    return np.arange(ends[-1] if len(ends) else 0, dtype=starts.dtype) + np.repeat(starts - (ends - sizes), sizes)
 
 
 def _first_groups(symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions in order of (text, symbol), and where each position's group starts in it."""
     key = owner.astype(np.int64) * (int(symbols.max()) + 1) + symbols
-    order = np.argsort(key, kind="stable")
-    fresh = np.flatnonzero(np.diff(key[order], prepend=-1))
-    start = np.zeros(len(key), np.int64)
+    order = np.argsort(key, kind="stable").astype(PLACE)
+    fresh = np.flatnonzero(np.diff(key[order], prepend=-1)).astype(PLACE)
+    start = np.zeros(len(key), PLACE)
     start[order] = np.repeat(fresh, np.diff(np.append(fresh, len(key))))
     return order, start
 
@@ -39,17 +43,17 @@ def sort_suffixes(symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     others. The result has the same bounds.
     """
     n, texts = len(symbols), len(bounds) - 1
-    base, limit = bounds[:-1].astype(np.int64), bounds[1:].astype(np.int64)
+    base, limit = bounds[:-1].astype(PLACE), bounds[1:].astype(PLACE)
     owner = np.repeat(np.arange(texts), limit - base)
     order, start = _first_groups(symbols, owner)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    ends = np.zeros(n + 1, np.int64)  # where a group starts and ends, by its other bound
-    begins = np.zeros(n + 1, np.int64)
+    place = np.empty(n, PLACE)
+    place[order] = np.arange(n, dtype=PLACE)
+    ends = np.zeros(n + 1, PLACE)  # where a group starts and ends, by its other bound
+    begins = np.zeros(n + 1, PLACE)
     first = np.unique(start)
-    ends[first] = np.append(first[1:], n)
+    ends[first] = np.append(first[1:], PLACE(n))
     begins[ends[first]] = first
-    pointer = np.arange(n) - 1
+    pointer = np.arange(-1, n - 1, dtype=PLACE)
     pointer[base] = -1
     done = np.zeros(n, bool)
     moved_mark = np.zeros(n, bool)
@@ -77,7 +81,7 @@ def sort_suffixes(symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         moved, times = moved[by], times[by]
         old = start[moved]
         new_group = np.flatnonzero(np.diff(old, prepend=-1))
-        counts = np.diff(np.append(new_group, len(old)))
+        counts = np.diff(np.append(new_group, len(old))).astype(PLACE)
         last = ends[old[new_group]]
         target = ranges(last - counts, counts)  # the top places of each old group, fewest pointers first
         # who stands there and stays gives way to the places the moved ones leave
@@ -92,7 +96,7 @@ def sort_suffixes(symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         moved_mark[moved] = False
         run = np.flatnonzero((np.diff(old, prepend=-1) != 0) | (np.diff(times, prepend=-1) != 0))
         run_start = target[run]
-        run_size = np.diff(np.append(run, len(old)))
+        run_size = np.diff(np.append(run, len(old))).astype(PLACE)
         start[moved] = np.repeat(run_start, run_size)
         rest = (last - counts) > old[new_group]
         kept = old[new_group][rest]
@@ -100,11 +104,11 @@ def sort_suffixes(symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         begins[ends[kept]] = kept
         ends[run_start] = run_start + run_size
         begins[run_start + run_size] = run_start
-    out = np.full(n, -1, np.int64)
+    out = np.full(n, -1, PLACE)
     out[base] = limit - 1  # the end symbol is the smallest suffix
     placed = np.zeros(n, bool)
     placed[limit - 1] = True
-    following = np.arange(n)  # by group start: the next place in it
+    following = np.arange(n, dtype=PLACE)  # by group start: the next place in it
     following[start[limit - 1]] += 1
     sizes = limit - base
     by_size = np.argsort(-sizes, kind="stable")
