@@ -96,9 +96,9 @@ UNKNOWN_CATEGORY_PREFIX = "cat:"
 MAX_CANDIDATE_CLUSTERS = 4
 SAMPLE_SIZE = 3
 MIN_CLUSTER_SIZE = 3
-MAX_SITEMAP_DOCS = 40
-MAX_SITEMAP_URLS = 50_000
-MAX_PRODUCTS_LIMIT = 5_000
+#: What a run request may ask for; others are refused. Runs themselves know no upper bound.
+MAX_REQUESTED_PRODUCTS = 5_000
+DEFAULT_REQUESTED_PRODUCTS = 200
 PREVIEW_ROWS = 10
 
 #: Names a caller may force as the source of a run.
@@ -125,6 +125,8 @@ class JobConfig:
     crawl_site: bool = True
     max_listings: int = 0            # 0 = no cap
     max_pages_per_listing: int = 0   # 0 = no cap
-    max_listing_pages: int = 50      # 0 = no cap
+    max_listing_pages: int = 0       # 0 = no cap
+    max_sitemap_docs: int = 0        # 0 = no cap
+    max_sitemap_urls: int = 0        # 0 = no cap
     with_categories: bool = True
     selectors: Selectors = field(default_factory=Selectors)

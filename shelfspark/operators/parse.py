@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from math import isfinite
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -147,6 +148,22 @@ class _Nodes(HTMLParser):
         self._close_to(0)
 
 
+def _json_text(value: object) -> str:
+    """JSON text; NaN and infinite numbers, which are none in JSON, become null."""
+    try:
+        return json.dumps(value, allow_nan=False)
+    except ValueError:
+        return json.dumps(_finite(value))
+
+
+def _finite(value: object) -> object:
+    if isinstance(value, dict):
+        return {k: _finite(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_finite(v) for v in value]
+    return None if isinstance(value, float) and not isfinite(value) else value
+
+
 def _first_of_type(document: object, wanted: str) -> str | None:
     """JSON text of the first object, depth first, whose ``@type`` matches."""
     todo = [document]
@@ -156,7 +173,7 @@ def _first_of_type(document: object, wanted: str) -> str | None:
             kinds = value.get("@type")
             kinds = kinds if isinstance(kinds, list) else [kinds]
             if wanted in [k.lower() for k in kinds if isinstance(k, str)]:
-                return json.dumps(value)
+                return _json_text(value)
             value = list(value.values())
         if isinstance(value, list):
             todo.extend(reversed(value))
@@ -182,7 +199,7 @@ def _embedded_detail(html: str, key: str) -> str | None:
         value, _ = json.JSONDecoder().raw_decode(html, brace)
     except (ValueError, RecursionError):
         return None
-    return json.dumps(value) if "goodsId" in value else None
+    return _json_text(value) if "goodsId" in value else None
 
 
 def _offsets(sizes: list[int]) -> pa.Array:

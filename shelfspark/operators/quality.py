@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.config import MAX_PRODUCTS_LIMIT
 from shelfspark.functions.money import money_text
 from shelfspark.functions.text import strip
 from shelfspark.operators.ranking import first_n, first_per_key
@@ -52,12 +51,41 @@ def dedupe(products: DataFrame) -> DataFrame:
 
 
 def split_processed(links: DataFrame, processed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links still to do, ``(run_id, skipped)``): runs before any page is parsed."""
+    """(links still to do, ``(run_id, discovery_ord)`` of the known ones)."""
     done = processed.select("run_id", "product_key").distinct()
     keys = ["run_id", "product_key"]
-    todo = links.join(done, keys, "left_anti")
-    skipped = links.join(done, keys, "left_semi").groupBy("run_id").agg(F.count("*").alias("skipped"))
-    return todo, skipped
+    return links.join(done, keys, "left_anti"), links.join(done, keys, "left_semi").select("run_id", "discovery_ord")
+
+
+def before_cap(rows: DataFrame, ends: DataFrame | None) -> DataFrame:
+    """Rows that a run met before its cap ended it: all, where no cap did."""
+    if ends is None:
+        return rows
+    return rows.join(ends, "run_id", "left").where("_end IS NULL OR discovery_ord < _end").drop("_end")
+
+
+def count_skipped(known: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """``(run_id, skipped)``: known links a run passed before its cap ended it."""
+    return before_cap(known, ends).groupBy("run_id").agg(F.count("*").alias("skipped"))
+
+
+def cap_ends(settled: DataFrame, caps: DataFrame) -> DataFrame:
+    """``(run_id, _end)``: the place of the last exported row of runs that reach their cap.
+
+    Only runs with as many exported rows as their cap are ranked.
+    """
+    exported = settled.where("outcome = 'exported'").select("run_id", "discovery_ord")
+    full = exported.groupBy("run_id").agg(F.count("*").alias("_n")).join(caps.select("run_id", "max_products"), "run_id").where(
+        (F.col("max_products") > 0) & (F.col("_n") >= F.col("max_products"))).select("run_id", F.col("max_products").cast("long").alias("_cap"))
+    ranked = first_n(exported.join(full, "run_id"), ["run_id"], F.col("_cap"), ["discovery_ord"], rank="_rank")
+    return ranked.where("_rank = _cap").select("run_id", F.col("discovery_ord").alias("_end"))
+
+
+def cut_at(settled: DataFrame, ends: DataFrame) -> DataFrame:
+    """Rows behind the end of their run become ``not_reached``."""
+    behind = F.coalesce(F.col("discovery_ord") > F.col("_end"), F.lit(False))
+    return settled.join(ends, "run_id", "left").withColumn(
+        "outcome", F.when(behind, "not_reached").otherwise(F.col("outcome"))).drop("_end")
 
 
 def settle(products: DataFrame, caps: DataFrame | None = None) -> DataFrame:
@@ -69,8 +97,8 @@ def settle(products: DataFrame, caps: DataFrame | None = None) -> DataFrame:
     ``exported``    goes to the sink
     ``not_reached`` lies behind the run's product cap
 
-    ``discovery_ord`` is unique per run.  The cap counts exported rows, so it becomes one position per run: the place
-    of the last exported row.
+    ``discovery_ord`` is unique per run.  The cap (``max_products``, 0 or no row: none) counts
+    exported rows, so it becomes one position per run: the place of the last exported row.
     """
     rows = validate(products)
     if "usable" not in rows.columns:
@@ -87,19 +115,7 @@ def settle(products: DataFrame, caps: DataFrame | None = None) -> DataFrame:
         F.when(~F.col("usable"), "failed").when(~F.col("valid"), "invalid")
         .when(F.col("discovery_ord") > F.col("_first"), "duplicate").otherwise("exported"),
     ).drop("_first")
-    if caps is None:
-        return rows
-    exported = first_n(
-        rows.where("outcome = 'exported'").select("run_id", "discovery_ord"),
-        ["run_id"], MAX_PRODUCTS_LIMIT, ["discovery_ord"], rank="_rank",
-    )
-    ends = exported.join(caps.select("run_id", "max_products"), "run_id").where(
-        F.col("_rank") == F.col("max_products")
-    ).select("run_id", F.col("discovery_ord").alias("_end"))
-    behind = F.coalesce(F.col("discovery_ord") > F.col("_end"), F.lit(False))
-    return rows.join(ends, "run_id", "left").withColumn(
-        "outcome", F.when(behind, "not_reached").otherwise(F.col("outcome"))
-    ).drop("_end")
+    return rows if caps is None else cut_at(rows, cap_ends(rows, caps))
 
 
 def processed_after(settled: DataFrame) -> DataFrame:

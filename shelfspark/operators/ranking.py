@@ -19,8 +19,8 @@ def first_per_key(df: DataFrame, keys: list[str], *order: Column | str) -> DataF
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def first_n(df: DataFrame, keys: list[str], n: int, order: list, rank: str = "rank") -> DataFrame:
-    """The first ``n`` rows of every key with their rank, for any ``n``.
+def first_n(df: DataFrame, keys: list[str], n: int | Column, order: list, rank: str = "rank") -> DataFrame:
+    """The first ``n`` rows of every key with their rank, for any ``n``, also a column of ``df``.
 
     Every slice of a group gives up its own first ``n``; only those meet in the
     final window.  Nothing is lost: a row outside its slice's first ``n`` cannot

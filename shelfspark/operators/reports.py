@@ -76,16 +76,21 @@ def run_status(runs: DataFrame, gate: DataFrame, seeds: DataFrame) -> DataFrame:
     return joined.select(
         *runs.columns,
         F.when(invalid, "error").when(blocked, "blocked").when(missing, "error").otherwise("done").alias("status"),
-        F.when(invalid, F.lit("url must be an absolute http(s) URL"))
+        F.when(invalid, F.col("refusal") if "refusal" in runs.columns else F.lit("invalid request"))
         .when(blocked, F.col("reason")).when(missing, F.lit(SEED_MISSING)).alias("error"),
         F.when(skip, F.lit(ROBOTS_SKIPPED)).alias("warning"),
     )
 
 
+def run_order(records: DataFrame) -> list:
+    """Newest run first, ties by run."""
+    return [F.desc("created_at"), "run_id"]
+
+
 def job_records(status: DataFrame, counters: DataFrame) -> DataFrame:
     """Status, counters and whether there is a CSV, newest run first."""
     joined = status.join(counters, "run_id", "left")
     for name in COUNTERS:
         joined = joined.withColumn(name, F.coalesce(name, F.lit(0).cast("bigint")))
     joined = joined.withColumn("has_csv", (F.col("status") == "done") & (F.col("exported") > 0))
-    return joined.orderBy(F.desc("created_at"), "run_id") if "created_at" in joined.columns else joined
+    return joined.orderBy(*run_order(joined)) if "created_at" in joined.columns else joined

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.functions.urls import is_http, origin_of
+from shelfspark.operators.ranking import first_per_key
 
 _RULES = pa.list_(pa.struct([("allow", pa.bool_()), ("prefix", pa.string())]))
 _SCHEMA = "origin string, status int, rules array<struct<allow:boolean,prefix:string>>"
@@ -28,8 +29,15 @@ def _rules_for(body: str | None, agent: str) -> list[dict]:
     ]
 
 
+def capture_order(robots: DataFrame) -> list:
+    """Which capture of a file counts: the one answered, by ``captured_at`` or ``page_id`` if there is one, then by text."""
+    named = [c for c in ("captured_at", "page_id") if c in robots.columns]
+    return [F.coalesce("status", F.lit(200)) >= 400, *named, "status", "body"]
+
+
 def robots_rules(robots: DataFrame, user_agent: str) -> DataFrame:
-    """``(origin, status, rules)`` per robots file, one Arrow pass."""
+    """``(origin, status, rules)``, one row per origin however often it was captured; one Arrow pass."""
+    robots = first_per_key(robots, ["origin"], *capture_order(robots))
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rules = [_rules_for(body, user_agent) for body in batch.column("body").to_pylist()]

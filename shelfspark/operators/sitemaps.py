@@ -6,17 +6,22 @@ import gzip
 import re
 import zlib
 from collections.abc import Iterator
+from html import unescape
 from xml.etree.ElementTree import ParseError, XMLPullParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.config import MAX_SITEMAP_DOCS, MAX_SITEMAP_URLS, SAMPLE_SIZE
+from shelfspark.config import SAMPLE_SIZE
 from shelfspark.functions.text import strip
 from shelfspark.functions.urls import canonical_url, host_of, origin_of, path_of, product_key
+from shelfspark.operators.ranking import first_per_key
+from shelfspark.operators.robots import capture_order
 from shelfspark.session import cut_lineage
 
+_MARKS = re.compile(r"<(?:[\w.-]+:)?(sitemap|url)\b[^>]*>|<(?:[\w.-]+:)?loc\b[^>]*>([^<]*(?:<!\[CDATA\[.*?\]\]>)?[^<]*)</(?:[\w.-]+:)?loc\s*>", re.I | re.S)
+_COMMENT, _CDATA = re.compile(r"<!--.*?-->", re.S), re.compile(r"<!\[CDATA\[(.*?)\]\]>", re.S)
 _BARE_AMPERSAND = re.compile(rb"&(?!#?\w+;)")
 _SCHEMA = "url string, nested array<string>, pages array<string>"
 
@@ -26,7 +31,7 @@ def is_product_sitemap(url: Column) -> Column:
 
 
 def _locations(url: str, body: bytes | None) -> tuple[list[str], list[str]]:
-    """(nested sitemaps, pages) of one document; what a broken one gave so far."""
+    """(nested sitemaps, pages) of one document; a broken one is scanned for its locations."""
     nested: list[str] = []
     pages: list[str] = []
     body = body or b""
@@ -35,13 +40,11 @@ def _locations(url: str, body: bytes | None) -> tuple[list[str], list[str]]:
             body = gzip.decompress(body)
         except (OSError, EOFError, zlib.error):
             return nested, pages
+    body = _BARE_AMPERSAND.sub(b"&amp;", body.lstrip())
     parser, above = XMLPullParser(events=("start", "end")), []
     try:
-        parser.feed(_BARE_AMPERSAND.sub(b"&amp;", body.lstrip()))
+        parser.feed(body)
         parser.close()
-    except ParseError:
-        pass
-    try:
         for event, element in parser.read_events():
             name = element.tag.rpartition("}")[2]
             if event == "start":
@@ -52,7 +55,23 @@ def _locations(url: str, body: bytes | None) -> tuple[list[str], list[str]]:
             if name == "loc" and text:
                 (nested if above[-1:] == ["sitemap"] else pages).append(text)
     except ParseError:
-        pass
+        return _scanned(body.decode("utf-8", "replace"))
+    return nested, pages
+
+
+def _scanned(text: str) -> tuple[list[str], list[str]]:
+    """Locations of a document that is no well-formed XML: whole ``loc`` elements wherever they stand.
+
+    A location is a nested sitemap if the last ``sitemap`` or ``url`` tag before it opened a sitemap.
+    """
+    nested: list[str] = []
+    pages: list[str] = []
+    inside = False
+    for tag, loc in _MARKS.findall(_COMMENT.sub("", text)):
+        if tag:
+            inside = tag.lower() == "sitemap"
+        elif found := unescape(_CDATA.sub(r"\1", loc)).strip():
+            (nested if inside else pages).append(found)
     return nested, pages
 
 
@@ -78,6 +97,7 @@ def sitemap_roots(runs: DataFrame, robots: DataFrame) -> DataFrame:
         F.transform(lines, lambda l: strip(F.regexp_extract(l, r"(?i)^\s*sitemap\s*:(.*)$", 1))),
         lambda u: u != "",
     )
+    robots = first_per_key(robots, ["origin"], *capture_order(robots))
     declared = robots.where(F.coalesce("status", F.lit(200)) < 400).select(
         F.col("origin").alias("_origin"), F.when(F.size(named) > 0, named).alias("_named")
     )
@@ -87,10 +107,10 @@ def sitemap_roots(runs: DataFrame, robots: DataFrame) -> DataFrame:
     return joined.select("run_id", F.posexplode(roots).alias("pos", "url"))
 
 
-def walk_sitemaps(roots: DataFrame, parsed: DataFrame, max_docs: int = MAX_SITEMAP_DOCS) -> DataFrame:
+def walk_sitemaps(roots: DataFrame, parsed: DataFrame, max_docs: int = 0) -> DataFrame:
     """Documents in the order a queue would visit them.
 
-    Returns ``(run_id, url, rank, in_branch)``, at most ``max_docs`` per run.
+    Returns ``(run_id, url, rank, in_branch)``, at most ``max_docs`` per run (0: all).
     One round per tree level; a level comes after the one above it, and inside a
     level the place of the parent and the place in the parent decide.  A document
     met twice keeps its first visit.
@@ -99,8 +119,7 @@ def walk_sitemaps(roots: DataFrame, parsed: DataFrame, max_docs: int = MAX_SITEM
     frontier = roots.select(
         "run_id", "url", F.lit(0).alias("parent_rank"), "pos", F.lit(False).alias("in_branch")
     )
-    # a level adds at least one document to every run still going
-    for _ in range(max_docs):
+    while True:
         first_visit = frontier.groupBy("run_id", "url").agg(
             F.min(F.struct("parent_rank", "pos", "in_branch")).alias("visit")
         )
@@ -110,14 +129,17 @@ def walk_sitemaps(roots: DataFrame, parsed: DataFrame, max_docs: int = MAX_SITEM
             first_visit = first_visit.join(base, "run_id", "left")
         else:
             first_visit = first_visit.withColumn("base", F.lit(0))
-        order = Window.partitionBy("run_id").orderBy("visit")
-        level = cut_lineage(
-            first_visit.withColumn("_rn", F.row_number().over(order))
-            .where(F.col("_rn") <= max_docs)
-            .withColumn("rank", F.coalesce("base", F.lit(0)) + F.col("_rn"))
-            .where(F.col("rank") <= max_docs)
-            .select("run_id", "url", "rank", F.col("visit.in_branch").alias("in_branch"))
-        )
+        # a place is that of the parent's first child plus the place among its children,
+        # so no window holds more than one document's children or one run's parents
+        first_visit = first_visit.withColumn("parent_rank", F.col("visit.parent_rank"))
+        families = first_visit.groupBy("run_id", "parent_rank").agg(F.count("*").alias("_n"))
+        run = Window.partitionBy("run_id").orderBy("parent_rank").rowsBetween(Window.unboundedPreceding, -1)
+        families = families.withColumn("_start", F.coalesce(F.sum("_n").over(run), F.lit(0))).drop("_n")
+        order = Window.partitionBy("run_id", "parent_rank").orderBy("visit")
+        ranked = first_visit.withColumn("_rn", F.row_number().over(order)).join(families, ["run_id", "parent_rank"]).select(
+            "run_id", "url", (F.coalesce("base", F.lit(0)) + F.col("_start") + F.col("_rn")).cast("int").alias("rank"),
+            F.col("visit.in_branch").alias("in_branch"))
+        level = cut_lineage(ranked.where(F.col("rank") <= max_docs) if max_docs else ranked)
         if visited is not None and level.isEmpty():
             break
         visited = level if visited is None else visited.unionByName(level)
@@ -133,11 +155,11 @@ def walk_sitemaps(roots: DataFrame, parsed: DataFrame, max_docs: int = MAX_SITEM
 
 
 def sitemap_product_urls(
-    visited: DataFrame, parsed: DataFrame, runs: DataFrame, max_urls: int = MAX_SITEMAP_URLS
+    visited: DataFrame, parsed: DataFrame, runs: DataFrame, max_urls: int = 0
 ) -> DataFrame:
     """``(run_id, url, rank, pos)``: page URLs of the product branch, on the seed's host.
 
-    First place wins; the first ``max_urls`` of a run stay.  The cap counts per
+    First place wins; the first ``max_urls`` of a run stay (0: all).  The cap counts per
     document first and needs a running total over documents only, so no window
     ever holds more than one document's URLs.
     """
@@ -150,6 +172,8 @@ def sitemap_product_urls(
     distinct = found.groupBy("run_id", "url").agg(F.min(F.struct("rank", "pos")).alias("_p")).select(
         "run_id", "url", "_p.rank", "_p.pos"
     )
+    if not max_urls:
+        return distinct
     per_doc = distinct.groupBy("run_id", "rank").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("run_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     room = per_doc.select(
@@ -164,6 +188,12 @@ def sitemap_product_urls(
     )
 
 
+def cap_warnings(rows: DataFrame, cap: int, what: str) -> DataFrame:
+    """Runs that reached a cap of the sitemap walk, whether or not there was more."""
+    return rows.groupBy("run_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= cap).select(
+        "run_id", F.format_string(f"The sitemap walk ended at %d {what}; there may be more.", "_n").alias("warning"))
+
+
 def sitemap_sources(urls: DataFrame, visited: DataFrame, parsed: DataFrame) -> DataFrame:
     """``(run_id, n_urls, description)``: the first document that listed pages."""
     listing = visited.where("in_branch").join(

@@ -21,13 +21,13 @@ from shelfspark.operators.enrich import detail_ids, enrich, enrichment_misses
 from shelfspark.operators.extract import GENERIC_CHAIN, build_products, extract_fields, looks_like_product
 from shelfspark.operators.links import own_links
 from shelfspark.operators.parse import parse_pages
-from shelfspark.operators.quality import settle, split_processed
+from shelfspark.operators.quality import before_cap, cap_ends, count_skipped, cut_at, settle, split_processed
 from shelfspark.operators.ranking import first_per_key
 from shelfspark.operators.reports import run_counters, run_warnings
 from shelfspark.operators.signals import with_signals
 from shelfspark.operators.taxonomy import builtin_taxonomy, unmapped
 from shelfspark.session import cut_lineage, stored
-from shelfspark.sources.captures import readable
+from shelfspark.sources.captures import captures_of_hosts, captures_to_do, readable
 
 
 SINGLE_PAGE = "single product page"
@@ -70,28 +70,51 @@ def feed_run(
     stops = G.drain_stops(pages)
     goods = G.first_goods(G.drained_goods(pages, stops, config.max_pages_per_listing), listings)
     products = stored(G.feed_products(goods, config.base_url))
-    extra = [G.failed_listings(stops, listings, config.max_pages_per_listing)]
+    known = None
     if processed is not None:
-        products, skipped = split_processed(products, processed)
-        extra.append(skipped)
+        products, known = split_processed(products, processed)
+        known = stored(known)
+    # which rows a run exports does not depend on their categories
+    ends = stored(cap_ends(settle(products), caps)) if caps is not None else None
+    extra = [G.failed_listings(stops, listings, config.max_pages_per_listing)]
+    if known is not None:
+        extra.append(count_skipped(known, ends))
     notes = []
     if config.with_categories and details is not None:
         names = taxonomy if taxonomy is not None else builtin_taxonomy(spark)
         products = stored(enrich(products, detail_ids(details), names))
-        notes = [enrichment_misses(products)]
+        reached = _reached(products, ends)
+        notes = [enrichment_misses(reached)]
         # one row per unnamed id and run that met it
-        met = products.select("run_id", F.explode(F.array(
+        met = reached.select("run_id", F.explode(F.array(
             F.struct(F.lit("level2").alias("level"), F.col("level2_id").alias("id")),
             F.struct(F.lit("level3").alias("level"), F.col("level3_id").alias("id")),
         )).alias("p")).select("run_id", "p.level", "p.id").where("id is not null").distinct()
         notes.append(met.join(
-            unmapped(products, names, "level2_id", "level3_id"), ["level", "id"]
+            unmapped(reached, names, "level2_id", "level3_id"), ["level", "id"]
         ).select("run_id", "warning"))
-    settled = settle(products, caps)
+    settled = settle(products) if ends is None else cut_at(settle(products), ends)
     counters = run_counters(settled, *extra)
     return RunResult(settled, counters, run_warnings(settled, counters, *notes))
 
 
+def _reached(rows: DataFrame, ends: DataFrame | None) -> DataFrame:
+    """Rows up to the last one a capped run exports."""
+    if ends is None:
+        return rows
+    return rows.join(ends, "run_id", "left").where("_end IS NULL OR discovery_ord <= _end").drop("_end")
+
+
+def _settled(rows: DataFrame, caps: DataFrame | None, known: DataFrame | None) -> tuple[DataFrame, list[DataFrame]]:
+    """Settled rows, stored once, and the counts of known links before each run's end."""
+    whole, ends = settle(rows), None
+    if caps is not None:
+        whole = stored(whole)
+        ends = stored(cap_ends(whole, caps))
+        whole = cut_at(whole, ends)
+    return stored(whole), [count_skipped(known, ends)] if known is not None else []
+
+
 def page_facts(pages: DataFrame, config: JobConfig) -> DataFrame:
     """Everything later steps ask of a capture, from one parse of it.
 
@@ -118,12 +141,40 @@ def _by_product(facts: DataFrame) -> DataFrame:
     return first_per_key(facts.drop("url", "page_key", "links", "next_url"), ["product_key"], "page_id").drop("page_id")
 
 
+def _seeds(runs: DataFrame, listing: DataFrame) -> DataFrame:
+    """``(run_id, seed_url, links)`` of captured seeds."""
+    return cut_lineage(
+        runs.withColumn("page_key", P.page_key(F.col("seed_url"))).join(listing, "page_key").select("run_id", "seed_url", "links")
+    )
+
+
+def _samples(seeds: DataFrame) -> DataFrame:
+    """The links that decide about the shapes of each seed's links."""
+    shaped = C.shaped_links(seeds.select("run_id", "seed_url", F.explode("links").alias("url")).distinct())
+    return C.cluster_samples(shaped, C.candidate_clusters(shaped))
+
+
+def _facts_to_do(runs: DataFrame, pages: DataFrame, config: JobConfig, processed: DataFrame | None) -> DataFrame:
+    """Facts of the captures a crawl needs: those of its hosts, without known products.
+
+    Seeds are parsed first, for the samples they lead to are wanted whether known or not.
+    """
+    pages = captures_of_hosts(readable(pages), runs)
+    if processed is None:
+        return page_facts(pages, config)
+    keys = runs.select(P.page_key(F.col("seed_url")).alias("_page")).distinct()
+    first = pages.withColumn("_page", P.page_key(canonical_url(F.col("url")))).join(keys, "_page", "left_semi").drop("_page")
+    seeds = _seeds(runs, stored(_by_page(page_facts(first, config))))
+    needed = stored(_samples(seeds).select("product_key").unionByName(runs.select(product_key(F.col("seed_url")).alias("product_key"))).distinct())
+    return page_facts(captures_to_do(pages, runs, processed, needed), config)
+
+
 def linked_products(links: DataFrame, facts: DataFrame) -> DataFrame:
-    """Product rows of ``(run_id, discovery_ord, url, product_key)``.
+    """Product rows of ``(run_id, discovery_ord, url, product_key)``, of facts by product key.
 
     A link without a capture becomes a failed row.
     """
-    joined = links.join(_by_product(facts), "product_key", "left")
+    joined = links.join(facts, "product_key", "left")
     return stored(joined.withColumn("usable", F.coalesce("usable", F.lit(False))).withColumnRenamed("url", "product_url"))
 
 
@@ -147,32 +198,28 @@ def crawl_run(
     links of every listing page the walk reaches.  ``facts`` takes a stored
     ``page_facts`` table in place of ``pages``.
     """
-    facts = stored(page_facts(pages, config)) if facts is None else facts
     runs = runs.select("run_id", canonical_url(F.col("seed_url")).alias("seed_url"))
-    listing = _by_page(facts)
-    seeds = cut_lineage(
-        runs.withColumn("page_key", P.page_key(F.col("seed_url"))).join(listing, "page_key").select("run_id", "seed_url", "links")
-    )
-    seed_links = seeds.select("run_id", "seed_url", F.explode("links").alias("url")).distinct()
-    shaped = C.shaped_links(seed_links)
-    verified = C.verify_clusters(C.cluster_samples(shaped, C.candidate_clusters(shaped)), _by_product(facts))
+    facts = stored(_facts_to_do(runs, pages, config, processed)) if facts is None else facts
+    listing, by_product = stored(_by_page(facts)), stored(_by_product(facts))
+    seeds = _seeds(runs, listing)
+    verified = C.verify_clusters(_samples(seeds), by_product)
     patterns = cut_lineage(C.decide_patterns(verified))
 
-    walked = P.walk_pages(runs, P.page_edges(facts), config.max_listing_pages)
+    # a run without a pattern walks nowhere
+    walking = runs.join(patterns.where("template is not null").select("run_id"), "run_id", "left_semi")
+    walked = P.walk_pages(walking, P.page_edges(listing), config.max_listing_pages)
     on_pages = walked.join(listing.select("page_key", "links"), "page_key").select(
         "run_id", "page_pos", F.explode("links").alias("url")
     )
     linked = C.product_links(on_pages, patterns).select(
         "run_id", "url", F.struct("page_pos", "url").alias("discovery_ord")
     )
-    links = _first_links(linked)
-    extra = []
+    links, known = _first_links(linked), None
     if processed is not None:
-        links, skipped = split_processed(cut_lineage(links), processed)
-        extra.append(skipped)
-    rows = linked_products(links, facts)
-    single, lost = _single_pages(seeds, facts)
-    settled = settle(rows.unionByName(single), caps)
+        links, known = split_processed(cut_lineage(links), processed)
+    rows = linked_products(links, by_product)
+    single, lost = _single_pages(seeds, by_product)
+    settled, extra = _settled(rows.unionByName(single), caps, known)
     counters = run_counters(settled, *extra)
     linked_seeds = seeds.where(F.size("links") > 0).select("run_id")
     unmatched = linked_seeds.join(patterns.where("template is not null"), "run_id", "left_anti")
@@ -214,11 +261,12 @@ def sitemap_run(
 
     ``patterns`` tells per run which way it went.
     """
-    facts = stored(page_facts(pages, config)) if facts is None else facts
+    facts = stored(page_facts(captures_of_hosts(readable(pages), runs), config)) if facts is None else facts
+    by_product = stored(_by_product(facts))
     parsed = cut_lineage(M.parse_sitemaps(sitemaps))
-    visited = M.walk_sitemaps(M.sitemap_roots(runs, robots), parsed)
-    urls = cut_lineage(M.sitemap_product_urls(visited, parsed, runs))
-    checks = cut_lineage(M.confirm_sitemaps(urls, _by_product(facts)))
+    visited = M.walk_sitemaps(M.sitemap_roots(runs, robots), parsed, config.max_sitemap_docs)
+    urls = cut_lineage(M.sitemap_product_urls(visited, parsed, runs, config.max_sitemap_urls))
+    checks = cut_lineage(M.confirm_sitemaps(urls, by_product))
     good = checks.where("confirmed").select("run_id")
     described = M.sitemap_sources(urls, visited, parsed).join(good, "run_id", "left_semi")
 
@@ -227,11 +275,10 @@ def sitemap_run(
             "run_id", canonical_url(F.col("url")).alias("url"), F.struct("rank", "pos").alias("discovery_ord")
         )
     )
-    extra = []
+    known = None
     if processed is not None:
-        links, skipped = split_processed(links, processed)
-        extra.append(skipped)
-    direct = settle(linked_products(links, facts), caps)
+        links, known = split_processed(links, processed)
+    direct, extra = _settled(linked_products(links, by_product), caps, known)
     direct_counters = run_counters(direct, *extra)
 
     others = runs.join(good, "run_id", "left_anti")
@@ -244,5 +291,7 @@ def sitemap_run(
     patterns = described.select(
         "run_id", F.lit("sitemap").alias("source"), F.col("description").alias("template")
     ).unionByName(crawl.patterns.select("run_id", F.lit("generic").alias("source"), "template"))
-    warnings = run_warnings(direct, direct_counters, checks).unionByName(crawl.warnings)
+    capped = [M.cap_warnings(rows, cap, what) for rows, cap, what in (
+        (visited, config.max_sitemap_docs, "documents"), (urls, config.max_sitemap_urls, "addresses")) if cap]
+    warnings = run_warnings(direct, direct_counters, checks, *capped).unionByName(crawl.warnings)
     return RunResult(settled, direct_counters.unionByName(crawl.counters), warnings, patterns)

@@ -32,11 +32,11 @@ def next_links(spark, sf_dir):
 
 
 @query("pagination_walk", _P + """
-SELECT brand AS run_id, page_url AS page_key, p AS page_pos FROM p WHERE p < 50""")
+SELECT brand AS run_id, page_url AS page_key, p AS page_pos FROM p""")
 def pagination_walk(spark, sf_dir):
-    """D10 from every brand's seed, at most 50 pages."""
+    """D10 from every brand's seed to the end."""
     links = P.with_next_link(parse_pages(R.listing_pages(spark, sf_dir)))
-    walked = P.walk_pages(R.shop_runs(spark, sf_dir), P.page_edges(links), 50)
+    walked = P.walk_pages(R.shop_runs(spark, sf_dir), P.page_edges(links))
     return walked.withColumn("page_pos", F.col("page_pos").cast("bigint"))
 
 
@@ -101,7 +101,7 @@ def crawl_patterns(spark, sf_dir):
 
 
 _ROWS = _SEED + f""", r AS (
-  SELECT g.*, g.i // {R.PER_PAGE} AS page, k % 50 = 7 AS lost, substr(url, 9) AS product_key FROM g JOIN d USING (brand) WHERE good AND i < 50 * {R.PER_PAGE})
+  SELECT g.*, g.i // {R.PER_PAGE} AS page, k % 50 = 7 AS lost, substr(url, 9) AS product_key FROM g JOIN d USING (brand) WHERE good)
 """
 _PRODUCT = """name, kind AS category, CASE WHEN k % 4 <> 3 THEN brand END AS subcategory,
   'https://' || host || '/img/' || k || '.jpg' AS image_url, CAST((CASE WHEN k % 5 <> 0 THEN mrp_c END) / 100.0 AS DOUBLE) AS mrp,
@@ -127,6 +127,14 @@ def crawl_counters(spark, sf_dir):
     return crawl_run(R.shop_runs(spark, sf_dir), R.shop_pages(spark, sf_dir), JobConfig()).counters
 
 
+@query("single_product_seeds", GOODS + f"SELECT CAST(k AS VARCHAR) AS run_id, substr(url, 9) AS product_key, {_PRODUCT} FROM g")
+def single_product_seeds(spark, sf_dir):
+    """Runs that start on a page without links are about that product."""
+    pages = R.product_pages(spark, sf_dir, "jsonld").withColumn("html", F.regexp_replace("html", "(?s)<a .*?</a>", ""))
+    runs = pages.select(F.col("page_id").cast("string").alias("run_id"), F.col("url").alias("seed_url"))
+    return _exported(crawl_run(runs, pages, JobConfig()))
+
+
 _RESUMED = _ROWS + """, todo AS (SELECT *, sum(CASE WHEN lost THEN 0 ELSE 1 END) OVER (PARTITION BY brand ORDER BY page, url ROWS UNBOUNDED PRECEDING) AS nth
   FROM r WHERE k % 4 <> 1),
 reached AS (SELECT * FROM todo WHERE nth < 5 + b OR (nth = 5 + b AND NOT lost))
@@ -140,9 +148,20 @@ def _resumed(spark, sf_dir):
     return crawl_run(R.shop_runs(spark, sf_dir), R.shop_pages(spark, sf_dir), JobConfig(), processed=done, caps=caps)
 
 
+@query("crawl_resumed_counters", _RESUMED + """
+, e AS (SELECT brand, arg_max(page, (page, url)) AS page, max_by(url, (page, url)) AS url, count(*) FILTER (NOT lost) AS n, max(5 + b) AS cap, count(*) FILTER (lost) AS failed FROM reached GROUP BY brand),
+s AS (SELECT r.brand, count(*) AS skipped FROM r LEFT JOIN e USING (brand)
+  WHERE k % 4 = 1 AND (coalesce(e.n, 0) < coalesce(e.cap, 1) OR (r.page, r.url) < (e.page, e.url)) GROUP BY r.brand)
+SELECT brand AS run_id, CAST(coalesce(n, 0) AS BIGINT) AS exported, CAST(coalesce(skipped, 0) AS BIGINT) AS skipped, CAST(coalesce(failed, 0) AS BIGINT) AS failed
+FROM (SELECT DISTINCT brand FROM r) LEFT JOIN e USING (brand) LEFT JOIN s USING (brand)""")
+def crawl_resumed_counters(spark, sf_dir):
+    """Q3, Q4 and Q6: known links count only up to the cap's end."""
+    return _resumed(spark, sf_dir).counters.select("run_id", "exported", "skipped", "failed")
+
+
 @query("crawl_resumed_products", _RESUMED + f"SELECT brand AS run_id, product_key, {_PRODUCT} FROM reached WHERE NOT lost")
 def crawl_resumed_products(spark, sf_dir):
-    """Q3 and Q4 inside a crawl: known keys are never parsed, the cap ends a run."""
+    """Q3 and Q4 inside a crawl: pages of known keys are not parsed, but for seeds and samples; the cap ends a run."""
     return _exported(_resumed(spark, sf_dir))
 
 
@@ -160,7 +179,7 @@ docs AS (
 
 @query("sitemap_locations", _TREE + f"""
 , shard AS (SELECT 'https://' || host || '/sm/products-' || (i // {R.SHARD}) || '.xml.gz' AS url, count(*) AS n FROM g WHERE b % 3 <> 2 GROUP BY 1),
-flat AS (SELECT 'https://' || host || '/sitemap.xml' AS url, count(*) AS n FROM g WHERE b % 3 = 2 AND i < {R.SHARD} GROUP BY 1)
+flat AS (SELECT 'https://' || host || '/sitemap.xml' AS url, count(*) AS n FROM g WHERE b % 3 = 2 GROUP BY 1)
 SELECT url, CAST(0 AS BIGINT) AS nested, n + 1 AS pages FROM shard
 UNION ALL SELECT url, 0, n FROM flat
 UNION ALL SELECT o || CASE WHEN b % 3 = 0 THEN '/maps/index.xml' ELSE '/sitemap.xml' END, 3, 0 FROM t WHERE b % 3 <> 2
@@ -173,16 +192,28 @@ def sitemap_locations(spark, sf_dir):
     )
 
 
-@query("sitemap_walk", _TREE + "SELECT brand AS run_id, url, CAST(rank AS BIGINT) AS rank, in_branch FROM docs WHERE rank <= 40")
+@query("sitemap_walk", _TREE + "SELECT brand AS run_id, url, CAST(rank AS BIGINT) AS rank, in_branch FROM docs")
 def sitemap_walk(spark, sf_dir):
-    """Documents in visiting order, at most 40 per run."""
+    """Documents in visiting order."""
     parsed = M.parse_sitemaps(R.shop_sitemaps(spark, sf_dir))
     roots = M.sitemap_roots(R.shop_runs(spark, sf_dir), R.shop_robots(spark, sf_dir))
     return M.walk_sitemaps(roots, parsed).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@query("sitemap_walk_capped", _TREE + """, r AS (SELECT brand AS run_id, url, CAST(rank AS BIGINT) AS rank FROM docs WHERE rank <= 5)
+SELECT r.*, CASE WHEN n >= 5 THEN 'The sitemap walk ended at 5 documents; there may be more.' END AS warning
+FROM r JOIN (SELECT run_id, count(*) AS n FROM r GROUP BY 1) USING (run_id)""")
+def sitemap_walk_capped(spark, sf_dir):
+    """D15 with a cap of five documents and its warning."""
+    parsed = M.parse_sitemaps(R.shop_sitemaps(spark, sf_dir))
+    roots = M.sitemap_roots(R.shop_runs(spark, sf_dir), R.shop_robots(spark, sf_dir))
+    visited = M.walk_sitemaps(roots, parsed, 5)
+    return visited.join(M.cap_warnings(visited, 5, "documents"), "run_id", "left").select(
+        "run_id", "url", F.col("rank").cast("bigint").alias("rank"), "warning")
+
+
 _LISTED = f"""{GOODS}, u AS (SELECT brand, host, b, k, url, i, i // {R.SHARD} AS s, i % {R.SHARD} AS pos, name, kind, asp_c, mrp_c FROM g
-  WHERE b % 3 <> 2 AND i // {R.SHARD} <= 36)
+  WHERE b % 3 <> 2)
 """
 
 
@@ -197,7 +228,7 @@ def sitemap_products(spark, sf_dir):
 
 
 _CHECKED = _SEED.replace("WITH g0", "WITH g0", 1) + f""",
-u AS (SELECT * FROM g WHERE b % 3 <> 2 AND i // {R.SHARD} <= 36),
+u AS (SELECT * FROM g WHERE b % 3 <> 2),
 c AS (SELECT brand, count(*) AS n_urls, least(count(*), 3) AS n3, count(*) FILTER (i < 3 AND k % 50 <> 7) AS h3 FROM u GROUP BY brand),
 src AS (SELECT t.brand, t.host, t.b, c.n_urls, coalesce(h3 * 2 > n3, false) AS site, c.brand IS NOT NULL AS listed, d.good
   FROM (SELECT DISTINCT brand, host, b FROM g) t LEFT JOIN c USING (brand) JOIN d USING (brand))
@@ -217,7 +248,7 @@ def sitemap_sources(spark, sf_dir):
 
 @query("sitemap_run_products", _CHECKED + f"""
 SELECT brand AS run_id, substr(url, 9) AS product_key, {_PRODUCT} FROM g JOIN src USING (brand, host, b)
-WHERE k % 50 <> 7 AND ((site AND i // {R.SHARD} <= 36) OR (NOT site AND good AND i < 50 * {R.PER_PAGE}))""")
+WHERE k % 50 <> 7 AND (site OR good)""")
 def sitemap_run_products(spark, sf_dir):
     """The whole sitemap run with its fallback."""
     return _exported(sitemap_run(

@@ -27,10 +27,10 @@ SELECT product_key, page_id, title FROM (
     row_number() OVER (PARTITION BY {_HOST} || rtrim({encoded(_PATH)}, '/') ORDER BY page_id) AS rn
   FROM pages) WHERE rn = 1""")
 def pages_titles_dedup(spark, sf_dir):
-    """One title per page identity: choose the capture first, parse only that."""
+    """One title per page identity: parse where the bodies lie, then choose among narrow rows."""
     pages = table(spark, sf_dir, "pages").withColumn("product_key", product_key(canonical_url(F.col("url"))))
-    parsed = parse_pages(first_per_key(pages, ["product_key"], "page_id"))
-    return parsed.select("product_key", "page_id", fallback_fields()["name"].alias("title"))
+    titled = parse_pages(pages).select("product_key", "page_id", fallback_fields()["name"].alias("title"))
+    return first_per_key(titled, ["product_key"], "page_id")
 
 
 @query("page_nodes", """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfspark.config import PREVIEW_ROWS, JobConfig
@@ -84,7 +85,8 @@ def resumed_products(spark, sf_dir):
     """Q3: rows of known keys leave before any work, and are counted."""
     lines = R.line_products(spark, sf_dir)
     done = Q.validate(lines).where("usable and valid and l_linenumber = 1").select("run_id", "product_key")
-    todo, skipped = Q.split_processed(lines, done)
+    todo, known = Q.split_processed(lines, done)
+    skipped = Q.count_skipped(known)
     counted = todo.groupBy("run_id").agg(F.count("*").alias("todo")).join(skipped, "run_id", "full")
     return counted.select("run_id", F.coalesce("todo", F.lit(0)).alias("todo"), F.coalesce("skipped", F.lit(0)).alias("skipped"))
 
@@ -120,9 +122,10 @@ def product_preview(spark, sf_dir):
 # --------------------------------------------------------------------------
 # Requests
 # --------------------------------------------------------------------------
-_RUNS = """WITH r AS (SELECT CAST(o_orderkey AS VARCHAR) AS run_id, o_custkey % 100 AS s, o_orderkey % 40 AS d, o_orderkey % 17 <> 0 AS valid,
-  CAST(least(greatest(o_custkey * 7 - 100, 1), 5000) AS BIGINT) AS max_products, o_orderpriority = '1-URGENT' AS skip, o_orderdate AS created_at FROM orders),
-h AS (SELECT DISTINCT l_suppkey % 100 AS s, l_partkey % 40 AS d, true AS seen FROM lineitem WHERE l_returnflag = 'R'),
+_RUNS = """WITH r AS (SELECT CAST(o_orderkey AS VARCHAR) AS run_id, o_custkey % (SELECT count(*) FROM supplier) AS s, o_orderkey % 40 AS d, o_orderkey % 17 <> 0 AS http,
+  o_orderkey % 17 <> 0 AND coalesce(CASE WHEN o_orderkey % 5 > 0 THEN o_custkey * 7 - 100 END, 200) BETWEEN 1 AND 5000 AS valid,
+  CAST(coalesce(CASE WHEN o_orderkey % 5 > 0 THEN o_custkey * 7 - 100 END, 200) AS BIGINT) AS max_products, o_orderpriority = '1-URGENT' AS skip, o_orderdate AS created_at FROM orders),
+h AS (SELECT DISTINCT l_suppkey % (SELECT count(*) FROM supplier) AS s, l_partkey % 40 AS d, true AS seen FROM lineitem WHERE l_returnflag = 'R'),
 rb AS (SELECT s_suppkey AS s, s_suppkey % 6 AS m FROM supplier),
 j AS (SELECT r.*, seen, coalesce(m, 0) AS m, CAST(d AS VARCHAR) AS p FROM r LEFT JOIN h USING (s, d) LEFT JOIN rb USING (s)),
 k AS (SELECT *, CASE m WHEN 2 THEN false WHEN 3 THEN p LIKE '10%' OR p NOT LIKE '1%' WHEN 4 THEN p NOT LIKE '2%' WHEN 5 THEN p NOT LIKE '35%' ELSE true END AS allowed FROM j),
@@ -134,7 +137,7 @@ def _statuses(spark, sf_dir):
     runs = run_requests(R.order_requests(spark, sf_dir))
     gate = robots_gate(runs.select("run_id", "url"), robots_rules(R.supplier_robots(spark, sf_dir), JobConfig().user_agent))
     captured = R.table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").selectExpr(
-        "concat('https://supplier-', l_suppkey % 100, '.example/details/', l_partkey % 40) as url"
+        f"concat('https://supplier-', l_suppkey % {R.suppliers(spark, sf_dir)}, '.example/details/', l_partkey % 40) as url"
     ).distinct()
     return K.run_status(runs, gate, runs.select("run_id", "url").join(captured, "url", "left_semi"))
 
@@ -146,7 +149,7 @@ def requests(spark, sf_dir):
 
 
 @query("run_status", _RUNS + """
-SELECT run_id, status, CASE WHEN NOT valid THEN 'url must be an absolute http(s) URL' WHEN status = 'blocked' THEN
+SELECT run_id, status, CASE WHEN NOT http THEN 'url must be an absolute http(s) URL' WHEN NOT valid THEN 'max_products must be between 1 and 5000' WHEN status = 'blocked' THEN
     'https://supplier-' || s || '.example/robots.txt disallows this user-agent from fetching https://supplier-' || s || '.example/details/' || d
   WHEN status = 'error' THEN 'Could not load the page. The site likely blocks automated browsers, or the URL is unreachable.' END AS error,
   CASE WHEN skip THEN 'robots.txt check skipped at the caller''s request.' END AS warning FROM st""")
@@ -164,10 +167,13 @@ def job_records(spark, sf_dir):
     return records.select("run_id", "status", "exported", "has_csv")
 
 
-@query("newest_runs", "SELECT CAST(o_orderkey AS VARCHAR) AS run_id FROM orders ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) LIMIT 10")
+@query("newest_runs", "SELECT CAST(o_orderkey AS VARCHAR) AS run_id, dense_rank() OVER (ORDER BY o_orderdate DESC) AS day FROM orders")
 def newest_runs(spark, sf_dir):
-    """Q10 as a report: the ten newest runs."""
-    return R.order_requests(spark, sf_dir).orderBy(F.desc("created_at"), "run_id").limit(10).select("run_id")
+    """Q10: every run's record, newest first; ``day`` numbers the days of the records as they come."""
+    lines = R.line_products(spark, sf_dir).withColumn("run_id", F.col("l_orderkey").cast("string"))
+    records = K.job_records(_statuses(spark, sf_dir), K.run_counters(Q.settle(lines)))
+    days = records.select("created_at").distinct().withColumn("day", F.dense_rank().over(Window.orderBy(K.run_order(records)[0])).cast("bigint"))
+    return records.join(days, "created_at").select("run_id", "day")
 
 
 # --------------------------------------------------------------------------

@@ -10,16 +10,19 @@ from shelfspark.config import JobConfig
 from shelfspark.queries.registry import money, query
 from shelfspark.rendering import storefront as R
 from shelfspark.session import ensure_checkpoint_dir
-from shelfspark.streaming.jobs import captured_pages, page_products, start_product_stream
+from shelfspark.streaming.jobs import captured_pages, page_products, progress_totals, start_product_stream
 
 
-def _drain(spark, arrivals, again=()):
+def _drain(spark, arrivals, again=(), totals=None):
     """Land every batch of captures in a folder and drain it through the stream."""
     root = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     for batch in (*arrivals, *again):
-        batch.select("page_id", "url", "html").write.mode("append").parquet(f"{root}/pages")
+        (batch if "status" in batch.columns else batch.withColumn("status", F.lit(200))).select("page_id", "url", "html", "status").write.mode("append").parquet(f"{root}/pages")
         rows = page_products(captured_pages(spark, f"{root}/pages"), "stream", JobConfig())
-        start_product_stream(rows, f"{root}/products", f"{root}/checkpoint").awaitTermination()
+        stream = start_product_stream(rows, f"{root}/products", f"{root}/checkpoint")
+        stream.awaitTermination()
+        if totals is not None:
+            totals.append(progress_totals(stream))
     return spark.read.parquet(f"{root}/products")
 
 
@@ -35,11 +38,23 @@ def stream_products(spark, sf_dir):
 
 
 @query("stream_retries", """
-SELECT p_partkey AS k, 'failed' AS outcome, CAST(0 AS BIGINT) AS batch_id, CAST(NULL AS DOUBLE) AS asp FROM part WHERE p_partkey % 3 = 0
-UNION ALL SELECT p_partkey, 'exported', 1, CAST((CAST(round(p_retailprice * 100) AS BIGINT) + 100000 * (p_partkey % 3) - CASE WHEN p_partkey % 2 = 0 THEN 100 * p_size ELSE 0 END) / 100.0 AS DOUBLE) FROM part WHERE p_partkey % 3 = 0""")
+SELECT p_partkey AS k, 'failed' AS outcome, CAST(0 AS BIGINT) AS batch_id, CAST(NULL AS DOUBLE) AS asp FROM part
+UNION ALL SELECT p_partkey, 'exported', 1, CAST((CAST(round(p_retailprice * 100) AS BIGINT) + 100000 * (p_partkey % 3) - CASE WHEN p_partkey % 2 = 0 THEN 100 * p_size ELSE 0 END) / 100.0 AS DOUBLE) FROM part""")
 def stream_retries(spark, sf_dir):
     """ST3: a page that failed is extracted when a better capture arrives."""
-    good = R.product_pages(spark, sf_dir, "jsonld").where("page_id % 3 = 0")
+    good = R.product_pages(spark, sf_dir, "jsonld")
     bad = good.withColumn("html", F.lit("<html><body>later</body></html>"))
     out = _drain(spark, (bad, good))
     return out.select(F.col("discovery_ord").alias("k"), "outcome", F.col("batch_id").cast("bigint").alias("batch_id"), money("asp").alias("asp"))
+
+
+@query("stream_progress", """
+SELECT b AS batch, CAST(count(*) FILTER (b < 2 OR p_partkey % 4 <> 1) AS BIGINT) AS pages, CAST(count(*) FILTER (b < 2 OR p_partkey % 4 <> 1) AS BIGINT) AS products
+FROM part, LATERAL (SELECT unnest([0, 1, 2]) AS b) WHERE p_partkey % 3 = b GROUP BY 1""")
+def stream_progress(spark, sf_dir):
+    """ST4 and ST1: live counters of three arrivals; captures that were refused are not seen."""
+    pages, totals = R.product_pages(spark, sf_dir, "jsonld"), []
+    last = pages.where("page_id % 3 = 2").withColumn("status", F.expr("if(page_id % 4 = 1, 503, 200)"))
+    _drain(spark, (pages.where("page_id % 3 = 0"), pages.where("page_id % 3 = 1"), last), totals=totals)
+    rows = [(i, t["pages"], t["products"]) for i, t in enumerate(totals)]
+    return spark.createDataFrame(rows, "batch int, pages bigint, products bigint")

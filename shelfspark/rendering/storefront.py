@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from shelfspark.config import DETAIL_KEY
 from shelfspark.operators.ranking import with_place
 from shelfspark.session import stored
-from shelfspark.sources.captures import spread
 
+TASKS = 16
 PER_PAGE = 20
 SHARD = 100
 
@@ -29,7 +29,8 @@ _WRITTEN: dict[tuple, DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    """A given table, dealt out: each is one row group, which no scan can split."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").repartition(TASKS)
 
 
 def written(render):
@@ -92,6 +93,7 @@ JSON_LD = """concat('<script type="application/ld+json">{"@type": "Product", "na
     case k % 3 when 0 then concat('"../img/', k, '.jpg"')
                when 1 then concat('["/img/', k, '.jpg","/img/second.jpg"]')
                else concat('{"@type":"ImageObject","url":"//', host, '/img/', k, '.jpg"}') end,
+    if(k % 7 = 0, ',"weight":NaN,"depth":[-Infinity]', ''),
     ',"offers":', case k % 4
         when 0 then concat('{"@type":"Offer","price":"', asp_text, '"}')
         when 1 then concat('[{"price":', asp_c div 100, '.', lpad(cast(asp_c % 100 as string), 2, '0'), '},{"price":1}]')
@@ -296,9 +298,11 @@ def shop_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     shard_docs = shards.where("b % 3 <> 2").selectExpr(
         "concat('https://', host, '/sm/products-', s, '.xml.gz') as url", "200 as status",
-        f"concat('<?xml version=\"1.0\"?><urlset {ns}>', locs, '<url><loc>https://stray.example/details/x?a=1&b=2</loc></url></urlset>') as text",
+        f"concat('<?xml version=\"1.0\"?><urlset {ns}>', locs, if(s % 3 = 1, '<url><loc>https://x.example/y</lok></url>', ''), "
+        "'<url><loc>https://stray.example/details/x?a=1&b=2</loc></url></urlset>') as text",
     )
-    flat = shards.where("b % 3 = 2 and s = 0").selectExpr(
+    flat = shards.where("b % 3 = 2").groupBy("host").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("s", "locs"))), lambda c: c["locs"]), "").alias("locs")).selectExpr(
         "concat('https://', host, '/sitemap.xml') as url", "200 as status",
         f"concat('<urlset {ns}>', locs, '</urlset>') as text",
     )
@@ -324,12 +328,13 @@ def shop_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @written
 def shop_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Robots files of the brand shops; only some name a sitemap."""
-    return goods(spark, sf_dir).select("brand", "host").distinct().selectExpr(
+    """Robots files of the brand shops, captured twice; only some name a sitemap."""
+    good = goods(spark, sf_dir).select("brand", "host").distinct().selectExpr(
         "concat('https://', host) as origin", "200 as status",
         """concat('User-agent: *\\nDisallow: /cart\\n', if(cast(substring(brand, 7) as int) % 3 = 0,
             concat('SiteMap:  https://', host, '/maps/index.xml\\n'), 'Sitemap:\\n')) as body""",
     )
+    return good.unionByName(good.selectExpr("origin", "503 as status", "'Sitemap: https://busy.example/x.xml' as body"))
 
 
 # --------------------------------------------------------------------------
@@ -407,8 +412,8 @@ def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------------------
 @written
 def supplier_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Robots files of supplier hosts in six forms, one of them absent."""
-    return table(spark, sf_dir, "supplier").where("s_suppkey % 6 <> 0").selectExpr(
+    """Robots files of supplier hosts in six forms, one of them absent; answered ones have a failed capture too."""
+    files = table(spark, sf_dir, "supplier").where("s_suppkey % 6 <> 0").selectExpr(
         "concat('https://supplier-', s_suppkey, '.example') as origin",
         "if(s_suppkey % 6 = 1, 404, 200) as status",
         """case s_suppkey % 6 when 2 then '# closed\\nUser-agent: *\\nDisallow: /'
@@ -417,15 +422,21 @@ def supplier_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
             when 5 then 'User-agent: otherbot\\nDisallow: /\\n\\nUser-agent: *\\nDisallow: /details/3%35'
             else 'User-agent: *\\nDisallow: /' end as body""",
     )
+    return files.unionByName(files.where("status = 200").selectExpr("origin", "500 as status", "'User-agent: *\\nDisallow: /' as body"))
+
+
+def suppliers(spark: SparkSession, sf_dir: str) -> int:
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
 
 
 def order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as run requests on supplier hosts."""
+    """Orders as run requests on supplier hosts; a fifth names no cap, some caps are out of bounds."""
+    n = suppliers(spark, sf_dir)
     return table(spark, sf_dir, "orders").selectExpr(
         "cast(o_orderkey as string) as run_id",
-        """case when o_orderkey % 17 = 0 then concat('ftp://supplier-', o_custkey % 100, '.example/details/1')
-             else concat(' https://supplier-', o_custkey % 100, '.example/details/', o_orderkey % 40, ' ') end as url""",
-        "cast(o_custkey * 7 - 100 as int) as max_products",
+        f"""case when o_orderkey % 17 = 0 then concat('ftp://supplier-', o_custkey % {n}, '.example/details/1')
+             else concat(' https://supplier-', o_custkey % {n}, '.example/details/', o_orderkey % 40, ' ') end as url""",
+        "cast(if(o_orderkey % 5 > 0, o_custkey * 7 - 100, null) as int) as max_products",
         "o_orderpriority = '1-URGENT' as ignore_robots",
         "o_orderdate as created_at",
     )

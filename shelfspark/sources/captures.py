@@ -5,26 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.config import MAX_PRODUCTS_LIMIT
+from shelfspark.config import DEFAULT_REQUESTED_PRODUCTS, MAX_REQUESTED_PRODUCTS
 from shelfspark.functions.text import strip
-from shelfspark.functions.urls import bare_url, canonical_url, is_http, product_key
+from shelfspark.functions.urls import bare_url, canonical_url, host_of, is_http, product_key
 from shelfspark.operators.ranking import first_per_key
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Page captures ``(page_id, url, html[, status])``."""
-    return spread(spark.read.parquet(path))
+def read_pages(spark: SparkSession, path: str, tasks: int | None = None) -> DataFrame:
+    """Page captures ``(page_id, url, html[, status])``.
 
+    ``tasks`` deals the captures out anew, for a table of a few files that can't be split.
+    """
+    pages = spark.read.parquet(path)
+    return pages.repartition(tasks) if tasks else pages
+
+
+def captures_of_hosts(pages: DataFrame, runs: DataFrame) -> DataFrame:
+    """Captures of the hosts that ``(run_id, seed_url)`` runs go to; the others need no parsing."""
+    hosts = runs.select(host_of(canonical_url(F.col("seed_url"))).alias("_host")).distinct()
+    return pages.withColumn("_host", host_of(canonical_url(F.col("url")))).join(hosts, "_host", "left_semi").drop("_host")
 
-def spread(scanned: DataFrame) -> DataFrame:
-    """Give a table of a few unsplittable files to all cores.
 
-    Only where the scan has fewer tasks than there are cores; a large table
-    passes through without a shuffle.
+def captures_to_do(pages: DataFrame, runs: DataFrame, processed: DataFrame, needed: DataFrame) -> DataFrame:
+    """Captures without those of products that every run of their host knows already.
+
+    ``needed`` has ``product_key`` of captures that are wanted in any case (seeds and samples).
     """
-    cores = scanned.sparkSession.sparkContext.defaultParallelism
-    tasks = scanned.rdd.getNumPartitions()
-    return scanned.repartition(cores) if tasks < cores else scanned
+    hosts = runs.select("run_id", host_of(canonical_url(F.col("seed_url"))).alias("_host"))
+    there = hosts.groupBy("_host").agg(F.countDistinct("run_id").alias("_runs"))
+    known = processed.join(hosts, "run_id").groupBy("_host", "product_key").agg(F.countDistinct("run_id").alias("_known"))
+    done = known.join(there, "_host").where("_known = _runs").select("_host", F.col("product_key").alias("_key"))
+    done = done.join(needed.select(F.col("product_key").alias("_key")), "_key", "left_anti")
+    keyed = pages.withColumns({"_host": host_of(canonical_url(F.col("url"))), "_key": product_key(canonical_url(F.col("url")))})
+    return keyed.join(done, ["_host", "_key"], "left_anti").drop("_host", "_key")
 
 
 def read_sitemap_files(spark: SparkSession, path: str) -> DataFrame:
@@ -69,11 +82,15 @@ def processed_keys(processed: DataFrame | None, run_id: str | None = None) -> Da
 
 
 def run_requests(requests: DataFrame) -> DataFrame:
-    """Requests with the product cap in its bounds and ``valid`` (absolute http(s))."""
-    return requests.withColumn("url", strip(F.col("url"))).withColumn(
-        "max_products",
-        F.least(F.greatest(F.coalesce("max_products", F.lit(200)), F.lit(1)), F.lit(MAX_PRODUCTS_LIMIT)),
-    ).withColumn("valid", is_http(F.col("url")))
+    """Requests with ``valid`` and ``refusal``.
+
+    An address must be absolute http(s), a product cap lie between 1 and the most a request
+    may ask for; a request without a cap gets the default.
+    """
+    url, cap = strip(F.col("url")), F.coalesce("max_products", F.lit(DEFAULT_REQUESTED_PRODUCTS))
+    refusal = F.when(~F.coalesce(is_http(url), F.lit(False)), F.lit("url must be an absolute http(s) URL")).when(
+        ~cap.between(1, MAX_REQUESTED_PRODUCTS), F.lit(f"max_products must be between 1 and {MAX_REQUESTED_PRODUCTS}"))
+    return requests.withColumns({"url": url, "max_products": cap}).withColumn("refusal", refusal).withColumn("valid", F.col("refusal").isNull())
 
 
 def read_product_csv(spark: SparkSession, path: str) -> DataFrame:

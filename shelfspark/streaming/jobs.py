@@ -8,7 +8,6 @@ known keys, keeps the first of the rest, and appends.
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
@@ -21,7 +20,7 @@ from shelfspark.operators.quality import settle
 from shelfspark.operators.signals import with_signals
 from shelfspark.sources.captures import readable
 
-PAGES_SCHEMA = "page_id bigint, url string, html string"
+PAGES_SCHEMA = "page_id bigint, url string, html string, status int"
 
 
 def captured_pages(spark: SparkSession, path: str, schema: str = PAGES_SCHEMA, files: int = 0) -> DataFrame:
@@ -44,10 +43,11 @@ def page_products(pages: DataFrame, run_id: str, config: JobConfig) -> DataFrame
 
 def _earlier_batches(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
     """What earlier batches wrote; a repeat of this batch does not see itself."""
-    try:
-        return spark.read.parquet(path).where(F.col("batch_id") < batch_id)
-    except AnalysisException:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder) or not files.listStatus(folder):
         return None
+    return spark.read.parquet(path).where(F.col("batch_id") < batch_id)
 
 
 def start_product_stream(
@@ -85,6 +85,12 @@ def start_product_stream(
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def progress_totals(stream: StreamingQuery) -> dict[str, int]:
+    """Pages seen and products extracted by the micro-batches a query still remembers."""
+    seen = [p.observedMetrics["progress"] for p in stream.recentProgress if "progress" in p.observedMetrics]
+    return {name: sum(m[name] for m in seen) for name in ("pages", "products")}
+
+
 class ProgressCounter(StreamingQueryListener):
     """Live totals of pages seen and products extracted."""
 

@@ -106,3 +106,21 @@ def test_routing(spark):
     hosts = ["www.shop.example", "shop.example", "x.de.shop.example", "notshop.example", "shop.example.org"]
     got = route(spark.createDataFrame([(f"https://{h}/x",) for h in hosts], "url string"), adapters)
     assert {r.url.split("/")[2]: r.source for r in got.collect()} == dict(zip(hosts, ["api", "api", "sitemap", "generic", "generic"]))
+
+
+def test_locations_survive_broken_xml(spark):
+    body = b"<?xml version='1.0'?><x:urlset xmlns:x='u'><x:url><x:loc>https://s.example/a?x=1&y=2</x:loc></x:url><url><loc>lost</lok></url>" \
+           b"<!-- <loc>no</loc> --><url><loc> <![CDATA[https://s.example/b]]> </loc></url><sitemap><loc>https://s.example/n.xml</loc></sitemap><url><loc>https://s.example/c</loc></url>"
+    docs = spark.createDataFrame([("https://s.example/m.xml", 200, body)], "url string, status int, body binary")
+    got = M.parse_sitemaps(docs).collect()[0]
+    assert got.pages == ["https://s.example/a?x=1&y=2", "https://s.example/b", "https://s.example/c"]
+    assert got.nested == ["https://s.example/n.xml"]
+
+
+def test_one_robots_row_per_origin(spark):
+    files = spark.createDataFrame(
+        [("https://s.example", 500, "x"), ("https://s.example", 200, "User-agent: *\nDisallow: /a"), ("https://s.example", 200, "User-agent: *\nDisallow: /z")],
+        "origin string, status int, body string")
+    urls = spark.createDataFrame([("https://s.example/a/1",)], "url string")
+    from shelfspark.operators.robots import robots_gate, robots_rules
+    assert [r.allowed for r in robots_gate(urls, robots_rules(files, "bot")).collect()] == [False]

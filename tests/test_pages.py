@@ -153,3 +153,8 @@ def test_next_links(spark):
 ])
 def test_lazy_signal(spark, html, want):
     assert by_page(with_lazy_signal(parsed(spark, [html])), "lazy_load") == [want]
+
+
+def test_json_without_numbers_of_its_own():
+    from shelfspark.operators.parse import _json_ld_block
+    assert _json_ld_block('{"@type":"Product","weight":NaN,"d":[Infinity,1.5]}')[2] == '{"@type": "Product", "weight": null, "d": [null, 1.5]}'

@@ -6,10 +6,9 @@ import pytest
 from oracle import compare, connect
 
 import __spark_entry__ as entry
+from shelfspark.queries.registry import ORACLES, QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-# whole runs that take long to plan; set ALL_QUERIES=1 to include them
-LONG = {"crawl_patterns", "crawl_counters", "crawl_resumed_products", "sitemap_sources", "sitemap_run_products"}
 
 
 @pytest.fixture(scope="module")
@@ -17,11 +16,9 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_agrees_with_sql(spark, con, name):
-    if name in LONG and not os.environ.get("ALL_QUERIES"):
-        pytest.skip("long")
-    rows, _, difference = compare(spark, con, name, entry.queries()[name], entry.oracle_sql().get(name), SF_DIR)
+    rows, _, difference = compare(spark, con, name, QUERIES[name], ORACLES.get(name), SF_DIR)
     assert difference is None
     assert rows > 0
 

@@ -64,7 +64,7 @@ def test_admission(spark):
     adapters = spark.createDataFrame([("s.example", "sitemap")], "domain string, source string")
     pages = pages_of(spark, [(f"{S}/x", "x"), (f"{S}/private/", "x")])
     got = {r.run_id: (r.status, r.max_products, r.source) for r in admit_runs(requests, robots, adapters, pages, JobConfig()).collect()}
-    assert got == {"a": ("done", 5000, "sitemap"), "b": ("blocked", 1, "sitemap"), "c": ("done", 5, "sitemap"), "d": ("error", 5, "generic"), "e": ("error", 5, "sitemap")}
+    assert got == {"a": ("error", 9999, "sitemap"), "b": ("error", 0, "sitemap"), "c": ("done", 5, "sitemap"), "d": ("error", 5, "generic"), "e": ("error", 5, "sitemap")}
 
 
 def test_first_capture_is_chosen_on_narrow_columns(spark):
@@ -93,3 +93,37 @@ def test_sitemap_files(spark, tmp_path):
     (tmp_path / "a.xml").write_bytes(b"<urlset/>")
     row = read_sitemap_files(spark, str(tmp_path)).collect()[0]
     assert row.url.endswith("/a.xml") and bytes(row.body) == b"<urlset/>" and row.status == 200
+
+
+def test_known_products_are_not_parsed_and_count_up_to_the_cap(spark, monkeypatch):
+    from shelfspark.plans import runs as plan
+    links = "".join(f'<a href="/d/{i}">x</a>' for i in range(8))
+    pages = pages_of(spark, [(f"{S}/all", links)] + [(f"{S}/d/{i}", product(f"n{i}")) for i in range(8)] + [("https://t.example/d/1", product("other"))])
+    runs = spark.createDataFrame([("r", f"{S}/all")], "run_id string, seed_url string")
+    done = spark.createDataFrame([("r", f"s.example/d/{i}") for i in (3, 6, 7)], "run_id string, product_key string")
+    caps = spark.createDataFrame([("r", 4)], "run_id string, max_products int")
+    parsed = []
+    whole = plan.page_facts
+    monkeypatch.setattr(plan, "page_facts", lambda p, c: parsed.append(p) or whole(p, c))
+    result = crawl_run(runs, pages, JobConfig(), processed=done, caps=caps)
+    assert sorted(r.name for r in result.exported.collect()) == ["n0", "n1", "n2", "n4"]
+    assert result.counters.collect()[0].skipped == 1  # 6 and 7 lie behind the cap
+    last = {r.url.removeprefix(S) for r in parsed[-1].collect()}
+    assert last == {"/all", "/d/0", "/d/1", "/d/2", "/d/4", "/d/5"}
+
+
+def test_caps_above_any_bound_hold(spark):
+    from shelfspark.operators.quality import settle
+    rows = spark.range(7000).selectExpr(
+        "'r' as run_id", "id as discovery_ord", "cast(id as string) as product_key", "'n' as name", "'i' as image_url", "'u' as product_url",
+        "cast(2 as decimal(28,10)) as mrp", "cast(1 as decimal(28,10)) as asp")
+    for cap, want in ((6000, 6000), (0, 7000), (9000, 7000)):
+        caps = spark.createDataFrame([("r", cap)], "run_id string, max_products int")
+        assert settle(rows, caps).where("outcome = 'exported'").count() == want
+
+
+def test_a_run_without_a_pattern_walks_nowhere(spark):
+    pages = pages_of(spark, [(f"{S}/all", '<a href="/x/1">a</a><a href="/x/2">a</a><a href="/x/3">a</a><a rel="next" href="/all?page=2">n</a>'), (f"{S}/all?page=2", "x")])
+    runs = spark.createDataFrame([("r", f"{S}/all")], "run_id string, seed_url string")
+    result = crawl_run(runs, pages, JobConfig(max_listing_pages=1))
+    assert not [r for r in result.warnings.collect() if "listing pages" in r.warning]
