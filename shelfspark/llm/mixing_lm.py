@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 import uuid
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -49,17 +50,18 @@ def _huffman(counts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     """Per symbol where its path starts and how long it is; the inner nodes and bits of all paths."""
     heap = [(c, i, i) for i, c in enumerate(counts)]
     heapq.heapify(heap)
-    parent, side, n = {}, {}, len(counts)
+    n = len(counts)
+    parent, side = array("i", [-1]) * (2 * n), bytearray(2 * n)
     while len(heap) > 1:
         a, b = heapq.heappop(heap), heapq.heappop(heap)
         for bit, x in enumerate((a, b)):
             parent[x[2]], side[x[2]] = n, bit
         heapq.heappush(heap, (a[0] + b[0], n, n))
         n += 1
-    offsets, lengths, nodes, bits = [], [], [], []
+    offsets, lengths, nodes, bits = array("q"), array("q"), array("i"), bytearray()
     for i in range(len(counts)):
         path = []
-        while i in parent:
+        while parent[i] >= 0:
             path.append((parent[i] - len(counts), side[i]))
             i = parent[i]
         offsets.append(len(nodes))
@@ -67,7 +69,7 @@ def _huffman(counts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         for node, bit in reversed(path):
             nodes.append(node)
             bits.append(bit)
-    return np.array(offsets, np.int64), np.array(lengths, np.int64), np.array(nodes, np.int32), np.array(bits, np.int8)
+    return np.array(offsets, np.int64), np.array(lengths, np.int64), np.array(nodes, np.int32), np.frombuffer(bytes(bits), np.int8)
 
 
 class Code:
