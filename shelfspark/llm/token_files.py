@@ -14,6 +14,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,9 @@ END_ID = 0
 SEQUENCE = 2048
 #: Sequences in a record batch, so that a task buffers 8 MB of ids and a reader can skip.
 BATCH_SEQUENCES = 1024
-#: Words a worker remembers the ids of; the rest is encoded again.
-CACHE_WORDS = 1_000_000
+#: Words a task remembers the ids of, and those its worker keeps for the next task (the first
+#: met, so the common ones); the rest is encoded again.
+CACHE_WORDS, KEPT_WORDS = 500_000, 150_000
 
 #: A single space between two other characters: the tokenizer always cuts before it.
 CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -58,6 +60,10 @@ class Encoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
+    def shrink(self) -> None:
+        if len(self.known) > KEPT_WORDS:
+            self.known = dict(islice(self.known.items(), KEPT_WORDS))
+
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
         for i in range(0, len(texts), 20_000):
             for x in self.model.encode_batch_fast(texts[i:i + 20_000], add_special_tokens=False):
@@ -68,8 +74,8 @@ class Encoder:
         heads = {p[0] for p in pieces}
         new = {x for p in pieces for x in p[1:]} - self.known.keys()
         if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {}
-            new = {x for p in pieces for x in p[1:]}
+            self.shrink()
+            new = {x for p in pieces for x in p[1:]} - self.known.keys()
         # a piece that is empty or has white space at an end lies at no such cut
         odd = {x for x in new if not x or x[0].isspace() or x[-1].isspace()}
         self.known.update(dict.fromkeys(odd))
@@ -203,6 +209,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
             n_docs += batch.num_rows
         if writer is not None:
             writer.close()
+            encoder.shrink()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([stem]), pa.array([first.as_py()], first.type), pa.array([n_docs], pa.int64()), pa.array([writer.n], pa.int64())],
                 ["stem", "first_id", "n_docs", "n_ids"])
