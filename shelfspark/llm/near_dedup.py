@@ -253,8 +253,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
         shared, union = [], []
-        for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        left, right = batch.column("left"), batch.column("right")
+        for i in range(batch.num_rows):  # views: the sets are not copied out of the batch
+            p, q = np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64)
             both = np.concatenate([p, q])
             both.sort(kind="stable")
             n = int((both[1:] == both[:-1]).sum())
