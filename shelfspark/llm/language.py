@@ -18,8 +18,10 @@ CENTROIDS = 4
 #: Training documents of a language that its centroids are fitted on; the weights of the
 #: n-grams come from all training documents.
 SAMPLE = 512
-#: A text whose best cosine is below this share of the centroid's median is no language that was learned.
-REJECT = 0.5
+#: A text whose best cosine is below this share of what the centroid's own texts have is no
+#: language that was learned. A short text has few n-grams and so a smaller cosine by nature:
+#: what is expected of it shrinks with the root of their number.
+REJECT = 0.2
 SHARPNESS = 25.0
 UNKNOWN = "und"
 PIECE, ROWS = 1 << 20, 64
@@ -61,10 +63,10 @@ def fit_centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 
 class LanguageModel:
-    """idf by dimension, unit centroids, the language and the least cosine of each."""
+    """idf by dimension, unit centroids, and for each its language, least cosine and usual number of n-grams."""
 
-    def __init__(self, idf: np.ndarray, centroids: np.ndarray, of: list[int], langs: list[str], least: np.ndarray):
-        self.idf, self.centroids, self.of, self.langs, self.least = idf, centroids, np.array(of, np.int64), langs, least
+    def __init__(self, idf: np.ndarray, centroids: np.ndarray, of: list[int], langs: list[str], least: np.ndarray, usual: np.ndarray):
+        self.idf, self.centroids, self.of, self.langs, self.least, self.usual = idf, centroids, np.array(of, np.int64), langs, least, usual
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], list[float], list[bool]]:
         names, scores, rejected = [], [], []
@@ -75,8 +77,10 @@ class LanguageModel:
                 scores += [0.0] * len(part)
                 rejected += [True] * len(part)
                 continue
-            cos = vectors(term_counts(part), self.idf) @ self.centroids.T
+            counts = term_counts(part)
+            cos = vectors(counts, self.idf) @ self.centroids.T
             best = cos.argmax(axis=1)
+            expected = self.least[best] * np.sqrt(np.minimum(1, (counts > 0).sum(axis=1) / self.usual[best]))
             by_lang = np.stack([cos[:, self.of == j].max(axis=1) for j in range(len(self.langs))], axis=1)
             weight = np.exp(SHARPNESS * (by_lang - by_lang.max(axis=1, keepdims=True)))
             for row, text in enumerate(part):
@@ -87,7 +91,7 @@ class LanguageModel:
                     continue
                 names.append(self.langs[self.of[best[row]]])
                 scores.append(float(1 / weight[row].sum()))
-                rejected.append(bool(cos[row, best[row]] < self.least[best[row]]))
+                rejected.append(bool(cos[row, best[row]] < expected[row]))
         return names, scores, rejected
 
 
@@ -120,18 +124,20 @@ def fit_languages(train: DataFrame, sample: int = SAMPLE, centroids: int = CENTR
     chosen = stored(train.select("doc_id", "lang").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("doc_id", F.col("lang").alias("fit_lang")))
 
     def fit(table):  # no hints: Spark would read them
-        x = vectors(term_counts([t.encode() for t in table["text"].to_pylist()]), idf)
+        counts = term_counts([t.encode() for t in table["text"].to_pylist()])
+        x = vectors(counts, idf)
         c = fit_centroids(x, centroids)
         cos = x @ c.T
         own = cos.argmax(axis=1)
         least = [float(np.median(cos[own == j, j])) * reject if (own == j).any() else 0.0 for j in range(len(c))]
-        return pa.table({"lang": [table["lang"][0].as_py()] * len(c), "vector": [v.tobytes() for v in c], "least": least})
+        usual = [float(max(1, np.median((counts[own == j] > 0).sum(axis=1)))) if (own == j).any() else 1.0 for j in range(len(c))]
+        return pa.table({"lang": [table["lang"][0].as_py()] * len(c), "vector": [v.tobytes() for v in c], "least": least, "usual": usual})
 
     rows = train.join(chosen, (train["doc_id"].eqNullSafe(chosen["doc_id"])) & (train["lang"] == chosen["fit_lang"])).select("lang", "text").groupBy("lang").applyInArrow(
-        fit, "lang string, vector binary, least double").orderBy("lang").collect()
+        fit, "lang string, vector binary, least double, usual double").orderBy("lang").collect()
     langs = sorted({r["lang"] for r in rows})
     c = np.stack([np.frombuffer(r["vector"], np.float32) for r in rows]) if rows else np.zeros((0, DIMENSIONS), np.float32)
-    return LanguageModel(idf, c, [langs.index(r["lang"]) for r in rows], langs, np.array([r["least"] for r in rows]))
+    return LanguageModel(idf, c, [langs.index(r["lang"]) for r in rows], langs, np.array([r["least"] for r in rows]), np.array([r["usual"] for r in rows]))
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
