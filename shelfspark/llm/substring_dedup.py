@@ -235,7 +235,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor_bits: int = ANC
     whole = map_batches(sorted_blocks.where("keys IS NULL"), lambda b: pa.RecordBatch.from_arrays(
         [b.column("h"), b.column("ctx"), pa.array([np.frombuffer(x, np.int64) for x in b.column("least").to_pylist()], pa.list_(pa.int64()))],
         ["h", "ctx", "mins"]), "h long, ctx long, mins array<long>")
-    mins = stored(whole.unionByName(over))
+    mins = whole.unionByName(over)
 
     # a context that no smaller id shares anything with is done with here; one that a
     # smaller id has whole needs no look at its strings
@@ -255,17 +255,6 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor_bits: int = ANC
     return covered.unionByName(map_batches(partly, stretch, "doc_id long, text_key long, a long, b long"))
 
 
-def _without(keyed: DataFrame, some: DataFrame) -> DataFrame:
-    """Rows of ``keyed`` that are not in ``some`` (by doc_id and text_key).
-
-    A filter of fixed size lets most of them pass without a shuffle.
-    """
-    cell = F.xxhash64("doc_id", "text_key").bitwiseAND(F.lit(FILTER_BITS - 1))
-    marked = probe(keyed.withColumn("cell", cell), stored(pages(cell, some)), "cell", "hit").drop("cell")
-    left = marked.where("hit").join(some.select("doc_id", "text_key"), ["doc_id", "text_key"], "left_anti").select(*marked.columns)
-    return marked.where("NOT hit").unionByName(left).drop("hit")
-
-
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, anchor_bits: int = ANCHOR_BITS, block: int = BLOCK) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256: one row per row of ``docs``.
 
@@ -277,15 +266,9 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, anchor_bits: int = A
     Other columns are ignored. ``length`` is 31 at least.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    # whole copies of a smaller doc_id's text: all their strings start there, and what they hold adds nothing
     keyed = rows.withColumn("text_key", F.xxhash64("text"))
-    digests = stored(keyed.where("doc_id IS NOT NULL").select("doc_id", "text_key", F.unhex(F.sha2("text", 256)).alias("sha"), F.octet_length("text").cast("long").alias("n")))
-    firsts = digests.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    copies = stored(digests.join(stored(firsts), "sha").where("doc_id > first").select("doc_id", "text_key", "n").distinct())
-    own = _without(keyed, copies)
-    spans = repeated_spans(own.where("doc_id IS NOT NULL").select("doc_id", "text"), length, anchor_bits, block)
-    by_text = stored(spans.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("a", "b")).alias("spans")).unionByName(
-        copies.where(F.col("n") >= length).select("doc_id", "text_key", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b"))).alias("spans"))))
+    spans = repeated_spans(rows.where("doc_id IS NOT NULL"), length, anchor_bits, block)
+    by_text = stored(spans.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
     cell = F.col("text_key").bitwiseAND(F.lit(FILTER_BITS - 1))
     marked = probe(keyed.withColumn("cell", cell), stored(pages(cell, by_text)), "cell", "hit").drop("cell")
     plain = marked.where("NOT hit").select(
