@@ -457,3 +457,10 @@ def line_products(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('parts.example/details/', l_partkey) as product_key",
         "l_quantity <> 13 as usable",
     )
+
+
+#: Inputs that are written once, with their arguments.
+INPUTS = (
+    (numbered_goods,), (listing_pages,), (mixed_pages,), (breadcrumb_pages,), (signal_pages,), (shop_pages,), (shop_runs,), (shop_sitemaps,), (shop_robots,), (feed_pages,), (feed_seed,), (detail_pages,), (supplier_robots,),
+    *((product_pages, kind) for kind in ("jsonld", "microdata", "embedded")),
+)
