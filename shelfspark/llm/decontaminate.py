@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import io
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from shelfspark.session import ensure_checkpoint_dir
 WINDOW = 10
 #: Windows that one broadcast holds. A larger benchmark is laid out in slices of this size.
 MAX_WINDOWS = 200_000
+#: Texts whose words a task holds at a time.
+TEXTS = 500
 #: What is no word character becomes a space, A-Z become a-z; bytes from 0x80 belong to words.
 FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -109,7 +112,7 @@ def _slices(windows: DataFrame, limit: int) -> list:
 
 
 def _scanner(items: DataFrame, window: int, max_windows: int):
-    """A function that gives each text's words and its (start, length, items) hits."""
+    """A function that gives each text's words and its (start, length, items) hits, in order."""
     loaders = _slices(_item_windows(items, window), max_windows)
     held: dict[int, WindowIndex] = {}
 
@@ -119,14 +122,15 @@ def _scanner(items: DataFrame, window: int, max_windows: int):
             held[k] = WindowIndex(*loaders[k]())
         return held[k]
 
-    def scan(texts: list[bytes]) -> tuple[list[list[bytes]], list[list]]:
-        split = [words_of(t) for t in texts]
-        hits: list[list] = [[] for _ in texts]
-        for k in range(len(loaders)):
-            own = index(k)
-            for words, into in zip(split, hits, strict=True):
-                into += own.scan(words)
-        return split, hits
+    def scan(texts: list[bytes]) -> Iterator[tuple[list[bytes], list]]:
+        for at in range(0, len(texts), TEXTS):
+            split = [words_of(t) for t in texts[at:at + TEXTS]]
+            hits: list[list] = [[] for _ in split]
+            for k in range(len(loaders)):
+                own = index(k)
+                for words, into in zip(split, hits, strict=True):
+                    into += own.scan(words)
+            yield from zip(split, hits, strict=True)
 
     return scan
 
@@ -136,7 +140,7 @@ def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, max
     scan = _scanner(items, window, max_windows)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.filter(pa.array([not h for h in scan(texts_of(batch))[1]], pa.bool_()))
+        return batch.filter(pa.array([not hits for _, hits in scan(texts_of(batch))], pa.bool_()))
 
     return map_batches(docs, each, docs.schema)
 
@@ -155,9 +159,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_w
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = texts_of(batch)
-        split, hits = scan(texts)
         cols: list[list] = [[] for _ in range(7)]
-        for text, words, found in zip(texts, split, hits, strict=True):
+        for text, (words, found) in zip(texts, scan(texts), strict=True):
             names = sorted({i for _, _, ids in found for i in ids})
             hit = np.zeros(len(words) + 1, np.int64)
             for start, n, _ in found:
