@@ -1,4 +1,8 @@
-"""MinHash near-dedup with an LSH forest: neighbours in several sorted signature orders."""
+"""MinHash near-dedup with an LSH forest: neighbours in several sorted signature orders.
+
+Where an order is too crowded to compare all rows that share a prefix, the rows are joined
+again by the rare shingles of their whole sets, so no link depends on the order.
+"""
 
 from __future__ import annotations
 
@@ -28,6 +32,10 @@ NEIGHBOURS = 3
 #: Sets of 0.8 agree in 0.85 of their 2-bit values; fewer than this are 5 deviations off.
 LEAST_AGREEING = round(0.69 * FUNCTIONS)
 
+#: Rows whose shingles are counted to tell rare from common, and the cells they are counted
+#: in. Any order of the shingles gives the same pairs; a good one gives them sooner.
+ORDER_SAMPLE, ORDER_BITS = 16384, 21
+
 _rng = np.random.default_rng(20240608)
 MULTIPLIERS = (_rng.integers(0, 2**32, FUNCTIONS, np.uint64) | np.uint64(1)).astype(np.uint32)
 MASKS = _rng.integers(0, 2**32, FUNCTIONS, np.uint64).astype(np.uint32)
@@ -186,15 +194,24 @@ def _border(depths: np.ndarray, hubs: np.ndarray) -> tuple[np.ndarray, np.ndarra
             np.unique(np.concatenate([np.arange(max(since, n - REGION), n), hubs[hubs >= since][:REGION]])))
 
 
+def _crowded(depths: np.ndarray) -> np.ndarray:
+    """Whether a row's region is too large for all its pairs."""
+    first = np.flatnonzero(depths < MIN_DEPTH)
+    sizes = np.diff(np.append(first, len(depths)))
+    crowded = sizes > REGION
+    return np.repeat(crowded, sizes)
+
+
 PAIR_ROW = "pid int, border int, tree int, label binary, sketch binary, a long, b long"
 
 
-def candidates(trees: DataFrame) -> DataFrame:
-    """a < b: distinct pairs of classes that are near in some tree.
+def candidates(trees: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """a < b: distinct pairs of classes that are near in some tree; id: classes with more in some tree than was compared.
 
     The orders are range-partitioned by tree, label and id, so a label that many classes
     share spreads over tasks. Regions cut by a border are joined again: each task hands on
-    some rows at its ends, and those of two adjoining tasks are compared.
+    some rows at its ends, and those of two adjoining tasks are compared. That finds most
+    pairs of a crowded or cut region early; ``crowded_pairs`` finds all.
     """
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [x for x in batches if x.num_rows]
@@ -208,6 +225,11 @@ def candidates(trees: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.full(n, pid, np.int32)), pa.array(np.full(n, -1, np.int32)), nothing(n, pa.int32()), nothing(n, pa.binary()), nothing(n, pa.binary()),
              pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], NAMES)
+        crowd = np.unique(table["id"].to_numpy()[_crowded(depths)])
+        m = len(crowd)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(m, pid, np.int32)), pa.array(np.full(m, -2, np.int32)), nothing(m, pa.int32()), nothing(m, pa.binary()), nothing(m, pa.binary()),
+             pa.array(crowd), nothing(m, pa.int64())], NAMES)
         for side, rows in enumerate(_border(depths, hubs)):
             part, m = table.take(pa.array(rows)), len(rows)
             yield pa.RecordBatch.from_arrays(
@@ -233,12 +255,79 @@ def candidates(trees: DataFrame) -> DataFrame:
     columns = ["meet", "tree", "label", F.col("a").alias("id"), "sketch"]
     meeting = starts.select(*columns).unionByName(ends.select(*columns)).dropDuplicates(["meet", "tree", "id"])
     over = meeting.repartition("meet").sortWithinPartitions("meet", "tree", "label", "id").mapInArrow(join, "a long, b long")
-    return made.where("border = -1").select("a", "b").unionByName(over).where("a < b").distinct()
+    return (made.where("border = -1").select("a", "b").unionByName(over).where("a < b").distinct(),
+            made.where("border = -2").select(F.col("a").alias("id")).distinct())
 
 
 NAMES = ["pid", "border", "tree", "label", "sketch", "a", "b"]
 
 
+def _among(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, text of the ids wanted and of some others: a filter of fixed size keeps most out."""
+    cell = F.xxhash64("doc_id").bitwiseAND(F.lit(FILTER_BITS - 1))
+    return probe(docs.withColumn("cell", cell), stored(pages(cell, wanted)), "cell", "hit").where("hit").select("doc_id", "text")
+
+
+def _rarity(docs: DataFrame, crowd: DataFrame, k: int) -> np.ndarray:
+    """By cell: how common its shingles are in some rows of the crowd, as a rank from 0 to 255."""
+    every = max(1, crowd.count() // ORDER_SAMPLE)
+    some = stored(crowd.select("doc_id").where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(every)) == 0))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << ORDER_BITS, np.int64)
+        for batch in batches:
+            for text in texts_of(batch):
+                np.add.at(total, (shingle_set(text, k) >> np.uint64(64 - ORDER_BITS)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["cell", "n"])
+
+    found = _among(docs, some).join(some, "doc_id", "left_semi").select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    ranks = np.zeros(1 << ORDER_BITS, np.uint8)
+    ranks[found["cell"].to_numpy()] = np.minimum(255, np.log2(1 + found["n"].to_numpy()) * 12)
+    return ranks
+
+
+def crowded_pairs(crowd: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """a < b: pairs of different components among ``crowd`` (doc_id, comp) that may be similar enough; none that is, is missing.
+
+    An exact set join. With all sets in one order, rare shingles first, the first shingle
+    that two similar sets share is among the first of both: they share no more than what
+    follows it. So only those few first shingles of a set meet, the shorter set's fewer
+    still, and a pair must have enough left behind the place where it meets. Shingles of one
+    component alone are dropped; in the others, rows of the commonest component meet the
+    rows of other components only, so a large group costs its size and not its square.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(_rarity(docs, crowd, k))
+
+    def first(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ranks, sizes, heads = sent.value, [], []
+        for text in texts_of(batch):
+            own = shingle_set(text, k)
+            n = len(own)
+            own = own[np.lexsort((own, ranks[(own >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]))]
+            sizes.append(n)
+            heads.append(own[:n - -(-percent * n // 100) + 1].view(np.int64))
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(heads, pa.list_(pa.int64()))], ["doc_id", "n", "head"])
+
+    heads = map_batches(_among(docs, crowd), first, "doc_id long, n long, head array<long>").where("n > 0")
+    rows = stored(heads.join(crowd, "doc_id").select("doc_id", "comp", "n", F.posexplode("head").alias("place", "shingle")))
+    met = rows.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("shingle").agg(
+        F.max_by("comp", F.struct("m", "comp")).alias("most"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    rows = stored(rows.join(met, "shingle").select("shingle", "doc_id", "comp", "n", "place", (F.col("comp") != F.col("most")).alias("other")))
+    # place < n - 2pn / (100 + p) + 1, in whole numbers: what the shorter set of a pair can have before the first it shares
+    short = rows.where(f"(n - place) * {100 + percent} >= {2 * percent} * n")
+    enough = F.expr(f"least(x.n - x.place, y.n - y.place) * {100 + percent} >= {percent} * (x.n + y.n)")
+    order = F.expr(f"(y.n < x.n OR y.n = x.n AND y.doc_id < x.doc_id) AND 100 * y.n >= {percent} * x.n AND x.comp <> y.comp")
+
+    def join(x: DataFrame, y: DataFrame) -> DataFrame:
+        return x.alias("x").join(y.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & order & enough).select(
+            F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
+
+    return join(rows.where("other"), short).unionByName(join(rows.where("NOT other"), short.where("other"))).distinct()
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """a, b, shared, n_union of the pairs whose whole sets are similar enough.
 
@@ -265,11 +354,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
         return pa.RecordBatch.from_arrays(
             [batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(union, pa.int64())], ["a", "b", "shared", "n_union"]).filter(ok)
 
-    # a filter of fixed size keeps the other texts out of the shuffle
-    cell = F.xxhash64("doc_id").bitwiseAND(F.lit(FILTER_BITS - 1))
     wanted = stored(wanted)
-    near = probe(docs.withColumn("cell", cell), stored(pages(cell, wanted)), "cell", "hit").where("hit").select("doc_id", "text")
-    own = stored(map_batches(near.join(wanted, "doc_id", "left_semi"), sets, "id long, own binary").where(F.octet_length("own") > 0))
+    own = stored(map_batches(_among(docs, wanted).join(wanted, "doc_id", "left_semi"), sets, "id long, own binary").where(F.octet_length("own") > 0))
     met = pairs.join(own.select(F.col("id").alias("a"), F.col("own").alias("left")), "a").join(
         own.select(F.col("id").alias("b"), F.col("own").alias("right")), "b")
     return map_batches(met, compare, "a long, b long, shared long, n_union long")
@@ -295,10 +381,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     texts_of_one = some.groupBy("doc_id").agg(F.min("set_key").alias("p"), F.max("set_key").alias("q"), F.count(F.lit(1)).alias("n")).where("p <> q")
     repeated = some.join(texts_of_one.select("doc_id"), "doc_id", "left_semi").join(classes.select("set_key", "id"), "set_key")
     ties = repeated.select(F.greatest("doc_id", "id").alias("a"), F.least("doc_id", "id").alias("b")).where("a <> b")
-    links = confirmed(candidates(forest(classes)), docs, k, percent)
-    roots = components(links.select("a", "b").unionByName(ties))
-    named = classes.select("set_key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select(
-        "set_key", F.coalesce("root", "id").alias("component_id"))
+    near, crowd = candidates(forest(classes))
+    links = confirmed(near, docs, k, percent).select("a", "b").unionByName(ties)
+    roots = components(links).withColumnRenamed("node", "id")
+    crowd = stored(crowd.join(roots, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("root", "id").alias("comp")))
+    more = confirmed(crowded_pairs(crowd, docs, k, percent), docs, k, percent)
+    # the components that the crowd's links tie together, by their roots alone
+    pairs = more.select("a", "b").join(crowd.select(F.col("doc_id").alias("a"), F.col("comp").alias("u")), "a").join(crowd.select(F.col("doc_id").alias("b"), F.col("comp").alias("v")), "b")
+    tops = components(pairs.select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()).select(F.col("node").alias("comp"), F.col("root").alias("top"))
+    named = classes.select("set_key", "id").join(roots, "id", "left").select("set_key", F.coalesce("root", "id").alias("comp")).join(tops, "comp", "left").select(
+        "set_key", F.coalesce("top", "comp").alias("component_id"))
     linked = some.join(stored(named), "set_key").select("doc_id", "n_shingles", "component_id")
     alone = rows.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -89,3 +89,11 @@ def test_words_of_long_texts_do_not_depend_on_the_cut():
     assert (whole[:977] == whole[977:1954]).all() and len(np.unique(whole)) == 977
     assert len(shingle_set(b"a B", 5)) == 1 and len(shingle_set(b"", 2)) == 0
     assert len(signature(shingle_set(text, 2))) == 128
+
+
+def test_pairs_inside_a_template_crowd(spark):
+    # all texts share 870 words: 0.769 to each other; 2i and 2i + 1 share 26 more: 0.811
+    shared = [f"t{i}" for i in range(870)]
+    rows = [(d, " ".join(shared + [f"p{d // 2}x{i}" for i in range(26)] + [f"d{d}x{i}" for i in range(104)])) for d in range(1600)]
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=1).collect()}
+    assert got == {d: d // 2 * 2 for d, _ in rows}
