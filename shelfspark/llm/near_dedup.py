@@ -195,10 +195,11 @@ def _border(depths: np.ndarray, hubs: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _crowded(depths: np.ndarray) -> np.ndarray:
-    """Whether a row's region is too large for all its pairs."""
+    """Whether a row's region is too large for all its pairs, or may go on in another task."""
     first = np.flatnonzero(depths < MIN_DEPTH)
     sizes = np.diff(np.append(first, len(depths)))
     crowded = sizes > REGION
+    crowded[[0, -1]] = True
     return np.repeat(crowded, sizes)
 
 

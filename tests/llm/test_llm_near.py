@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from shelfspark.llm import near_dedup
 from shelfspark.llm.components import components
 from shelfspark.llm.near_dedup import near_duplicates, signature
 from shelfspark.llm.shingles import shingle_set, word_hashes
@@ -97,3 +98,30 @@ def test_pairs_inside_a_template_crowd(spark):
     rows = [(d, " ".join(shared + [f"p{d // 2}x{i}" for i in range(26)] + [f"d{d}x{i}" for i in range(104)])) for d in range(1600)]
     got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=1).collect()}
     assert got == {d: d // 2 * 2 for d, _ in rows}
+
+
+@pytest.mark.parametrize("partitions", [8, 400])
+def test_a_star_does_not_depend_on_the_number_of_partitions(spark, monkeypatch, partitions):
+    # each edit changes 11 % of the base: 0.802 to it, about 0.65 to each other
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(200)]
+    rows = [(0, " ".join(base))]
+    for d in range(1, 1001):
+        words = list(base)
+        for i in rng.sample(range(200), 22):
+            words[i] = f"e{d}x{i}"
+        rows.append((d, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = near_dedup.candidates
+
+    def cut(trees):  # only the orders are cut so small
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            return whole(trees)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+    monkeypatch.setattr(near_dedup, "candidates", cut)
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicates(df, k=1).collect()} == {d: 0 for d, _ in rows}
