@@ -21,7 +21,7 @@ SAMPLE = 512
 #: A text whose best cosine is below this share of what the centroid's own texts have is no
 #: language that was learned. A short text has few n-grams and so a smaller cosine by nature:
 #: what is expected of it shrinks with the root of their number.
-REJECT = 0.2
+REJECT = 0.5
 SHARPNESS = 25.0
 UNKNOWN = "und"
 PIECE, ROWS = 1 << 20, 64

@@ -5,6 +5,7 @@ import zlib
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 from shelfspark.llm.language import fit_languages, identify, predict_languages
 from shelfspark.llm.queries import op8_language, op9_quality
@@ -69,3 +70,16 @@ def test_quality_hard_cases(spark):
     assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
     assert score_quality(docs.where("doc_id < 0"), labels).count() == 0
     assert len(statistics(b"a b")) == len(FEATURES)
+
+
+def test_a_language_not_learned_is_rejected_and_short_texts_stay(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").where("text IS NOT NULL AND lang IS NOT NULL")
+    langs = sorted(r["lang"] for r in docs.select("lang").distinct().collect())
+    for left_out in langs[:2]:
+        model = fit_languages(docs.where(F.col("lang") != left_out))
+        far = identify(docs.where((F.col("lang") == left_out) & (F.length("text") > 200)), model).collect()
+        assert np.mean([r["rejected"] for r in far]) > 0.9, left_out
+    words = docs.where("doc_id % 4 = 2").select("doc_id", F.array_join(F.slice(F.split("text", " "), 1, 12), " ").alias("text"), "lang")
+    # running text only: lists of made-up words between bars, and texts strewn with signs, are not clean
+    short = identify(words.where("length(text) > 40 AND NOT text RLIKE '[|%$*#=]'"), fit_languages(docs.where("doc_id % 4 <> 2"))).collect()
+    assert np.mean([r["rejected"] for r in short]) == 0
