@@ -59,6 +59,8 @@ def start_product_stream(
     a batch repeated after a crash ends with the same rows.  Failed and invalid
     pages are counted but not remembered, so a later capture is tried again.
     """
+    counts: dict[int, dict[str, int]] = {}  # of this run, by batch: a repeated batch counts once
+
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         # settling reads the batch twice; its pages are parsed once
@@ -76,18 +78,21 @@ def start_product_stream(
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("batch_id").parquet(out)
         )
+        counts[batch_id] = batch.agg(F.count(F.lit(1)).alias("pages"), F.count_if("usable").alias("products")).first().asDict()
         batch.unpersist()
 
     observed = products.observe(
         "progress", F.count(F.lit(1)).alias("pages"), F.count_if("usable").alias("products")
     )
     writer = observed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    stream = (writer.trigger(availableNow=True) if once else writer).start()
+    stream.batch_counts = counts
+    return stream
 
 
 def progress_totals(stream: StreamingQuery) -> dict[str, int]:
-    """Pages seen and products extracted by the micro-batches a query still remembers."""
-    seen = [p.observedMetrics["progress"] for p in stream.recentProgress if "progress" in p.observedMetrics]
+    """Pages seen and products extracted by all micro-batches of a run that ``start_product_stream`` began."""
+    seen = list(stream.batch_counts.values())
     return {name: sum(m[name] for m in seen) for name in ("pages", "products")}
 
 
