@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +15,7 @@ from shelfspark.llm.line_dedup import dedup_lines
 from shelfspark.llm.mixing import mix
 from shelfspark.llm.mixing_lm import held_out_fifth, score_texts
 from shelfspark.llm.near_dedup import near_duplicates
+from shelfspark.llm.periodic_runs import periodic_runs
 from shelfspark.llm.quality_model import score_quality
 from shelfspark.llm.registry import query
 from shelfspark.llm.substring_dedup import dedup_substrings
@@ -147,3 +150,20 @@ FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def periodic_rewrite(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The query's rule: every tenth document (by crc32 of its id) repeats a block of its words from some word on; without an id none does."""
+    h = zlib.crc32(str(doc_id).encode())
+    n, g = len(words), h // 10
+    if doc_id is None or h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    block = words[a:a + p]
+    return words[:a] + (block * ((n - a) // p + 1))[:n - a]
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(read_documents(spark, sf_dir), rewrite=periodic_rewrite, texts=False)
