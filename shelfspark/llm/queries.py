@@ -6,6 +6,7 @@ import zlib
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfspark.llm.common import LOWER, SPACE, UPPER, WORD, read_documents
 from shelfspark.llm.decontaminate import decontaminate
@@ -15,6 +16,7 @@ from shelfspark.llm.line_dedup import dedup_lines
 from shelfspark.llm.mixing import mix
 from shelfspark.llm.mixing_lm import held_out_fifth, score_texts
 from shelfspark.llm.near_dedup import near_duplicates
+from shelfspark.llm.nearest import code_vectors, search
 from shelfspark.llm.periodic_runs import periodic_runs
 from shelfspark.llm.quality_model import score_quality
 from shelfspark.llm.registry import query
@@ -152,6 +154,20 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+@query("op11_nearest", """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda c: c IS NOT NULL AND isfinite(c)))
+                 AND list_bool_or(list_transform(embedding, lambda c: coalesce(c <> 0, false)))),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.x, c.x) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.x) = len(c.x))
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score
+FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+""")
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return search(code_vectors(vectors), vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def periodic_rewrite(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """The query's rule: every tenth document (by crc32 of its id) repeats a block of its words from some word on; without an id none does."""
     h = zlib.crc32(str(doc_id).encode())
