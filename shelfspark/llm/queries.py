@@ -21,6 +21,7 @@ from shelfspark.llm.periodic_runs import periodic_runs
 from shelfspark.llm.quality_model import score_quality
 from shelfspark.llm.registry import query
 from shelfspark.llm.substring_dedup import dedup_substrings
+from shelfspark.llm.token_alignment import align
 from shelfspark.llm.token_files import read_tokens, token_folder, write_tokens
 
 SQL_TEXT = "coalesce(text, '')"
@@ -168,6 +169,12 @@ def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(code_vectors(vectors), vectors.where(F.col("vec_id") % 50 == 0))
 
 
+@query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return align(read_documents(spark, sf_dir), *paths, groups=False)[0]
+
+
 def periodic_rewrite(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """The query's rule: every tenth document (by crc32 of its id) repeats a block of its words from some word on; without an id none does."""
     h = zlib.crc32(str(doc_id).encode())
