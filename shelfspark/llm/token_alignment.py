@@ -19,6 +19,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +34,18 @@ from shelfspark.session import stored
 PLACES, LINKS = 1 << 16, 1 << 20
 #: Bytes of texts that are aligned together.
 PART_BYTES = 1 << 20
-#: Bytes of remembered words' results after which all are forgotten, and the longest word remembered.
-KNOWN_BYTES, WORD_CHARS = 48 << 20, 64
+#: Bytes of remembered words' results after which all are forgotten.
+KNOWN_BYTES = 96 << 20
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
+#: White space where a text is not cut at every space.
+ODD = re.compile(r" \s|\s |\A\s|\s\Z")
 A_SHIFT, B_SHIFT = np.uint64(40), np.uint64(16)  # 24 bits an id, 16 a place
 
 
 class _Words:
-    """Results of words: A and B tokens, groups, their text and links; ``good`` is False where B changes the bytes."""
+    """Results of words: tokens, groups, their text and links. ``sizes`` has n_a, n_b, n_groups and 1, or zeros
+    where B changes the word's bytes; a word's links are ``count`` of ``links`` from ``start`` on."""
 
     def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -50,58 +54,69 @@ class _Words:
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        vocabulary = self.a.get_vocab()
-        self.a_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        vocabulary, n_b = self.a.get_vocab(), self.b.get_piece_size()
+        n_a = max(vocabulary.values()) + 1
+        self.a_bytes = np.zeros(n_a, np.int64)
         for token, i in vocabulary.items():
             self.a_bytes[i] = len(token)  # the byte-level alphabet has a letter for each byte
-        self.b_bytes = []
-        for i in range(self.b.get_piece_size()):
+        self.pieces = []
+        for i in range(n_b):
             piece = self.b.id_to_piece(i)
-            self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
+            self.pieces.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
+        self.b_bytes = np.array([len(x) for x in self.pieces], np.int64)
+        # an id as text, inside and at the end of a group's half
+        self.a_text = [np.array([f"{i}{x}" for i in range(n_a)], object) for x in ",|"]
+        self.b_text = [np.array([f"{i}{x}" for i in range(n_b)], object) for x in ",;"]
         self.forget()
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.texts: list[str] = []
         self.sizes = np.zeros((0, 4), np.int64)
-        self.links: list[np.ndarray] = []
+        self.links, self.start, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.held = 0
 
-    def _aligned(self, word: str, a: list[int], b: list[int]) -> tuple[str, tuple[int, int, int, bool], np.ndarray]:
-        pieces = [self.b_bytes[i] for i in b]
-        whole = f" {word}".encode()
-        ends_a, ends_b = np.cumsum(self.a_bytes[a]), np.cumsum([len(p) for p in pieces])
-        if b"".join(pieces) != whole or ends_a[-1] != len(whole):
-            return "", (0, 0, 0, False), np.zeros(0, np.uint64)
-        _, in_a, in_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        groups, i, j = [], 0, 0
-        for x, y in zip((in_a + 1).tolist(), (in_b + 1).tolist(), strict=True):
-            groups.append(f"{','.join(map(str, a[i:x]))}|{','.join(map(str, b[j:y]))}")
-            i, j = x, y
-        links = (np.array(a, np.uint64)[in_a] << A_SHIFT) | (np.array(b, np.uint64)[in_b] << B_SHIFT)
-        return ";".join(groups), (len(a), len(b), len(groups), True), links
-
     def learn(self, words: list[str]) -> None:
-        new = []
         for at in range(0, len(words), 20_000):
-            part = words[at:at + 20_000]
-            in_a = self.a.encode_batch_fast([f" {w}" for w in part], add_special_tokens=False)
-            for word, a, b in zip(part, in_a, self.b.encode(part, num_threads=1), strict=True):
-                text, sizes, links = self._aligned(word, a.ids, b)
-                self.number[word] = len(self.texts)
-                self.texts.append(text)
-                new.append(sizes)
-                self.links.append(links)
-                self.held += 400 + 2 * len(word) + len(text) + links.nbytes
-        self.sizes = np.concatenate([self.sizes, np.array(new, np.int64).reshape(-1, 4)])
+            self._learn(words[at:at + 20_000])
+
+    def _learn(self, words: list[str]) -> None:
+        in_a = [x.ids for x in self.a.encode_batch_fast([f" {w}" for w in words], add_special_tokens=False)]
+        in_b = self.b.encode(words, num_threads=1)
+        get = self.pieces.__getitem__
+        good = np.array([b"".join(map(get, b)) == f" {w}".encode() for w, b in zip(words, in_b, strict=True)], bool)
+        in_a, in_b = ([x if ok else [] for x, ok in zip(own, good.tolist(), strict=True)] for own in (in_a, in_b))
+        n_a, n_b = (np.array([len(x) for x in own], np.int64) for own in (in_a, in_b))
+        a, b = (np.array(list(chain.from_iterable(own)), np.int64) for own in (in_a, in_b))
+        # offsets count on from word to word: words end at cuts in both
+        end_a, end_b = np.cumsum(self.a_bytes[a]), np.cumsum(self.b_bytes[b])
+        cut_a, cut_b = (np.isin(x, y, assume_unique=True) for x, y in ((end_a, end_b), (end_b, end_a)))
+        group_a, group_b = (np.cumsum(cut) - cut for cut in (cut_a, cut_b))  # the group of each token
+        of_a, of_b = (np.bincount(g, minlength=int(cut_a.sum())) for g in (group_a, group_b))
+        merged = np.empty(len(a) + len(b), object)  # each group's A tokens, then its B tokens
+        merged[np.arange(len(a)) + (np.cumsum(of_b) - of_b)[group_a]] = np.where(cut_a, self.a_text[1][a], self.a_text[0][a])
+        merged[np.arange(len(b)) + np.cumsum(of_a)[group_b]] = np.where(cut_b, self.b_text[1][b], self.b_text[0][b])
+        ends, parts = np.cumsum(n_a + n_b).tolist(), merged.tolist()
+        texts = ["".join(parts[x:y])[:-1] for x, y in zip([0, *ends], ends, strict=False)]
+        groups = np.bincount(np.repeat(np.arange(len(words)), n_a)[cut_a], minlength=len(words))
+        self.number.update(zip(words, range(len(self.texts), len(self.texts) + len(words)), strict=True))
+        self.texts += texts
+        self.sizes = np.concatenate([self.sizes, np.stack([n_a, n_b, groups, good], axis=1)])
+        self.start = np.concatenate([self.start, len(self.links) + np.cumsum(groups) - groups])
+        self.count = np.concatenate([self.count, groups])
+        self.links = np.concatenate([self.links, (a[cut_a].astype(np.uint64) << A_SHIFT) | (b[cut_b].astype(np.uint64) << B_SHIFT)])
+        self.held += sum(map(len, texts)) + 2 * sum(map(len, words)) + 250 * len(words) + 8 * int(groups.sum())
+
+    def links_of(self, numbers: np.ndarray) -> np.ndarray:
+        """The links of a sequence of words."""
+        count = self.count[numbers]
+        before = np.cumsum(count) - count
+        return self.links[np.repeat(self.start[numbers] - before, count) + np.arange(int(count.sum()))]
 
 
 def words_of(text: str) -> list[str]:
     """Stretches that both tokenizers read on their own; each but the first follows a space."""
-    words = text.split(" ")
-    if all(w and not w[0].isspace() and not w[-1].isspace() for w in words):
-        return words
-    return CUT.split(text)
+    return CUT.split(text) if ODD.search(text) else text.split(" ")
 
 
 class _Containers:
@@ -198,12 +213,7 @@ class _Aligner:
         flat, doc = flat[good[doc]], doc[good[doc]]
         lines = [";".join([known.texts[i] for i in own]) if ok else "" for own, ok in zip(found, good.tolist(), strict=True)]
         place = np.arange(len(texts)) + into.docs
-        into.add(len(texts), np.repeat(doc, [len(known.links[i]) for i in flat]),
-                 np.concatenate([np.zeros(0, np.uint64), *[known.links[i] for i in flat]]))
-        for w in {w for words in split for w in words if len(w) > WORD_CHARS}:
-            i = known.number.pop(w)
-            known.held -= len(known.texts[i])
-            known.texts[i], known.links[i] = "", np.zeros(0, np.uint64)
+        into.add(len(texts), np.repeat(doc, known.count[flat]), known.links_of(flat))
         return _batch(len(texts), container=pa.array(np.full(len(texts), into.id)), place=pa.array(place.astype(np.int32)), doc_id=ids,
                       n_a=pa.array(sums[:, 0]), n_b=pa.array(sums[:, 1]), n_groups=pa.array(sums[:, 2]),
                       groups_sha256=pa.array([hashlib.sha256(x.encode()).hexdigest() if ok else "" for x, ok in zip(lines, good.tolist(), strict=True)]),
