@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import shared_files
+from shelfspark.llm.common import in_arrow, release, shared_files
 from shelfspark.session import ensure_checkpoint_dir, stored
 
 END_ID = 0
@@ -150,10 +150,15 @@ class TokenFile:
         def source(x: str):
             name = f"{path}.{x}.arrow"
             return pa.memory_map(name) if fs.type_name == "local" else fs.open_input_file(name)
-        self.reader = pa.ipc.open_file(source("ids"))
-        self.docs = pa.ipc.open_file(source("docs"))
+        self._sources = [source("ids"), source("docs")]
+        self.reader, self.docs = (pa.ipc.open_file(x) for x in self._sources)
         self.length = self.reader.schema.field("ids").type.list_size
 
+    def close(self) -> None:
+        """Slices handed out before stay valid only where the file was read, not mapped."""
+        for x in self._sources:
+            x.close()
+
     def sequence(self, i: int) -> tuple[np.ndarray, pa.Array]:
         """The i-th sequence: its ids (a view) and its mask (a slice)."""
         batch = self.reader.get_batch(i // BATCH_SEQUENCES)
@@ -216,7 +221,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
 
     order = F.col("doc_id").asc_nulls_last()
     ordered = docs.select("doc_id", F.col("text").cast("string").alias("text")).repartitionByRange(order).sortWithinPartitions(order, F.col("text").asc_nulls_first())
-    parts = stored(ordered.mapInArrow(write, f"stem string, first_id {kind}, n_docs long, n_ids long"))
+    parts = stored(in_arrow(ordered, write, f"stem string, first_id {kind}, n_docs long, n_ids long"))
     before = Window.orderBy(F.col("first_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)  # one row per part
     return parts.select("stem", "n_docs", "n_ids", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long").alias("base"), "first_id")
 
@@ -226,6 +231,8 @@ def read_tokens(parts: DataFrame) -> DataFrame:
     kind = parts.schema["first_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _encoders.clear()  # of a pass that wrote in this worker
+        release()
         for batch in batches:
             for stem, base in zip(batch.column("stem").to_pylist(), batch.column("base").to_pylist(), strict=True):
                 file = TokenFile(stem)
@@ -240,9 +247,10 @@ def read_tokens(parts: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [own.column("doc_id"), pa.array(own.column("start").to_numpy() + base), own.column("n_tokens"), pa.array(crcs, pa.int64())],
                         ["doc_id", "start", "n_tokens", "ids_crc32"])
+                file.close()
 
     parts = stored(parts)
-    return parts.repartition(max(1, parts.count())).mapInArrow(read, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    return in_arrow(parts.repartition(max(1, parts.count())), read, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def token_folder(docs: DataFrame) -> str:
