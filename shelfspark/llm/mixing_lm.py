@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import remainder, shared_files, texts_of
+from shelfspark.llm.common import in_arrow, release, remainder, shared_files, texts_of
 from shelfspark.llm.suffix_groups import ranges
 from shelfspark.session import stored
 
@@ -87,6 +87,7 @@ class Code:
     def symbols(self) -> dict[bytes, int]:
         held = _held.get(self.uid)
         if held is None:
+            _evict(self)
             held = _held[self.uid] = {w: i for i, w in enumerate(self.words, 2)}
         return held
 
@@ -147,9 +148,16 @@ def _before(x: np.ndarray, group: np.ndarray, k: int) -> np.ndarray:
 _held: dict[str, object] = {}
 
 
-def _tables(code: Code) -> list[np.ndarray]:
+def _evict(code: Code) -> None:
+    """Drop what the worker holds of other codes, before it loads anything of this one."""
+    for old in [k for k in _held if not k.startswith(code.uid)]:
+        del _held[old]
+    release()
+
+
+def _tables(code: Code, kind: type = np.uint32) -> list[np.ndarray]:
     """Zero counts (zeros, ones) by cell for each predictor."""
-    return [np.zeros((n, 2), np.int64) for n in (code.nodes + 256, 1 << TABLE_BITS, 1 << TABLE_BITS)]
+    return [np.zeros((n, 2), kind) for n in (code.nodes + 256, 1 << TABLE_BITS, 1 << TABLE_BITS)]
 
 
 def _words(texts: list[bytes]) -> Iterator[list[list[bytes]]]:
@@ -178,7 +186,7 @@ def count_words(texts: DataFrame) -> DataFrame:
                 held = Counter()
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
-    return texts.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return in_arrow(texts.select("text"), count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def make_code(words: DataFrame, codebook: int = CODEBOOK) -> Code:
@@ -207,7 +215,8 @@ def gather_counts(texts: DataFrame, words: DataFrame, code: Code) -> DataFrame:
         for cells, bits in streams:
             tables = tables or _tables(sent.value)
             for table, cell in zip(tables, cells, strict=True):
-                table += np.bincount(cell * np.uint32(2) + bits.view(np.uint8), minlength=table.size).reshape(table.shape)
+                seen, n = np.unique(cell * np.uint32(2) + bits.view(np.uint8), return_counts=True)
+                table.reshape(-1)[seen] += n.astype(np.uint32)
         for k, table in enumerate(tables or ()):
             for at in range(0, len(table), 1 << CHUNK_BITS):
                 part = table[at:at + (1 << CHUNK_BITS)]
@@ -235,22 +244,21 @@ def gather_counts(texts: DataFrame, words: DataFrame, code: Code) -> DataFrame:
         if key:
             yield row()
 
-    parts = texts.select("text").mapInArrow(of_texts, CELL_ROW).unionByName(words.select("word").mapInArrow(of_words, CELL_ROW))
-    return stored(parts.repartition("predictor", "chunk").sortWithinPartitions("predictor", "chunk").mapInArrow(add, CELL_ROW))
+    parts = in_arrow(texts.select("text"), of_texts, CELL_ROW).unionByName(in_arrow(words.select("word"), of_words, CELL_ROW))
+    return stored(in_arrow(parts.repartition("predictor", "chunk").sortWithinPartitions("predictor", "chunk"), add, CELL_ROW))
 
 
 def load_predictors(files: list[str], code: Code) -> list[tuple[np.ndarray, np.ndarray]]:
     """The predictors' tables, read from the shared folder once per worker."""
     name = f"{code.uid}-counts"
     if name not in _held:
-        tables = [t.astype(np.float32) for t in _tables(code)]
+        _evict(code)
+        tables = _tables(code, np.float32)
         for uri in files:
             fs, path = shared_files(uri)
             for r in ds.dataset(path, filesystem=fs, format="parquet").to_table().to_pylist():
                 own = np.frombuffer(r["counts"], "<f4").reshape(-1, 2)
                 tables[r["predictor"]][r["chunk"] << CHUNK_BITS:][:len(own)] = own
-        for old in [k for k in _held if not k.startswith(code.uid)]:
-            del _held[old]
         _held[name] = predictors(tables)
     return _held[name]
 
@@ -361,7 +369,7 @@ def score_texts(docs: DataFrame, held_out: Column, codebook: int = CODEBOOK) ->
             row += len(texts)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = stored(rows.mapInArrow(score, f"doc_id {kind}, held_out boolean, row long, n_tokens long, known long, base double, score double, bytes long, tail array<binary>, tail_n array<long>"))
+    scored = stored(in_arrow(rows, score, f"doc_id {kind}, held_out boolean, row long, n_tokens long, known long, base double, score double, bytes long, tail array<binary>, tail_n array<long>"))
     # words outside the codebook: their counts come by a join, whatever the size of the vocabulary
     tail = scored.select("row", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.tail_n").alias("m"))
     least = int(code.counts[-1]) if len(code.words) == codebook else 0
