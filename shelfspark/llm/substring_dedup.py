@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.llm.cells import FILTER_BITS, CellFilter, pages, probe
-from shelfspark.llm.common import map_batches, texts_of, whole_text
+from shelfspark.llm.common import in_arrow, lean_batches, texts_of, whole_text
 from shelfspark.llm.suffix_groups import sort_suffixes
 from shelfspark.session import stored
 
@@ -160,7 +160,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor_bits: int = ANC
         h, n = np.unique(np.concatenate(own), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
-    counts = map_batches(docs.select("text"), once, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = lean_batches(docs.select("text"), once, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     repeated = CellFilter(counts.where("n > 1").select("h"), anchor_bits)
 
     def occur(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -173,7 +173,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor_bits: int = ANC
         kinds = [pa.int64()] * 5 + [pa.int32()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["h", "ctx", "doc_id", "text_key", "lo", "n"])
 
-    places = stored(map_batches(docs, occur, "h long, ctx long, doc_id long, text_key long, lo long, n int"))
+    places = stored(lean_batches(docs, occur, "h long, ctx long, doc_id long, text_key long, lo long, n int"))
     contexts = stored(places.groupBy("h", "ctx").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
     several = stored(contexts.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
     mixed = CellFilter(several.select("h"), anchor_bits)
@@ -213,10 +213,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor_bits: int = ANC
         if held:
             yield made(held)
 
-    own = map_batches(docs.select("text"), texts, "h long, ctx long, context binary").groupBy("h", "ctx").agg(F.max("context").alias("context"))
+    own = lean_batches(docs.select("text"), texts, "h long, ctx long, context binary").groupBy("h", "ctx").agg(F.max("context").alias("context"))
     dealt = own.join(several, "h").join(contexts.select("h", "ctx", "first"), ["h", "ctx"]).withColumn(
         "part", F.pmod("ctx", F.ceil(F.col("m") / block)).cast("long"))
-    sorted_blocks = stored(dealt.repartition("h", "part").sortWithinPartitions(F.desc("m"), "h", "part").mapInArrow(sort, "h long, ctx long, least binary, keys binary"))
+    sorted_blocks = stored(in_arrow(dealt.repartition("h", "part").sortWithinPartitions(F.desc("m"), "h", "part"), sort, "h long, ctx long, least binary, keys binary"))
 
     # (blocks of like size are sorted together, as a batch takes as many steps as its largest)
     # anchors of several blocks: the smallest of what the blocks found for equal strings
@@ -229,10 +229,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor_bits: int = ANC
             [pa.array(np.concatenate([np.arange(s, dtype=np.int32) for s in sizes])), pa.array(np.concatenate(keys)), pa.array(np.concatenate(least))],
             ["h", "ctx", "i", "k", "least"])
 
-    split = map_batches(sorted_blocks.where("keys IS NOT NULL"), unpack, "h long, ctx long, i int, k long, least long")
+    split = lean_batches(sorted_blocks.where("keys IS NOT NULL"), unpack, "h long, ctx long, i int, k long, least long")
     joined = split.drop("least").join(stored(split.groupBy("h", "k").agg(F.min("least").alias("least"))), ["h", "k"])
     over = joined.groupBy("h", "ctx").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "least"))), lambda x: x["least"]).alias("mins"))
-    whole = map_batches(sorted_blocks.where("keys IS NULL"), lambda b: pa.RecordBatch.from_arrays(
+    whole = lean_batches(sorted_blocks.where("keys IS NULL"), lambda b: pa.RecordBatch.from_arrays(
         [b.column("h"), b.column("ctx"), pa.array([np.frombuffer(x, np.int64) for x in b.column("least").to_pylist()], pa.list_(pa.int64()))],
         ["h", "ctx", "mins"]), "h long, ctx long, mins array<long>")
     mins = whole.unionByName(over)
@@ -252,7 +252,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor_bits: int = ANC
     met = places.join(known, ["h", "ctx"])
     covered = met.where("first < doc_id").select("doc_id", "text_key", F.col("lo").alias("a"), (F.col("lo") + F.col("n")).alias("b"))
     partly = met.where("first >= doc_id AND array_min(mins) < doc_id").select("doc_id", "text_key", "lo", "mins")
-    return covered.unionByName(map_batches(partly, stretch, "doc_id long, text_key long, a long, b long"))
+    return covered.unionByName(lean_batches(partly, stretch, "doc_id long, text_key long, a long, b long"))
 
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, anchor_bits: int = ANCHOR_BITS, block: int = BLOCK) -> DataFrame:
@@ -288,4 +288,4 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, anchor_bits: int = A
                                           ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
     touched = marked.where("hit").join(by_text, ["doc_id", "text_key"], "left").select("doc_id", "text", "spans")
-    return plain.unionByName(map_batches(touched, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"))
+    return plain.unionByName(lean_batches(touched, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"))
