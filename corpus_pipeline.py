@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.llm.cells import FILTER_BITS, pages, probe
-from shelfspark.llm.common import read_documents
+from shelfspark.llm.common import modest_batches, read_documents
 from shelfspark.llm.decontaminate import clean_documents
 from shelfspark.llm.language import accepted, fit_languages, held_out
 from shelfspark.llm.mixing import mixed_documents
@@ -25,6 +25,7 @@ from shelfspark.session import stored
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that language ID rejects: null texts, texts without letters, texts far from every language learned."""
+    modest_batches(spark)
     return accepted(docs, fit_languages(docs.where(~held_out())))
 
 
@@ -34,6 +35,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of rows that repeat a kept doc_id one stays, the one of the smallest text; rows without
     doc_id all stay.
     """
+    modest_batches(spark)
     decided = stored(near_duplicates(docs, k=5, percent=80).groupBy("doc_id").agg(
         F.bool_or("kept").alias("_kept"), F.count(F.lit(1)).alias("_n")).where("doc_id IS NOT NULL AND (NOT _kept OR _n > 1)"))
     # a filter of fixed size lets the texts pass that nothing is decided about; only the others shuffle
@@ -48,6 +50,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a window of a benchmark item."""
+    modest_batches(spark)
     return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
