@@ -95,15 +95,30 @@ def _without_dots(path: Column) -> Column:
     return F.when(path.rlike(r"(^|/)\.{1,2}(/|$)"), joined).otherwise(path)
 
 
+def _forward(url: Column) -> Column:
+    """Backslashes before the query count as slashes."""
+    slashed = F.concat(F.replace(F.regexp_extract(url, r"^[^?#]*", 0), F.lit("\\"), F.lit("/")), F.regexp_extract(url, _TAIL, 1))
+    return F.when(F.contains(url, F.lit("\\")), slashed).otherwise(url)
+
+
+def _ascii_host(netloc: Column) -> Column:
+    """The host's labels in their ASCII form (IDNA); a host that has none stays as it is."""
+    user, host, port = (F.regexp_extract(netloc, r"^(.*@)?([^@]*?)(:[0-9]*)?$", i) for i in (1, 2, 3))
+    plain = F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), host)
+    return F.when(netloc.rlike("[^\\x00-\\x7f]"), F.concat(user, F.coalesce(plain, host), port)).otherwise(netloc)
+
+
 def canonical_url(url: Column) -> Column:
     """The one spelling used for keys and joins; NULL unless http(s) with a host.
 
-    Lower-case scheme and host, no default port, a path of at least ``/``, no
-    dot segments, percent-encoding applied.
+    Lower-case scheme and host, international hosts in their ASCII form, no default or
+    empty port, a path of at least ``/``, backslashes before the query as slashes, no dot
+    segments, percent-encoding applied.
     """
-    def spelled(u: Column) -> Column:
+    def spelled(given: Column) -> Column:
+        u = _forward(given)
         netloc = F.regexp_replace(
-            F.concat_ws("://", scheme_of(u), F.lower(netloc_of(u))), "^(http://.*):80$|^(https://.*):443$", "$1$2"
+            F.concat_ws("://", scheme_of(u), _ascii_host(F.lower(netloc_of(u)))), "^(http://.*):(?:80)?$|^(https://.*):(?:443)?$", "$1$2"
         )
         path = F.coalesce(F.nullif(path_of(u), F.lit("")), F.lit("/"))
         path = let(let(path, _encode), _without_dots)

@@ -11,11 +11,13 @@ from shelfspark.config import (
     SAMPLE_SIZE,
     JobConfig,
 )
-from shelfspark.functions.urls import bucket_of, matches_template, product_key, segments_of
+from shelfspark.functions.urls import bare_url, bucket_of, canonical_url, matches_template, product_key, segments_of
 from shelfspark.operators.extract import GENERIC_CHAIN, extract_fields, looks_like_product
+from shelfspark.operators.membership import keep_members
 from shelfspark.operators.parse import parse_pages
+from shelfspark.operators.ranking import first_per_key
 from shelfspark.operators.signals import with_signals
-from shelfspark.sources.captures import captures_for_keys
+from shelfspark.sources.captures import capture_index, readable
 
 BUCKET = ["run_id", "depth", "first_segment"]
 
@@ -89,13 +91,16 @@ def cluster_samples(links: DataFrame, clusters: DataFrame) -> DataFrame:
 def product_verdicts(keys: DataFrame, pages: DataFrame, config: JobConfig) -> DataFrame:
     """``(product_key, hit)`` of the captured pages among ``keys``.
 
-    Only these captures are parsed; the rest of ``pages`` gives its key column.
+    Only captures of these keys are parsed; the rest of ``pages`` gives its address. What
+    is ranked and joined is a verdict per capture.
     """
-    parsed = parse_pages(captures_for_keys(keys, pages))
-    extracted = extract_fields(with_signals(parsed), GENERIC_CHAIN, config)
-    return extracted.select(
-        "product_key", looks_like_product(F.col("fields"), F.col("is_product_page")).alias("hit")
-    )
+    keys = keys.select("product_key")
+    wanted = capture_index(pages).join(keys, "product_key", "left_semi")
+    url = canonical_url(F.col("url"))
+    found = keep_members(readable(pages), wanted, "page_id").select("page_id", bare_url(url).alias("url"), product_key(url).alias("product_key"), "html")
+    extracted = extract_fields(with_signals(parse_pages(found)), GENERIC_CHAIN, config)
+    verdicts = extracted.select("product_key", "page_id", looks_like_product(F.col("fields"), F.col("is_product_page")).alias("hit"))
+    return first_per_key(verdicts.join(keys, "product_key", "left_semi"), ["product_key"], "page_id").drop("page_id")
 
 
 def verify_clusters(samples: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -6,18 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.functions import variants as V
+from shelfspark.operators.membership import keep_members
 from shelfspark.operators.parse import embedded_details
 from shelfspark.operators.ranking import first_per_key
 from shelfspark.operators.taxonomy import with_labels
 from shelfspark.sources.captures import readable
 
 
-def detail_ids(details: DataFrame) -> DataFrame:
+def detail_ids(details: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """``(product_key, level2_id, level3_id)`` of detail pages that can be read.
 
-    Pages shrink to two numbers before anything is joined or shuffled.
+    Pages shrink to two numbers before anything is joined or shuffled. With ``wanted``
+    (a table with ``product_key``) only bodies of its keys, and a few others, are searched.
     """
-    found = embedded_details(readable(details)).where(F.col("detail").isNotNull())
+    pages = readable(details)
+    if wanted is not None:
+        pages = keep_members(pages, wanted, "product_key")
+    found = embedded_details(pages.select("product_key", "page_id", "html")).where(F.col("detail").isNotNull())
     ids = found.select("product_key", "page_id", F.try_parse_json("detail").alias("d")).select(
         "product_key", "page_id",
         V.int_at(F.col("d"), "$.level2CatId").alias("level2_id"),

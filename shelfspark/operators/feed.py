@@ -11,6 +11,7 @@ from shelfspark.functions.money import effective_price, json_price
 from shelfspark.functions.text import strip
 from shelfspark.functions.urls import canonical_url, detail_url, flow_id, product_key, resolve_url
 from shelfspark.operators.ranking import first_per_key
+from shelfspark.session import stored
 
 OK_RET = 200
 
@@ -45,7 +46,10 @@ def harvest_listings(
 # Draining
 # --------------------------------------------------------------------------
 def envelopes(listing_pages: DataFrame) -> DataFrame:
-    """``(flow_id, page_index, ok, has_next, goods)``; a bad envelope is flagged."""
+    """``(flow_id, page_index, ok, has_next, ids, goods)``; a bad envelope is flagged.
+
+    ``goods`` are the records as they came, ``ids`` their whole-number ids.
+    """
     step = listing_pages
     status = F.coalesce("status", F.lit(200)) if "status" in step.columns else F.lit(200)
     step = step.select("flow_id", "page_index", (status < 400).alias("_up"), F.try_parse_json("body").alias("_e"))
@@ -58,7 +62,15 @@ def envelopes(listing_pages: DataFrame) -> DataFrame:
         ).alias("ok"),
         V.is_truthy(V.at(F.col("_e"), "$.data.hasNextPage")).alias("has_next"),
         F.try_variant_get("_e", "$.data.goodsList", "array<variant>").alias("goods"),
-    )
+    ).select("flow_id", "page_index", "ok", "has_next", F.transform("goods", lambda g: V.int_at(g, "$.goodsId")).alias("ids"), "goods")
+
+
+def listing_table(listing_pages: DataFrame) -> DataFrame:
+    """Envelopes taken apart and written once: bodies are read and parsed here only.
+
+    What finds the end of a drain reads ids and flags, and records are read for the pages of the drain.
+    """
+    return stored(envelopes(listing_pages))
 
 
 def drain_stops(pages: DataFrame) -> DataFrame:
@@ -70,7 +82,7 @@ def drain_stops(pages: DataFrame) -> DataFrame:
     """
     ids = pages.where("ok").select(
         "flow_id", "page_index",
-        F.explode(F.transform("goods", lambda g: V.int_at(g, "$.goodsId"))).alias("goods_id"),
+        F.explode("ids").alias("goods_id"),
     ).where(F.col("goods_id").isNotNull())
     fresh = ids.groupBy("flow_id", "goods_id").agg(F.min("page_index").alias("page_index"))
     marks = [
@@ -106,8 +118,8 @@ def drained_goods(pages: DataFrame, stops: DataFrame, max_pages: int = 0) -> Dat
     if max_pages:
         read = read.where(F.col("page_index") <= max_pages)
     return (
-        read.select("flow_id", "page_index", F.posexplode("goods").alias("pos", "record"))
-        .withColumn("goods_id", V.int_at(F.col("record"), "$.goodsId"))
+        read.select("flow_id", "page_index", F.posexplode(F.arrays_zip("ids", "goods")).alias("pos", "_r"))
+        .select("flow_id", "page_index", "pos", F.col("_r.goods").alias("record"), F.col("_r.ids").alias("goods_id"))
         .where(F.col("goods_id").isNotNull())
     )
 
@@ -118,11 +130,15 @@ def first_goods(goods: DataFrame, listings: DataFrame) -> DataFrame:
     return first_per_key(tagged, ["run_id", "goods_id"], "listing_rank", "page_index", "pos")
 
 
-def failed_listings(stops: DataFrame, listings: DataFrame, max_pages: int = 0) -> DataFrame:
+def failed_listings(stops: DataFrame, listings: DataFrame, max_pages: int = 0, ends: DataFrame | None = None) -> DataFrame:
     """``(run_id, failed)``: listings that ended on a page that could not be read.
 
-    A listing none of whose pages was captured fails too.
+    A listing none of whose pages was captured fails too. A run that its cap ended
+    (``ends``) has left only the listings before that of its last product to their end.
     """
+    if ends is not None:
+        last = ends.select("run_id", F.col("_end.listing_rank").alias("_last"))
+        listings = listings.join(last, "run_id", "left").where("_last IS NULL OR listing_rank < _last").drop("_last")
     failed = F.coalesce("failed", F.lit(True))
     if max_pages:
         failed = failed & (F.coalesce("stop_page", F.lit(1)) <= max_pages)

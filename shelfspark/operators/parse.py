@@ -37,6 +37,8 @@ _IMPLIED_END = {
     "th": ({"td", "th"}, {"tr", "table"}),
     **{tag: ({"p"}, {"td", "th", "table", "button"}) for tag in _ENDS_PARAGRAPH},
 }
+#: How strongly an open element withstands the end tags of others; 0 where not named.
+_HOLDS = {"div": 1, "td": 2, "th": 2, "tr": 3, "thead": 4, "tbody": 4, "tfoot": 4, "table": 5, "head": 6, "body": 6, "html": 7}
 _HIDDEN_TEXT = frozenset({"script", "style", "template"})
 _JSON_LD = "application/ld+json"
 
@@ -49,6 +51,7 @@ NODES_TYPE = T.ArrayType(T.StructType([
     T.StructField("t0", T.IntegerType()),
     T.StructField("t1", T.IntegerType()),
     T.StructField("text_len", T.IntegerType()),
+    T.StructField("link", T.IntegerType()),  # the first a[href] below the node, or NULL
 ]))
 PARSED_FIELDS = [
     T.StructField("nodes", NODES_TYPE),
@@ -131,10 +134,14 @@ class _Nodes(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self._flush()
+        strength = _HOLDS.get(tag, 0)
         for depth in range(len(self._open) - 1, -1, -1):
-            if self.tags[self._open[depth]] == tag:
+            name = self.tags[self._open[depth]]
+            if name == tag:
                 self._close_to(depth)
                 break
+            if _HOLDS.get(name, 0) > strength:  # </b> inside a cell does not end the cell
+                break
 
     def handle_data(self, data: str) -> None:
         self._run.append(data)
@@ -147,6 +154,17 @@ class _Nodes(HTMLParser):
         self._flush()
         self._close_to(0)
 
+    def first_links(self) -> list[int | None]:
+        """For every node the first link below it: one sweep from the end."""
+        found: list[int | None] = [None] * len(self.tags)
+        link = len(self.tags)
+        for node in range(len(self.tags) - 1, -1, -1):
+            if link <= self.last[node]:
+                found[node] = link
+            if self.tags[node] == "a" and any(name == "href" for name, _ in self.attrs[node]):
+                link = node
+        return found
+
 
 def _json_text(value: object) -> str:
     """JSON text; NaN and infinite numbers, which are none in JSON, become null."""
@@ -242,8 +260,9 @@ def _parse_column(pages: list[str | None], key: str) -> list[pa.Array]:
             pa.array([s[0] for s in spans], _I32),
             pa.array([s[1] for s in spans], _I32),
             pa.array([s[3] for s in spans], _I32),
+            pa.array([x for d in docs for x in d.first_links()], _I32),
         ],
-        names=["id", "parent", "last", "tag", "attrs", "t0", "t1", "text_len"],
+        names=["id", "parent", "last", "tag", "attrs", "t0", "t1", "text_len", "link"],
     )
     flat = [b for row in blocks for b in row]
     ld = pa.StructArray.from_arrays(

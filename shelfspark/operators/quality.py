@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions.money import money_text
 from shelfspark.functions.text import strip
 from shelfspark.operators.ranking import first_n, first_per_key
+from shelfspark.session import stored
 
 
 def _notes(*pairs: tuple[Column, Column | str]) -> Column:
@@ -115,7 +116,10 @@ def settle(products: DataFrame, caps: DataFrame | None = None) -> DataFrame:
         F.when(~F.col("usable"), "failed").when(~F.col("valid"), "invalid")
         .when(F.col("discovery_ord") > F.col("_first"), "duplicate").otherwise("exported"),
     ).drop("_first")
-    return rows if caps is None else cut_at(rows, cap_ends(rows, caps))
+    if caps is None:
+        return rows
+    rows = stored(rows)  # read for the ends and for the outcomes
+    return cut_at(rows, cap_ends(rows, caps))
 
 
 def processed_after(settled: DataFrame) -> DataFrame:

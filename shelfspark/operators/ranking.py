@@ -56,3 +56,20 @@ def with_place(df: DataFrame, keys: list[str], number: str, width: int, place: s
         sliced.withColumn("_inside", inside).join(starts, [*keys, "_slice"])
         .withColumn(place, F.col("_start") + F.col("_inside")).drop("_slice", "_start", "_inside")
     )
+
+
+def with_start(df: DataFrame, keys: list[str], number: str, width: int, amount: str, start: str) -> DataFrame:
+    """Adds the sum of ``amount`` over the group's rows of smaller ``number``.
+
+    ``number`` is a unique whole number in the group. Sums run inside slices of ``width`` numbers
+    and over the totals of slices, so no window holds more than either.
+    """
+    sliced = df.withColumn("_slice", F.floor(F.col(number) / width))
+    totals = sliced.groupBy(*keys, "_slice").agg(F.sum(amount).alias("_total"))
+    ahead = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*keys, "_slice", F.coalesce(F.sum("_total").over(ahead), F.lit(0)).alias("_ahead"))
+    inside = Window.partitionBy(*keys, "_slice").orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        sliced.withColumn("_inside", F.coalesce(F.sum(amount).over(inside), F.lit(0))).join(totals, [*keys, "_slice"])
+        .withColumn(start, F.col("_ahead") + F.col("_inside")).drop("_slice", "_inside", "_ahead")
+    )

@@ -61,9 +61,7 @@ def robots_gate(urls: DataFrame, rules: DataFrame) -> DataFrame:
     joined = urls.withColumn("_origin", origin_of(url)).withColumn("_target", target).join(
         rules.select(F.col("origin").alias("_origin"), "status", "rules"), "_origin", "left"
     )
-    fitting = F.filter(
-        "rules", lambda r: (r["prefix"] == "*") | F.startswith(F.col("_target"), r["prefix"])
-    )
+    fitting = F.filter("rules", lambda r: F.startswith(F.col("_target"), r["prefix"]))
     verdict = F.coalesce(F.get(fitting, F.lit(0))["allow"], F.lit(True))
     missing, bad = F.col("status").isNull(), F.col("status") >= 400
     return (

@@ -36,11 +36,7 @@ def card_href(nodes: Column, price: Column) -> Column:
         ancestors.append(up)
 
     def link(node: Column) -> Column:
-        inside = F.filter(
-            N.subtree(nodes, node),
-            lambda d: (d["tag"] == "a") & N.attr(d, "href").isNotNull(),
-        )
-        return N.attr(F.get(inside, F.lit(0)), "href")
+        return N.attr(F.get(nodes, node["link"]), "href")
 
     cards = F.filter(
         F.array(*ancestors), lambda a: F.coalesce(a["tag"].isin(*CARD_TAGS), F.lit(False))

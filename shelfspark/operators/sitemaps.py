@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import gzip
 import re
 import zlib
+from codecs import getincrementaldecoder
 from collections.abc import Iterator
 from html import unescape
+from itertools import islice
 from xml.etree.ElementTree import ParseError, XMLPullParser
 
 import pyarrow as pa
@@ -16,80 +17,187 @@ from pyspark.sql import functions as F
 from shelfspark.config import SAMPLE_SIZE
 from shelfspark.functions.text import strip
 from shelfspark.functions.urls import canonical_url, host_of, origin_of, path_of, product_key
-from shelfspark.operators.ranking import first_per_key
+from shelfspark.operators.ranking import first_per_key, with_place, with_start
 from shelfspark.operators.robots import capture_order
 from shelfspark.session import cut_lineage
 
 _MARKS = re.compile(r"<(?:[\w.-]+:)?(sitemap|url)\b[^>]*>|<(?:[\w.-]+:)?loc\b[^>]*>([^<]*(?:<!\[CDATA\[.*?\]\]>)?[^<]*)</(?:[\w.-]+:)?loc\s*>", re.I | re.S)
 _COMMENT, _CDATA = re.compile(r"<!--.*?-->", re.S), re.compile(r"<!\[CDATA\[(.*?)\]\]>", re.S)
 _BARE_AMPERSAND = re.compile(rb"&(?!#?\w+;)")
-_SCHEMA = "url string, nested array<string>, pages array<string>"
+_LOC_END = re.compile(r"</(?:[\w.-]+:)?loc\s*>", re.I)
+_SCHEMA = "url string, nested_at long, pages_at long, nested array<string>, pages array<string>"
+#: Bytes of a document read at a time, locations of a row, and bytes by which an entity has ended.
+CHUNK, PIECE, LONGEST_ENTITY = 1 << 20, 50_000, 64
+#: Places that a window of the walk holds at a time.
+SLICE = 10_000
 
 
 def is_product_sitemap(url: Column) -> Column:
     return F.contains(F.lower(path_of(url)), F.lit("product"))
 
 
-def _locations(url: str, body: bytes | None) -> tuple[list[str], list[str]]:
-    """(nested sitemaps, pages) of one document; a broken one is scanned for its locations."""
-    nested: list[str] = []
-    pages: list[str] = []
-    body = body or b""
-    if url.lower().endswith(".gz") or body[:2] == b"\x1f\x8b":
+class _Unreadable(Exception):
+    """A body that does not inflate."""
+
+
+def _chunks(url: str, body: bytes) -> Iterator[bytes]:
+    """The document in chunks of CHUNK bytes at most, inflated where it is compressed."""
+    if not (url.lower().endswith(".gz") or body[:2] == b"\x1f\x8b"):
+        for at in range(0, len(body), CHUNK):
+            yield body[at:at + CHUNK]
+        return
+    rest = body
+    while rest:
+        member = zlib.decompressobj(31)
         try:
-            body = gzip.decompress(body)
-        except (OSError, EOFError, zlib.error):
-            return nested, pages
-    body = _BARE_AMPERSAND.sub(b"&amp;", body.lstrip())
-    parser, above = XMLPullParser(events=("start", "end")), []
+            while not member.eof:
+                made = member.decompress(rest, CHUNK)
+                rest = member.unconsumed_tail
+                if made:
+                    yield made
+                elif not rest and not member.eof:
+                    raise _Unreadable
+        except zlib.error as e:
+            raise _Unreadable from e
+        rest = member.unused_data.lstrip(b"\0")
+
+
+def _inflates(url: str, body: bytes) -> bool:
     try:
-        parser.feed(body)
-        parser.close()
-        for event, element in parser.read_events():
-            name = element.tag.rpartition("}")[2]
-            if event == "start":
-                above.append(name)
-                continue
-            above.pop()
-            text = (element.text or "").strip()
-            if name == "loc" and text:
-                (nested if above[-1:] == ["sitemap"] else pages).append(text)
-    except ParseError:
-        return _scanned(body.decode("utf-8", "replace"))
-    return nested, pages
+        for _ in _chunks(url, body):
+            pass
+    except _Unreadable:
+        return False
+    return True
+
 
+def _mended(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """Without leading blanks, bare ampersands escaped; an ampersand near a chunk's end waits for the next."""
+    held, begun = b"", False
+    for chunk in chunks:
+        held += chunk
+        if not begun:
+            held = held.lstrip()
+            begun = bool(held)
+        cut = held.rfind(b"&", max(0, len(held) - LONGEST_ENTITY))
+        ready, held = (held, b"") if cut < 0 else (held[:cut], held[cut:])
+        if ready:
+            yield _BARE_AMPERSAND.sub(b"&amp;", ready)
+    if held:
+        yield _BARE_AMPERSAND.sub(b"&amp;", held)
 
-def _scanned(text: str) -> tuple[list[str], list[str]]:
-    """Locations of a document that is no well-formed XML: whole ``loc`` elements wherever they stand.
+
+def _parsed(url: str, body: bytes) -> Iterator[tuple[bool, str]]:
+    """(is a nested sitemap, location) in order; elements are dropped as they end."""
+    parser, above = XMLPullParser(events=("start", "end")), []
+    for chunk in _mended(_chunks(url, body)):
+        parser.feed(chunk)
+        yield from _ended(parser, above)
+    parser.close()
+    yield from _ended(parser, above)
+
+
+def _ended(parser: XMLPullParser, above: list) -> Iterator[tuple[bool, str]]:
+    for event, element in parser.read_events():
+        if event == "start":
+            above.append(element)
+            continue
+        above.pop()
+        text = (element.text or "").strip()
+        parent = above[-1].tag.rpartition("}")[2] if above else ""
+        if text and element.tag.rpartition("}")[2] == "loc":
+            yield parent == "sitemap", text
+        if above:
+            above[-1].remove(element)
+
+
+def _scanned(url: str, body: bytes) -> Iterator[tuple[bool, str]]:
+    """The same of a document that is no well-formed XML: whole ``loc`` elements wherever they stand.
 
     A location is a nested sitemap if the last ``sitemap`` or ``url`` tag before it opened a sitemap.
     """
-    nested: list[str] = []
-    pages: list[str] = []
-    inside = False
-    for tag, loc in _MARKS.findall(_COMMENT.sub("", text)):
-        if tag:
-            inside = tag.lower() == "sitemap"
-        elif found := unescape(_CDATA.sub(r"\1", loc)).strip():
-            (nested if inside else pages).append(found)
-    return nested, pages
+    inside, text = False, ""
+    decoder = getincrementaldecoder("utf-8")("replace")
+
+    def found(part: str) -> Iterator[tuple[bool, str]]:
+        nonlocal inside
+        for tag, loc in _MARKS.findall(_COMMENT.sub("", part)):
+            if tag:
+                inside = tag.lower() == "sitemap"
+            elif location := unescape(_CDATA.sub(r"\1", loc)).strip():
+                yield inside, location
+
+    for chunk in _mended(_chunks(url, body)):
+        text += decoder.decode(chunk)
+        cut = max((m.end() for m in _LOC_END.finditer(text)), default=0)
+        comment = text.rfind("<!--", 0, cut)
+        if comment > text.rfind("-->", 0, cut):  # it goes on behind the cut
+            cut = comment
+        yield from found(text[:cut])
+        text = text[cut:]
+    yield from found(text + decoder.decode(b"", True))
+
+
+def _pieces(url: str, body: bytes | None) -> Iterator[tuple[int, int, list[str], list[str]]]:
+    """(nested before, pages before, nested, pages): the locations of a document, PIECE at a time.
+
+    A document of more than one piece is read once more: whether it is well-formed shows at its end.
+    """
+    body, read, n = body or b"", _parsed, 0
+    try:
+        locations = read(url, body)
+        held = list(islice(locations, PIECE + 1))
+        if len(held) > PIECE:
+            held = None
+            for _ in locations:
+                pass
+    except ParseError:
+        read, held = _scanned, None if _inflates(url, body) else []
+    except _Unreadable:
+        held = []
+    locations = iter(held) if held is not None else read(url, body)
+    before, part = [0, 0], ([], [])
+    for nested, location in locations:
+        part[0 if nested else 1].append(location)
+        n += 1
+        if n % PIECE == 0:
+            yield *before, *part
+            before, part = [x + len(y) for x, y in zip(before, part, strict=True)], ([], [])
+    if part[0] or part[1] or not n:
+        yield *before, *part
 
 
 def parse_sitemaps(docs: DataFrame) -> DataFrame:
-    """``(url, nested, pages)`` of readable documents, one Arrow pass."""
+    """``(url, nested_at, pages_at, nested, pages)`` of readable documents, one Arrow pass.
+
+    A document of more than PIECE locations has several rows; ``nested_at`` and ``pages_at`` say how many
+    came before. Documents are inflated and parsed in chunks, so a worker holds a piece, not a document.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            urls = batch.column("url").to_pylist()
-            found = [_locations(u, b) for u, b in zip(urls, batch.column("body").to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("url")]
-                + [pa.array([f[i] for f in found], pa.list_(pa.string())) for i in (0, 1)],
-                names=["url", "nested", "pages"],
-            )
+            rows, held = [], 0
+            for i in range(batch.num_rows):  # bodies leave Arrow one at a time
+                url = batch.column("url")[i].as_py()
+                for piece in _pieces(url, batch.column("body")[i].as_py()):
+                    rows.append((url, *piece))
+                    held += len(piece[2]) + len(piece[3])
+                    if held >= PIECE:
+                        yield _rows(rows)
+                        rows, held = [], 0
+            if rows:
+                yield _rows(rows)
+
     answered = docs.where(F.coalesce("status", F.lit(200)) < 400)
     return answered.select("url", "body").mapInArrow(run, _SCHEMA)
 
 
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string())]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(column), kind) for column, kind in zip(zip(*rows, strict=True), kinds, strict=True)],
+        names=["url", "nested_at", "pages_at", "nested", "pages"])
+
+
 def sitemap_roots(runs: DataFrame, robots: DataFrame) -> DataFrame:
     """``(run_id, url, pos)``: Sitemap lines of robots.txt, else ``/sitemap.xml``."""
     lines = F.split("body", "\r\n|\r|\n")
@@ -117,7 +225,7 @@ def walk_sitemaps(roots: DataFrame, parsed: DataFrame, max_docs: int = 0) -> Dat
     """
     visited = None
     frontier = roots.select(
-        "run_id", "url", F.lit(0).alias("parent_rank"), "pos", F.lit(False).alias("in_branch")
+        "run_id", "url", F.lit(0).alias("parent_rank"), F.col("pos").cast("long").alias("pos"), F.lit(False).alias("in_branch")
     )
     while True:
         first_visit = frontier.groupBy("run_id", "url").agg(
@@ -129,28 +237,26 @@ def walk_sitemaps(roots: DataFrame, parsed: DataFrame, max_docs: int = 0) -> Dat
             first_visit = first_visit.join(base, "run_id", "left")
         else:
             first_visit = first_visit.withColumn("base", F.lit(0))
-        # a place is that of the parent's first child plus the place among its children,
-        # so no window holds more than one document's children or one run's parents
-        first_visit = first_visit.withColumn("parent_rank", F.col("visit.parent_rank"))
-        families = first_visit.groupBy("run_id", "parent_rank").agg(F.count("*").alias("_n"))
-        run = Window.partitionBy("run_id").orderBy("parent_rank").rowsBetween(Window.unboundedPreceding, -1)
-        families = families.withColumn("_start", F.coalesce(F.sum("_n").over(run), F.lit(0))).drop("_n")
-        order = Window.partitionBy("run_id", "parent_rank").orderBy("visit")
-        ranked = first_visit.withColumn("_rn", F.row_number().over(order)).join(families, ["run_id", "parent_rank"]).select(
-            "run_id", "url", (F.coalesce("base", F.lit(0)) + F.col("_start") + F.col("_rn")).cast("int").alias("rank"),
-            F.col("visit.in_branch").alias("in_branch"))
+        # a place is that of the parent's first child plus the place among its children; both are
+        # running totals over slices, so no window holds more than a slice
+        first_visit = cut_lineage(first_visit.select("run_id", "url", "base", "visit.parent_rank", "visit.pos", "visit.in_branch"))
+        families = with_start(
+            first_visit.groupBy("run_id", "parent_rank").agg(F.count("*").alias("_n")), ["run_id"], "parent_rank", SLICE, "_n", "_start")
+        placed = with_place(first_visit, ["run_id", "parent_rank"], "pos", SLICE, "_place", "_of")
+        ranked = placed.join(families.drop("_n"), ["run_id", "parent_rank"]).select(
+            "run_id", "url", (F.coalesce("base", F.lit(0)) + F.col("_start") + F.col("_place") + 1).cast("int").alias("rank"), "in_branch")
         level = cut_lineage(ranked.where(F.col("rank") <= max_docs) if max_docs else ranked)
         if visited is not None and level.isEmpty():
             break
         visited = level if visited is None else visited.unionByName(level)
-        products = F.filter("nested", is_product_sitemap)
-        branch = F.size(products) > 0
-        frontier = level.join(parsed.select("url", "nested"), "url").where(F.size("nested") > 0).select(
-            "run_id",
-            F.col("rank").alias("parent_rank"),
-            (F.col("in_branch") | branch).alias("in_branch"),
-            F.posexplode(F.when(branch, products).otherwise(F.col("nested"))).alias("pos", "url"),
-        )
+        met = level.join(parsed.select("url", "nested_at", "nested").where(F.size("nested") > 0), "url")
+        some = F.exists("nested", is_product_sitemap)  # in this piece of the document
+        met = met.join(met.groupBy("run_id", "rank").agg(F.bool_or(some).alias("_branch")), ["run_id", "rank"])
+        frontier = met.select(
+            "run_id", F.col("rank").alias("parent_rank"), (F.col("in_branch") | F.col("_branch")).alias("in_branch"), "_branch", "nested_at",
+            F.posexplode("nested").alias("_pos", "url"),
+        ).where(~F.col("_branch") | is_product_sitemap(F.col("url"))).select(
+            "run_id", "parent_rank", "in_branch", (F.col("nested_at") + F.col("_pos")).alias("pos"), "url")
     return visited
 
 
@@ -165,8 +271,9 @@ def sitemap_product_urls(
     """
     host = runs.select("run_id", host_of(F.col("seed_url")).alias("_host"))
     found = (
-        visited.where("in_branch").join(parsed.select("url", "pages"), "url")
-        .select("run_id", "rank", F.posexplode("pages").alias("pos", "url"))
+        visited.where("in_branch").join(parsed.select("url", "pages_at", "pages"), "url")
+        .select("run_id", "rank", "pages_at", F.posexplode("pages").alias("_pos", "url"))
+        .select("run_id", "rank", (F.col("pages_at") + F.col("_pos")).alias("pos"), "url")
         .join(host, "run_id").where(host_of(F.col("url")) == F.col("_host"))
     )
     distinct = found.groupBy("run_id", "url").agg(F.min(F.struct("rank", "pos")).alias("_p")).select(
@@ -197,7 +304,7 @@ def cap_warnings(rows: DataFrame, cap: int, what: str) -> DataFrame:
 def sitemap_sources(urls: DataFrame, visited: DataFrame, parsed: DataFrame) -> DataFrame:
     """``(run_id, n_urls, description)``: the first document that listed pages."""
     listing = visited.where("in_branch").join(
-        parsed.where(F.size("pages") > 0).select("url"), "url"
+        parsed.where((F.size("pages") > 0) & (F.col("pages_at") == 0)).select("url"), "url"
     ).groupBy("run_id").agg(F.min_by("url", "rank").alias("_doc"))
     return urls.groupBy("run_id").agg(F.count("*").alias("n_urls")).join(listing, "run_id", "left").select(
         "run_id", "n_urls",

@@ -41,9 +41,14 @@ def override_rows(documents: DataFrame) -> DataFrame:
 
 
 def merged_taxonomy(base: DataFrame, override: DataFrame) -> DataFrame:
-    """Override wins per (level, id)."""
+    """Override wins per (level, id); of several overrides of an id, the greatest name."""
     ranked = base.withColumn("_p", F.lit(0)).unionByName(override.withColumn("_p", F.lit(1)))
-    return ranked.groupBy("level", "id").agg(F.max_by("name", "_p").alias("name"))
+    return ranked.groupBy("level", "id").agg(F.max_by("name", F.struct("_p", "name")).alias("name"))
+
+
+def _names(taxonomy: DataFrame) -> DataFrame:
+    """One name per (level, id): of repeated ids the smallest."""
+    return taxonomy.groupBy("level", "id").agg(F.min("name").alias("name"))
 
 
 def with_labels(
@@ -52,9 +57,12 @@ def with_labels(
 ) -> DataFrame:
     """Known id: its name; unknown id: ``cat:<id>``; no id: NULL.
 
+    An id that the taxonomy repeats gets the smallest of its names; no row of ``df`` is repeated.
+
     Plain left joins: Spark broadcasts the dimension only while its size is
     under the session's threshold and shuffles otherwise.
     """
+    taxonomy = _names(taxonomy)
     for level, id_col, out in (("level2", level2, category), ("level3", level3, subcategory)):
         names = taxonomy.where(F.col("level") == level).select(
             F.col("id").alias("_id"), F.col("name").alias("_name")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.config import JobConfig
-from shelfspark.functions.urls import canonical_url, product_key
+from shelfspark.functions.urls import canonical_url, host_of, matches_template, product_key
 from shelfspark.operators import clusters as C
 from shelfspark.operators import feed as G
 from shelfspark.operators import pagination as P
@@ -20,14 +20,15 @@ from shelfspark.operators import sitemaps as M
 from shelfspark.operators.enrich import detail_ids, enrich, enrichment_misses
 from shelfspark.operators.extract import GENERIC_CHAIN, build_products, extract_fields, looks_like_product
 from shelfspark.operators.links import own_links
+from shelfspark.operators.membership import keep_members
 from shelfspark.operators.parse import parse_pages
 from shelfspark.operators.quality import before_cap, cap_ends, count_skipped, cut_at, settle, split_processed
-from shelfspark.operators.ranking import first_per_key
+from shelfspark.operators.ranking import first_n, first_per_key
 from shelfspark.operators.reports import run_counters, run_warnings
 from shelfspark.operators.signals import with_signals
 from shelfspark.operators.taxonomy import builtin_taxonomy, unmapped
 from shelfspark.session import cut_lineage, stored
-from shelfspark.sources.captures import captures_of_hosts, captures_to_do, readable
+from shelfspark.sources.captures import capture_index, captures_of_hosts, readable
 
 
 SINGLE_PAGE = "single product page"
@@ -66,8 +67,8 @@ def feed_run(
     ``listings`` is ``(run_id, listing_rank, flow_id)``.
     """
     spark = listing_pages.sparkSession
-    pages = G.envelopes(listing_pages)
-    stops = G.drain_stops(pages)
+    pages = G.listing_table(listing_pages)
+    stops = stored(G.drain_stops(pages))
     goods = G.first_goods(G.drained_goods(pages, stops, config.max_pages_per_listing), listings)
     products = stored(G.feed_products(goods, config.base_url))
     known = None
@@ -76,13 +77,14 @@ def feed_run(
         known = stored(known)
     # which rows a run exports does not depend on their categories
     ends = stored(cap_ends(settle(products), caps)) if caps is not None else None
-    extra = [G.failed_listings(stops, listings, config.max_pages_per_listing)]
+    extra = [G.failed_listings(stops, listings, config.max_pages_per_listing, ends)]
     if known is not None:
         extra.append(count_skipped(known, ends))
     notes = []
     if config.with_categories and details is not None:
         names = taxonomy if taxonomy is not None else builtin_taxonomy(spark)
-        products = stored(enrich(products, detail_ids(details), names))
+        wanted = _reached(products, ends).select("product_key")  # a run reads no detail page behind its cap
+        products = stored(enrich(products, detail_ids(details, wanted), names))
         reached = _reached(products, ends)
         notes = [enrichment_misses(reached)]
         # one row per unnamed id and run that met it
@@ -115,12 +117,19 @@ def _settled(rows: DataFrame, caps: DataFrame | None, known: DataFrame | None) -
     return stored(whole), [count_skipped(known, ends)] if known is not None else []
 
 
+def page_links(pages: DataFrame) -> DataFrame:
+    """``page_id, url, page_key, links, next_url`` of captures: what a listing page is asked for."""
+    captured = readable(pages).select("page_id", canonical_url(F.col("url")).alias("url"), "html")
+    parsed = P.with_next_link(parse_pages(captured)).withColumn("links", own_links(F.col("url")))
+    return parsed.select("page_id", "url", P.page_key(F.col("url")).alias("page_key"), "links", "next_url")
+
+
 def page_facts(pages: DataFrame, config: JobConfig) -> DataFrame:
     """Everything later steps ask of a capture, from one parse of it.
 
     ``product_key, page_key, url, links, next_url``, the verdict ``hit`` of the
     sampling test, and the product fields.  A map over the captures: documents
-    are never shuffled, and the result is small enough to write once and join.
+    are never shuffled, and what a caller does not select is not computed.
     """
     captured = readable(pages).select("page_id", canonical_url(F.col("url")).alias("url"), "html")
     parsed = P.with_next_link(parse_pages(captured)).withColumn("links", own_links(F.col("url")))
@@ -154,21 +163,6 @@ def _samples(seeds: DataFrame) -> DataFrame:
     return C.cluster_samples(shaped, C.candidate_clusters(shaped))
 
 
-def _facts_to_do(runs: DataFrame, pages: DataFrame, config: JobConfig, processed: DataFrame | None) -> DataFrame:
-    """Facts of the captures a crawl needs: those of its hosts, without known products.
-
-    Seeds are parsed first, for the samples they lead to are wanted whether known or not.
-    """
-    pages = captures_of_hosts(readable(pages), runs)
-    if processed is None:
-        return page_facts(pages, config)
-    keys = runs.select(P.page_key(F.col("seed_url")).alias("_page")).distinct()
-    first = pages.withColumn("_page", P.page_key(canonical_url(F.col("url")))).join(keys, "_page", "left_semi").drop("_page")
-    seeds = _seeds(runs, stored(_by_page(page_facts(first, config))))
-    needed = stored(_samples(seeds).select("product_key").unionByName(runs.select(product_key(F.col("seed_url")).alias("product_key"))).distinct())
-    return page_facts(captures_to_do(pages, runs, processed, needed), config)
-
-
 def linked_products(links: DataFrame, facts: DataFrame) -> DataFrame:
     """Product rows of ``(run_id, discovery_ord, url, product_key)``, of facts by product key.
 
@@ -184,6 +178,102 @@ def _first_links(links: DataFrame) -> DataFrame:
     return first_per_key(keyed, ["run_id", "product_key"], "discovery_ord")
 
 
+class _Stored:
+    """What a crawl asks of captures, from a stored ``page_facts`` table."""
+
+    def __init__(self, facts: DataFrame):
+        self.listing, self.by_product = stored(_by_page(facts)), stored(_by_product(facts))
+
+    def seeds(self, runs: DataFrame) -> DataFrame:
+        return _seeds(runs, self.listing)
+
+    def verdicts(self, samples: DataFrame) -> DataFrame:
+        return self.by_product
+
+    def walk(self, walking: DataFrame, max_pages: int) -> tuple[DataFrame, DataFrame]:
+        """(pages of every run in order, links of the pages)."""
+        return P.walk_pages(walking, P.page_edges(self.listing), max_pages), self.listing
+
+    def products(self, links: DataFrame, runs: DataFrame, caps: DataFrame | None) -> DataFrame:
+        return self.by_product
+
+
+class _Captures(_Stored):
+    """The same from captures. Which are parsed is decided on their addresses alone, and bodies
+    are filtered where they are read."""
+
+    def __init__(self, pages: DataFrame, runs: DataFrame, config: JobConfig):
+        self.config = config
+        self.pages = readable(pages)
+        index = capture_index(pages).withColumns({"page_key": P.page_key(F.col("url")), "host": host_of(F.col("url"))})
+        self.index = stored(index.join(runs.select(host_of(F.col("seed_url")).alias("host")).distinct(), "host", "left_semi"))
+
+    def _wanted(self, captures: DataFrame) -> DataFrame:
+        return keep_members(self.pages, captures, "page_id")
+
+    def _links(self, wanted: DataFrame) -> DataFrame:
+        """Links and next page of wanted addresses."""
+        keys = wanted.select("page_key").distinct()
+        return stored(_by_page(page_links(self._wanted(wanted))).join(keys, "page_key", "left_semi"))
+
+    def seeds(self, runs: DataFrame) -> DataFrame:
+        keys = runs.select(P.page_key(F.col("seed_url")).alias("page_key"))
+        self.listing = self._links(self.index.join(keys, "page_key", "left_semi"))
+        return _seeds(runs, self.listing)
+
+    def verdicts(self, samples: DataFrame) -> DataFrame:
+        return C.product_verdicts(samples.select("product_key").distinct(), self.pages, self.config)
+
+    def walk(self, walking: DataFrame, max_pages: int) -> tuple[DataFrame, DataFrame]:
+        shapes = walking.select(host_of(F.col("seed_url")).alias("host"), "template").distinct()
+        there = self.index.join(shapes.groupBy("host").agg(F.collect_set("template").alias("_templates")), "host")
+        there = there.join(self.listing.select("page_key"), "page_key", "left_anti")
+        product = F.exists("_templates", lambda t: matches_template(F.col("url"), t))
+        others = there.where(~product)
+        while True:
+            self.listing = self.listing.unionByName(self._links(others))
+            edges = P.page_edges(self.listing)
+            walked = P.walk_pages(walking, edges, max_pages)
+            # a next page that has the shape of a product: then such pages may list products too
+            ahead = walked.join(edges, "page_key").select(F.col("next_key").alias("page_key")).distinct()
+            missed = there.join(ahead, "page_key", "left_semi").join(self.listing.select("page_key"), "page_key", "left_anti")
+            if missed.isEmpty():
+                return walked, self.listing
+            others = there.join(missed.select("host").distinct(), "host", "left_semi").join(self.listing.select("page_key"), "page_key", "left_anti")
+
+    def products(self, links: DataFrame, runs: DataFrame, caps: DataFrame | None) -> DataFrame:
+        """Facts of the links that are to be settled: all, or for a run with a cap the first
+        ones, four times as many each round, until the cap is met or no link is left."""
+        alone = runs.select(product_key(F.col("seed_url")).alias("product_key"))
+        if caps is None:
+            return self._chunk(links.select("product_key").unionByName(alone).distinct())
+        links = stored(links)
+        cap = F.when(F.col("max_products") > 0, F.col("max_products").cast("long"))
+        sizes = links.groupBy("run_id").agg(F.count(F.lit(1)).alias("_all")).join(caps.select("run_id", cap.alias("_cap")), "run_id", "left")
+        todo = stored(sizes.withColumn("_limit", F.least(F.coalesce(F.col("_cap") * 2, "_all"), "_all")))
+        found, asked = None, None
+        while True:
+            some = todo.where("_limit < _all").select("run_id", "_limit")
+            first = first_n(links.join(some, "run_id"), ["run_id"], F.col("_limit"), ["discovery_ord"]).select(*links.columns)
+            chunk = stored(links.join(todo.where("_limit >= _all").select("run_id"), "run_id", "left_semi").unionByName(first))
+            keys = chunk.select("product_key").unionByName(alone).distinct()
+            new = keys if asked is None else keys.join(asked, "product_key", "left_anti")
+            facts = self._chunk(new)
+            found = facts if found is None else found.unionByName(facts)
+            asked = stored(keys if asked is None else asked.unionByName(new))
+            got = settle(linked_products(chunk, found)).where("outcome = 'exported'").groupBy("run_id").agg(F.count(F.lit(1)).alias("_n"))
+            short = todo.where("_limit < _all").join(got, "run_id", "left").where(F.coalesce("_n", F.lit(0)) < F.col("_cap"))
+            todo = stored(short.select("run_id", "_all", "_cap", F.least(F.col("_limit") * 4, "_all").alias("_limit")))
+            if todo.isEmpty():
+                return found
+
+    def _chunk(self, keys: DataFrame) -> DataFrame:
+        """Product fields of the captures of some keys."""
+        keys = stored(keys)
+        wanted = self.index.join(keys, "product_key", "left_semi")
+        return stored(_by_product(page_facts(self._wanted(wanted), self.config)).join(keys, "product_key", "left_semi"))
+
+
 def crawl_run(
     runs: DataFrame,
     pages: DataFrame | None,
@@ -195,19 +285,23 @@ def crawl_run(
     """Generic crawl of ``(run_id, seed_url)``: shapes, samples, pagination, products.
 
     The pattern comes from the seed page's links alone and then filters the
-    links of every listing page the walk reaches.  ``facts`` takes a stored
+    links of every listing page the walk reaches.  With known products or caps captures are
+    parsed as they are asked for: seeds, samples, pages that may list products, and then the
+    captures of links to do, for runs with a cap in growing pieces until it is met; otherwise
+    all captures of the runs' hosts are parsed at once.  ``facts`` takes a stored
     ``page_facts`` table in place of ``pages``.
     """
     runs = runs.select("run_id", canonical_url(F.col("seed_url")).alias("seed_url"))
-    facts = stored(_facts_to_do(runs, pages, config, processed)) if facts is None else facts
-    listing, by_product = stored(_by_page(facts)), stored(_by_product(facts))
-    seeds = _seeds(runs, listing)
-    verified = C.verify_clusters(_samples(seeds), by_product)
-    patterns = cut_lineage(C.decide_patterns(verified))
+    if facts is None and processed is None and caps is None:  # every capture of its hosts is wanted
+        facts = stored(page_facts(captures_of_hosts(pages, runs), config))
+    known_facts = _Captures(pages, runs, config) if facts is None else _Stored(facts)
+    seeds = known_facts.seeds(runs)
+    samples = _samples(seeds)
+    patterns = cut_lineage(C.decide_patterns(C.verify_clusters(samples, known_facts.verdicts(samples))))
 
     # a run without a pattern walks nowhere
-    walking = runs.join(patterns.where("template is not null").select("run_id"), "run_id", "left_semi")
-    walked = P.walk_pages(walking, P.page_edges(listing), config.max_listing_pages)
+    walking = runs.join(patterns.where("template is not null").select("run_id", "template"), "run_id")
+    walked, listing = known_facts.walk(walking, config.max_listing_pages)
     on_pages = walked.join(listing.select("page_key", "links"), "page_key").select(
         "run_id", "page_pos", F.explode("links").alias("url")
     )
@@ -217,6 +311,7 @@ def crawl_run(
     links, known = _first_links(linked), None
     if processed is not None:
         links, known = split_processed(cut_lineage(links), processed)
+    by_product = known_facts.products(links, runs, caps)
     rows = linked_products(links, by_product)
     single, lost = _single_pages(seeds, by_product)
     settled, extra = _settled(rows.unionByName(single), caps, known)

@@ -122,6 +122,21 @@ def resolved_urls(spark, sf_dir):
     ).select("page_id", "ref", resolve_url(F.col("url"), F.col("ref")).alias("resolved"))
 
 
+@query("international_urls", """
+SELECT page_id, CASE page_id % 4
+   WHEN 0 THEN 'https://xn--bcher-kva.shop' || page_id || '.example/a%C3%A9/' || page_id
+   WHEN 1 THEN 'https://a.example/b/c?d=e\\f'
+   WHEN 2 THEN 'http://a' || page_id || '.example/x'
+   ELSE 'https://me@xn--bcher-kva.example:8443/' || page_id END AS url
+FROM pages""")
+def international_urls(spark, sf_dir):
+    """international hosts, backslashes, empty ports."""
+    odd = F.expr(r"""case page_id % 4 when 0 then concat('https://BÜCHER.shop', page_id, '.example/aé/', page_id)
+        when 1 then concat('https://a.example', chr(92), 'b', chr(92), 'c?d=e', chr(92), 'f')
+        when 2 then concat('http://A', page_id, '.example:/x') else concat('https://me@Bücher.example:8443/', page_id) end""")
+    return table(spark, sf_dir, "pages").select("page_id", canonical_url(odd).alias("url"))
+
+
 @query("canonical_urls", """
 SELECT page_id, CASE page_id % 5
    WHEN 0 THEN NULL

@@ -187,8 +187,8 @@ UNION ALL SELECT o || '/sm/products-index.xml', s_last + 1, 0 FROM t WHERE b % 3
 UNION ALL SELECT o || '/sm/categories.xml', 0, 1 FROM t WHERE b % 3 <> 2""")
 def sitemap_locations(spark, sf_dir):
     """Locations per readable document, gzip and namespaces included."""
-    return M.parse_sitemaps(R.shop_sitemaps(spark, sf_dir)).select(
-        "url", F.size("nested").cast("bigint").alias("nested"), F.size("pages").cast("bigint").alias("pages")
+    return M.parse_sitemaps(R.shop_sitemaps(spark, sf_dir)).groupBy("url").agg(
+        F.sum(F.size("nested")).alias("nested"), F.sum(F.size("pages")).alias("pages")
     )
 
 

@@ -45,7 +45,7 @@ def listing_harvest(spark, sf_dir):
 @query("feed_stops", _FEED + "SELECT CAST(flow AS VARCHAR) AS flow_id, stop_page, failed FROM st")
 def feed_stops(spark, sf_dir):
     """Bad envelopes, repeated pages, HTTP errors, regular ends."""
-    stops = G.drain_stops(G.envelopes(R.feed_pages(spark, sf_dir)))
+    stops = G.drain_stops(G.listing_table(R.feed_pages(spark, sf_dir)))
     return stops.withColumn("stop_page", F.col("stop_page").cast("bigint"))
 
 
@@ -53,7 +53,7 @@ def feed_stops(spark, sf_dir):
 SELECT 'site' AS run_id, k AS goods_id, CAST(flow AS VARCHAR) AS flow_id, page AS page_index, CAST(pos AS BIGINT) AS pos FROM got""")
 def feed_goods(spark, sf_dir):
     """Unique integer ids, the first listing wins."""
-    pages = G.envelopes(R.feed_pages(spark, sf_dir))
+    pages = G.listing_table(R.feed_pages(spark, sf_dir))
     goods = G.first_goods(G.drained_goods(pages, G.drain_stops(pages)), _listings(spark, sf_dir))
     return goods.select(
         "run_id", "goods_id", "flow_id", F.col("page_index").cast("bigint").alias("page_index"), F.col("pos").cast("bigint").alias("pos")
@@ -67,7 +67,7 @@ _VALUES = """k AS goods_id, name, 'https://' || host || '/img/' || k || '.jpg' A
 @query("feed_products", _FEED + f"SELECT {_VALUES} FROM pr")
 def feed_products(spark, sf_dir):
     """Usable records as products."""
-    pages = G.envelopes(R.feed_pages(spark, sf_dir))
+    pages = G.listing_table(R.feed_pages(spark, sf_dir))
     goods = G.first_goods(G.drained_goods(pages, G.drain_stops(pages)), _listings(spark, sf_dir))
     return G.feed_products(goods, "https://shop.example/").select(
         "goods_id", "name", "image_url", money("mrp").alias("mrp"), money("asp").alias("asp"), "product_url"
@@ -129,6 +129,15 @@ def feed_resumed(spark, sf_dir):
     return _run(spark, sf_dir, processed=done, caps=caps).exported.select("goods_id", "product_url")
 
 
+@query("feed_capped_counters", _FEED + """, todo AS (SELECT *, row_number() OVER (ORDER BY rank, page, pos) AS nth FROM pr)
+SELECT 'site' AS run_id, count(*) FILTER (nth <= 137) AS exported,
+  (SELECT count(*) FROM li LEFT JOIN st USING (flow) WHERE coalesce(failed, true) AND li.rank < coalesce((SELECT rank FROM todo WHERE nth = 137), 1000000)) AS failed FROM todo""")
+def feed_capped_counters(spark, sf_dir):
+    """Listings behind the product cap are neither read nor failed."""
+    caps = R.feed_seed(spark, sf_dir).selectExpr("run_id", "137 as max_products")
+    return _run(spark, sf_dir, caps=caps).counters.select("run_id", "exported", "failed")
+
+
 @query("taxonomy_gaps", GOODS + """
 SELECT DISTINCT 'level2' AS level, CAST(9000 + size AS BIGINT) AS id FROM g WHERE k % 10 NOT IN (3, 4, 5) AND k % 5 = 2""")
 def taxonomy_gaps(spark, sf_dir):
@@ -168,4 +177,6 @@ def taxonomy_labels(spark, sf_dir):
     parts = R.table(spark, sf_dir, "part").selectExpr(
         "p_partkey as k", "if(p_partkey % 3 = 0, null, cast(p_size as bigint)) as l2", "cast(p_size + 40 as bigint) as l3"
     )
-    return with_labels(parts, builtin_taxonomy(spark), "l2", "l3").select("k", "category", "subcategory")
+    # repeated ids: the smallest name counts, and no part is repeated
+    repeated = builtin_taxonomy(spark).unionByName(builtin_taxonomy(spark).withColumn("name", F.concat("name", F.lit(" again"))))
+    return with_labels(parts, repeated, "l2", "l3").select("k", "category", "subcategory")

@@ -14,8 +14,8 @@ from shelfspark.operators.robots import robots_gate, robots_rules
 from shelfspark.queries.registry import money, query
 from shelfspark.rendering import storefront as R
 from shelfspark.session import ensure_checkpoint_dir
-from shelfspark.sources.captures import processed_keys, read_product_csv, run_requests
-from shelfspark.sources.sinks import clear_processed, csv_row, write_processed, write_product_csv
+from shelfspark.sources.captures import processed_keys, read_processed, read_product_csv, read_run_csv, run_requests
+from shelfspark.sources.sinks import clear_processed, csv_row, write_processed, write_product_csv, write_run_csv
 
 _ID = "l_orderkey, l_linenumber, l_partkey"
 _ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
@@ -203,6 +203,16 @@ def csv_roundtrip(spark, sf_dir):
     return read_product_csv(spark, folder)
 
 
+@query("run_csvs", _LINES + f"""
+SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY {_ORDER}) AS place, 'part ' || l_partkey AS name,
+  'https://parts.example/details/' || l_partkey || CASE WHEN l_linenumber % 2 = 0 THEN '/?v=1' ELSE '' END AS product_url FROM o WHERE outcome = 'exported'""")
+def run_csvs(spark, sf_dir):
+    """A CSV per run in discovery order across its part files."""
+    folder = _folder(spark)
+    write_run_csv(Q.settle(R.line_products(spark, sf_dir)).where("outcome = 'exported'"), folder)
+    return read_run_csv(spark, folder).select("run_id", "place", "name", "product_url")
+
+
 @query("csv_rows", """
 SELECT p_partkey, p_name AS name, CAST(CAST(p_retailprice AS DECIMAL(10,2)) AS VARCHAR) AS mrp, '' AS category FROM part""")
 def csv_rows(spark, sf_dir):
@@ -216,12 +226,13 @@ def csv_rows(spark, sf_dir):
 
 @query("processed_state", _LINES + """
 SELECT DISTINCT run_id, 'parts.example/details/' || l_partkey AS product_key FROM o
-WHERE outcome IN ('exported', 'duplicate') AND (run_id LIKE '%F' OR l_linenumber = 2)""")
+WHERE outcome IN ('exported', 'duplicate') AND (run_id LIKE '%F' OR l_linenumber = 2) AND run_id <> 'AF'""")
 def processed_state(spark, sf_dir):
-    """Two saves append, a clear replaces only its own runs."""
+    """Two saves append, a clear replaces only its own runs, one of them by nothing."""
     folder = _folder(spark)
     settled = Q.settle(R.line_products(spark, sf_dir))
     write_processed(Q.processed_after(settled.where("l_linenumber <> 1")), folder)
     write_processed(Q.processed_after(settled.where("l_linenumber = 1")), folder)
-    clear_processed(Q.processed_after(settled.where("run_id like '%O' and l_linenumber = 2")), folder)
-    return processed_keys(spark.read.parquet(folder)).select("run_id", "product_key").distinct()
+    cleared = settled.where("run_id like '%O' or run_id = 'AF'").select("run_id").distinct()
+    clear_processed(Q.processed_after(settled.where("run_id like '%O' and l_linenumber = 2")), folder, cleared)
+    return processed_keys(read_processed(spark, folder)).select("run_id", "product_key").distinct()

@@ -417,7 +417,7 @@ def supplier_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('https://supplier-', s_suppkey, '.example') as origin",
         "if(s_suppkey % 6 = 1, 404, 200) as status",
         """case s_suppkey % 6 when 2 then '# closed\\nUser-agent: *\\nDisallow: /'
-            when 3 then 'User-agent: *\\nAllow: /details/10\\nDisallow: /details/1'
+            when 3 then 'User-agent: *\\nDisallow: *\\nAllow: /details/10\\nDisallow: /details/1'
             when 4 then 'User-agent: *\\nDisallow: /\\n\\nUser-Agent: Mozilla\\nDisallow: /details/2\\nDisallow:'
             when 5 then 'User-agent: otherbot\\nDisallow: /\\n\\nUser-agent: *\\nDisallow: /details/3%35'
             else 'User-agent: *\\nDisallow: /' end as body""",

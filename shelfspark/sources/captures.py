@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfspark.config import DEFAULT_REQUESTED_PRODUCTS, MAX_REQUESTED_PRODUCTS
+from shelfspark.config import DEFAULT_REQUESTED_PRODUCTS, MAX_REQUESTED_PRODUCTS, PRODUCT_FIELDS
 from shelfspark.functions.text import strip
 from shelfspark.functions.urls import bare_url, canonical_url, host_of, is_http, product_key
+from shelfspark.operators.membership import keep_members
 from shelfspark.operators.ranking import first_per_key
 
 
@@ -21,23 +22,17 @@ def read_pages(spark: SparkSession, path: str, tasks: int | None = None) -> Data
 
 
 def captures_of_hosts(pages: DataFrame, runs: DataFrame) -> DataFrame:
-    """Captures of the hosts that ``(run_id, seed_url)`` runs go to; the others need no parsing."""
-    hosts = runs.select(host_of(canonical_url(F.col("seed_url"))).alias("_host")).distinct()
-    return pages.withColumn("_host", host_of(canonical_url(F.col("url")))).join(hosts, "_host", "left_semi").drop("_host")
+    """Captures of the hosts that ``(run_id, seed_url)`` runs go to, and a few others; bodies stay where they are."""
+    hosts = runs.select(host_of(canonical_url(F.col("seed_url"))).alias("_host"))
+    return keep_members(pages.withColumn("_host", host_of(canonical_url(F.col("url")))), hosts, "_host").drop("_host")
 
 
-def captures_to_do(pages: DataFrame, runs: DataFrame, processed: DataFrame, needed: DataFrame) -> DataFrame:
-    """Captures without those of products that every run of their host knows already.
-
-    ``needed`` has ``product_key`` of captures that are wanted in any case (seeds and samples).
-    """
-    hosts = runs.select("run_id", host_of(canonical_url(F.col("seed_url"))).alias("_host"))
-    there = hosts.groupBy("_host").agg(F.countDistinct("run_id").alias("_runs"))
-    known = processed.join(hosts, "run_id").groupBy("_host", "product_key").agg(F.countDistinct("run_id").alias("_known"))
-    done = known.join(there, "_host").where("_known = _runs").select("_host", F.col("product_key").alias("_key"))
-    done = done.join(needed.select(F.col("product_key").alias("_key")), "_key", "left_anti")
-    keyed = pages.withColumns({"_host": host_of(canonical_url(F.col("url"))), "_key": product_key(canonical_url(F.col("url")))})
-    return keyed.join(done, ["_host", "_key"], "left_anti").drop("_host", "_key")
+def capture_index(pages: DataFrame) -> DataFrame:
+    """``(page_id, url, product_key)`` of captures that may be readable; bodies are not read."""
+    if "status" in pages.columns:
+        pages = pages.where(F.coalesce("status", F.lit(200)) < 400)
+    url = canonical_url(F.col("url"))
+    return pages.select("page_id", url.alias("url"), product_key(url).alias("product_key"))
 
 
 def read_sitemap_files(spark: SparkSession, path: str) -> DataFrame:
@@ -63,15 +58,24 @@ def readable(pages: DataFrame) -> DataFrame:
 def captures_for_keys(keys: DataFrame, pages: DataFrame) -> DataFrame:
     """``(product_key, page_id, url, html)``: the first capture of every wanted key.
 
-    The choice is made on narrow columns.  Bodies join last, by page id, with
-    only the chosen rows.
+    Bodies are filtered where they are read; only those of wanted keys are ranked.
     """
-    pages = readable(pages)
-    index = pages.select("page_id", product_key(canonical_url(F.col("url"))).alias("product_key"))
-    chosen = first_per_key(
-        index.join(keys.select("product_key"), "product_key", "left_semi"), ["product_key"], "page_id"
-    )
-    return pages.select("page_id", bare_url(canonical_url(F.col("url"))).alias("url"), "html").join(chosen, "page_id")
+    wanted = capture_index(pages).join(keys.select("product_key"), "product_key", "left_semi")
+    url = canonical_url(F.col("url"))
+    found = keep_members(readable(pages), wanted, "page_id").select("page_id", bare_url(url).alias("url"), "html", product_key(url).alias("product_key"))
+    found = found.join(keys.select("product_key"), "product_key", "left_semi")
+    return first_per_key(found, ["product_key"], "page_id")
+
+
+def has_files(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(folder) and len(files.listStatus(folder)) > 0
+
+
+def read_processed(spark: SparkSession, path: str) -> DataFrame:
+    """Remembered keys ``(run_id, product_key)``; run ids stay text, whatever they look like."""
+    return spark.read.schema("product_key string, run_id string").parquet(path)
 
 
 def processed_keys(processed: DataFrame | None, run_id: str | None = None) -> DataFrame | None:
@@ -93,6 +97,19 @@ def run_requests(requests: DataFrame) -> DataFrame:
     return requests.withColumns({"url": url, "max_products": cap}).withColumn("refusal", refusal).withColumn("valid", F.col("refusal").isNull())
 
 
+def read_run_csv(spark: SparkSession, path: str) -> DataFrame:
+    """``run_id, place`` (from 1, in file order) and the text columns of the CSVs of runs."""
+    schema = ", ".join(f"{n} string" for n in (*PRODUCT_FIELDS, "run_id"))
+    rows = spark.read.schema(schema).csv(
+        path, header=False, multiLine=True, escape='"', quote='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    ).select("*", F.col("_metadata.file_name").alias("_file"), F.monotonically_increasing_id().alias("_at")).na.fill("", PRODUCT_FIELDS)
+    lines = rows.where(~F.forall(F.array(*[F.col(n) == n for n in PRODUCT_FIELDS]), lambda same: same))
+    numbered = lines.withColumn("_no", F.row_number().over(Window.partitionBy("run_id", "_file").orderBy("_at")))
+    sizes = lines.groupBy("run_id", "_file").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("run_id", "_file", (F.sum("_n").over(Window.partitionBy("run_id").orderBy("_file")) - F.col("_n")).alias("_before"))
+    return numbered.join(before, ["run_id", "_file"]).select("run_id", (F.col("_before") + F.col("_no")).alias("place"), *PRODUCT_FIELDS)
+
+
 def read_product_csv(spark: SparkSession, path: str) -> DataFrame:
     """An exported CSV as it was written: all columns text, no NULL."""
     return spark.read.csv(

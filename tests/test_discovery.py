@@ -124,3 +124,68 @@ def test_one_robots_row_per_origin(spark):
     urls = spark.createDataFrame([("https://s.example/a/1",)], "url string")
     from shelfspark.operators.robots import robots_gate, robots_rules
     assert [r.allowed for r in robots_gate(urls, robots_rules(files, "bot")).collect()] == [False]
+
+
+def test_documents_in_pieces_and_chunks(monkeypatch):
+    import gzip
+    ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+    nested = [f"https://s.example/n{i}.xml?a=1&amp;b=é" for i in range(7)]
+    pages = [f"https://s.example/p/{i}?x=1&y={i}" for i in range(40)]
+    text = (f'\n <?xml version="1.0"?><urlset {ns}>' + "".join(f"<sitemap><loc>{n}</loc></sitemap>" for n in nested)
+            + "<!-- <loc>https://no.example/</loc> -->" + "".join(f"<url><loc> {p} </loc><lastmod>1</lastmod></url>" for p in pages))
+    whole, broken = (text + "</urlset>").encode(), (text + "<url><loc>https://cut.example/</url>").encode()
+    want = ([n.replace("&amp;", "&") for n in nested], pages)
+    for piece, chunk in ((1000, 1 << 20), (9, 16), (47, 5), (1, 100)):
+        monkeypatch.setattr(M, "PIECE", piece)
+        monkeypatch.setattr(M, "CHUNK", chunk)
+        two = gzip.compress(whole[:300]) + gzip.compress(whole[300:]) + b"\0\0"
+        for url, body in (("https://s.example/a.xml", whole), ("https://s.example/a.xml", gzip.compress(whole)), ("https://s.example/a.xml.gz", two), ("https://s.example/b.xml", broken)):
+            found = list(M._pieces(url, body))
+            assert ([x for f in found for x in f[2]], [x for f in found for x in f[3]]) == want
+            at = [0, 0]
+            for f in found:
+                assert [f[0], f[1]] == at and 0 < len(f[2]) + len(f[3]) <= piece
+                at = [at[0] + len(f[2]), at[1] + len(f[3])]
+        for url, body in (("https://s.example/a.gz", whole), ("u", gzip.compress(whole)[:-20]), ("u", gzip.compress(b"<a></b>" + whole)[:-20]), ("u", b""), ("u", None), ("u", gzip.compress(whole) + b"rest")):
+            assert list(M._pieces(url, body)) == [(0, 0, [], [])]
+
+
+def test_a_large_document_needs_little_memory():
+    import gzip
+    import io
+    import tracemalloc
+    out = io.BytesIO()
+    with gzip.open(out, "wb", 1) as f:
+        f.write(b"<urlset>")
+        for i in range(30):
+            f.write(b"".join(b"<url><loc>https://s.example/some/long/path/of/a/product/%d/%d</loc><note>%s</note></url>" % (i, j, b"x" * 100) for j in range(10_000)))
+        f.write(b"</urlset>")
+    tracemalloc.start()
+    n = sum(len(pages) for _, _, _, pages in M._pieces("u", out.getvalue()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 300_000
+    assert peak < 40 << 20  # the document inflates to 54 MB, its locations to 35 MB
+
+
+def test_walk_order_does_not_depend_on_slices(spark, monkeypatch):
+    import random
+    draw = random.Random(4)
+    def doc(urls):
+        return "<sitemapindex>" + "".join(f"<sitemap><loc>{u}</loc></sitemap>" for u in urls) + "</sitemapindex>"
+    tree = {"https://s.example/sitemap.xml": [f"https://s.example/m{i}.xml" for i in range(60)]}
+    for i in range(60):
+        tree[f"https://s.example/m{i}.xml"] = [f"https://s.example/{'product-' if i % 3 == 0 and j % 2 else ''}m{i}-{j}.xml" for j in range(draw.randint(0, 9))]
+    docs = spark.createDataFrame([(u, 200, doc(c).encode()) for u, c in tree.items()], "url string, status int, body binary")
+    runs = spark.createDataFrame([("r", "https://s.example/")], "run_id string, seed_url string")
+    robots = spark.createDataFrame([], "origin string, status int, body string")
+    want, queue = [], ["https://s.example/sitemap.xml"]
+    while queue:
+        url = queue.pop(0)
+        want.append(url)
+        children = tree.get(url, [])
+        queue += [c for c in children if "product" in c] or children
+    for piece, slice_ in ((50_000, 10_000), (50_000, 7)):
+        monkeypatch.setattr(M, "SLICE", slice_)
+        walked = M.walk_sitemaps(M.sitemap_roots(runs, robots), M.parse_sitemaps(docs)).collect()
+        assert [r.url for r in sorted(walked, key=lambda r: r["rank"])] == want

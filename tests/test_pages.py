@@ -158,3 +158,49 @@ def test_lazy_signal(spark, html, want):
 def test_json_without_numbers_of_its_own():
     from shelfspark.operators.parse import _json_ld_block
     assert _json_ld_block('{"@type":"Product","weight":NaN,"d":[Infinity,1.5]}')[2] == '{"@type": "Product", "weight": null, "d": [null, 1.5]}'
+
+
+def test_misnested_tags(spark):
+    """Expected parents: an end tag closes what stands inside its element, and stops at a stronger one."""
+    cases = {
+        "<b>1<i>2</b>3</i>4": {"b": None, "i": "b"},
+        "<div><b><div>x</b>y</div><p>z</p></div>": {"b": "div", "p": "div"},
+        "<table><tr><td><b>x</td><td></b>y</td></tr></table>": {"tr": "table", "td": "tr", "b": "td"},
+        "<span><div></span><em>x</em></div><u>y</u></span>": {"div": "span", "em": "div", "u": "span"},
+        "<ul><li>1<li>2<ul><li>3</ul></ul>": {"li": "ul"},
+        "<table><tr><td>1<tr><td>2</table><s>x</s>": {"tr": "table", "td": "tr", "s": None},
+        "<p>a<div>b</div></p><p>c": {"p": None, "div": None},
+        "</b><q>x</q></div>": {"q": None},
+    }
+    rows = spark.createDataFrame([(h, h) for h in cases], "k string, html string")
+    for r in parse_pages(rows).collect():
+        for n in r.nodes:
+            want = cases[r.k].get(n.tag, "any")
+            got = r.nodes[n.parent].tag if n.parent >= 0 else None
+            assert want == "any" or got == want, (r.k, n.tag, got)
+
+
+def test_first_link_below_a_node(spark):
+    html = '<div><p>a</p><ul><li><a>none</a><a href="/x">x</a></li><li>b</li></ul><a href="/y">y</a></div><i>c</i>'
+    nodes = parse_pages(spark.createDataFrame([(html,)], "html string")).first().nodes
+    below = {n.id: next((m.id for m in nodes if n.id < m.id <= n.last and m.tag == "a" and "href" in m.attrs), None) for n in nodes}
+    assert {n.id: n.link for n in nodes} == below and below[0] is not None and below[len(nodes) - 1] is None
+
+
+def test_robots_agree_with_the_standard_parser(spark):
+    from urllib.robotparser import RobotFileParser
+    from shelfspark.operators.robots import robots_gate, robots_rules
+    agent = "Mozilla/5.0 (X11; Linux x86_64)"
+    bodies = ["User-agent: *\nDisallow: *", "User-agent: *\nDisallow:\nDisallow: /a", "User-agent: *\nDisallow: /a*b\nAllow: /", "User-agent: *\nAllow: /p\nDisallow: /",
+              "User-agent: mozilla\nDisallow: /a\n\nUser-agent: *\nDisallow: /", "", "Disallow: /", "User-agent: *\nDisallow: /a%2fb\nDisallow: /é",
+              "User-agent: *\n" + "\n".join(f"Disallow: /d/{i}/" for i in range(0, 10_000, 2)) + "\nDisallow: /z"]
+    paths = ["/", "/a", "/a/b", "/a%2Fb", "/a*b", "/p/1", "/*", "/%C3%A9", "/é?x", "/d/4998/x", "/d/4999/x", "/z?q=1", ""]
+    robots = spark.createDataFrame([(f"https://h{i}.example", 200, b) for i, b in enumerate(bodies)], "origin string, status int, body string")
+    urls = spark.createDataFrame([(f"https://h{i}.example{p}",) for i in range(len(bodies)) for p in paths], "url string")
+    got = {r.url: r.allowed for r in robots_gate(urls, robots_rules(robots, agent)).collect()}
+    for i, body in enumerate(bodies):
+        parser = RobotFileParser()
+        parser.parse(body.splitlines())
+        for p in paths:
+            url = f"https://h{i}.example{p}"
+            assert got[url] == parser.can_fetch(agent, url), (body[:60], p)

@@ -127,3 +127,100 @@ def test_a_run_without_a_pattern_walks_nowhere(spark):
     runs = spark.createDataFrame([("r", f"{S}/all")], "run_id string, seed_url string")
     result = crawl_run(runs, pages, JobConfig(max_listing_pages=1))
     assert not [r for r in result.warnings.collect() if "listing pages" in r.warning]
+
+
+def exchanged(df, column):
+    """Exchanges of a plan that carry a column."""
+    text = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    parts = text.split("\n\n")
+    return [p for p in parts if " Exchange" in p.split("\n")[0] and f"{column}#" in p]
+
+
+def spied(monkeypatch):
+    """The captures given to each parse of a crawl, and the parse itself."""
+    from shelfspark.operators import clusters
+    from shelfspark.plans import runs as plan
+    seen = []
+    whole, light, verdicts = plan.page_facts, plan.page_links, clusters.parse_pages
+    monkeypatch.setattr(plan, "page_facts", lambda p, c: seen.append((p, whole(p, c))) or seen[-1][1])
+    monkeypatch.setattr(plan, "page_links", lambda p: seen.append((p, light(p))) or seen[-1][1])
+    monkeypatch.setattr(clusters, "parse_pages", lambda p: seen.append((p, verdicts(p))) or seen[-1][1])
+    return seen
+
+
+def test_captures_behind_the_cap_are_never_parsed(spark, monkeypatch):
+    links = ["".join(f'<a href="/d/{i:03}">x</a>' for i in range(p * 50, p * 50 + 50)) for p in range(4)]
+    lists = [(f"{S}/all" + (f"?page={p + 1}" if p else ""), links[p] + (f'<a rel="next" href="/all?page={p + 2}">n</a>' if p < 3 else "")) for p in range(4)]
+    # most of the first 60 products are gone, so the first piece is not enough
+    goods = [(f"{S}/d/{i:03}", "<p>gone</p>" if i % 4 and 3 < i < 60 else product(f"n{i}")) for i in range(200)]
+    runs = spark.createDataFrame([("capped", f"{S}/all"), ("free", "https://t.example/all")], "run_id string, seed_url string")
+    other = [(u.replace("s.example", "t.example"), h) for u, h in [lists[3], *goods[150:]]]
+    other[0] = ("https://t.example/all", other[0][1])
+    caps = spark.createDataFrame([("capped", 12), ("free", 0)], "run_id string, max_products int")
+    seen = spied(monkeypatch)
+    result = crawl_run(runs, pages_of(spark, lists + goods + other), JobConfig(), caps=caps)
+    names = {r.name for r in result.exported.where("run_id = 'capped'").collect()}
+    assert names == {f"n{i}" for i in (0, 1, 2, 3, 4, 8, 12, 16, 20, 24, 28, 32)}
+    assert result.exported.where("run_id = 'free'").count() == 50
+    parsed = {r.url.split(".example")[1] for p, _ in seen for r in p.where("url like '%s.example%'").select("url").collect()}
+    assert "/all?page=4" in parsed and "/d/023" in parsed
+    assert not {f"/d/{i:03}" for i in range(96, 200)} & parsed
+    outcomes = {r.outcome: r["count"] for r in result.settled.where("run_id = 'capped'").groupBy("outcome").count().collect()}
+    assert outcomes["not_reached"] == 200 - 12 - outcomes["failed"]
+
+
+def test_bodies_are_not_exchanged_when_a_crawl_resumes(spark, monkeypatch):
+    links = "".join(f'<a href="/d/{i}">x</a>' for i in range(8))
+    pages = pages_of(spark, [(f"{S}/all", links)] + [(f"{S}/d/{i}", product(f"n{i}")) for i in range(8)] + [("https://t.example/d/1", product("other"))])
+    runs = spark.createDataFrame([("r", f"{S}/all")], "run_id string, seed_url string")
+    done = spark.createDataFrame([("r", f"s.example/d/{i}") for i in (3, 6, 7)], "run_id string, product_key string")
+    seen = spied(monkeypatch)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        result = crawl_run(runs, pages, JobConfig(), processed=done, caps=spark.createDataFrame([("r", 4)], "run_id string, max_products int"))
+        assert sorted(r.name for r in result.exported.collect()) == ["n0", "n1", "n2", "n4"]
+        assert len(seen) >= 4
+        for _, parsed in seen:
+            assert not exchanged(parsed, "html")
+        joined = pages.join(done, pages.url == done.product_key)
+        assert exchanged(joined, "html")  # the test sees what it looks for
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_next_page_that_looks_like_a_product(spark):
+    links = "".join(f'<a href="/d/{i}">x</a>' for i in range(4))
+    pages = pages_of(spark, [(f"{S}/all", links + '<a rel="next" href="/d/more">n</a>'), (f"{S}/d/more", '<a href="/d/9">x</a><a rel="next" href="/d/last">n</a>'),
+                             (f"{S}/d/last", '<a href="/d/10">x</a>')] + [(f"{S}/d/{i}", product(f"n{i}")) for i in (0, 1, 2, 3, 9, 10)])
+    runs = spark.createDataFrame([("r", f"{S}/all")], "run_id string, seed_url string")
+    assert sorted(r.name for r in crawl_run(runs, pages, JobConfig()).exported.collect()) == ["n0", "n1", "n10", "n2", "n3", "n9"]
+
+
+def test_members_are_never_lost(spark):
+    from shelfspark.operators import membership as M
+    rows = spark.range(200_000).withColumns({"k": F.when(F.col("id") % 7 == 0, None).otherwise(F.col("id") % 50_000), "_page": F.lit(1)})
+    keys = rows.where("id % 11 = 0 or k is null").select("k")
+    kept = M.keep_members(rows, keys, "k")
+    assert kept.columns == rows.columns
+    wanted = rows.join(keys.distinct(), rows.k.eqNullSafe(keys.k), "left_semi")
+    assert wanted.exceptAll(kept).count() == 0
+    assert kept.count() < wanted.count() * 1.05
+    assert M.filter_bits(0) == M.LEAST_BITS and M.filter_bits(1 << 40) == M.MOST_BITS and M.filter_bits(1 << 20) == 1 << 26
+
+
+def test_details_behind_the_cap_are_not_read(spark, monkeypatch):
+    from shelfspark.operators import enrich as E
+    from shelfspark.plans.runs import feed_run
+    def page(listing, index, ids, more):
+        goods = ",".join(f'{{"goodsId":{i},"goodsName":"n{i}","salePrice":5,"imageList":[{{"goodsThumb":"https://i.example/{i}"}}]}}' for i in ids)
+        return (listing, index, 200, f'{{"ret":200,"data":{{"hasNextPage":{str(more).lower()},"goodsList":[{goods}]}}}}')
+    listing = spark.createDataFrame([page("1", 1, range(1, 6), True), page("1", 2, range(6, 11), False), ("2", 1, 500, "x")], "flow_id string, page_index int, status int, body string")
+    listings = spark.createDataFrame([("r", 0, "1"), ("r", 1, "2")], "run_id string, listing_rank int, flow_id string")
+    details = spark.createDataFrame([(f"shop.example/details/n{i}-{i}", i, f'x {{"goodsId":{i},"level2CatId":{i}}}') for i in range(1, 11)], "product_key string, page_id int, html string")
+    caps = spark.createDataFrame([("r", 3)], "run_id string, max_products int")
+    seen, whole = [], E.embedded_details
+    monkeypatch.setattr(E, "embedded_details", lambda p: seen.append(p) or whole(p))
+    result = feed_run(listing, listings, JobConfig(base_url="https://shop.example/"), details=details, caps=caps)
+    assert result.exported.count() == 3 and result.counters.collect()[0].failed == 0
+    assert sorted(r.page_id for r in seen[0].collect()) == [1, 2, 3]
