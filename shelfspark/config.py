@@ -72,6 +72,18 @@ CURRENT_PAGE_SELECTOR = (
 LOAD_MORE_SELECTOR = (
     '[data-load-more], .load-more, .js-load-more, button[class*="load-more" i]'
 )
+LOAD_MORE_LABEL = r"(?i)^(load|show|view|see)\s+more\b"
+
+#: Class or id of a pagination container.
+PAGER_NAME = r"(?i)pag(er|ination)?\b|\bpages?\b"
+
+#: Where a page names its main image, and the attribute that holds it.
+IMAGE_HINTS = (
+    ("meta[property='og:image']", "content"),
+    ("meta[name='twitter:image']", "content"),
+    ("link[rel='image_src']", "href"),
+    ("[itemprop='image']", "content"),
+)
 
 #: The key in front of a product page's embedded detail object.
 DETAIL_KEY = '"/n/api/trade/intention/item/detail"'

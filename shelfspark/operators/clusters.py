@@ -134,7 +134,7 @@ def decide_patterns(verified: DataFrame) -> DataFrame:
     return decided.select(
         "run_id", "template",
         F.when(F.col("template").isNull(), F.format_string(
-            "Sampled the %d largest link groups (%s); none looked like product pages.", "_n", "_names"
+            "Tried the %d largest shapes of links (%s); their samples held no products.", "_n", "_names"
         )).alias("warning"),
     )
 

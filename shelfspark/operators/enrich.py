@@ -53,5 +53,5 @@ def enrichment_misses(enriched: DataFrame) -> DataFrame:
         F.count("*").alias("products"), F.count_if(~F.col("enriched")).alias("misses")
     )
     return counted.withColumn("warning", F.when(F.col("misses") > 0, F.format_string(
-        "%d product page(s) could not be read; those rows have no category/subcategory.", "misses"
+        "%d detail page(s) gave no category; their rows have none.", "misses"
     )))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.config import (
     BREADCRUMB_SELECTORS,
+    IMAGE_HINTS,
     IMAGE_NOISE,
     MONEY,
     JobConfig,
@@ -245,12 +246,7 @@ def heuristic_fields() -> Column:
         return lambda n: _first_filled(n, attribute, "src")
     hints = [
         let(N.first(NODES, selector), filled(attribute))
-        for selector, attribute in (
-            ("meta[property='og:image']", "content"),
-            ("meta[name='twitter:image']", "content"),
-            ("link[rel='image_src']", "href"),
-            ("[itemprop='image']", "content"),
-        )
+        for selector, attribute in IMAGE_HINTS
     ]
 
     def side(n: Column, name: str) -> Column:

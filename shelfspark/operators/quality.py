@@ -27,18 +27,17 @@ def validate(products: DataFrame) -> DataFrame:
     def blank(name: str) -> Column:
         return F.coalesce(strip(F.col(name)), F.lit("")) == ""
     swapped = F.concat(
-        F.lit("asp ("), money_text(asp), F.lit(") > mrp ("), money_text(mrp),
-        F.lit("); prices may be swapped"),
+        F.lit("asp "), money_text(asp), F.lit(" above mrp "), money_text(mrp), F.lit(": swapped?"),
     )
     return (
         products.withColumn("errors", _notes(
-            (blank("name"), "name is blank"),
-            (blank("image_url"), "image_url is missing"),
-            (blank("product_url"), "product_url is missing"),
-            (mrp.isNull() & asp.isNull(), "no price found (both mrp and asp missing)"),
+            (blank("name"), "blank name"),
+            (blank("image_url"), "no image_url"),
+            (blank("product_url"), "no product_url"),
+            (mrp.isNull() & asp.isNull(), "no price: neither mrp nor asp"),
         ))
         .withColumn("warnings", _notes(
-            (asp > mrp, swapped), (F.coalesce(mrp == 0, F.lit(False)) | F.coalesce(asp == 0, F.lit(False)), "a price is zero"),
+            (asp > mrp, swapped), (F.coalesce(mrp == 0, F.lit(False)) | F.coalesce(asp == 0, F.lit(False)), "a price of zero"),
         ))
         .withColumn("valid", ~(
             blank("name") | blank("image_url") | blank("product_url") | (mrp.isNull() & asp.isNull())

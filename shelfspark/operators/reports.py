@@ -9,12 +9,9 @@ from pyspark.sql import functions as F
 
 COUNTERS = ("discovered", "exported", "skipped", "duplicates", "failed", "invalid")
 
-NO_PRODUCTS = "The scrape completed but found no products."
-ROBOTS_SKIPPED = "robots.txt check skipped at the caller's request."
-SEED_MISSING = (
-    "Could not load the page. The site likely blocks automated browsers, "
-    "or the URL is unreachable."
-)
+NO_PRODUCTS = "The run ended without a product."
+ROBOTS_SKIPPED = "robots.txt was not asked, as requested."
+SEED_MISSING = "The seed page was not captured: the site may refuse robots, or the address is wrong."
 
 
 def run_counters(settled: DataFrame, *extra: DataFrame) -> DataFrame:

@@ -67,12 +67,12 @@ def robots_gate(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return (
         joined.withColumn("_http", is_http(url))
         .withColumn("allowed", F.col("_http") & (missing | bad | verdict))
-        .withColumn("reason", F.when(~F.col("_http"), F.concat(F.lit("Not an http(s) URL: "), url))
-            .when(missing, F.lit("robots.txt unreachable; allowed by convention"))
-            .when(bad, F.format_string("robots.txt returned HTTP %d; allowed", "status"))
-            .when(F.col("allowed"), F.lit("allowed by robots.txt"))
+        .withColumn("reason", F.when(~F.col("_http"), F.concat(F.lit("refused, no http(s) address: "), url))
+            .when(missing, F.lit("allowed: no robots.txt was captured"))
+            .when(bad, F.format_string("allowed: robots.txt answered HTTP %d", "status"))
+            .when(F.col("allowed"), F.lit("allowed: robots.txt has no rule against it"))
             .otherwise(F.concat(
-                F.col("_origin"), F.lit("/robots.txt disallows this user-agent from fetching "), url
+                F.col("_origin"), F.lit("/robots.txt forbids "), url
             )))
         .drop("_origin", "_target", "_http", "status", "rules")
     )

@@ -331,7 +331,6 @@ def confirm_sitemaps(urls: DataFrame, verdicts: DataFrame) -> DataFrame:
     return counted.join(judged, "run_id").select(
         "run_id", "n_urls", "sampled", "hits", confirmed.alias("confirmed"),
         F.when(~confirmed, F.format_string(
-            "The site's product sitemap listed %d URLs, but a sample did not parse as "
-            "product pages; used the generic crawler instead.", "n_urls",
+            "A sample of the sitemap's %d addresses held too few products; fell back to links.", "n_urls",
         )).alias("warning"),
     )

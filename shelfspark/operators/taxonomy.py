@@ -90,7 +90,7 @@ def unmapped(df: DataFrame, taxonomy: DataFrame, level2: str, level3: str) -> Da
     return ids.join(taxonomy, ["level", "id"], "left_anti").withColumn(
         "warning",
         F.format_string(
-            "Unmapped %s category id %d; exported as cat:%d. Add it to the taxonomy map.",
+            "No name for %s category %d; exported as cat:%d.",
             "level", "id", "id",
         ),
     )

@@ -42,7 +42,7 @@ def pagination_walk(spark, sf_dir):
 
 @query("pagination_walk_capped", _P + """
 SELECT brand AS run_id, page_url AS page_key, p AS page_pos,
-  CASE WHEN last >= 2 THEN 'Stopped after 3 listing pages (max_listing_pages). There may be more products.' END AS warning
+  CASE WHEN last >= 2 THEN 'The walk ended at 3 listing pages; there may be more.' END AS warning
 FROM p WHERE p < 3""")
 def pagination_walk_capped(spark, sf_dir):
     """D10 with a cap of three pages and its warning."""
@@ -93,8 +93,8 @@ def verified_clusters(spark, sf_dir):
 
 @query("crawl_patterns", _SEED + """
 SELECT brand AS run_id, CASE WHEN good THEN '/details/*' END AS template,
-  CASE WHEN NOT good THEN CASE WHEN m >= 3 THEN 'Sampled the 2 largest link groups (/activity/*, /details/*); none looked like product pages.'
-    ELSE 'Sampled the 1 largest link groups (/activity/*); none looked like product pages.' END END AS warning FROM d""")
+  CASE WHEN NOT good THEN CASE WHEN m >= 3 THEN 'Tried the 2 largest shapes of links (/activity/*, /details/*); their samples held no products.'
+    ELSE 'Tried the 1 largest shapes of links (/activity/*); their samples held no products.' END END AS warning FROM d""")
 def crawl_patterns(spark, sf_dir):
     """D6 for every brand shop."""
     return crawl_run(R.shop_runs(spark, sf_dir), R.shop_pages(spark, sf_dir), JobConfig()).patterns
@@ -260,8 +260,8 @@ def sitemap_run_products(spark, sf_dir):
 # Robots
 # --------------------------------------------------------------------------
 _GATE = """CASE m WHEN 2 THEN false WHEN 3 THEN p LIKE '10%' OR p NOT LIKE '1%' WHEN 4 THEN p NOT LIKE '2%' WHEN 5 THEN p NOT LIKE '35%' ELSE true END"""
-_REASON = """CASE WHEN m = 0 THEN 'robots.txt unreachable; allowed by convention' WHEN m = 1 THEN 'robots.txt returned HTTP 404; allowed'
-  WHEN allowed THEN 'allowed by robots.txt' ELSE o || '/robots.txt disallows this user-agent from fetching ' || url END"""
+_REASON = """CASE WHEN m = 0 THEN 'allowed: no robots.txt was captured' WHEN m = 1 THEN 'allowed: robots.txt answered HTTP 404'
+  WHEN allowed THEN 'allowed: robots.txt has no rule against it' ELSE o || '/robots.txt forbids ' || url END"""
 
 
 @query("robots_gate", f"""

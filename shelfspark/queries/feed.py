@@ -104,9 +104,9 @@ def feed_counters(spark, sf_dir):
 
 
 @query("feed_warnings", _FEED + f"""
-SELECT 'site' AS run_id, 'Unmapped level2 category id ' || (9000 + size) || '; exported as cat:' || (9000 + size) || '. Add it to the taxonomy map.' AS warning
+SELECT 'site' AS run_id, 'No name for level2 category ' || (9000 + size) || '; exported as cat:' || (9000 + size) || '.' AS warning
 FROM pr WHERE {_DETAIL} AND k % 5 = 2 GROUP BY size
-UNION ALL SELECT 'site', count(*) || ' product page(s) could not be read; those rows have no category/subcategory.' FROM pr WHERE NOT ({_DETAIL}) HAVING count(*) > 0""")
+UNION ALL SELECT 'site', count(*) || ' detail page(s) gave no category; their rows have none.' FROM pr WHERE NOT ({_DETAIL}) HAVING count(*) > 0""")
 def feed_warnings(spark, sf_dir):
     """Q7, Q8 and G8."""
     return _run(spark, sf_dir).warnings

@@ -39,9 +39,9 @@ def _caps(lines):
 
 
 @query("validated_products", _LINES + f"""
-SELECT {_ID}, array_to_string(list_filter([CASE WHEN blank THEN 'name is blank' END, CASE WHEN unpriced THEN 'no price found (both mrp and asp missing)' END], lambda t: t IS NOT NULL), '; ') AS errors,
-  CASE WHEN unpriced THEN '' WHEN l_tax = 0.04 THEN 'a price is zero' WHEN l_tax = 0.07 THEN
-    'asp (' || CAST(CAST(l_extendedprice + 1 AS DECIMAL(14,2)) AS VARCHAR) || ') > mrp (' || CAST(CAST(l_extendedprice AS DECIMAL(14,2)) AS VARCHAR) || '); prices may be swapped' ELSE '' END AS warnings,
+SELECT {_ID}, array_to_string(list_filter([CASE WHEN blank THEN 'blank name' END, CASE WHEN unpriced THEN 'no price: neither mrp nor asp' END], lambda t: t IS NOT NULL), '; ') AS errors,
+  CASE WHEN unpriced THEN '' WHEN l_tax = 0.04 THEN 'a price of zero' WHEN l_tax = 0.07 THEN
+    'asp ' || CAST(CAST(l_extendedprice + 1 AS DECIMAL(14,2)) AS VARCHAR) || ' above mrp ' || CAST(CAST(l_extendedprice AS DECIMAL(14,2)) AS VARCHAR) || ': swapped?' ELSE '' END AS warnings,
   NOT (blank OR unpriced) AS valid FROM y""")
 def validated_products(spark, sf_dir):
     """Q1 on a product per line item."""
@@ -107,7 +107,7 @@ def run_warnings(spark, sf_dir):
     """Q8 by kind of warning."""
     settled = Q.settle(R.line_products(spark, sf_dir))
     notes = K.run_warnings(settled, K.run_counters(settled))
-    kind = F.when(F.col("warning") == "a price is zero", "zero").when(F.col("warning").like("asp (%"), "swapped").otherwise(F.col("warning"))
+    kind = F.when(F.col("warning") == "a price of zero", "zero").when(F.col("warning").like("asp % above mrp %"), "swapped").otherwise(F.col("warning"))
     return notes.groupBy("run_id", kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
@@ -149,10 +149,10 @@ def requests(spark, sf_dir):
 
 
 @query("run_status", _RUNS + """
-SELECT run_id, status, CASE WHEN NOT http THEN 'url must be an absolute http(s) URL' WHEN NOT valid THEN 'max_products must be between 1 and 5000' WHEN status = 'blocked' THEN
-    'https://supplier-' || s || '.example/robots.txt disallows this user-agent from fetching https://supplier-' || s || '.example/details/' || d
-  WHEN status = 'error' THEN 'Could not load the page. The site likely blocks automated browsers, or the URL is unreachable.' END AS error,
-  CASE WHEN skip THEN 'robots.txt check skipped at the caller''s request.' END AS warning FROM st""")
+SELECT run_id, status, CASE WHEN NOT http THEN 'url is no absolute http(s) address' WHEN NOT valid THEN 'max_products lies outside 1 to 5000' WHEN status = 'blocked' THEN
+    'https://supplier-' || s || '.example/robots.txt forbids https://supplier-' || s || '.example/details/' || d
+  WHEN status = 'error' THEN 'The seed page was not captured: the site may refuse robots, or the address is wrong.' END AS error,
+  CASE WHEN skip THEN 'robots.txt was not asked, as requested.' END AS warning FROM st""")
 def run_status(spark, sf_dir):
     """Q11: blocked, error or done for an order per run."""
     return _statuses(spark, sf_dir).select("run_id", "status", "error", "warning")

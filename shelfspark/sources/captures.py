@@ -92,8 +92,8 @@ def run_requests(requests: DataFrame) -> DataFrame:
     may ask for; a request without a cap gets the default.
     """
     url, cap = strip(F.col("url")), F.coalesce("max_products", F.lit(DEFAULT_REQUESTED_PRODUCTS))
-    refusal = F.when(~F.coalesce(is_http(url), F.lit(False)), F.lit("url must be an absolute http(s) URL")).when(
-        ~cap.between(1, MAX_REQUESTED_PRODUCTS), F.lit(f"max_products must be between 1 and {MAX_REQUESTED_PRODUCTS}"))
+    refusal = F.when(~F.coalesce(is_http(url), F.lit(False)), F.lit("url is no absolute http(s) address")).when(
+        ~cap.between(1, MAX_REQUESTED_PRODUCTS), F.lit(f"max_products lies outside 1 to {MAX_REQUESTED_PRODUCTS}"))
     return requests.withColumns({"url": url, "max_products": cap}).withColumn("refusal", refusal).withColumn("valid", F.col("refusal").isNull())
 
 

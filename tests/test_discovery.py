@@ -28,7 +28,7 @@ def test_first_verified_cluster_wins(spark):
     rows = [("r", 1, "/a/*", False), ("r", 2, "/b/*", True), ("r", 3, "/c/*", True), ("q", 1, "/d/*", False), ("q", 2, "/e/*", False)]
     got = C.decide_patterns(spark.createDataFrame(rows, "run_id string, rank int, template string, verified boolean"))
     assert {r.run_id: (r.template, r.warning) for r in got.collect()} == {
-        "r": ("/b/*", None), "q": (None, "Sampled the 2 largest link groups (/d/*, /e/*); none looked like product pages.")}
+        "r": ("/b/*", None), "q": (None, "Tried the 2 largest shapes of links (/d/*, /e/*); their samples held no products.")}
 
 
 @pytest.mark.parametrize("cap", [0, 1, 2, 5, 50])

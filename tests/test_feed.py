@@ -81,7 +81,7 @@ def test_settling(spark):
     counters = run_counters(settled).collect()[0]
     assert (counters.discovered, counters.exported, counters.duplicates, counters.failed, counters.invalid) == (7, 4, 1, 1, 2)
     notes = sorted(r.warning for r in run_warnings(settled, run_counters(settled)).collect())
-    assert notes == ["a price is zero", "asp (6.00) > mrp (5.00); prices may be swapped"]
+    assert notes == ["a price of zero", "asp 6.00 above mrp 5.00: swapped?"]
     caps = spark.createDataFrame([("r", 2)], "run_id string, max_products int")
     capped = [r.outcome for r in settle(df, caps).orderBy("discovery_ord").collect()]
     assert capped == ["invalid", "exported", "duplicate", "exported"] + ["not_reached"] * 4
@@ -90,4 +90,4 @@ def test_settling(spark):
 def test_silent_runs_say_so(spark):
     settled = settle(spark.createDataFrame([product(0, "a", usable=False)], SCHEMA))
     notes = [r.warning for r in run_warnings(settled, run_counters(settled)).collect()]
-    assert notes == ["The scrape completed but found no products."]
+    assert notes == ["The run ended without a product."]

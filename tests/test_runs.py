@@ -43,7 +43,7 @@ def test_crawl(spark):
         ("many", "s.example/d/5", None, "failed"), ("one", "one.example/p", "alone", "exported")}
     assert {r.run_id: r.template for r in result.patterns.collect()} == {"many": "/d/*", "one": "single product page", "plain": None}
     notes = {(r.run_id, r.warning.split(",")[0].split(" (")[0]) for r in result.warnings.collect()}
-    assert notes == {("none", "Found no product links"), ("plain", "Found links"), ("plain", "Sampled the 1 largest link groups")}
+    assert notes == {("none", "No product links on the seed page"), ("plain", "The seed page has links"), ("plain", "Tried the 1 largest shapes of links")}
 
 
 def test_stored_facts_replace_pages(spark, tmp_path):
