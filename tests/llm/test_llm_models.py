@@ -83,3 +83,83 @@ def test_a_language_not_learned_is_rejected_and_short_texts_stay(spark):
     # running text only: lists of made-up words between bars, and texts strewn with signs, are not clean
     short = identify(words.where("length(text) > 40 AND NOT text RLIKE '[|%$*#=]'"), fit_languages(docs.where("doc_id % 4 <> 2"))).collect()
     assert np.mean([r["rejected"] for r in short]) == 0
+
+
+def plain_counts(text):
+    """Pairs and triples of bytes, a dictionary of hashed dimensions."""
+    out, b = {}, text.encode().lower()
+    for i in range(len(b) - 1):
+        grams = [(1 << 24) + (b[i] << 8) + b[i + 1]]
+        if i + 2 < len(b):
+            grams.append((b[i] << 16) + (b[i + 1] << 8) + b[i + 2])
+        for g in grams:
+            d = (g * 0x9E3779B1 & 0xFFFFFFFF) >> 19
+            out[d] = out.get(d, 0) + 1
+    return out
+
+
+def test_language_agrees_with_plain_tf_idf_and_cosine(spark):
+    from math import exp, log, sqrt
+    en, de = ["the cat sat on the mat", "a dog and the house", "this is his other hat"], ["der hund und die katze", "das ist ein haus", "wir gehen nach hause"]
+    rows = [(i, f"{own[i % 3]} {i % 7}", lang) for i in range(60) for own, lang in ((en, "en"), (de, "de"))]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit_languages(train)
+    counted = [plain_counts(t) for _, t, _ in rows]
+    df = {}
+    for c in counted:
+        for d in c:
+            df[d] = df.get(d, 0) + 1
+    idf = {d: log((1 + len(rows)) / (1 + n)) + 1 for d, n in df.items()}
+    assert all(abs(model.idf[d] - x) < 1e-4 for d, x in idf.items())
+    asked = ["the house and the dog", "die katze ist im haus", "xyz qqq", "THE MAT", "7", "", "ein hat"]
+    got = {r["doc_id"]: r for r in identify(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect()}
+    unseen = log(1 + len(rows)) + 1
+    for i, text in enumerate(asked):
+        counts = plain_counts(text)
+        vector = {d: log(1 + n) * idf.get(d, unseen) for d, n in counts.items()}
+        size = sqrt(sum(x * x for x in vector.values())) or 1
+        cos = [sum(x / size * float(c[d]) for d, x in vector.items()) for c in model.centroids]
+        if not any(ch.isalpha() for ch in text):
+            assert (got[i]["lang"], got[i]["score"], got[i]["rejected"]) == ("und", 0.0, True)
+            continue
+        best = max(range(len(cos)), key=lambda j: cos[j])
+        by_lang = {name: max(x for x, of in zip(cos, model.of, strict=True) if of == k) for k, name in enumerate(model.langs)}
+        top = max(by_lang.values())
+        assert got[i]["lang"] == model.langs[model.of[best]]
+        assert abs(got[i]["score"] - 1 / sum(exp(25 * (x - top)) for x in by_lang.values())) < 1e-3
+        assert got[i]["rejected"] == (cos[best] < model.least[best] * sqrt(min(1, len(counts) / model.usual[best])))
+
+
+def test_every_split_is_the_best_one():
+    """Each tree's splits against the gain of every feature and threshold, row by row."""
+    from shelfspark.llm.quality_model import L2, LEAST_ROWS, RATE
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(160, 3)), 1)
+    y = ((x[:, 0] + 0.5 * x[:, 1] + 0.3 * rng.normal(size=160)) > 0).astype(float)
+    made = fit_trees(x, y, trees=3, depth=2, bins=8)
+    raw = np.full(len(y), made.base)
+    for f, t, v in zip(made.feature, made.threshold, made.value, strict=True):
+        p = 1 / (1 + np.exp(-raw))
+        g, h = y - p, p * (1 - p)
+        node = np.zeros(len(y), int)
+        for q in (0, 1, 2):
+            if q == 1:
+                node = 1 + (x[:, f[0]] > t[0])
+            rows = np.flatnonzero(node == q) if q else np.arange(len(y))
+            gain = lambda r: sum(g[r]) ** 2 / (sum(h[r]) + L2)
+            best = 0.0
+            for j in range(3):
+                for cut in np.unique(np.quantile(x[:, j], np.linspace(0, 1, 9)[1:-1])):
+                    low, high = rows[x[rows, j] <= cut], rows[x[rows, j] > cut]
+                    if min(len(low), len(high)) >= LEAST_ROWS:
+                        best = max(best, gain(low) + gain(high) - gain(rows))
+            if np.isinf(t[q]):
+                assert best < 1e-6
+            else:
+                low, high = rows[x[rows, f[q]] <= t[q]], rows[x[rows, f[q]] > t[q]]
+                assert abs(gain(low) + gain(high) - gain(rows) - best) < 1e-9
+        leaf = np.array([2 * (n - 1) + (x[i, f[n]] > t[n]) for i, n in enumerate(node)], int)
+        for k in range(4):
+            own = leaf == k
+            assert abs(v[k] - RATE * g[own].sum() / (h[own].sum() + L2)) < 1e-12
+        raw += v[leaf]
