@@ -19,6 +19,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,6 +38,9 @@ CACHE_WORDS, KEPT_WORDS = 700_000, 350_000
 #: A single space between two other characters: the tokenizer always cuts before it.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 
+#: What stands for a space in byte-level vocabularies.
+SPACE_LETTER = "Ġ"
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -53,7 +57,10 @@ class Encoder:
         from tokenizers import Tokenizer
         self.model = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2") if self.model.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.known: dict[str, bytes | None] = {}
+        self.known: dict[str, bytes] = {}
+        names = self.model.get_vocab()
+        self.spaced = np.zeros(max(names.values()) + 1, bool)  # ids that begin with a space
+        self.spaced[[i for name, i in names.items() if name.startswith(SPACE_LETTER)]] = True
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -71,29 +78,55 @@ class Encoder:
             for x in self.model.encode_batch_fast(texts[i:i + 20_000], add_special_tokens=False):
                 yield array(letter, x.ids).tobytes()  # for a few ids a fifth of what numpy takes
 
+    def _encode_words(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of a space and a word, for each: many are read as one text, which is cut where ids begin with a space."""
+        for i in range(0, len(words), 2000):
+            part = words[i:i + 2000]
+            ids = np.array(self.model.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids)
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) != len(part):  # not that kind of vocabulary
+                yield from self._encode([" " + w for w in part])
+                continue
+            run, cuts = ids.astype(self.kind).tobytes(), (np.append(starts, len(ids)) * self.kind.itemsize).tolist()
+            yield from (run[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [t.split(" ") for t in texts]
-        heads = {p[0] for p in pieces}
-        new = {x for p in pieces for x in p[1:]} - self.known.keys()
+        """Arrow splits the texts and strings the pieces' ids together; Python meets distinct pieces only."""
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        bounds = split.offsets.to_numpy()
+        first, last = bounds[:-1], bounds[1:]
+        coded = split.values.dictionary_encode()
+        pieces, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        inner = np.ones(len(at), bool)
+        inner[first] = False
+        # a piece that is empty or has white space at an end lies at no such cut
+        odd = np.fromiter((not x or x[0].isspace() or x[-1].isspace() for x in pieces), bool, len(pieces))
+        plain = np.zeros(len(pieces), bool)
+        plain[at[inner]] = True
+        plain &= ~odd
+        wanted = [x for x, ok in zip(pieces, plain.tolist(), strict=True) if ok]
+        new = [x for x in wanted if x not in self.known]
         if len(self.known) + len(new) > CACHE_WORDS:
             self.shrink()
-            new = {x for p in pieces for x in p[1:]} - self.known.keys()
-        # a piece that is empty or has white space at an end lies at no such cut
-        odd = {x for x in new if not x or x[0].isspace() or x[-1].isspace()}
-        self.known.update(dict.fromkeys(odd))
-        plain = list(new - odd)
-        self.known.update(zip(plain, self._encode([" " + x for x in plain]), strict=True))
-        first = list(heads)
-        start = dict(zip(first, self._encode(first), strict=True))
-        out, get = [], self.known.__getitem__
-        for text, own in zip(texts, pieces, strict=True):
-            try:
-                if len(own) > 1 and (not own[0] or own[0][-1].isspace()):
-                    raise TypeError
-                out.append(start[own[0]] + b"".join(map(get, own[1:])))
-            except TypeError:  # an odd piece: cut only where it is safe
-                own = CUT.split(text)
-                out.append(b"".join(self._encode([own[0], *(" " + x for x in own[1:])])))
+            new = [x for x in wanted if x not in self.known]
+        self.known.update(zip(new, self._encode_words(new), strict=True))
+        known = self.known
+        runs = pa.array([known[x] if ok else b"" for x, ok in zip(pieces, plain.tolist(), strict=True)], pa.large_binary())
+        strung = runs.take(coded.indices)  # ids in the order of the texts, one buffer
+        ends = np.frombuffer(strung.buffers()[1], np.int64, len(strung) + 1, 8 * strung.offset)
+        ids = strung.buffers()[2]
+        ids = memoryview(ids) if ids is not None else memoryview(b"")
+        heads = [pieces[i] for i in at[first].tolist()]
+        own = list(set(heads))
+        start = dict(zip(own, self._encode(own), strict=True))
+        cut_badly = np.add.reduceat(odd[at] & inner, first) > 0
+        out = []
+        for text, head, bad, a, b in zip(texts, heads, cut_badly.tolist(), first.tolist(), last.tolist(), strict=True):
+            if bad or b - a > 1 and (not head or head[-1].isspace()):  # cut only where it is safe
+                safe = CUT.split(text)
+                out.append(b"".join(self._encode([safe[0], *(" " + x for x in safe[1:])])))
+            else:
+                out.append(start[head] + ids[ends[a + 1]:ends[b]])
         return out
 
 
