@@ -164,7 +164,7 @@ def test_misnested_tags(spark):
     """Expected parents: an end tag closes what stands inside its element, and stops at a stronger one."""
     cases = {
         "<b>1<i>2</b>3</i>4": {"b": None, "i": "b"},
-        "<div><b><div>x</b>y</div><p>z</p></div>": {"b": "div", "p": "div"},
+        "<div><b><div>x</b>y</div><p>z</p></div><i>w</i>": {"b": "div", "p": "b", "i": None},  # the inner div holds, so b stays open
         "<table><tr><td><b>x</td><td></b>y</td></tr></table>": {"tr": "table", "td": "tr", "b": "td"},
         "<span><div></span><em>x</em></div><u>y</u></span>": {"div": "span", "em": "div", "u": "span"},
         "<ul><li>1<li>2<ul><li>3</ul></ul>": {"li": "ul"},
