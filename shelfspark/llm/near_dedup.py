@@ -32,9 +32,9 @@ NEIGHBOURS = 3
 #: Sets of 0.8 agree in 0.85 of their 2-bit values; fewer than this are 5 deviations off.
 LEAST_AGREEING = round(0.69 * FUNCTIONS)
 
-#: Rows whose shingles are counted to tell rare from common, and the cells they are counted
-#: in. Any order of the shingles gives the same pairs; a good one gives them sooner.
-ORDER_SAMPLE, ORDER_BITS = 16384, 21
+#: Rows whose shingles are counted to tell rare from common, the cells they are counted in
+#: and the tasks that count. Any order of the shingles gives the same pairs; a good one gives them sooner.
+ORDER_SAMPLE, ORDER_BITS, ORDER_TASKS = 16384, 21, 4
 
 _rng = np.random.default_rng(20240608)
 MULTIPLIERS = (_rng.integers(0, 2**32, FUNCTIONS, np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -269,8 +269,8 @@ def _among(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return probe(docs.withColumn("cell", cell), stored(pages(cell, wanted)), "cell", "hit").where("hit").select("doc_id", "text")
 
 
-def _rarity(docs: DataFrame, crowd: DataFrame, k: int) -> np.ndarray:
-    """By cell: how common its shingles are in some rows of the crowd, as a rank from 0 to 255."""
+def _shingle_counts(docs: DataFrame, crowd: DataFrame, k: int) -> DataFrame:
+    """cells, counts: the shingles of some rows of the crowd by cell, a row from each of few tasks."""
     every = max(1, crowd.count() // ORDER_SAMPLE)
     some = stored(crowd.select("doc_id").where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(every)) == 0))
 
@@ -281,11 +281,20 @@ def _rarity(docs: DataFrame, crowd: DataFrame, k: int) -> np.ndarray:
                 np.add.at(total, (shingle_set(text, k) >> np.uint64(64 - ORDER_BITS)).astype(np.int64), 1)
         at = np.flatnonzero(total)
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["cell", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([total[at].astype("<i4").tobytes()], pa.binary())], ["cells", "counts"])
+
+    sampled = _among(docs, some).join(some, "doc_id", "left_semi").select("text").repartition(ORDER_TASKS)
+    return sampled.mapInArrow(count, "cells binary, counts binary")
 
-    found = _among(docs, some).join(some, "doc_id", "left_semi").select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+
+def _rarity(docs: DataFrame, crowd: DataFrame, k: int) -> np.ndarray:
+    """By cell: how common its shingles are in some rows of the crowd, as a rank from 0 to 255."""
+    total = np.zeros(1 << ORDER_BITS, np.int64)
+    for cells, counts in zip(*_shingle_counts(docs, crowd, k).toArrow().to_pydict().values(), strict=True):
+        total[np.frombuffer(cells, "<i4")] += np.frombuffer(counts, "<i4")
+    at = np.flatnonzero(total)
     ranks = np.zeros(1 << ORDER_BITS, np.uint8)
-    ranks[found["cell"].to_numpy()] = np.minimum(255, np.log2(1 + found["n"].to_numpy()) * 12)
+    ranks[at] = np.minimum(255, np.log2(1 + total[at]) * 12)
     return ranks
 
 
