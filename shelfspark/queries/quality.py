@@ -13,7 +13,7 @@ from shelfspark.operators import reports as K
 from shelfspark.operators.robots import robots_gate, robots_rules
 from shelfspark.queries.registry import money, query
 from shelfspark.rendering import storefront as R
-from shelfspark.session import ensure_checkpoint_dir
+from shelfspark.session import ensure_checkpoint_dir, stored
 from shelfspark.sources.captures import processed_keys, read_processed, read_product_csv, read_run_csv, run_requests
 from shelfspark.sources.sinks import clear_processed, csv_row, write_processed, write_product_csv, write_run_csv
 
@@ -230,7 +230,8 @@ WHERE outcome IN ('exported', 'duplicate') AND (run_id LIKE '%F' OR l_linenumber
 def processed_state(spark, sf_dir):
     """Two saves append, a clear replaces only its own runs, one of them by nothing."""
     folder = _folder(spark)
-    settled = Q.settle(R.line_products(spark, sf_dir))
+    # settled once: two saves and a clear read it
+    settled = stored(Q.settle(R.line_products(spark, sf_dir)).select("run_id", "product_key", "l_linenumber", "outcome"))
     write_processed(Q.processed_after(settled.where("l_linenumber <> 1")), folder)
     write_processed(Q.processed_after(settled.where("l_linenumber = 1")), folder)
     cleared = settled.where("run_id like '%O' or run_id = 'AF'").select("run_id").distinct()
