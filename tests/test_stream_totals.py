@@ -38,3 +38,13 @@ def test_live_counter_and_state_after_a_restart(spark, tmp_path):
         spark.streams.removeListener(counter)
     got = {r.discovery_ord: (r.outcome, r.batch_id) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {5: ("exported", 0), 6: ("failed", 0), 7: ("exported", 1), 1: ("duplicate", 2), 2: ("exported", 2), 8: ("exported", 2)}
+
+
+def test_a_file_that_arrives_is_parsed_by_several_tasks(spark, tmp_path):
+    rows = spark.range(200).selectExpr("id as page_id", "concat('https://a.example/', id) as url", "'<p>x</p>' as html", "200 as status")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/pages")
+    dealt = captured_pages(spark, f"{tmp_path}/pages", files=1, tasks=4).withColumn("task", F.spark_partition_id())
+    dealt.writeStream.format("parquet").option("path", f"{tmp_path}/out").option(
+        "checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.count() == 200 and out.select("task").distinct().count() == 4
