@@ -41,7 +41,7 @@ RATE, SMOOTH = 0.02, 0.4
 #: Weight that a context's predictor takes from the ones before it, by how often it was seen: never, up to 2 times, up to 30, more.
 SHARES = (0.0, 0.1, 0.3, 0.5)
 LEVELS = len(SHARES)
-TEXT_BYTES = 2_000_000  # of text that a task scores at a time
+TEXT_BYTES = 400_000  # of text that a task counts or scores at a time: about 1 MB of arrays for each 10 KB
 HASH = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 HASH32 = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77)]
 
@@ -259,7 +259,10 @@ def load_predictors(files: list[str], code: Code) -> list[tuple[np.ndarray, np.n
             for r in ds.dataset(path, filesystem=fs, format="parquet").to_table().to_pylist():
                 own = np.frombuffer(r["counts"], "<f4").reshape(-1, 2)
                 tables[r["predictor"]][r["chunk"] << CHUNK_BITS:][:len(own)] = own
+                del own, r
         _held[name] = predictors(tables)
+        del tables
+        release()
     return _held[name]
 
 
