@@ -17,11 +17,12 @@ import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as ds
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -112,9 +113,10 @@ class Code:
         """(cells, bits, text numbers, kinds) of the words and ends; symbols, their texts, spelled words, their texts."""
         get = self.symbols().get
         ends = np.cumsum([len(w) + 1 for w in split])
-        ids = np.fromiter(chain.from_iterable(chain(map(get, w, [ESCAPE] * len(w)), (END,)) for w in split), np.int64, ends[-1])
-        of = np.repeat(np.arange(len(split)), np.diff(ends, prepend=0))
         flat = list(chain.from_iterable(chain(w, (b"",)) for w in split))
+        ids = np.fromiter(map(get, flat, repeat(ESCAPE)), np.int64, len(flat))
+        ids[ends - 1] = END
+        of = np.repeat(np.arange(len(split)), np.diff(ends, prepend=0))
         escaped = np.flatnonzero(ids == ESCAPE)
         spelled = [flat[i] for i in escaped]
         own = ids.copy()
@@ -215,13 +217,12 @@ def gather_counts(texts: DataFrame, words: DataFrame, code: Code) -> DataFrame:
         for cells, bits in streams:
             tables = tables or _tables(sent.value)
             for table, cell in zip(tables, cells, strict=True):
-                seen, n = np.unique(cell * np.uint32(2) + bits.view(np.uint8), return_counts=True)
-                table.reshape(-1)[seen] += n.astype(np.uint32)
+                np.add.at(table.reshape(-1), cell.astype(np.intp) * 2 + bits, np.uint32(1))
         for k, table in enumerate(tables or ()):
             for at in range(0, len(table), 1 << CHUNK_BITS):
                 part = table[at:at + (1 << CHUNK_BITS)]
                 if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at >> CHUNK_BITS], pa.int32()), pa.array([zlib.compress(part.astype("<u4").tobytes(), 1)])], ["predictor", "chunk", "counts"])
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at >> CHUNK_BITS], pa.int32()), pa.array([pa.Codec("zstd", 1).compress(part.astype("<u4").tobytes(), asbytes=True)])], ["predictor", "chunk", "counts"])
 
     def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return count(sent.value.word_bits(split)[0][:2] for batch in batches for split in _words(texts_of(batch)))
@@ -231,10 +232,11 @@ def gather_counts(texts: DataFrame, words: DataFrame, code: Code) -> DataFrame:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, total = None, None
+        cells = [len(t) for t in _tables(sent.value)]
         row = lambda: pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([total.astype("<f4").tobytes()])], ["predictor", "chunk", "counts"])
         for batch in batches:
             for k, c, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                own = np.frombuffer(zlib.decompress(counts), "<u4").astype(np.float64)
+                own = np.frombuffer(pa.Codec("zstd", 1).decompress(counts, 8 * min(1 << CHUNK_BITS, cells[k] - (c << CHUNK_BITS)), asbytes=True), "<u4").astype(np.float64)
                 if (k, c) == key:
                     total += own
                 else:
@@ -283,6 +285,19 @@ def start_weights() -> list[np.ndarray]:
     return [(1 - share[two]) * (1 - share[three]), share[two] * (1 - share[three]), share[three]]
 
 
+def _stretches(of: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the bits of a kind and text start, and how many they are; kinds ascend, and texts in each."""
+    starts = []
+    cuts = [0, *np.searchsorted(kinds, [1, 2]).tolist()]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if a < b:
+            part = of[a:b]
+            met = np.searchsorted(part, np.arange(part[0], part[-1] + 2, dtype=of.dtype))
+            starts.append(a + met[:-1][np.diff(met) > 0])
+    starts = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+    return starts, np.diff(np.append(starts, len(of)))
+
+
 def log_probabilities(cells: list[np.ndarray], tables: list[tuple[np.ndarray, np.ndarray]], bits: np.ndarray, of: np.ndarray, kinds: np.ndarray, texts: int) -> np.ndarray:
     """Natural log probability of each text's bits under the mix.
 
@@ -290,11 +305,19 @@ def log_probabilities(cells: list[np.ndarray], tables: list[tuple[np.ndarray, np
     weights and refines them every few bits by the gradient of what it has read, whatever is
     scored beside it.
     """
-    logits = [t[0][c] for t, c in zip(tables, cells, strict=True)]
-    gate = (tables[1][1][cells[1]] * np.uint8(LEVELS) + tables[2][1][cells[2]]) * np.uint8(2) + kinds.view(np.uint8)
-    sign = bits.astype(np.float32) * 2 - 1
-    starts = np.flatnonzero(np.diff(of * 2 + kinds, prepend=-1))
-    sizes = np.diff(np.append(starts, len(of)))
+    n = len(bits)
+    held = [np.zeros(n + STEP - 1, t) for t in (np.float32, np.float32, np.float32, np.uint8, np.float32)]
+    for (table, level), cell, out in zip(tables, cells, held, strict=False):
+        cell = cell.astype(np.intp)
+        table.take(cell, out=out[:n], mode="clip")
+        if out is not held[0]:
+            held[3][:n] *= np.uint8(LEVELS)
+            held[3][:n] += level.take(cell)
+    held[3][:n] *= np.uint8(2)
+    held[3][:n] += kinds.view(np.uint8)
+    np.subtract(bits * np.int8(2), np.int8(1), out=held[4][:n])
+    *logits, gate, sign = [sliding_window_view(x, STEP) for x in held]  # by place, the STEP values from there
+    starts, sizes = _stretches(of, kinds)
     pieces = -(-sizes // RUN)
     run_start = ranges(np.zeros(len(sizes), np.int64), pieces) * RUN + np.repeat(starts, pieces)
     run_size = np.minimum(RUN, np.repeat(starts + sizes, pieces) - run_start)
@@ -306,19 +329,20 @@ def log_probabilities(cells: list[np.ndarray], tables: list[tuple[np.ndarray, np
     total = np.zeros(len(run_start))
     for at in range(0, int(run_size.max()) if len(run_size) else 0, STEP):
         live = int(np.searchsorted(-run_size, -at, side="left"))
-        width = np.minimum(STEP, run_size[:live] - at)
-        rows = ranges(run_start[:live] + at, width)
-        slot = np.repeat(np.arange(0, live * gates, gates), width) + gate[rows]
-        own = [x[rows] for x in logits]
-        mixed = own[0] * weights[0][slot]
+        width, place = run_size[:live] - at, run_start[:live] + at
+        slot = (gate[place] + np.arange(0, live * gates, gates)[:, None]).ravel()
+        own = [x[place].ravel() for x in logits]
+        mixed = own[0] * weights[0].take(slot)
         for k in (1, 2):
-            mixed += own[k] * weights[k][slot]
-        turned = sign[rows]
+            mixed += own[k] * weights[k].take(slot)
+        turned = sign[place].ravel()
         odds = np.exp(-np.clip(mixed * turned, -12, 12))  # against the bit that came
-        total[:live] -= np.add.reduceat(np.log1p(odds), np.cumsum(width) - width)
+        full = int(np.searchsorted(-width, -STEP, side="right"))
+        odds[full * STEP:] *= (np.arange(STEP) < width[full:, None]).ravel()  # what lies behind a run's end is none of its bits
+        total[:live] -= np.log1p(odds).reshape(live, STEP).sum(axis=1)
         error = turned * odds / (1 + odds) * np.float32(RATE)
         for k in range(3):
-            weights[k][:live * gates] += np.bincount(slot, error * own[k], live * gates)
+            np.add.at(weights[k], slot, error * own[k])
     return np.bincount(of[run_start], total, texts) if len(run_start) else np.zeros(texts)
 
 

@@ -69,3 +69,32 @@ def test_probabilities_sum_to_one_and_neighbours_do_not_matter():
         first.append(log_probabilities([c[:n] for c in cells], tables, bits[:n], of[:n], kinds[:n], 1)[0])
     assert np.exp(first).sum() == pytest.approx(1, abs=1e-4)
     assert logs([[b"b"], [b"zz"] * 50, [b"a", b"c"] * 3000])[0] == pytest.approx(some[2])
+
+
+def test_a_task_scores_much_text_in_little_memory():
+    """Fails where a task makes arrays of all bits of 2 MB of text at once."""
+    import tracemalloc
+    words = [f"w{i}".encode() for i in range(3000)]
+    code = Code(words, list(range(3000, 0, -1)), 9, 1, sum(range(3001)), 3000)
+    rng = np.random.default_rng(3)
+    tables = mixing_lm.predictors([rng.integers(0, 9, t.shape).astype(np.float32) for t in mixing_lm._tables(code)])
+    texts = [b" ".join(words[i] for i in rng.integers(0, 3000, 4000)) for _ in range(100)]
+    code.symbols()
+    tracemalloc.start()
+    logs = []
+    for split in mixing_lm._words(texts):
+        cells, bits, of, kinds, *_ = code.encode(split)
+        logs += log_probabilities(cells, tables, bits, of, kinds, len(split)).tolist()
+        del cells, bits, of, kinds
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(logs) == 100
+    assert peak < 150e6
+
+
+def test_stretches_of_kinds_and_texts():
+    of, kinds = np.array([0, 0, 2, 2, 2, 0, 3], np.int32), np.array([0, 0, 0, 0, 0, 1, 1], np.int8)
+    starts, sizes = mixing_lm._stretches(of, kinds)
+    assert starts.tolist() == [0, 2, 5, 6]
+    assert sizes.tolist() == [2, 3, 1, 1]
+    assert [x.tolist() for x in mixing_lm._stretches(of[:0], kinds[:0])] == [[], []]
