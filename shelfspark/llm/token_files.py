@@ -15,7 +15,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import islice
+from itertools import compress, islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,9 @@ BATCH_SEQUENCES = 1024
 #: met, so the common ones); the rest is encoded again.
 CACHE_WORDS, KEPT_WORDS = 700_000, 350_000
 
+#: Bytes of rows that a task encodes at a time.
+GROUP_BYTES = 12 << 20
+
 #: A single space between two other characters: the tokenizer always cuts before it.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -44,6 +47,20 @@ SPACE_LETTER = "Ġ"
 _encoders: dict[str, Encoder] = {}
 
 
+def _odd(pieces: pa.Array, texts: list[str]) -> np.ndarray:
+    """Which pieces are empty or have white space at an end; only ends that are not visible ASCII are looked at one by one."""
+    data = pieces.buffers()[2]
+    letters = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
+    bounds = np.frombuffer(pieces.buffers()[1], np.int64, len(pieces) + 1, 8 * pieces.offset)
+    filled = bounds[1:] > bounds[:-1]
+    ends = [letters[np.where(filled, x, 0)] for x in (bounds[:-1], bounds[1:] - 1)]
+    odd = ~filled
+    for i in np.flatnonzero(filled & ~((ends[0] > 32) & (ends[0] < 127) & (ends[1] > 32) & (ends[1] < 127))).tolist():
+        x = texts[i]
+        odd[i] = x[0].isspace() or x[-1].isspace()
+    return odd
+
+
 class Encoder:
     """Ids of whole texts as bytes of unsigned 16- or 32-bit integers.
 
@@ -100,19 +117,22 @@ class Encoder:
         inner = np.ones(len(at), bool)
         inner[first] = False
         # a piece that is empty or has white space at an end lies at no such cut
-        odd = np.fromiter((not x or x[0].isspace() or x[-1].isspace() for x in pieces), bool, len(pieces))
+        odd = _odd(coded.dictionary, pieces)
         plain = np.zeros(len(pieces), bool)
         plain[at[inner]] = True
         plain &= ~odd
-        wanted = [x for x, ok in zip(pieces, plain.tolist(), strict=True) if ok]
-        new = [x for x in wanted if x not in self.known]
+        wanted = list(compress(pieces, plain.tolist()))
+        runs = list(map(self.known.get, wanted))
+        missing = [i for i, run in enumerate(runs) if run is None]
+        new = [wanted[i] for i in missing]
         if len(self.known) + len(new) > CACHE_WORDS:
             self.shrink()
-            new = [x for x in wanted if x not in self.known]
-        self.known.update(zip(new, self._encode_words(new), strict=True))
-        known = self.known
-        runs = pa.array([known[x] if ok else b"" for x, ok in zip(pieces, plain.tolist(), strict=True)], pa.large_binary())
-        strung = runs.take(coded.indices)  # ids in the order of the texts, one buffer
+        for i, word, run in zip(missing, new, self._encode_words(new), strict=True):
+            runs[i] = self.known[word] = run
+        runs.append(b"")
+        place = np.full(len(pieces), len(wanted))
+        place[plain] = np.arange(len(wanted))
+        strung = pa.array(runs, pa.large_binary()).take(pa.array(place[at]))  # ids in the order of the texts, one buffer
         ends = np.frombuffer(strung.buffers()[1], np.int64, len(strung) + 1, 8 * strung.offset)
         ids = strung.buffers()[2]
         ids = memoryview(ids) if ids is not None else memoryview(b"")
@@ -130,6 +150,19 @@ class Encoder:
         return out
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about GROUP_BYTES, since a distinct word is looked up once in each."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(x.nbytes for x in held) >= GROUP_BYTES:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 class _PartWriter:
     """Fills fixed-size lists with a run of ids."""
 
@@ -232,9 +265,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
         writer = None
         n_docs, first = 0, None
         stem = f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:8]}"
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _together(batches):
             encoder = Encoder.of(tokenizer)
             if writer is None:
                 fs, path = shared_files(folder)
@@ -242,10 +273,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
                 writer = _PartWriter(stem, encoder.kind, length, batch.column("doc_id").type)
                 first = batch.column("doc_id")[0]
             end = np.array([end_id], encoder.kind).tobytes()
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                runs = encoder.encode([x or "" for x in part.column("text").to_pylist()])
-                writer.add(part.column("doc_id"), [r + end for r in runs])
+            runs = encoder.encode([x or "" for x in batch.column("text").to_pylist()])
+            writer.add(batch.column("doc_id"), [r + end for r in runs])
             n_docs += batch.num_rows
         if writer is not None:
             writer.close()

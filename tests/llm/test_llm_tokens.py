@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from shelfspark.llm import token_files
@@ -61,3 +62,32 @@ def test_runs_over_many_batches(tmp_path, monkeypatch):
 def test_no_rows_no_files(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert read_tokens(write_tokens(docs, token_folder(docs), PATH)).count() == 0
+
+
+def test_a_distinct_piece_is_looked_up_once_a_group():
+    """Batches are put together, and each distinct piece of a group asks the memory once."""
+    class Asked(dict):
+        n = 0
+
+        def get(self, key, other=None):
+            Asked.n += 1
+            return super().get(key, other)
+
+    encoder = Encoder(PATH)
+    encoder.known = Asked()
+    rows = pa.record_batch({"text": ["one two three two", "two three four"]})
+    groups = list(token_files._together(iter([rows, rows.slice(0, 0), rows])))
+    assert [g.num_rows for g in groups] == [4]
+    assert list(token_files._together(iter([]))) == []
+    plain = Tokenizer.from_file(PATH)
+    texts = groups[0].column("text").to_pylist()
+    for text, run in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(run, encoder.kind).tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert Asked.n == 3  # two, three, four; the first word of a text has no space before it
+
+
+def test_odd_pieces_are_those_with_white_space_at_an_end():
+    pieces = ["", "a", "\n", "a\n", "\xa0a", "é", "a\x1c", "\x7f", "x é", " "]
+    found = token_files._odd(pa.array(["skipped", *pieces], pa.large_string())[1:], pieces)
+    assert found.tolist() == [not x or x[0].isspace() or x[-1].isspace() for x in pieces]
+    assert token_files._odd(pa.array([""], pa.large_string()), [""]).tolist() == [True]
