@@ -96,7 +96,9 @@ class Code:
         offsets, lengths, nodes, bits = paths
         sizes = lengths[symbols]
         at = ranges(offsets[symbols], sizes)
-        node = (nodes[at] + np.int32(first_node)).view(np.uint32)
+        node = nodes.take(at)
+        node += np.int32(first_node)
+        node = node.view(np.uint32)
         one = (before.astype(np.uint64) + np.uint64(1)) * HASH[0]
         two = one * HASH[1] ^ (before2.astype(np.uint64) + np.uint64(2)) * HASH[2]
         cells, mixed = [node], node * HASH32[0]
@@ -107,7 +109,7 @@ class Code:
             cell *= HASH32[1]
             cell >>= np.uint32(32 - TABLE_BITS)
             cells.append(cell)
-        return cells, bits[at], np.repeat(of.astype(np.int32), sizes), np.full(len(at), kind, np.int8)
+        return cells, bits.take(at), np.repeat(of.astype(np.int32), sizes), np.full(len(at), kind, np.int8)
 
     def word_bits(self, split: list[list[bytes]]):
         """(cells, bits, text numbers, kinds) of the words and ends; symbols, their texts, spelled words, their texts."""
@@ -217,7 +219,11 @@ def gather_counts(texts: DataFrame, words: DataFrame, code: Code) -> DataFrame:
         for cells, bits in streams:
             tables = tables or _tables(sent.value)
             for table, cell in zip(tables, cells, strict=True):
-                np.add.at(table.reshape(-1), cell.astype(np.intp) * 2 + bits, np.uint32(1))
+                seen, flat = cell.astype(np.intp) * 2 + bits, table.reshape(-1)
+                if len(seen) > len(flat):
+                    flat += np.bincount(seen, minlength=len(flat)).astype(np.uint32)
+                else:
+                    np.add.at(flat, seen, np.uint32(1))
         for k, table in enumerate(tables or ()):
             for at in range(0, len(table), 1 << CHUNK_BITS):
                 part = table[at:at + (1 << CHUNK_BITS)]
