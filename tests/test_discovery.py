@@ -189,3 +189,19 @@ def test_walk_order_does_not_depend_on_slices(spark, monkeypatch):
         monkeypatch.setattr(M, "SLICE", slice_)
         walked = M.walk_sitemaps(M.sitemap_roots(runs, robots), M.parse_sitemaps(docs)).collect()
         assert [r.url for r in sorted(walked, key=lambda r: r["rank"])] == want
+
+
+def test_a_page_without_a_number_costs_no_failed_cast(spark, monkeypatch):
+    """Fails where a text that was not found is cast: every such cast raises and catches."""
+    from pyspark.sql import Column
+    from pyspark.sql import functions as F
+
+    from shelfspark.operators import pagination
+    from shelfspark.operators.parse import parse_pages
+
+    monkeypatch.setattr(Column, "try_cast", Column.cast)  # an error is an error now
+    rows = [(1, "https://a.example/x", "<a href='/y'>y</a>"), (2, "https://a.example/x?page=4", "<p>"), (3, "https://a.example/page-7", None),
+            (4, "https://a.example/x", "<a aria-current='page'> 12 </a>"), (5, None, "<a aria-current='page'>here</a>")]
+    parsed = parse_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = parsed.select("page_id", pagination._current_page(F.col("url")).alias("n")).orderBy("page_id").collect()
+    assert [r["n"] for r in got] == [1, 4, 7, 12, 1]
