@@ -344,11 +344,16 @@ def log_probabilities(cells: list[np.ndarray], tables: list[tuple[np.ndarray, np
         turned = sign[place].ravel()
         odds = np.exp(-np.clip(mixed * turned, -12, 12))  # against the bit that came
         full = int(np.searchsorted(-width, -STEP, side="right"))
-        odds[full * STEP:] *= (np.arange(STEP) < width[full:, None]).ravel()  # what lies behind a run's end is none of its bits
-        total[:live] -= np.log1p(odds).reshape(live, STEP).sum(axis=1)
+        own_bit = (np.arange(STEP) < width[full:, None]).ravel()  # what lies behind a run's end is none of its bits
+        odds[full * STEP:] *= own_bit
+        logs = np.log1p(odds)
+        if full < live:
+            logs = np.concatenate([logs[:full * STEP], logs[full * STEP:][own_bit]])
+        width = np.minimum(STEP, width)
+        total[:live] -= np.add.reduceat(logs, np.cumsum(width) - width)
         error = turned * odds / (1 + odds) * np.float32(RATE)
         for k in range(3):
-            np.add.at(weights[k], slot, error * own[k])
+            weights[k][:live * gates] += np.bincount(slot, error * own[k], live * gates)
     return np.bincount(of[run_start], total, texts) if len(run_start) else np.zeros(texts)
 
 
