@@ -219,7 +219,9 @@ def gather_counts(texts: DataFrame, words: DataFrame, code: Code) -> DataFrame:
         for cells, bits in streams:
             tables = tables or _tables(sent.value)
             for table, cell in zip(tables, cells, strict=True):
-                seen, flat = cell.astype(np.intp) * 2 + bits, table.reshape(-1)
+                seen, flat = cell.astype(np.intp), table.reshape(-1)
+                seen <<= 1
+                seen += bits
                 if len(seen) > len(flat):
                     flat += np.bincount(seen, minlength=len(flat)).astype(np.uint32)
                 else:
@@ -391,9 +393,9 @@ def score_texts(docs: DataFrame, held_out: Column, codebook: int = CODEBOOK) ->
                 n = np.bincount(owner, minlength=len(split))
                 known = np.bincount(owner[plain & (code.counts[ids] > 0)], minlength=len(split))
                 base = np.bincount(owner[plain], head[ids[plain]], len(split))
-                tails = [Counter() for _ in split]
+                tails = [{} for _ in split]
                 for w, i in zip(spelled, spelled_of.tolist(), strict=True):
-                    tails[i][w] += 1
+                    tails[i][w] = tails[i].get(w, 0) + 1
                 for c, v in zip(cols, (n, known, base, logs / np.log(10)), strict=False):
                     c.extend(v.tolist())
                 cols[4] += [len(t) for t in texts[at:at + len(split)]]
