@@ -50,6 +50,11 @@ def modest_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """From now on a query of the session drops its shuffle files when it ends, not when the driver collects its garbage."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with modest batches; what a task has freed goes back at its end."""
     modest_batches(df.sparkSession)

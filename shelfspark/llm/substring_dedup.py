@@ -4,7 +4,8 @@ Anchors bring equal strings together: in each string of ``length`` bytes, the ``
 of the smallest hash. Equal strings have the same anchor at the same distance. A context is
 the stretch of a text around an anchor that all its strings lie in. Equal contexts are one
 row with its smallest doc_id; where an anchor has several different contexts, their suffixes
-are sorted, and neighbours in the order that share ``length`` bytes are equal strings.
+are sorted, as far as their strings may meet, and neighbours in the order that share
+``length`` bytes are equal strings.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.llm.cells import FILTER_BITS, CellFilter, pages, probe
-from shelfspark.llm.common import in_arrow, lean_batches, texts_of, whole_text
+from shelfspark.llm.common import drop_shuffles, in_arrow, lean_batches, texts_of, whole_text
 from shelfspark.llm.suffix_groups import sort_suffixes
 from shelfspark.session import stored
 
@@ -28,8 +29,9 @@ ANCHOR_BITS = 1 << 28  # 32 MB in a worker
 #: Contexts of one anchor that are sorted together; an anchor with more is dealt over several
 #: blocks and the smallest doc_ids of its strings are put together by their hashes.
 BLOCK = 256
-SORT_BYTES = 1_000_000
+HELD_BYTES, SORT_BYTES = 2_500_000, 1_000_000  # of contexts that a task compares, of their pieces that it sorts at a time
 PIECE = 1 << 21
+RUNS, RUNS_SQL = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), "array<struct<a: int, b: int>>"
 MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -96,8 +98,86 @@ def _found(text: bytes, filter_: CellFilter, length: int):
         yield h, lo, text[lo:min(p, last) + length]
 
 
+def _common(body: np.ndarray, at: np.ndarray, room: np.ndarray, way: int, block: np.ndarray, width: int) -> np.ndarray:
+    """How many of the ``room`` bytes from each place on, going one way, another place of its block has too (``width`` at most)."""
+    step = np.arange(width)
+    near = body[np.clip(at[:, None] + way * step, 0, len(body) - 1)]
+    near = np.where(step < room[:, None], np.minimum(near, 254) + np.uint8(1), np.uint8(0))  # 0: nothing there
+    rows = np.concatenate([block.astype(">u4")[:, None].view(np.uint8), near], axis=1)
+    order = np.argsort(np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel(), kind="stable")
+    near, block = near[order], block[order]
+    same = (near[1:] == near[:-1]) & (near[1:] > 0) & (block[1:] == block[:-1])[:, None]
+    length = np.where(same.all(axis=1), width, same.argmin(axis=1))
+    out = np.zeros(len(at), np.int64)
+    out[order] = np.maximum(np.append(length, 0), np.insert(length, 0, 0))  # the most is shared with a neighbour
+    return out
+
+
+def _pieces(contexts: list[bytes], hashes: np.ndarray, block: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Between which bytes of each context all strings lie that another context of its block may hold.
+
+    A string holds the gram, so it reaches no further to either side of it than the bytes
+    there are another context's too. A context with the gram at several places is left whole.
+    """
+    text, sizes = b"".join(contexts), np.array([len(c) for c in contexts])
+    ends, owner = np.cumsum(sizes), np.repeat(np.arange(len(contexts)), sizes)
+    starts = ends - sizes
+    grams = _gram_hashes(text)
+    at = np.flatnonzero(grams == hashes[owner[:len(grams)]])
+    at = at[at + GRAM <= ends[owner[at]]]
+    own, body, width = owner[at], np.frombuffer(text, np.uint8), length - GRAM
+    left = _common(body, at - 1, at - starts[own], -1, block[own], width)
+    right = _common(body, at + GRAM, ends[own] - at - GRAM, 1, block[own], width)
+    once = np.bincount(own, minlength=len(contexts))[own] == 1
+    lo, hi = np.zeros(len(contexts), np.int64), sizes.copy()
+    lo[own[once]] = (at - left - starts[own])[once]
+    hi[own[once]] = (at + GRAM + right - starts[own])[once]
+    return lo, hi
+
+
+def _least_ids(blocks: list[list[tuple[bytes, int]]], hashes: list[int], length: int) -> list[np.ndarray]:
+    """For each context, the smallest doc_id of its block holding each of its strings.
+
+    What no other context may hold is cut off first, and equal pieces become one; the
+    suffixes of a block's different pieces are then sorted.
+    """
+    flat = [c for block in blocks for c in block]
+    number = np.repeat(np.arange(len(blocks)), [len(b) for b in blocks])
+    lo, hi = (x.tolist() for x in _pieces([c for c, _ in flat], np.array(hashes, np.int64).view(np.uint64), number, length))
+    dealt: dict[int, dict[bytes, int]] = {}
+    for (c, first), b, x, y in zip(flat, number.tolist(), lo, hi, strict=True):
+        if y - x >= length:
+            pieces = dealt.setdefault(b, {})
+            pieces[c[x:y]] = min(first, pieces.get(c[x:y], first))
+    least: dict[int, dict[bytes, np.ndarray]] = {}
+    held, size = [], 0
+    for b, pieces in dealt.items():
+        if len(pieces) == 1:  # nothing differs: all strings have the id of the piece
+            least[b] = {c: np.full(len(c) - length + 1, first, np.int64) for c, first in pieces.items()}
+            continue
+        held.append(b)
+        size += sum(map(len, pieces))
+        if size >= SORT_BYTES:
+            least |= _sorted_pieces(dealt, held, length)
+            held, size = [], 0
+    if held:
+        least |= _sorted_pieces(dealt, held, length)
+    out = []
+    for (c, first), b, x, y in zip(flat, number.tolist(), lo, hi, strict=True):
+        own = np.full(len(c) - length + 1, first, np.int64)
+        if y - x >= length:
+            own[x:y - length + 1] = least[b][c[x:y]]
+        out.append(own)
+    return out
+
+
+def _sorted_pieces(dealt: dict[int, dict[bytes, int]], blocks: list[int], length: int) -> dict[int, dict[bytes, np.ndarray]]:
+    found = _sort_blocks([list(dealt[b].items()) for b in blocks], length)
+    return {b: dict(zip(dealt[b], own, strict=True)) for b, own in zip(blocks, found, strict=True)}
+
+
 def _sort_blocks(blocks: list[list[tuple[bytes, int]]], length: int) -> list[list[np.ndarray]]:
-    """For each context of each block, the smallest doc_id holding each of its strings."""
+    """For each context of each block, the smallest doc_id holding each of its strings, by their order."""
     parts, bounds, at = [], [0], 0
     for block in blocks:
         body = b"\x00".join(c for c, _ in block)
@@ -138,19 +218,37 @@ def _sort_blocks(blocks: list[list[tuple[bytes, int]]], length: int) -> list[lis
     return out
 
 
-def _runs(covered: np.ndarray, lo: int, length: int) -> list[tuple[int, int]]:
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]])))
-    return [(lo + int(a), lo + int(b) - 1 + length) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+def _runs(covered: np.ndarray, length: int) -> list[dict[str, int]]:
+    """The stretches of bytes of the strings that are marked."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]]))).tolist()
+    return [{"a": a, "b": b - 1 + length} for a, b in zip(edges[::2], edges[1::2], strict=True)]
+
 
+def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, text_key, spans: what overlaps or touches as one, of rows in the order of doc_id, text_key and a."""
+    names = ["doc_id", "text_key", "a", "b"]
+    kept = [np.zeros(0, np.int64)] * 4  # of the text at the end of a batch, more of which may follow
 
-def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+    def rows(doc_id: np.ndarray, key: np.ndarray, a: np.ndarray, b: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        spans = pa.StructArray.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(doc_id[at]), pa.array(key[at]), pa.ListArray.from_arrays(pa.array(np.append(at, len(a)), pa.int32()), spans)], ["doc_id", "text_key", "spans"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        doc_id, key, a, b = (np.concatenate([x, batch.column(n).to_numpy()]) for x, n in zip(kept, names, strict=True))
+        fresh = np.concatenate([[True], (doc_id[1:] != doc_id[:-1]) | (key[1:] != key[:-1])])
+        reach = (np.cumsum(fresh) << 40) + b
+        reach = np.maximum.accumulate(reach) - (np.cumsum(fresh) << 40)
+        first = np.flatnonzero(fresh | np.concatenate([[True], a[1:] > reach[:-1]]))
+        doc_id, key, a, b, fresh = doc_id[first], key[first], a[first], reach[np.append(first[1:], len(a)) - 1], fresh[first]
+        at = np.flatnonzero(fresh)
+        last = at[-1]
+        if len(at) > 1:
+            yield rows(doc_id[:last], key[:last], a[:last], b[:last], at[:-1])
+        kept = [x[last:] for x in (doc_id, key, a, b)]
+    if len(kept[0]):
+        yield rows(*kept, np.zeros(1, np.int64))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor_bits: int = ANCHOR_BITS, block: int = BLOCK) -> DataFrame:
@@ -194,18 +292,25 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor_bits: int = ANC
                     key = (h, part)
                     blocks.append([])
                 blocks[-1].append((context, first))
-                rows.append((h, ctx, m > block, context))
-            least = [x for own in _sort_blocks(blocks, length) for x in own]
-            keys = [np.array([_signed(xxhash.xxh3_64_intdigest(c[i:i + length])) for i in range(len(c) - length + 1)], np.int64).tobytes() if split else None
-                    for _, _, split, c in rows]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([x.tobytes() for x in least], pa.binary()), pa.array(keys, pa.binary())],
-                ["h", "ctx", "least", "keys"])
+                rows.append((h, ctx, first, m > block, context))
+            cols: list[list] = [[] for _ in range(6)]
+            for (h, ctx, first, split, c), least in zip(rows, _least_ids(blocks, [r[0] for r in rows], length), strict=True):
+                if split:
+                    keys = np.array([_signed(xxhash.xxh3_64_intdigest(c[i:i + length])) for i in range(len(c) - length + 1)], np.int64)
+                    own = (h, ctx, first, None, least.tobytes(), keys.tobytes())
+                elif least.min() < first:
+                    own = (h, ctx, first, _runs(least < first, length), None, None)
+                else:
+                    continue
+                for x, v in zip(cols, own, strict=True):
+                    x.append(v)
+            kinds = [pa.int64()] * 3 + [RUNS, pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], ["h", "ctx", "first", "runs", "least", "keys"])
 
         held, size = [], 0
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("h", "part", "m", "ctx", "context", "first")), strict=True):
-                if size > SORT_BYTES and row[:2] != held[-1][:2]:
+                if size > HELD_BYTES and row[:2] != held[-1][:2]:
                     yield made(held)
                     held, size = [], 0
                 held.append(row)
@@ -214,9 +319,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor_bits: int = ANC
             yield made(held)
 
     own = lean_batches(docs.select("text"), texts, "h long, ctx long, context binary").groupBy("h", "ctx").agg(F.max("context").alias("context"))
-    dealt = own.join(several, "h").join(contexts.select("h", "ctx", "first"), ["h", "ctx"]).withColumn(
-        "part", F.pmod("ctx", F.ceil(F.col("m") / block)).cast("long"))
-    sorted_blocks = stored(in_arrow(dealt.repartition("h", "part").sortWithinPartitions(F.desc("m"), "h", "part"), sort, "h long, ctx long, least binary, keys binary"))
+    crowds = contexts.join(several, "h").select("h", "ctx", "first", "m")
+    dealt = own.join(crowds, ["h", "ctx"]).withColumn("part", F.pmod("ctx", F.ceil(F.col("m") / block)).cast("long"))
+    sorted_blocks = stored(in_arrow(dealt.repartition("h", "part").sortWithinPartitions(F.desc("m"), "h", "part"), sort,
+                                    f"h long, ctx long, first long, runs {RUNS_SQL}, least binary, keys binary"))
 
     # (blocks of like size are sorted together, as a batch takes as many steps as its largest)
     # anchors of several blocks: the smallest of what the blocks found for equal strings
@@ -225,34 +331,27 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor_bits: int = ANC
         sizes = [len(x) for x in least]
         keys = [np.frombuffer(x, np.int64) for x in batch.column("keys").to_pylist()]
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in ("h", "ctx")] +
+            [pa.array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in ("h", "ctx", "first")] +
             [pa.array(np.concatenate([np.arange(s, dtype=np.int32) for s in sizes])), pa.array(np.concatenate(keys)), pa.array(np.concatenate(least))],
-            ["h", "ctx", "i", "k", "least"])
+            ["h", "ctx", "first", "i", "k", "least"])
+
+    def joined_runs(batch: pa.RecordBatch) -> pa.RecordBatch:
+        runs = [_runs(np.bincount(x) > 0, length) for x in batch.column("at").to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column("h"), batch.column("ctx"), pa.array(runs, RUNS)], ["h", "ctx", "runs"])
 
-    split = lean_batches(sorted_blocks.where("keys IS NOT NULL"), unpack, "h long, ctx long, i int, k long, least long")
+    split = lean_batches(sorted_blocks.where("keys IS NOT NULL"), unpack, "h long, ctx long, first long, i int, k long, least long")
     joined = split.drop("least").join(stored(split.groupBy("h", "k").agg(F.min("least").alias("least"))), ["h", "k"])
-    over = joined.groupBy("h", "ctx").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "least"))), lambda x: x["least"]).alias("mins"))
-    whole = lean_batches(sorted_blocks.where("keys IS NULL"), lambda b: pa.RecordBatch.from_arrays(
-        [b.column("h"), b.column("ctx"), pa.array([np.frombuffer(x, np.int64) for x in b.column("least").to_pylist()], pa.list_(pa.int64()))],
-        ["h", "ctx", "mins"]), "h long, ctx long, mins array<long>")
-    mins = whole.unionByName(over)
-
-    # a context that no smaller id shares anything with is done with here; one that a
-    # smaller id has whole needs no look at its strings
-    known = stored(contexts.join(mins, ["h", "ctx"], "left").where("first < last OR (mins IS NOT NULL AND array_min(mins) < last)").drop("last"))
-
-    def stretch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cols: list[list] = [[] for _ in range(4)]
-        for doc_id, key, lo, least in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "lo", "mins")), strict=True):
-            for a, b in _runs(np.array(least) < doc_id, lo, length):
-                for c, v in zip(cols, (doc_id, key, a, b), strict=True):
-                    c.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "text_key", "a", "b"])
+    over = stored(lean_batches(  # kept for itself, so that its shuffles are gone when all places are joined
+        joined.where("least < first").groupBy("h", "ctx").agg(F.collect_list("i").alias("at")), joined_runs, f"h long, ctx long, runs {RUNS_SQL}"))
+    runs = sorted_blocks.where("keys IS NULL").select("h", "ctx", "runs").unionByName(over)
 
-    met = places.join(known, ["h", "ctx"])
-    covered = met.where("first < doc_id").select("doc_id", "text_key", F.col("lo").alias("a"), (F.col("lo") + F.col("n")).alias("b"))
-    partly = met.where("first >= doc_id AND array_min(mins) < doc_id").select("doc_id", "text_key", "lo", "mins")
-    return covered.unionByName(lean_batches(partly, stretch, "doc_id long, text_key long, a long, b long"))
+    # later ids lose a whole context; its first loses the strings that other contexts hold for
+    # a smaller id; a context of one id that shares nothing with smaller ones is done with here
+    known = contexts.join(runs, ["h", "ctx"], "left").where("first < last OR runs IS NOT NULL").drop("last")
+    whole = F.array(F.struct(F.col("lo").alias("a"), (F.col("lo") + F.col("n")).alias("b")))
+    part = F.transform("runs", lambda r: F.struct((F.col("lo") + r["a"]).alias("a"), (F.col("lo") + r["b"]).alias("b")))
+    return places.join(known, ["h", "ctx"]).select(
+        "doc_id", "text_key", F.inline(F.when(F.col("first") < F.col("doc_id"), whole).otherwise(part)))
 
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, anchor_bits: int = ANCHOR_BITS, block: int = BLOCK) -> DataFrame:
@@ -265,10 +364,12 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, anchor_bits: int = A
     null doc_id neither lose bytes nor count. Only documents that lose bytes are shuffled.
     Other columns are ignored. ``length`` is 31 at least.
     """
+    drop_shuffles(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     keyed = rows.withColumn("text_key", F.xxhash64("text"))
     spans = repeated_spans(rows.where("doc_id IS NOT NULL"), length, anchor_bits, block)
-    by_text = stored(spans.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
+    by_text = stored(in_arrow(spans.repartition("doc_id", "text_key").sortWithinPartitions("doc_id", "text_key", "a"), _merge_spans,
+                              "doc_id long, text_key long, spans array<struct<a: long, b: long>>"))
     cell = F.col("text_key").bitwiseAND(F.lit(FILTER_BITS - 1))
     marked = probe(keyed.withColumn("cell", cell), stored(pages(cell, by_text)), "cell", "hit").drop("cell")
     plain = marked.where("NOT hit").select(
@@ -278,7 +379,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, anchor_bits: int = A
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         cols: list[list] = [[] for _ in range(5)]
         for text, own in zip(texts_of(batch), batch.column("spans").to_pylist(), strict=True):
-            spans = _merged([(s["a"], s["b"]) for s in own or ()])
+            spans = [(s["a"], s["b"]) for s in own or ()]
             ends = [0, *(x for s in spans for x in s), len(text)]
             kept = b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
             for c, v in zip(cols, (len(text), len(text) - len(kept), len(spans), kept, hashlib.sha256(kept).hexdigest()), strict=True):

@@ -2,12 +2,13 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
 
 from shelfspark.llm import substring_dedup
-from shelfspark.llm.substring_dedup import anchors, dedup_substrings
+from shelfspark.llm.substring_dedup import GRAM, anchors, dedup_substrings
 from shelfspark.llm.suffix_groups import sort_suffixes
 
 
@@ -64,3 +65,42 @@ def test_anchors_do_not_depend_on_pieces(monkeypatch):
     monkeypatch.setattr(substring_dedup, "PIECE", 700)
     cut = anchors(text)
     assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all()
+
+
+def test_no_shuffle_files_are_left(spark):
+    def shuffles():
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {n for i in range(files.size()) if (n := files.apply(i).getName()).startswith("shuffle_")}
+
+    rng = random.Random(3)
+    common = "".join(rng.choice("abcdefgh ") for _ in range(90))
+    rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(40)) + common[i % 7:]) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    before = shuffles()
+    assert dedup_substrings(df).where("n_removed > 0").count() == 39
+    for _ in range(50):  # Spark takes them away beside the next work
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before
+
+
+def test_pieces_keep_what_contexts_share():
+    """What is sorted of the contexts gives the ids that sorting all of them gives."""
+    rng = random.Random(4)
+    for length in (31, 50):
+        for letters in (b"ab", b"abcdefgh", b"\xfe\xff\x00"):
+            crowds: dict[int, dict[bytes, int]] = {}
+            base = [bytes(rng.choices(letters, k=rng.randrange(1, 90))) * rng.choice([1, 1, 4, 30]) for _ in range(5)]
+            for doc_id in range(25):
+                text = b"".join(rng.choice(base)[rng.randrange(4):][:rng.randrange(20, 200)] for _ in range(rng.randrange(1, 5)))
+                for p, h in zip(*(x.tolist() for x in anchors(text, length)), strict=True):
+                    context = text[max(0, p - length + GRAM):min(p, len(text) - length) + length]
+                    crowd = crowds.setdefault(h, {})
+                    crowd[context] = min(doc_id, crowd.get(context, doc_id))
+            several = {h: c for h, c in crowds.items() if len(c) > 1}
+            blocks = [list(c.items()) for c in several.values()]
+            hashes = np.array([h for h, c in several.items() for _ in c], np.uint64).view(np.int64).tolist()
+            plain = [x for own in substring_dedup._sort_blocks(blocks, length) for x in own]
+            got = substring_dedup._least_ids(blocks, hashes, length)
+            assert [x.tolist() for x in got] == [x.tolist() for x in plain]
