@@ -21,9 +21,10 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.dataset as ds
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ RATE, SMOOTH = 0.02, 0.4
 #: Weight that a context's predictor takes from the ones before it, by how often it was seen: never, up to 2 times, up to 30, more.
 SHARES = (0.0, 0.1, 0.3, 0.5)
 LEVELS = len(SHARES)
-TEXT_BYTES = 400_000  # of text that a task counts or scores at a time: about 1 MB of arrays for each 10 KB
+TEXT_BYTES = 200_000  # of text that a task counts or scores at a time: 32 MB of arrays
 HASH = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 HASH32 = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77)]
 
@@ -159,9 +160,14 @@ def _evict(code: Code) -> None:
     release()
 
 
-def _tables(code: Code, kind: type = np.uint32) -> list[np.ndarray]:
+def _sizes(code: Code) -> tuple[int, int, int]:
+    """Cells of each predictor."""
+    return code.nodes + 256, 1 << TABLE_BITS, 1 << TABLE_BITS
+
+
+def _tables(code: Code) -> list[np.ndarray]:
     """Zero counts (zeros, ones) by cell for each predictor."""
-    return [np.zeros((n, 2), kind) for n in (code.nodes + 256, 1 << TABLE_BITS, 1 << TABLE_BITS)]
+    return [np.zeros((n, 2), np.uint32) for n in _sizes(code)]
 
 
 def _words(texts: list[bytes]) -> Iterator[list[list[bytes]]]:
@@ -194,9 +200,13 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 
 def make_code(words: DataFrame, codebook: int = CODEBOOK) -> Code:
-    """A code from counted words; the driver gets ``codebook`` words at most."""
+    """A code from counted words; the driver gets ``codebook`` words at most, and how many words have each count."""
     total, distinct, end = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.octet_length("word") == 0, F.col("n"))), F.lit(0))).first()
-    top = words.where(F.octet_length("word") > 0).orderBy(F.desc("n"), "word").limit(codebook).toArrow()
+    plain = words.where(F.octet_length("word") > 0)
+    of_count = plain.groupBy("n").agg(F.count(F.lit(1)).alias("m")).toArrow().sort_by([("n", "descending")])
+    enough = np.flatnonzero(np.cumsum(of_count["m"].to_numpy()) >= codebook)  # rarer words are not sent to be sorted
+    least = int(of_count["n"][int(enough[0])].as_py()) if len(enough) else 0
+    top = plain.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(codebook).toArrow()
     counts = top["n"].to_pylist()
     return Code(top["word"].to_pylist(), counts, end, total - end - sum(counts), total, distinct)
 
@@ -204,15 +214,16 @@ def make_code(words: DataFrame, codebook: int = CODEBOOK) -> Code:
 CELL_ROW = "predictor int, chunk int, counts binary"
 
 
-def gather_counts(texts: DataFrame, words: DataFrame, code: Code) -> DataFrame:
+def gather_counts(texts: DataFrame, words: DataFrame, code: Code, sent: Broadcast) -> DataFrame:
     """predictor, chunk, counts: what each predictor saw of every bit, by cell.
 
     The bits of words and escapes come from all texts, those of spellings from all distinct
     words, which new words resemble more than running text does. A task adds up all it
     reads and sends its tables in compressed chunks; a chunk's rows meet sorted and are
-    added one by one, so memory does not depend on the number of tasks.
+    added one by one, so memory does not depend on the number of tasks. ``sent`` is the code
+    as tasks get it.
     """
-    sent = texts.sparkSession.sparkContext.broadcast(code)
+    sizes = _sizes(code)
 
     def count(streams: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         tables = None
@@ -240,11 +251,10 @@ def gather_counts(texts: DataFrame, words: DataFrame, code: Code) -> DataFrame:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, total = None, None
-        cells = [len(t) for t in _tables(sent.value)]
         row = lambda: pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([total.astype("<f4").tobytes()])], ["predictor", "chunk", "counts"])
         for batch in batches:
             for k, c, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                own = np.frombuffer(pa.Codec("zstd", 1).decompress(counts, 8 * min(1 << CHUNK_BITS, cells[k] - (c << CHUNK_BITS)), asbytes=True), "<u4").astype(np.float64)
+                own = np.frombuffer(pa.Codec("zstd", 1).decompress(counts, 8 * min(1 << CHUNK_BITS, sizes[k] - (c << CHUNK_BITS)), asbytes=True), "<u4").astype(np.float64)
                 if (k, c) == key:
                     total += own
                 else:
@@ -259,19 +269,19 @@ def gather_counts(texts: DataFrame, words: DataFrame, code: Code) -> DataFrame:
 
 
 def load_predictors(files: list[str], code: Code) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The predictors' tables, read from the shared folder once per worker."""
+    """The predictors' tables, read from the shared folder once per worker, some chunks at a time."""
     name = f"{code.uid}-counts"
     if name not in _held:
         _evict(code)
-        tables = _tables(code, np.float32)
+        tables = [(np.zeros(n, np.float32), np.zeros(n, np.uint8)) for n in _sizes(code)]
         for uri in files:
             fs, path = shared_files(uri)
-            for r in ds.dataset(path, filesystem=fs, format="parquet").to_table().to_pylist():
-                own = np.frombuffer(r["counts"], "<f4").reshape(-1, 2)
-                tables[r["predictor"]][r["chunk"] << CHUNK_BITS:][:len(own)] = own
-                del own, r
-        _held[name] = predictors(tables)
-        del tables
+            for batch in ds.dataset(path, filesystem=fs, format="parquet").to_batches(batch_size=8, use_threads=False):
+                for k, chunk, counts in zip(*(batch.column(c) for c in ("predictor", "chunk", "counts")), strict=True):
+                    own = predictors([np.frombuffer(counts.as_buffer(), "<f4").reshape(-1, 2)])[0]
+                    for table, part in zip(tables[k.as_py()], own, strict=True):
+                        table[chunk.as_py() << CHUNK_BITS:][:len(part)] = part
+        _held[name] = tables
         release()
     return _held[name]
 
@@ -373,8 +383,8 @@ def score_texts(docs: DataFrame, held_out: Column, codebook: int = CODEBOOK) ->
     train = rows.where("NOT held_out")
     words = stored(count_words(train))
     code = make_code(words, codebook)
-    files = gather_counts(train, words, code).inputFiles()
     sent = docs.sparkSession.sparkContext.broadcast(code)
+    files = gather_counts(train, words, code, sent).inputFiles()
     bottom = code.total + 0.5 * (code.distinct + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,29 +394,29 @@ def score_texts(docs: DataFrame, held_out: Column, codebook: int = CODEBOOK) ->
             if not batch.num_rows:
                 continue
             tables = load_predictors(files, code)
-            texts, cols = texts_of(batch), [[] for _ in range(7)]
             at = 0
-            for split in _words(texts):
+            for split in _words(texts_of(batch)):
                 cells, bits, of, kinds, ids, owner, spelled, spelled_of = code.encode(split)
                 logs = log_probabilities(cells, tables, bits, of, kinds, len(split))
+                del cells, bits, of, kinds
                 plain = ids != ESCAPE
                 n = np.bincount(owner, minlength=len(split))
                 known = np.bincount(owner[plain & (code.counts[ids] > 0)], minlength=len(split))
                 base = np.bincount(owner[plain], head[ids[plain]], len(split))
-                tails = [{} for _ in split]
+                tails: list[dict] = [{} for _ in split]
                 for w, i in zip(spelled, spelled_of.tolist(), strict=True):
                     tails[i][w] = tails[i].get(w, 0) + 1
-                for c, v in zip(cols, (n, known, base, logs / np.log(10)), strict=False):
-                    c.extend(v.tolist())
-                cols[4] += [len(t) for t in texts[at:at + len(split)]]
-                cols[5] += [list(t) for t in tails]
-                cols[6] += [list(t.values()) for t in tails]
+                part = batch.slice(at, len(split))
+                size = pc.fill_null(pc.binary_length(part.column("text").cast(pa.large_binary())), 0)
+                ends = pa.array(np.cumsum([0, *map(len, tails)]), pa.int32())
+                words = pa.array(list(chain.from_iterable(tails)), pa.binary())
+                times = pa.array(list(chain.from_iterable(t.values() for t in tails)), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("held_out"), pa.array(np.arange(row, row + len(split))), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)),
+                     pa.array(base), pa.array(logs / np.log(10)), size.cast(pa.int64()), pa.ListArray.from_arrays(ends, words), pa.ListArray.from_arrays(ends, times)],
+                    ["doc_id", "held_out", "row", "n_tokens", "known", "base", "score", "bytes", "tail", "tail_n"])
                 at += len(split)
-            kinds_of = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(np.arange(row, row + len(texts))), *(pa.array(c, t) for c, t in zip(cols, kinds_of, strict=True))],
-                ["doc_id", "held_out", "row", "n_tokens", "known", "base", "score", "bytes", "tail", "tail_n"])
-            row += len(texts)
+                row += len(split)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     scored = stored(in_arrow(rows, score, f"doc_id {kind}, held_out boolean, row long, n_tokens long, known long, base double, score double, bytes long, tail array<binary>, tail_n array<long>"))

@@ -98,3 +98,43 @@ def test_stretches_of_kinds_and_texts():
     assert starts.tolist() == [0, 2, 5, 6]
     assert sizes.tolist() == [2, 3, 1, 1]
     assert [x.tolist() for x in mixing_lm._stretches(of[:0], kinds[:0])] == [[], []]
+
+
+def test_scoring_holds_little_beside_the_tables():
+    """Fails where arrays of all bits of 400 KB of text are made at once."""
+    import tracemalloc
+    words = [f"w{i}".encode() for i in range(3000)]
+    code = Code(words, list(range(3000, 0, -1)), 9, 1, sum(range(3001)), 3000)
+    rng = np.random.default_rng(3)
+    tables = mixing_lm.predictors([rng.integers(0, 9, t.shape).astype(np.float32) for t in mixing_lm._tables(code)])
+    texts = [b" ".join(words[i] for i in rng.integers(0, 3000, 4000)) for _ in range(30)]
+    code.symbols()
+    tracemalloc.start()
+    for split in mixing_lm._words(texts):
+        cells, bits, of, kinds, *_ = code.encode(split)
+        log_probabilities(cells, tables, bits, of, kinds, len(split))
+        del cells, bits, of, kinds
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 36e6
+
+
+def test_tasks_load_tables_as_they_were_counted(spark, monkeypatch):
+    """Chunk by chunk, with the code that tasks have already."""
+    texts = spark.createDataFrame([("a b a c zz",), ("b a",), (None,), ("C c c",)], "text string")
+    words = mixing_lm.stored(mixing_lm.count_words(texts))
+    code = mixing_lm.make_code(words, 2)
+    assert (code.words, code.counts.tolist(), code.total, code.distinct) == ([b"c", b"a"], [4, 0, 4, 3], 14, 5)
+    assert mixing_lm.make_code(words, 3).words == [b"c", b"a", b"b"]
+    assert mixing_lm.make_code(words, 99).words == [b"c", b"a", b"b", b"zz"]
+    assert mixing_lm.make_code(words.where("n < 0"), 9).words == []
+    files = mixing_lm.gather_counts(texts, words, code, spark.sparkContext.broadcast(code)).inputFiles()
+    plain = mixing_lm._tables(code)
+    for cells, bits, *_ in (code.word_bits([[b"a", b"b", b"a", b"c", b"zz"], [b"b", b"a"], [], [b"c"] * 3])[0], code.spelling_bits([b"a", b"b", b"c", b"zz"])):
+        for table, cell in zip(plain, cells, strict=True):
+            np.add.at(table, (cell.astype(np.int64), bits), 1)
+    monkeypatch.setattr(mixing_lm, "_held", {})
+    want = mixing_lm.predictors([t.astype(np.float32) for t in plain])
+    for got, own in zip(mixing_lm.load_predictors(files, code), want, strict=True):
+        # (a spelling's bits depend on the word before it in no way, so the order of words is free)
+        assert (got[1] == own[1]).all() and np.allclose(got[0], own[0])
