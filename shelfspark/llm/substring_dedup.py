@@ -347,7 +347,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor_bits: int = ANC
 
     # later ids lose a whole context; its first loses the strings that other contexts hold for
     # a smaller id; a context of one id that shares nothing with smaller ones is done with here
-    known = contexts.join(runs, ["h", "ctx"], "left").where("first < last OR runs IS NOT NULL").drop("last")
+    # (kept for itself, so that Spark can split the places of a very common context)
+    known = stored(contexts.join(runs, ["h", "ctx"], "left").where("first < last OR runs IS NOT NULL").drop("last"))
     whole = F.array(F.struct(F.col("lo").alias("a"), (F.col("lo") + F.col("n")).alias("b")))
     part = F.transform("runs", lambda r: F.struct((F.col("lo") + r["a"]).alias("a"), (F.col("lo") + r["b"]).alias("b")))
     return places.join(known, ["h", "ctx"]).select(
