@@ -35,10 +35,15 @@ class CellFilter:
 
     _held: dict[str, np.ndarray] = {}
 
-    def __init__(self, hashes: DataFrame, bits: int):
-        """``hashes``: a column ``h`` of 64-bit values; ``bits``: a power of two."""
+    def __init__(self, bitmaps: DataFrame, bits: int):
+        """``bitmaps``: page, bitmap, of cells below ``bits``, a power of two."""
         self.bits = bits
-        self.files = stored(pages(F.col("h").bitwiseAND(F.lit(bits - 1)), hashes)).inputFiles()
+        self.files = stored(bitmaps).inputFiles()
+
+    @classmethod
+    def of(cls, hashes: DataFrame, bits: int) -> CellFilter:
+        """``hashes``: a column ``h`` of 64-bit values."""
+        return cls(pages(F.col("h").bitwiseAND(F.lit(bits - 1)), hashes), bits)
 
     def __contains__(self, _) -> bool:
         raise TypeError("use has()")

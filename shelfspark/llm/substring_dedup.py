@@ -11,7 +11,8 @@ are sorted, as far as their strings may meet, and neighbours in the order that s
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +20,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.cells import FILTER_BITS, CellFilter, pages, probe
+from shelfspark.llm.cells import FILTER_BITS, PAGE_BITS, CellFilter, pages, probe
 from shelfspark.llm.common import drop_shuffles, in_arrow, lean_batches, texts_of, whole_text
-from shelfspark.llm.suffix_groups import sort_suffixes
+from shelfspark.llm.suffix_groups import ranges, sort_suffixes
 from shelfspark.session import stored
 
 LENGTH, GRAM = 50, 24
@@ -30,7 +31,8 @@ ANCHOR_BITS = 1 << 28  # 32 MB in a worker
 #: blocks and the smallest doc_ids of its strings are put together by their hashes.
 BLOCK = 256
 HELD_BYTES, SORT_BYTES = 2_500_000, 1_000_000  # of contexts that a task compares, of their pieces that it sorts at a time
-PIECE = 1 << 21
+PIECE, JOINED = 1 << 21, 1 << 17
+PARTS, PACKED = 1024, 1 << 20  # parts of the cells of a filter; hashes that a task sends at a time
 RUNS, RUNS_SQL = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), "array<struct<a: int, b: int>>"
 MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -46,37 +48,96 @@ def _slide(x: np.ndarray, width: int, least) -> np.ndarray:
 
 def _words(text: bytes) -> np.ndarray:
     """The eight bytes from each place on."""
-    words = np.empty(max(0, len(text) - 7), np.uint64)
-    for o in range(min(8, len(words))):
-        words[o::8] = np.frombuffer(text, "<u8", len(words[o::8]), o)
-    return words
+    n = max(0, len(text) - 7)
+    return np.ndarray((n,), "<u8", text, 0, (1,)).copy() if n else np.empty(0, np.uint64)
 
 
 def _gram_hashes(text: bytes) -> np.ndarray:
     words = _words(text)
-    n = len(text) - GRAM + 1
+    n = max(0, len(text) - GRAM + 1)
     h = words[:n] * MULTIPLIERS[0]
     for j in (1, 2):
-        h = ((h ^ (h >> np.uint64(29))) + words[8 * j:n + 8 * j]) * MULTIPLIERS[j]
-    return h ^ (h >> np.uint64(32))
+        h ^= h >> np.uint64(29)
+        h += words[8 * j:n + 8 * j]
+        h *= MULTIPLIERS[j]
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def _stretch_keys(grams: np.ndarray, lo: np.ndarray, hi: np.ndarray, most: int) -> np.ndarray:
+    """A hash of the bytes between each ``lo`` and ``hi`` (GRAM to ``most`` apart), of the grams that cover them."""
+    key = (hi - lo).astype(np.uint64)
+    for j, step in enumerate(range(0, most, GRAM)):
+        key ^= key >> np.uint64(29)
+        key += grams[np.minimum(lo + step, hi - GRAM)]
+        key *= MULTIPLIERS[j % 3]
+    return key ^ (key >> np.uint64(32))
+
+
+class Anchors(NamedTuple):
+    """The anchors of joined texts: their hashes, their texts' numbers, and where their contexts start and end."""
+
+    text: bytes
+    grams: np.ndarray  # the hash of the gram at each place
+    hashes: np.ndarray
+    number: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    at: np.ndarray  # the gram's place
+    shift: np.ndarray  # what added to a place gives that in the anchor's own text
+
+    def where(self, keep: np.ndarray) -> Anchors:
+        return self._replace(**{c: getattr(self, c)[keep] for c in ("hashes", "number", "lo", "hi", "at", "shift")})
+
+    def keys(self, length: int) -> np.ndarray:
+        return _stretch_keys(self.grams, self.lo, self.hi, 2 * length - GRAM)
+
+
+def _stretches(texts: list[bytes], length: int) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """(text's number, start, first and last own place, bytes): long texts come in pieces that hold the contexts of their own places."""
+    for i, text in enumerate(texts):
+        for at in range(0, len(text) - length + 1, PIECE):
+            ends = at + PIECE > len(text) - length
+            start = max(0, at - length + GRAM)  # earlier strings decide about the first grams too
+            yield i, start, at, len(text) if ends else at + PIECE, text[start:None if ends else at + PIECE + length]
+            if ends:
+                break
+
+
+def _joined_anchors(held: list[tuple[int, int, int, int, bytes]], length: int) -> Anchors:
+    number, start, first, last = np.array([x[:4] for x in held], np.int64).T
+    text, sizes = b"".join(x[4] for x in held), np.array([len(x[4]) for x in held])
+    ends = np.cumsum(sizes)
+    span, shift = length - GRAM + 1, start - (ends - sizes)
+    h = _gram_hashes(text)
+    least = _slide(h, span, np.minimum)
+    least[(ends[:-1, None] - np.arange(1, length)).ravel()] = 0  # no string goes from one text into the next
+    edge = np.zeros(span - 1, np.uint64)
+    at = np.flatnonzero(_slide(np.concatenate([edge, least, edge]), span, np.maximum) == h)
+    own = np.searchsorted(ends, at, side="right")
+    place = at + shift[own]
+    keep = (at + GRAM <= ends[own]) & (place >= first[own]) & (place < last[own])
+    at, own = at[keep], own[keep]
+    return Anchors(text, h, h[at], number[own], np.maximum(at - span + 1, (ends - sizes)[own]), np.minimum(at + length, ends[own]), at, shift[own])
+
+
+def batch_anchors(texts: list[bytes], length: int = LENGTH) -> Iterator[Anchors]:
+    """The anchors of all strings of ``length`` bytes of each text, of many texts at a time."""
+    held, size = [], 0
+    for x in _stretches(texts, length):
+        held.append(x)
+        size += len(x[4])
+        if size >= JOINED:
+            yield _joined_anchors(held, length)
+            held, size = [], 0
+    if held:
+        yield _joined_anchors(held, length)
 
 
 def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of all strings of ``length`` bytes, in order."""
-    span = length - GRAM + 1
-    places, hashes = [], []
-    for at in range(0, max(0, len(text) - length + 1), PIECE):
-        lo = max(0, at - span + 1)  # earlier strings decide about the first grams too
-        h = _gram_hashes(text[lo:at + PIECE + length - 1 + span - 1])
-        least = _slide(h, span, np.minimum)
-        edge = np.zeros(span - 1, np.uint64)
-        own = np.flatnonzero(_slide(np.concatenate([edge, least, edge]), span, np.maximum) == h) + lo
-        own = own[(own >= at) & (own < at + PIECE)] if at + PIECE + length - 1 < len(text) else own[own >= at]
-        places.append(own)
-        hashes.append(h[own - lo])
-        if at + PIECE + length - 1 >= len(text):
-            break
-    return (np.concatenate(places), np.concatenate(hashes)) if places else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    """Places and hashes of the anchors of all strings of ``length`` bytes of a text, in order."""
+    found = list(batch_anchors([text], length))
+    return (np.concatenate([x.at + x.shift for x in found]), np.concatenate([x.hashes for x in found])) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
 def _signed(x: int) -> int:
@@ -88,92 +149,85 @@ def _text_key(text: bytes) -> int:
     return _signed(xxhash.xxh64_intdigest(text, 42))
 
 
-def _found(text: bytes, filter_: CellFilter, length: int):
-    """(hash, start, context) of each anchor that the filter holds."""
-    places, hashes = anchors(text, length)
-    keep = filter_.has(hashes)
-    span, last = length - GRAM + 1, len(text) - length
-    for p, h in zip(places[keep].tolist(), hashes[keep].view(np.int64).tolist(), strict=True):
-        lo = max(0, p - span + 1)
-        yield h, lo, text[lo:min(p, last) + length]
-
-
-def _common(body: np.ndarray, at: np.ndarray, room: np.ndarray, way: int, block: np.ndarray, width: int) -> np.ndarray:
-    """How many of the ``room`` bytes from each place on, going one way, another place of its block has too (``width`` at most)."""
-    step = np.arange(width)
-    near = body[np.clip(at[:, None] + way * step, 0, len(body) - 1)]
-    near = np.where(step < room[:, None], np.minimum(near, 254) + np.uint8(1), np.uint8(0))  # 0: nothing there
-    rows = np.concatenate([block.astype(">u4")[:, None].view(np.uint8), near], axis=1)
-    order = np.argsort(np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel(), kind="stable")
-    near, block = near[order], block[order]
-    same = (near[1:] == near[:-1]) & (near[1:] > 0) & (block[1:] == block[:-1])[:, None]
-    length = np.where(same.all(axis=1), width, same.argmin(axis=1))
-    out = np.zeros(len(at), np.int64)
-    out[order] = np.maximum(np.append(length, 0), np.insert(length, 0, 0))  # the most is shared with a neighbour
-    return out
+def _linked(keys: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` owners of keys, the smallest that it is linked with by equal keys, over others too."""
+    _, group = np.unique(keys, return_inverse=True)
+    label = np.arange(n)
+    while True:
+        least = np.full(len(keys), n)
+        np.minimum.at(least, group, label[owner])
+        new = label.copy()
+        np.minimum.at(new, owner, least[group])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
 
-def _pieces(contexts: list[bytes], hashes: np.ndarray, block: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Between which bytes of each context all strings lie that another context of its block may hold.
+def _least(body: np.ndarray, starts: np.ndarray, sizes: np.ndarray, first: np.ndarray, block: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each string of each context, one after another, the smallest doc_id of the context's block holding it, and a hash of the string.
 
-    A string holds the gram, so it reaches no further to either side of it than the bytes
-    there are another context's too. A context with the gram at several places is left whole.
+    Of a context only the stretches of strings whose hashes its block has again are looked at,
+    and equal stretches are one; the suffixes of different stretches that such strings link
+    are then sorted.
     """
-    text, sizes = b"".join(contexts), np.array([len(c) for c in contexts])
-    ends, owner = np.cumsum(sizes), np.repeat(np.arange(len(contexts)), sizes)
-    starts = ends - sizes
-    grams = _gram_hashes(text)
-    at = np.flatnonzero(grams == hashes[owner[:len(grams)]])
-    at = at[at + GRAM <= ends[owner[at]]]
-    own, body, width = owner[at], np.frombuffer(text, np.uint8), length - GRAM
-    left = _common(body, at - 1, at - starts[own], -1, block[own], width)
-    right = _common(body, at + GRAM, ends[own] - at - GRAM, 1, block[own], width)
-    once = np.bincount(own, minlength=len(contexts))[own] == 1
-    lo, hi = np.zeros(len(contexts), np.int64), sizes.copy()
-    lo[own[once]] = (at - left - starts[own])[once]
-    hi[own[once]] = (at + GRAM + right - starts[own])[once]
-    return lo, hi
+    grams = _gram_hashes(body.tobytes())
+    n = sizes - length + 1
+    at, owner = ranges(starts, n), np.repeat(np.arange(len(n)), n)
+    keys = _stretch_keys(grams, at, at + length, length)
+    least = first[owner]
+    seed = block.astype(np.uint64) * MULTIPLIERS[0]
+    own = keys + seed[owner]
+    order = np.argsort(own)
+    again = np.flatnonzero(own[order[1:]] == own[order[:-1]])
+    shared = np.zeros(len(own), bool)
+    shared[order[again]] = True
+    shared[order[again + 1]] = True
+    marked = np.flatnonzero(shared)
+    if not len(marked):
+        return least, keys
+    edge = np.flatnonzero((np.diff(marked, prepend=-2) != 1) | (np.diff(owner[marked], prepend=-1) != 0))
+    begin, end = marked[edge], marked[np.append(edge[1:], len(marked)) - 1] + 1  # in strings
+    ctx, lo, hi = owner[begin], at[begin], at[end - 1] + length
+    # equal stretches of a block
+    longest = int((hi - lo).max())
+    _, rep, piece = np.unique(_stretch_keys(grams, lo, hi, longest) + seed[ctx], return_index=True, return_inverse=True)
+    twin, size = rep[piece], hi - lo
+    alike = (size == size[twin]) & (block[ctx] == block[ctx[twin]])
+    both = np.flatnonzero(alike)
+    differs = body[ranges(lo[both], size[both])] != body[ranges(lo[twin[both]], size[both])]
+    alike[np.repeat(both, size[both])[differs]] = False
+    odd = np.flatnonzero(~alike)  # of equal hash only
+    piece[odd] = len(rep) + np.arange(len(odd))
+    rep = np.append(rep, odd)
+    smallest = np.full(len(rep), np.iinfo(np.int64).max)
+    np.minimum.at(smallest, piece, first[ctx])
+    found = np.repeat(smallest, size[rep] - length + 1)  # of the strings of each different stretch
+    place = np.append(0, np.cumsum(size[rep] - length + 1))
+    of = _linked(own[ranges(begin[rep], (end - begin)[rep])], np.repeat(np.arange(len(rep)), (end - begin)[rep]), len(rep))
+    by = np.argsort(of, kind="stable")
+    cut = np.append(np.flatnonzero(np.diff(of[by], prepend=-1)), len(by))
+    held, weight = [], 0
+    several = sorted((by[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True) if b > a + 1), key=lambda x: -int(size[rep[x]].sum()))
+    for i, pieces in enumerate(several):  # those of like size together, as a batch takes as many steps as its largest
+        held.append(pieces)
+        weight += int(size[rep[pieces]].sum())
+        if weight >= SORT_BYTES or i == len(several) - 1:
+            blocks = [[(body[lo[rep[p]]:hi[rep[p]]].tobytes(), int(smallest[p])) for p in x.tolist()] for x in held]
+            for x, own in zip(held, _sort_blocks(blocks, length), strict=True):
+                for p, v in zip(x.tolist(), own, strict=True):
+                    found[place[p]:place[p + 1]] = v
+            held, weight = [], 0
+    least[ranges(begin, end - begin)] = found[ranges(place[piece], end - begin)]
+    return least, keys
 
 
 def _least_ids(blocks: list[list[tuple[bytes, int]]], hashes: list[int], length: int) -> list[np.ndarray]:
-    """For each context, the smallest doc_id of its block holding each of its strings.
-
-    What no other context may hold is cut off first, and equal pieces become one; the
-    suffixes of a block's different pieces are then sorted.
-    """
-    flat = [c for block in blocks for c in block]
-    number = np.repeat(np.arange(len(blocks)), [len(b) for b in blocks])
-    lo, hi = (x.tolist() for x in _pieces([c for c, _ in flat], np.array(hashes, np.int64).view(np.uint64), number, length))
-    dealt: dict[int, dict[bytes, int]] = {}
-    for (c, first), b, x, y in zip(flat, number.tolist(), lo, hi, strict=True):
-        if y - x >= length:
-            pieces = dealt.setdefault(b, {})
-            pieces[c[x:y]] = min(first, pieces.get(c[x:y], first))
-    least: dict[int, dict[bytes, np.ndarray]] = {}
-    held, size = [], 0
-    for b, pieces in dealt.items():
-        if len(pieces) == 1:  # nothing differs: all strings have the id of the piece
-            least[b] = {c: np.full(len(c) - length + 1, first, np.int64) for c, first in pieces.items()}
-            continue
-        held.append(b)
-        size += sum(map(len, pieces))
-        if size >= SORT_BYTES:
-            least |= _sorted_pieces(dealt, held, length)
-            held, size = [], 0
-    if held:
-        least |= _sorted_pieces(dealt, held, length)
-    out = []
-    for (c, first), b, x, y in zip(flat, number.tolist(), lo, hi, strict=True):
-        own = np.full(len(c) - length + 1, first, np.int64)
-        if y - x >= length:
-            own[x:y - length + 1] = least[b][c[x:y]]
-        out.append(own)
-    return out
-
-
-def _sorted_pieces(dealt: dict[int, dict[bytes, int]], blocks: list[int], length: int) -> dict[int, dict[bytes, np.ndarray]]:
-    found = _sort_blocks([list(dealt[b].items()) for b in blocks], length)
-    return {b: dict(zip(dealt[b], own, strict=True)) for b, own in zip(blocks, found, strict=True)}
+    """``_least`` of contexts in lists, by context; ``hashes``: their anchors."""
+    contexts, first = [c for b in blocks for c, _ in b], np.array([d for b in blocks for _, d in b], np.int64)
+    sizes, block = np.array([len(c) for c in contexts]), np.repeat(np.arange(len(blocks)), [len(b) for b in blocks])
+    least, _ = _least(np.frombuffer(b"".join(contexts), np.uint8), np.cumsum(sizes) - sizes, sizes, first, block, length)
+    return np.split(least, np.cumsum(sizes - length + 1)[:-1])
 
 
 def _sort_blocks(blocks: list[list[tuple[bytes, int]]], length: int) -> list[list[np.ndarray]]:
@@ -218,10 +272,93 @@ def _sort_blocks(blocks: list[list[tuple[bytes, int]]], length: int) -> list[lis
     return out
 
 
-def _runs(covered: np.ndarray, length: int) -> list[dict[str, int]]:
-    """The stretches of bytes of the strings that are marked."""
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]]))).tolist()
-    return [{"a": a, "b": b - 1 + length} for a, b in zip(edges[::2], edges[1::2], strict=True)]
+def _runs(covered: np.ndarray, owner: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, pa.Array]:
+    """Who has marked strings, and the stretches of bytes of these; ``place``: of a string among those of its owner, in order."""
+    at = np.flatnonzero(covered)
+    own, i = owner[at], place[at]
+    fresh = np.append(True, (own[1:] != own[:-1]) | (i[1:] != i[:-1] + 1))[:len(at)]
+    begin = np.flatnonzero(fresh)
+    end = np.append(begin[1:], len(at))[:len(begin)] - 1
+    whose = own[begin]
+    first = np.flatnonzero(np.diff(whose, prepend=-1))
+    stretches = pa.StructArray.from_arrays([pa.array(i[begin], pa.int32()), pa.array(i[end] + length, pa.int32())], ["a", "b"])
+    return whose[first], pa.ListArray.from_arrays(pa.array(np.append(first, len(whose)), pa.int32()), stretches)
+
+
+def _blobs(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The values between neighbouring bounds, as a binary each."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes of a column of binaries, and where each starts in them and how many it has."""
+    column = column.cast(pa.large_binary())
+    bounds = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+    body = np.frombuffer(column.buffers()[2], np.uint8)[bounds[0]:bounds[-1]] if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return body, bounds[:-1] - bounds[0], np.diff(bounds)
+
+
+def repeated_cells(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> CellFilter:
+    """A filter of the hashes that occur more than once among all that the batches give.
+
+    A task sends its different hashes packed, a row for each part of the cells and PACKED
+    hashes, with those it has several times marked; each part is then sorted by itself and
+    has whole pages of the filter.
+    """
+    shift = max(PAGE_BITS, bits // PARTS).bit_length() - 1
+    cells = np.uint64(bits - 1)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+            h = np.sort(np.concatenate(held))
+            fresh = np.append(True, h[1:] != h[:-1])[:len(h)]
+            many = np.append(~fresh[1:], False)[fresh]
+            h = h[fresh]
+            part = ((h & cells) >> np.uint64(shift)).astype(np.uint16)
+            order = np.argsort(part, kind="stable")
+            h, many, part = h[order], many[order], part[order]
+            at = np.flatnonzero(np.diff(part.astype(np.int32), prepend=-1))
+            bounds = np.append(at, len(h))
+            return pa.RecordBatch.from_arrays([pa.array(part[at].astype(np.int32)), _blobs(h, bounds), _blobs(many, bounds)], ["part", "hashes", "many"])
+
+        held, size = [], 0
+        for batch in batches:
+            for h in hashes(batch) if batch.num_rows else ():
+                held.append(h)
+                size += len(h)
+                if size >= PACKED:
+                    yield packed(held)
+                    held, size = [], 0
+        if size:
+            yield packed(held)
+
+    def bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(part: int, hashes: list[bytes], many: list[bytes]) -> pa.RecordBatch:
+            h, twice = np.frombuffer(b"".join(hashes), np.uint64), np.frombuffer(b"".join(many), bool)
+            every = np.sort(h)
+            again = np.concatenate([h[twice], every[1:][every[1:] == every[:-1]]])
+            marked = np.zeros(1 << shift, bool)
+            marked[(again & np.uint64((1 << shift) - 1)).astype(np.int64)] = True
+            size = min(PAGE_BITS, 1 << shift)
+            marked = marked.reshape(-1, size)
+            own = np.flatnonzero(marked.any(axis=1))
+            bits = np.packbits(marked[own], axis=1, bitorder="little")
+            return pa.RecordBatch.from_arrays([pa.array(own + part * len(marked)), pa.array([x.tobytes() for x in bits], pa.binary())], ["page", "bitmap"])
+
+        part, held = None, ([], [])
+        for batch in batches:
+            for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if row[0] != part and held[0]:
+                    yield made(part, *held)
+                    held = ([], [])
+                part = row[0]
+                held[0].append(row[1])
+                held[1].append(row[2])
+        if held[0]:
+            yield made(part, *held)
+
+    packed = in_arrow(rows, pack, "part int, hashes binary, many binary").repartition("part").sortWithinPartitions("part")
+    return CellFilter(in_arrow(packed, bitmaps, "page long, bitmap binary"), bits)
 
 
 def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,93 +390,126 @@ def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor_bits: int = ANCHOR_BITS, block: int = BLOCK) -> DataFrame:
     """doc_id, text_key, a, b: stretches of bytes that also start in a smaller doc_id (they may overlap)."""
-    def once(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = [np.unique(anchors(t, length)[1]) for t in texts_of(batch)]
-        h, n = np.unique(np.concatenate(own), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+    def once(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for found in batch_anchors(texts_of(batch), length):
+            # what a text has twice side by side in this order counts once
+            order = np.argsort(found.hashes)
+            h, number = found.hashes[order], found.number[order]
+            yield h[np.append(True, (h[1:] != h[:-1]) | (number[1:] != number[:-1]))[:len(h)]]
 
-    counts = lean_batches(docs.select("text"), once, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    repeated = CellFilter(counts.where("n > 1").select("h"), anchor_bits)
+    repeated = repeated_cells(docs.select("text"), once, anchor_bits)
 
     def occur(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cols: list[list] = [[] for _ in range(6)]
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
-            key = _text_key(text)
-            for h, lo, context in _found(text, repeated, length):
-                for c, v in zip(cols, (h, _signed(xxhash.xxh3_64_intdigest(context)), doc_id, key, lo, len(context)), strict=True):
-                    c.append(v)
-        kinds = [pa.int64()] * 5 + [pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["h", "ctx", "doc_id", "text_key", "lo", "n"])
+        texts, cols = texts_of(batch), [[] for _ in range(5)]
+        for found in batch_anchors(texts, length):
+            found = found.where(repeated.has(found.hashes))
+            for x, v in zip(cols, (found.hashes.view(np.int64), found.keys(length).view(np.int64), found.number, found.lo + found.shift, (found.hi - found.lo).astype(np.int32)), strict=True):
+                x.append(v)
+        h, ctx, number, lo, n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in cols)
+        doc_id, text_key = batch.column("doc_id").to_numpy(), np.array([_text_key(t) for t in texts], np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(h), pa.array(ctx), pa.array(doc_id[number]), pa.array(text_key[number]), pa.array(lo), pa.array(n, pa.int32())], ["h", "ctx", "doc_id", "text_key", "lo", "n"])
 
     places = stored(lean_batches(docs, occur, "h long, ctx long, doc_id long, text_key long, lo long, n int"))
     contexts = stored(places.groupBy("h", "ctx").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
     several = stored(contexts.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
-    mixed = CellFilter(several.select("h"), anchor_bits)
-
-    def texts(batch: pa.RecordBatch) -> pa.RecordBatch:
-        seen: dict[tuple[int, int], bytes] = {}
-        for text in texts_of(batch):
-            for h, _, context in _found(text, mixed, length):
-                seen.setdefault((h, _signed(xxhash.xxh3_64_intdigest(context))), context)
+    mixed = CellFilter.of(several.select("h"), anchor_bits)
+
+    def texts(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        doc_id, cols = batch.column("doc_id").to_numpy(), [[] for _ in range(5)]
+        for found in batch_anchors(texts_of(batch), length):
+            found = found.where(mixed.has(found.hashes))
+            size = found.hi - found.lo
+            body = np.frombuffer(found.text, np.uint8)[ranges(found.lo, size)]
+            for x, v in zip(cols, (found.hashes, found.keys(length), doc_id[found.number], size, body), strict=True):
+                x.append(v)
+        if not cols[0]:
+            return None
+        h, ctx, own, size, body = map(np.concatenate, cols)
+        order = np.lexsort((own, ctx, h))
+        order = order[np.append(True, (np.diff(h[order]) != 0) | (np.diff(ctx[order]) != 0))[:len(h)]]
+        body, size = body[ranges((np.cumsum(size) - size)[order], size[order])], size[order]
         return pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in seen], pa.int64()), pa.array([k[1] for k in seen], pa.int64()), pa.array(list(seen.values()), pa.binary())], ["h", "ctx", "context"])
+            [pa.array(h[order].view(np.int64)), pa.array(ctx[order].view(np.int64)), pa.array(own[order]), _blobs(body, np.append(0, np.cumsum(size)))], ["h", "ctx", "doc_id", "context"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(held: list[tuple]) -> pa.RecordBatch:
-            key, blocks, rows = None, [], []
-            for h, part, m, ctx, context, first in held:
-                if (h, part) != key:
-                    key = (h, part)
-                    blocks.append([])
-                blocks[-1].append((context, first))
-                rows.append((h, ctx, first, m > block, context))
-            cols: list[list] = [[] for _ in range(6)]
-            for (h, ctx, first, split, c), least in zip(rows, _least_ids(blocks, [r[0] for r in rows], length), strict=True):
-                if split:
-                    keys = np.array([_signed(xxhash.xxh3_64_intdigest(c[i:i + length])) for i in range(len(c) - length + 1)], np.int64)
-                    own = (h, ctx, first, None, least.tobytes(), keys.tobytes())
-                elif least.min() < first:
-                    own = (h, ctx, first, _runs(least < first, length), None, None)
-                else:
-                    continue
-                for x, v in zip(cols, own, strict=True):
-                    x.append(v)
-            kinds = [pa.int64()] * 3 + [RUNS, pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], ["h", "ctx", "first", "runs", "least", "keys"])
+        def starts(t: pa.Table | pa.RecordBatch, *names: str) -> np.ndarray:
+            cols = [t.column(c).to_numpy() for c in names]
+            return np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in cols], axis=0)))
+
+        def made(t: pa.RecordBatch) -> pa.RecordBatch:
+            t = t.take(pa.array(starts(t, "h", "part", "ctx")))  # a context comes from several texts of its first id
+            edge = starts(t, "h", "part")
+            number = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(t))))
+            h, ctx, first, split = (*(t.column(c).to_numpy() for c in ("h", "ctx", "first")), t.column("m").to_numpy() > block)
+            body, start, size = _bytes_of(t.column("context"))
+            least, keys = _least(body, start, size, first, number, length)
+            n = size - length + 1
+            owner, string = np.repeat(np.arange(len(n)), n), ranges(np.zeros(len(n), np.int64), n)
+            plain = ~split[owner]
+            whose, runs = _runs(plain & (least < first[owner]), owner, string, length)
+            parts = np.flatnonzero(split)
+            bounds = np.append(0, np.cumsum(n[parts]))
+            rows = np.append(whose, parts)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(x[rows]) for x in (h, ctx, first)] +
+                [pa.concat_arrays([runs.cast(RUNS), pa.nulls(len(parts), RUNS)])] +
+                [pa.concat_arrays([pa.nulls(len(whose), pa.binary()), _blobs(x[~plain], bounds)]) for x in (least, keys)],
+                ["h", "ctx", "first", "runs", "least", "keys"])
 
         held, size = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("h", "part", "m", "ctx", "context", "first")), strict=True):
-                if size > HELD_BYTES and row[:2] != held[-1][:2]:
-                    yield made(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[4])
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.nbytes
+            if size > HELD_BYTES:
+                t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                last = starts(t, "h", "part")[-1]
+                if last:
+                    yield made(t.slice(0, last))
+                held = [t.slice(last)]
+                size = held[0].nbytes
         if held:
-            yield made(held)
+            yield made(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
-    own = lean_batches(docs.select("text"), texts, "h long, ctx long, context binary").groupBy("h", "ctx").agg(F.max("context").alias("context"))
     crowds = contexts.join(several, "h").select("h", "ctx", "first", "m")
-    dealt = own.join(crowds, ["h", "ctx"]).withColumn("part", F.pmod("ctx", F.ceil(F.col("m") / block)).cast("long"))
-    sorted_blocks = stored(in_arrow(dealt.repartition("h", "part").sortWithinPartitions(F.desc("m"), "h", "part"), sort,
+    own = lean_batches(docs.select("doc_id", "text"), texts, "h long, ctx long, doc_id long, context binary")
+    dealt = own.join(crowds, ["h", "ctx"]).where("doc_id = first").withColumn("part", F.pmod("ctx", F.ceil(F.col("m") / block)).cast("long"))
+    sorted_blocks = stored(in_arrow(dealt.select("h", "part", "m", "ctx", "context", "first").repartition("h", "part").sortWithinPartitions(F.desc("m"), "h", "part", "ctx"), sort,
                                     f"h long, ctx long, first long, runs {RUNS_SQL}, least binary, keys binary"))
 
-    # (blocks of like size are sorted together, as a batch takes as many steps as its largest)
     # anchors of several blocks: the smallest of what the blocks found for equal strings
+    def strings(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        body, _, size = _bytes_of(batch.column("keys"))
+        n = size // 8
+        owner = np.repeat(np.arange(len(n)), n)
+        return np.frombuffer(body.tobytes(), np.uint64), owner, ranges(np.zeros(len(n), np.int64), n)
+
+    def own_strings(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        keys, owner, _ = strings(batch)
+        yield mixed_keys(keys, batch, owner)
+
+    def mixed_keys(keys: np.ndarray, batch: pa.RecordBatch, owner: np.ndarray) -> np.ndarray:
+        return (keys ^ (keys >> np.uint64(31))) * MULTIPLIERS[1] + batch.column("h").to_numpy().view(np.uint64)[owner]
+
     def unpack(batch: pa.RecordBatch) -> pa.RecordBatch:
-        least = [np.frombuffer(x, np.int64) for x in batch.column("least").to_pylist()]
-        sizes = [len(x) for x in least]
-        keys = [np.frombuffer(x, np.int64) for x in batch.column("keys").to_pylist()]
+        keys, owner, string = strings(batch)
+        least = np.frombuffer(_bytes_of(batch.column("least"))[0].tobytes(), np.int64)
+        keep = np.flatnonzero(met.has(mixed_keys(keys, batch, owner)))
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in ("h", "ctx", "first")] +
-            [pa.array(np.concatenate([np.arange(s, dtype=np.int32) for s in sizes])), pa.array(np.concatenate(keys)), pa.array(np.concatenate(least))],
-            ["h", "ctx", "first", "i", "k", "least"])
+            [pa.array(batch.column(c).to_numpy()[owner[keep]]) for c in ("h", "ctx", "first")] +
+            [pa.array(string[keep].astype(np.int32)), pa.array(keys[keep].view(np.int64)), pa.array(least[keep])], ["h", "ctx", "first", "i", "k", "least"])
 
     def joined_runs(batch: pa.RecordBatch) -> pa.RecordBatch:
-        runs = [_runs(np.bincount(x) > 0, length) for x in batch.column("at").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("h"), batch.column("ctx"), pa.array(runs, RUNS)], ["h", "ctx", "runs"])
-
-    split = lean_batches(sorted_blocks.where("keys IS NOT NULL"), unpack, "h long, ctx long, first long, i int, k long, least long")
+        found = [np.unique(x) for x in batch.column("at").to_pylist()]
+        n = np.array([len(x) for x in found])
+        _, runs = _runs(np.ones(n.sum(), bool), np.repeat(np.arange(len(n)), n), np.concatenate(found), length)
+        return pa.RecordBatch.from_arrays([batch.column("h"), batch.column("ctx"), runs.cast(RUNS)], ["h", "ctx", "runs"])
+
+    crowded = sorted_blocks.where("keys IS NOT NULL").select("h", "ctx", "first", "least", "keys")
+    met = repeated_cells(crowded.select("h", "keys"), own_strings, anchor_bits)
+    split = stored(lean_batches(crowded, unpack, "h long, ctx long, first long, i int, k long, least long"))
     joined = split.drop("least").join(stored(split.groupBy("h", "k").agg(F.min("least").alias("least"))), ["h", "k"])
     over = stored(lean_batches(  # kept for itself, so that its shuffles are gone when all places are joined
         joined.where("least < first").groupBy("h", "ctx").agg(F.collect_list("i").alias("at")), joined_runs, f"h long, ctx long, runs {RUNS_SQL}"))
