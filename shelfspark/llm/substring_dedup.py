@@ -17,6 +17,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -286,8 +287,9 @@ def _runs(covered: np.ndarray, owner: np.ndarray, place: np.ndarray, length: int
 
 
 def _blobs(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """The values between neighbouring bounds, as a binary each."""
-    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+    """The values, or rows of values, between neighbouring bounds, as a binary each."""
+    size = values.itemsize * (values.shape[1] if values.ndim > 1 else 1)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -333,63 +335,62 @@ def repeated_cells(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[
             yield packed(held)
 
     def bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(part: int, hashes: list[bytes], many: list[bytes]) -> pa.RecordBatch:
-            h, twice = np.frombuffer(b"".join(hashes), np.uint64), np.frombuffer(b"".join(many), bool)
+        for part, hashes, many in _grouped(batches):
+            h, twice = _table(hashes, np.uint64), _table(many, bool)
             every = np.sort(h)
             again = np.concatenate([h[twice], every[1:][every[1:] == every[:-1]]])
             marked = np.zeros(1 << shift, bool)
             marked[(again & np.uint64((1 << shift) - 1)).astype(np.int64)] = True
-            size = min(PAGE_BITS, 1 << shift)
-            marked = marked.reshape(-1, size)
+            marked = marked.reshape(-1, min(PAGE_BITS, 1 << shift))
             own = np.flatnonzero(marked.any(axis=1))
-            bits = np.packbits(marked[own], axis=1, bitorder="little")
-            return pa.RecordBatch.from_arrays([pa.array(own + part * len(marked)), pa.array([x.tobytes() for x in bits], pa.binary())], ["page", "bitmap"])
-
-        part, held = None, ([], [])
-        for batch in batches:
-            for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if row[0] != part and held[0]:
-                    yield made(part, *held)
-                    held = ([], [])
-                part = row[0]
-                held[0].append(row[1])
-                held[1].append(row[2])
-        if held[0]:
-            yield made(part, *held)
+            packed = np.packbits(marked[own], axis=1, bitorder="little")
+            yield pa.RecordBatch.from_arrays([pa.array(own + part[0] * len(marked)), pa.array([x.tobytes() for x in packed], pa.binary())], ["page", "bitmap"])
 
     packed = in_arrow(rows, pack, "part int, hashes binary, many binary").repartition("part").sortWithinPartitions("part")
     return CellFilter(in_arrow(packed, bitmaps, "page long, bitmap binary"), bits)
 
 
-def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text_key, spans: what overlaps or touches as one, of rows in the order of doc_id, text_key and a."""
-    names = ["doc_id", "text_key", "a", "b"]
-    kept = [np.zeros(0, np.int64)] * 4  # of the text at the end of a batch, more of which may follow
+def _merged(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The texts that have spans, and these: what overlaps or touches as one."""
+    order = np.lexsort((a, text))
+    text, a, b = text[order], a[order], b[order]
+    fresh = np.diff(text, prepend=-1) != 0
+    reach = (np.cumsum(fresh) << 40) + b
+    reach = np.maximum.accumulate(reach) - (np.cumsum(fresh) << 40)
+    first = np.flatnonzero(fresh | np.append(True, a[1:] > reach[:-1])[:len(a)])
+    spans = pa.StructArray.from_arrays([pa.array(a[first]), pa.array(reach[np.append(first[1:], len(a))[:len(first)] - 1])], ["a", "b"])
+    at = np.flatnonzero(fresh[first])
+    return text[first[at]], pa.ListArray.from_arrays(pa.array(np.append(at, len(first)), pa.int32()), spans)
 
-    def rows(doc_id: np.ndarray, key: np.ndarray, a: np.ndarray, b: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-        spans = pa.StructArray.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-        return pa.RecordBatch.from_arrays([pa.array(doc_id[at]), pa.array(key[at]), pa.ListArray.from_arrays(pa.array(np.append(at, len(a)), pa.int32()), spans)], ["doc_id", "text_key", "spans"])
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of equal first column, which stand together, as columns."""
+    held: list[tuple] = []
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        doc_id, key, a, b = (np.concatenate([x, batch.column(n).to_numpy()]) for x, n in zip(kept, names, strict=True))
-        fresh = np.concatenate([[True], (doc_id[1:] != doc_id[:-1]) | (key[1:] != key[:-1])])
-        reach = (np.cumsum(fresh) << 40) + b
-        reach = np.maximum.accumulate(reach) - (np.cumsum(fresh) << 40)
-        first = np.flatnonzero(fresh | np.concatenate([[True], a[1:] > reach[:-1]]))
-        doc_id, key, a, b, fresh = doc_id[first], key[first], a[first], reach[np.append(first[1:], len(a)) - 1], fresh[first]
-        at = np.flatnonzero(fresh)
-        last = at[-1]
-        if len(at) > 1:
-            yield rows(doc_id[:last], key[:last], a[:last], b[:last], at[:-1])
-        kept = [x[last:] for x in (doc_id, key, a, b)]
-    if len(kept[0]):
-        yield rows(*kept, np.zeros(1, np.int64))
+        for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            if held and row[0] != held[0][0]:
+                yield list(zip(*held, strict=True))
+                held = []
+            held.append(row)
+    if held:
+        yield list(zip(*held, strict=True))
+
+
+def _table(blobs: tuple[bytes | None, ...], kind: type, width: int = 1) -> np.ndarray:
+    """Rows of ``width`` numbers that were packed as binaries."""
+    found = np.frombuffer(b"".join(x for x in blobs if x is not None), kind)
+    return found.reshape(-1, width) if width > 1 else found
+
+
+def _parts_of(ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of keys in order: the parts that occur, and the bounds of each."""
+    part = (ctx >> np.uint64(64 - PARTS.bit_length() + 1)).astype(np.int64)
+    at = np.flatnonzero(np.diff(part, prepend=-1))
+    return part[at], np.append(at, len(part))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor_bits: int = ANCHOR_BITS, block: int = BLOCK) -> DataFrame:
-    """doc_id, text_key, a, b: stretches of bytes that also start in a smaller doc_id (they may overlap)."""
+    """doc_id, text_key, spans: the stretches of bytes whose strings also start in a smaller doc_id, of the texts that have any."""
     def once(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for found in batch_anchors(texts_of(batch), length):
             # what a text has twice side by side in this order counts once
@@ -399,21 +400,60 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor_bits: int = ANC
 
     repeated = repeated_cells(docs.select("text"), once, anchor_bits)
 
-    def occur(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, cols = texts_of(batch), [[] for _ in range(5)]
-        for found in batch_anchors(texts, length):
-            found = found.where(repeated.has(found.hashes))
-            for x, v in zip(cols, (found.hashes.view(np.int64), found.keys(length).view(np.int64), found.number, found.lo + found.shift, (found.hi - found.lo).astype(np.int32)), strict=True):
-                x.append(v)
-        h, ctx, number, lo, n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in cols)
-        doc_id, text_key = batch.column("doc_id").to_numpy(), np.array([_text_key(t) for t in texts], np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(h), pa.array(ctx), pa.array(doc_id[number]), pa.array(text_key[number]), pa.array(lo), pa.array(n, pa.int32())], ["h", "ctx", "doc_id", "text_key", "lo", "n"])
+    def occur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for count, batch in enumerate(batches):
+            texts, cols = texts_of(batch), [[] for _ in range(5)]
+            for found in batch_anchors(texts, length):
+                found = found.where(repeated.has(found.hashes))
+                for x, v in zip(cols, (found.hashes, found.keys(length), found.number, found.lo + found.shift, found.hi - found.lo), strict=True):
+                    x.append(v)
+            if not sum(map(len, cols[0])):
+                continue
+            h, ctx, number, lo, n = map(np.concatenate, cols)
+            ids, keys = batch.column("doc_id").to_numpy(), np.array([_text_key(t) for t in texts], np.int64)
+            order = np.lexsort((h, ctx))
+            h, ctx, number, lo, n = (x[order] for x in (h, ctx, number, lo, n))
+            fresh = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1])))
+            own = [h[fresh].view(np.int64), ctx[fresh].view(np.int64), *(f.reduceat(ids[number], fresh) for f in (np.minimum, np.maximum))]
+            part, bounds = _parts_of(ctx[fresh])
+            places = np.stack([number, lo, n], axis=1).astype(np.int32)
+            counts = np.diff(np.append(fresh, len(h))).astype(np.int32)
+            load, empty = (TaskContext.get().partitionId() << 32) + count, pa.nulls(len(part), pa.binary())
+            whole = [pa.array([x.tobytes()], pa.binary()) for x in (np.stack([ids, keys], axis=1), places, counts)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(part) + 1, load))] +
+                [pa.concat_arrays([pa.nulls(1, x.type), x]) for x in (pa.array(part.astype(np.int32)), pa.array(bounds[:-1].astype(np.int32)), _blobs(np.stack(own, axis=1), bounds))] +
+                [pa.concat_arrays([x, empty]) for x in whole], ["load", "part", "base", "own", "ids", "places", "counts"])
+
+    # a load is what a batch of texts holds: its different contexts, dealt to parts by their keys, and for itself its places in their order
+    loads = stored(in_arrow(docs, occur, "load long, part int, base int, own binary, ids binary, places binary, counts binary"))
+    dealt_loads = loads.where("part IS NOT NULL").select("part", "load", "base", "own")
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, own in _grouped(batches):
+            h, ctx, first, _ = _table(own, np.int64, 4).T
+            order = np.lexsort((ctx, h))
+            h, ctx, first = h[order], ctx[order], first[order]
+            fresh = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1])))
+            found = np.stack([h[fresh], ctx[fresh], np.minimum.reduceat(first, fresh)], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], ["own"])
+
+    contexts = stored(in_arrow(dealt_loads.select("part", "own").repartition("part").sortWithinPartitions("part"), settle, "own binary"))
+
+    def hashes_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield _table(batch.column("own").to_pylist(), np.int64, 3)[:, 0].view(np.uint64)
+
+    mixed = repeated_cells(contexts, hashes_of, anchor_bits)  # anchors of several contexts
+
+    def of_mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own in batch.column("own").to_pylist():
+                found = _table((own,), np.int64, 3)
+                found = found[mixed.has(found[:, 0].view(np.uint64))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.ascontiguousarray(found.T)], ["h", "ctx", "first"])
 
-    places = stored(lean_batches(docs, occur, "h long, ctx long, doc_id long, text_key long, lo long, n int"))
-    contexts = stored(places.groupBy("h", "ctx").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
-    several = stored(contexts.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
-    mixed = CellFilter.of(several.select("h"), anchor_bits)
+    crowd = stored(in_arrow(contexts, of_mixed, "h long, ctx long, first long"))
+    several = crowd.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
 
     def texts(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         doc_id, cols = batch.column("doc_id").to_numpy(), [[] for _ in range(5)]
@@ -473,7 +513,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor_bits: int = ANC
         if held:
             yield made(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
-    crowds = contexts.join(several, "h").select("h", "ctx", "first", "m")
+    crowds = crowd.join(several, "h").select("h", "ctx", "first", "m")
     own = lean_batches(docs.select("doc_id", "text"), texts, "h long, ctx long, doc_id long, context binary")
     dealt = own.join(crowds, ["h", "ctx"]).where("doc_id = first").withColumn("part", F.pmod("ctx", F.ceil(F.col("m") / block)).cast("long"))
     sorted_blocks = stored(in_arrow(dealt.select("h", "part", "m", "ctx", "context", "first").repartition("h", "part").sortWithinPartitions(F.desc("m"), "h", "part", "ctx"), sort,
@@ -515,14 +555,76 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor_bits: int = ANC
         joined.where("least < first").groupBy("h", "ctx").agg(F.collect_list("i").alias("at")), joined_runs, f"h long, ctx long, runs {RUNS_SQL}"))
     runs = sorted_blocks.where("keys IS NULL").select("h", "ctx", "runs").unionByName(over)
 
-    # later ids lose a whole context; its first loses the strings that other contexts hold for
-    # a smaller id; a context of one id that shares nothing with smaller ones is done with here
-    # (kept for itself, so that Spark can split the places of a very common context)
-    known = stored(contexts.join(runs, ["h", "ctx"], "left").where("first < last OR runs IS NOT NULL").drop("last"))
-    whole = F.array(F.struct(F.col("lo").alias("a"), (F.col("lo") + F.col("n")).alias("b")))
-    part = F.transform("runs", lambda r: F.struct((F.col("lo") + r["a"]).alias("a"), (F.col("lo") + r["b"]).alias("b")))
-    return places.join(known, ["h", "ctx"]).select(
-        "doc_id", "text_key", F.inline(F.when(F.col("first") < F.col("doc_id"), whole).otherwise(part)))
+    def pack_runs(batch: pa.RecordBatch) -> pa.RecordBatch:
+        h, ctx = (batch.column(c).to_numpy() for c in ("h", "ctx"))
+        n = batch.column("runs").value_lengths().to_numpy().astype(np.int64)
+        a, b = (x.to_numpy() for x in batch.column("runs").flatten().flatten())
+        order = np.argsort(ctx.view(np.uint64))
+        at = ranges((np.cumsum(n) - n)[order], n[order])
+        spans, n = np.stack([a[at], b[at]], axis=1).astype(np.int32), n[order]
+        part, bounds = _parts_of(ctx[order].view(np.uint64))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(part.astype(np.int32)), _blobs(np.stack([h[order], ctx[order], n], axis=1), bounds), _blobs(spans, np.append(0, np.cumsum(n))[bounds])], ["part", "changed", "spans"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What a load needs to know of its contexts: the first id and the runs of those that lose bytes anywhere."""
+        for _, load, base, own, changed, spans in _grouped(batches):
+            sent = [(*x,) for x in zip(load, base, own, strict=True) if x[2] is not None]
+            if not sent:
+                continue
+            loads, base, own = zip(*sent, strict=True)
+            size = np.array([len(x) // 32 for x in own])
+            own, changed, spans = _table(own, np.int64, 4), _table(changed, np.int64, 3), _table(spans, np.int32, 2)
+            keys = np.concatenate([own[:, :2], changed[:, :2]])
+            order = np.lexsort((keys[:, 1], keys[:, 0]))
+            fresh = np.append(True, np.any(keys[order[1:]] != keys[order[:-1]], axis=1))
+            group = np.empty(len(keys), np.int64)
+            group[order] = np.cumsum(fresh) - 1
+            first = np.full(fresh.sum(), np.iinfo(np.int64).max)
+            np.minimum.at(first, group[:len(own)], own[:, 2])
+            n, begin = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+            n[group[len(own):]] = changed[:, 2]
+            begin[group[len(own):]] = np.cumsum(changed[:, 2]) - changed[:, 2]
+            group = group[:len(own)]
+            kept = np.flatnonzero((first[group] < own[:, 3]) | (n[group] > 0))
+            at = np.cumsum(size) - size
+            row = np.repeat(np.arange(len(size)), size)
+            bounds = np.searchsorted(kept, np.append(at, len(own)))
+            group, e = group[kept], (kept - at[row[kept]] + np.array(base)[row[kept]]).astype(np.int32)
+            found = np.stack([e, n[group]], axis=1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(loads, pa.int64()), _blobs(found, bounds), _blobs(first[group], bounds), _blobs(spans[ranges(begin[group], n[group])], np.append(0, np.cumsum(n[group]))[bounds])],
+                ["load", "known", "first", "spans"])
+
+    def lose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """doc_id, text_key, spans of the texts of a load.
+
+        Later ids lose a whole context; its first loses the strings that other contexts hold
+        for a smaller id.
+        """
+        for _, known, firsts, spans, ids, places, counts in _grouped(batches):
+            known, firsts, spans, ids = _table(known, np.int32, 2), _table(firsts, np.int64), _table(spans, np.int32, 2), _table(ids, np.int64, 2)
+            places, counts = _table(places, np.int32, 3).astype(np.int64), _table(counts, np.int32)
+            first, n, begin = np.full(len(counts), np.iinfo(np.int64).max), np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+            first[known[:, 0]], n[known[:, 0]], begin[known[:, 0]] = firsts, known[:, 1], np.cumsum(known[:, 1]) - known[:, 1]
+            context = np.repeat(np.arange(len(counts)), counts)
+            text, lo, size = places.T
+            whole = first[context] < ids[text, 0]
+            rest = np.flatnonzero(~whole & (n[context] > 0))
+            some, own = np.repeat(rest, n[context[rest]]), spans[ranges(begin[context[rest]], n[context[rest]])]
+            text, lists = _merged(np.append(text[whole], text[some]), np.append(lo[whole], lo[some] + own[:, 0]), np.append((lo + size)[whole], lo[some] + own[:, 1]))
+            if len(text):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[text, 0]), pa.array(ids[text, 1]), lists], ["doc_id", "text_key", "spans"])
+
+    def both(left: DataFrame, right: DataFrame, by: str, names: list[str]) -> DataFrame:
+        rows = left.unionByName(right, allowMissingColumns=True).select(by, *names)
+        return rows.repartition(by).sortWithinPartitions(by)
+
+    packed = lean_batches(runs, pack_runs, "part int, changed binary, spans binary")
+    answers = stored(in_arrow(both(dealt_loads, packed, "part", ["load", "base", "own", "changed", "spans"]), answer, "load long, known binary, first binary, spans binary"))
+    placed = loads.where("part IS NULL").select("load", "ids", "places", "counts")
+    return in_arrow(both(answers, placed, "load", ["known", "first", "spans", "ids", "places", "counts"]), lose,
+                    "doc_id long, text_key long, spans array<struct<a: long, b: long>>")
 
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, anchor_bits: int = ANCHOR_BITS, block: int = BLOCK) -> DataFrame:
@@ -539,8 +641,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, anchor_bits: int = A
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     keyed = rows.withColumn("text_key", F.xxhash64("text"))
     spans = repeated_spans(rows.where("doc_id IS NOT NULL"), length, anchor_bits, block)
-    by_text = stored(in_arrow(spans.repartition("doc_id", "text_key").sortWithinPartitions("doc_id", "text_key", "a"), _merge_spans,
-                              "doc_id long, text_key long, spans array<struct<a: long, b: long>>"))
+    by_text = stored(spans.groupBy("doc_id", "text_key").agg(F.first("spans").alias("spans")))  # the same for all copies of a row
     cell = F.col("text_key").bitwiseAND(F.lit(FILTER_BITS - 1))
     marked = probe(keyed.withColumn("cell", cell), stored(pages(cell, by_text)), "cell", "hit").drop("cell")
     plain = marked.where("NOT hit").select(
