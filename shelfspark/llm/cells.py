@@ -31,7 +31,7 @@ def probe(rows: DataFrame, bitmaps: DataFrame, cell: str, mark: str) -> DataFram
 
 
 class CellFilter:
-    """The same pages, read by a task from the shared folder once per worker."""
+    """The same pages, read by a task from the shared folder once per worker, which holds one filter at a time."""
 
     _held: dict[str, np.ndarray] = {}
 
@@ -45,14 +45,18 @@ class CellFilter:
         """``hashes``: a column ``h`` of 64-bit values."""
         return cls(pages(F.col("h").bitwiseAND(F.lit(bits - 1)), hashes), bits)
 
+    @classmethod
+    def forget(cls) -> None:
+        """Let the worker's filter go, for a task that needs the room."""
+        cls._held.clear()
+
     def __contains__(self, _) -> bool:
         raise TypeError("use has()")
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
         name = self.files[0] if self.files else ""
         if name not in self._held:
-            if len(self._held) > 1:
-                self._held.clear()
+            self.forget()
             table = np.zeros(self.bits // 8, np.uint8)
             for uri in self.files:
                 fs, path = shared_files(uri)

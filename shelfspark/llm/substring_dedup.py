@@ -2,10 +2,11 @@
 
 Anchors bring equal strings together: in each string of ``length`` bytes, the ``gram`` bytes
 of the smallest hash. Equal strings have the same anchor at the same distance. A context is
-the stretch of a text around an anchor that all its strings lie in. Equal contexts are one
-row with its smallest doc_id; where an anchor has several different contexts, their suffixes
-are sorted, as far as their strings may meet, and neighbours in the order that share
-``length`` bytes are equal strings.
+the stretch of a text around an anchor that all its strings lie in. A batch of texts sends
+its different contexts, packed by parts of their keys, and a part answers with the smallest
+doc_id of each; where an anchor has several different contexts, their suffixes are sorted, as
+far as their strings may meet, and neighbours in the order that share ``length`` bytes are
+equal strings.
 """
 
 from __future__ import annotations
@@ -248,12 +249,12 @@ def _sort_blocks(blocks: list[list[tuple[bytes, int]]], length: int) -> list[lis
     contexts = [c for block in blocks for c in block]
     sizes = np.array([len(c) for c, _ in contexts])
     starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-    owner = np.repeat(np.arange(len(contexts)), sizes + 1)
+    owner = np.repeat(np.arange(len(contexts), dtype=np.int32), sizes + 1)
     order = sort_suffixes(symbols, bounds)
     ctx = owner[order]
     whole = order - starts[ctx] <= sizes[ctx] - length  # a string starts there and ends in its context
     order, ctx = order[whole], ctx[whole]
-    block = np.repeat(np.arange(len(blocks)), np.diff(bounds))[order]
+    block = np.repeat(np.arange(len(blocks), dtype=np.int32), np.diff(bounds))[order]
     words = _words(np.maximum(symbols - 2, 0).astype(np.uint8).tobytes())
     same = block[1:] == block[:-1]
     for at in (*range(0, length - 8, 8), length - 8):  # eight bytes at a time
@@ -340,7 +341,7 @@ def repeated_cells(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[
             every = np.sort(h)
             again = np.concatenate([h[twice], every[1:][every[1:] == every[:-1]]])
             marked = np.zeros(1 << shift, bool)
-            marked[(again & np.uint64((1 << shift) - 1)).astype(np.int64)] = True
+            marked[(again & cells & np.uint64((1 << shift) - 1)).astype(np.int64)] = True
             marked = marked.reshape(-1, min(PAGE_BITS, 1 << shift))
             own = np.flatnonzero(marked.any(axis=1))
             packed = np.packbits(marked[own], axis=1, bitorder="little")
@@ -497,6 +498,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor_bits: int = ANC
                 [pa.concat_arrays([pa.nulls(len(whose), pa.binary()), _blobs(x[~plain], bounds)]) for x in (least, keys)],
                 ["h", "ctx", "first", "runs", "least", "keys"])
 
+        CellFilter.forget()
         held, size = [], 0
         for batch in batches:
             if not batch.num_rows:

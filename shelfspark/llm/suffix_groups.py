@@ -28,7 +28,8 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _first_groups(symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions in order of (text, symbol), and where each position's group starts in it."""
-    key = owner.astype(np.int64) * (int(symbols.max()) + 1) + symbols
+    values = int(symbols.max()) + 1
+    key = owner.astype(PLACE if (int(owner[-1]) + 1) * values < 1 << 31 else np.int64) * values + symbols
     order = np.argsort(key, kind="stable").astype(PLACE)
     fresh = np.flatnonzero(np.diff(key[order], prepend=-1)).astype(PLACE)
     start = np.zeros(len(key), PLACE)
@@ -44,7 +45,7 @@ def sort_suffixes(symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """
     n, texts = len(symbols), len(bounds) - 1
     base, limit = bounds[:-1].astype(PLACE), bounds[1:].astype(PLACE)
-    owner = np.repeat(np.arange(texts), limit - base)
+    owner = np.repeat(np.arange(texts, dtype=PLACE), limit - base)
     order, start = _first_groups(symbols, owner)
     place = np.empty(n, PLACE)
     place[order] = np.arange(n, dtype=PLACE)

@@ -104,3 +104,51 @@ def test_pieces_keep_what_contexts_share():
             plain = [x for own in substring_dedup._sort_blocks(blocks, length) for x in own]
             got = substring_dedup._least_ids(blocks, hashes, length)
             assert [x.tolist() for x in got] == [x.tolist() for x in plain]
+
+
+def test_hashes_that_occur_again_are_in_the_filter(spark):
+    rng = np.random.default_rng(6)
+    once, twice = rng.integers(-(1 << 62), 1 << 62, 3000), rng.integers(-(1 << 62), 1 << 62, 500)
+    rows = spark.createDataFrame([(int(h),) for h in (*once, *twice, *twice, 0, 0)], "h long").repartition(5)
+
+    def hashes(batch):
+        yield batch.column("h").to_numpy().view(np.uint64)
+
+    for bits in (1 << 10, 1 << 15, 1 << 28):
+        found = substring_dedup.repeated_cells(rows, hashes, bits)
+        assert found.has(np.append(twice, 0).view(np.uint64)).all()
+        cells = {int(h) % bits for h in twice} | {0}
+        assert found.has(once.view(np.uint64)).sum() == sum(int(h) % bits in cells for h in once)
+
+
+def test_places_travel_packed(spark, monkeypatch):
+    """No table between the steps has a row for each place, also where an anchor has more contexts than a block."""
+    rng = random.Random(7)
+    common = ["".join(rng.choice("abcdefgh ") for _ in range(600)) for _ in range(6)]
+    line = "".join(rng.choice("abcdefgh ") for _ in range(44))
+    rows = [(i, " ".join([*rng.sample(common, 3), "".join(rng.choice("ab") for _ in range(9)), line, "".join(rng.choice("ab") for _ in range(9))])) for i in range(400)]
+    n, kept = [], substring_dedup.stored
+
+    def counted(df):
+        n.append((made := kept(df)).count())
+        return made
+    monkeypatch.setattr(substring_dedup, "stored", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = dedup_substrings(df).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows, 50)
+    places = sum(len(anchors(t.encode())[0]) for _, t in rows)
+    assert places > 30_000 and max(n) < places / 4
+
+
+def test_a_text_of_several_pieces(spark):
+    text = random.Random(8).randbytes(2 * substring_dedup.PIECE // 3).hex()
+    df = spark.createDataFrame([(1, text), (2, "x" * 60 + text), (3, text[-70:])], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in dedup_substrings(df).collect()}
+    assert len(text) > substring_dedup.PIECE and got == {1: (0, 0), 2: (len(text), 1), 3: (70, 1)}
+
+
+def test_stretches_that_strings_link_are_sorted_together():
+    keys, owner = np.array([5, 6, 6, 7, 9, 9, 5, 8], np.uint64), np.array([0, 0, 1, 2, 3, 4, 5, 6])
+    assert substring_dedup._linked(keys, owner, 7).tolist() == [0, 0, 2, 3, 3, 0, 6]
+    chain = np.repeat(np.arange(40, dtype=np.uint64), 2)[1:-1]
+    assert not substring_dedup._linked(chain, np.repeat(np.arange(39), 2), 39).any()
